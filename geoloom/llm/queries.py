@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_golay
+import public_tokenizers
+
+from . import ego_join, fst_bpe, mix_flow, simhash_golay, token_frames, topk_segments, url_rules, weak_toxicity
 from ._common import table
 
 
@@ -12,6 +14,34 @@ def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_topk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_segments.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op5_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_frames.encoded_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst_bpe.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_flow.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

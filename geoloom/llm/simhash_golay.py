@@ -148,7 +148,8 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     Each bucket gives at most one edge a row (a forest of its links), never all its pairs. A bucket of more than
     ``block`` rows is dealt out as pairs of blocks to many tasks, and each pair of its rows still meets.
     """
-    keys = map_arrow(fps.select("fp"), _keys, "key long, fp long, near boolean")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = map_arrow(fps.select("fp").repartition(n, "fp"), _keys, "key long, fp long, near boolean")
     count = (
         keys.groupBy("key")
         .agg(F.count("*").alias("n"), F.sum(F.col("near").cast("long")).alias("near"))
@@ -162,7 +163,6 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
     )
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return map_arrow(dealt, _links, "u long, v long").distinct()
 
