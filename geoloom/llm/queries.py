@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import ego_join, fst_bpe, mix_flow, simhash_golay, token_frames, topk_segments, url_rules, weak_toxicity
+from . import ego_join, fst_bpe, mix_flow, paragraph_dedup, simhash_golay, token_frames, topk_segments, url_rules, weak_toxicity
 from ._common import table
 
 
@@ -22,6 +22,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
