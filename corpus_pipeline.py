@@ -1,4 +1,54 @@
-STAGES = []
+"""A corpus pipeline of five stages, each one of the training-data operators over all that its predecessor kept."""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from geoloom.llm import fst_bpe, mix_flow, paragraph_dedup, simhash_golay, weak_toxicity
+from geoloom.llm._common import shared_dir, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject."""
+    return weak_toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one of the smallest doc_id."""
+    return simhash_golay.without_near_duplicates(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has too."""
+    return paragraph_dedup.without_repeats(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mix_flow.mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digests of each document's ids and of their decoding."""
+    return fst_bpe.encoded_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("simhash near-dedup", near_duplicates), ("substring dedup", substrings), ("mixing", mixing), ("bpe", encoding)]
+
+#: SQL expresses none of the first three stages, so the run is tested against brute-force versions instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over ``documents``, each one's result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{base}/{k}")
+            docs = spark.read.parquet(f"{base}/{k}")
+    return docs

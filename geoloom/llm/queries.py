@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import ego_join, fst_bpe, mix_flow, paragraph_dedup, simhash_golay, token_frames, topk_segments, url_rules, weak_toxicity
+from . import cotrain_quality, ego_join, fst_bpe, mix_flow, paragraph_dedup, simhash_golay, token_frames, topk_segments, url_rules, weak_toxicity
 from ._common import table
 
 
@@ -46,8 +46,12 @@ def op9_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_flow.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op10_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

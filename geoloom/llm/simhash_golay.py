@@ -96,7 +96,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 def _fingerprints(batches):
     for b in batches:
         fps = np.fromiter(map(fingerprint, binary_list(b.column(1))), np.uint64, b.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+        more = [b.column(i) for i in range(2, b.num_columns)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *more], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,3 +181,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of = comps.join(lowest, "comp").select(F.col("node").alias("fp"), "low")
     of = first.join(of, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with its columns: the one of the smallest doc_id.
+
+    An id counts before a null one, and of equal ids the text with the smallest hash. Of rows alike in both any one
+    stays.
+    """
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("th"))
+    fps = cut(map_arrow(slim, _fingerprints, "doc_id long, fp long, th long"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = cut(fps.groupBy("fp").agg(F.min(key).alias("first")))
+    comps = cut(connected_components(fingerprint_links(first.select("fp"))))
+    own = first.join(comps, first.fp == comps.node, "left").select("first", F.coalesce("comp", "fp").alias("comp"))
+    keep = own.groupBy("comp").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_gl_d"), F.col("k.th").alias("_gl_t"))
+    keyed = docs.withColumn("_gl_h", F.xxhash64(F.col(text).cast("string")))
+    kept = keyed.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_t")), "left_semi")
+    twice = cut(fps.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_gl_d"), F.col("th").alias("_gl_t")))
+    if not twice.isEmpty():  # rows alike in id and text: any one of them
+        alike = F.col(doc_id).cast("long").eqNullSafe(F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_t"))
+        one = kept.join(twice, alike, "left_semi").dropDuplicates([doc_id, "_gl_h"])
+        kept = kept.join(twice, alike, "left_anti").unionByName(one)
+    return kept.drop("_gl_h")

@@ -22,7 +22,7 @@ from ._common import binary_list, cut, map_arrow
 #: Bound on the labelled rows that the model is fitted on (those with the smallest hash of their id).
 TRAIN_ROWS = 12_000
 #: Sizes of the model: mined lexicon words, each a voter, and token features.
-LEXICON, FEATURES = 48, 400
+LEXICON, FEATURES = 64, 400
 LEAST_DOCS = 4
 THRESHOLD = 0.3
 #: A general lexicon of insults, one voter.
@@ -35,7 +35,10 @@ PATTERNS = (re.compile(rb"[!?]{3,}"), re.compile(rb"\b[A-Z]{4,}\b[^a-z]{0,3}\b[A
 
 
 def token_set(text: bytes) -> set[bytes]:
-    return set(text.translate(PLAIN).split())
+    """Distinct words, and their stems: beginnings of four to six bytes, marked by a tilde."""
+    own = set(text.translate(PLAIN).split())
+    long = [w for w in own if len(w) > 4]
+    return own.union([b"~" + w[:4] for w in long], [b"~" + w[:5] for w in long], [b"~" + w[:6] for w in long if len(w) > 6])
 
 
 def flags(text: bytes) -> int:
@@ -221,3 +224,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scored = with_score(slim, model).select("doc_id", F.col("_gl_score").alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with their columns, without those that score ``threshold`` or more."""
+    return with_score(docs, train(docs, labels, doc_id, text), text).where(F.col("_gl_score") < threshold).drop("_gl_score")
