@@ -8,7 +8,6 @@ memory-mapped by the workers. Words that it lacks are merged exactly, by the ran
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import os
 import re
@@ -23,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, shared_dir
-from .token_frames import open_fs
+from .token_frames import byte_chars, open_fs
 
 #: Words of the lexicon, a bound on what the driver compiles; only speed depends on it.
 LEXICON = 65_536
 LONGEST = 48
 #: Entries of a worker's caches of words; only speed depends on it.
-CACHE = 400_000
+CACHE = 700_000
+PIECES = 200_000
 
 
 # --- the automaton -------------------------------------------------------------------------------------------------
@@ -90,7 +90,7 @@ class Lexicon:
         sizes = raw[: 8 * len(self.PARTS)].view(np.int64).tolist()
         at = 8 * len(self.PARTS)
         for (name, kind), n in zip(self.PARTS, sizes):
-            setattr(self, name, raw[at : at + n * np.dtype(kind).itemsize].view(kind))
+            setattr(self, name, raw[at : at + n * np.dtype(kind).itemsize].view(kind).view(np.ndarray))
             at += -(-n * np.dtype(kind).itemsize // 8) * 8
 
     @classmethod
@@ -138,13 +138,6 @@ class Lexicon:
 # --- words ---------------------------------------------------------------------------------------------------------
 
 
-def byte_chars() -> list[str]:
-    """The printable stand-in of every byte in byte-level vocabularies."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
-
-
 class Codec:
     """Encodes and decodes like the tokenizers library does with the same file, word by word."""
 
@@ -159,56 +152,27 @@ class Codec:
         self.lib.no_truncation()
         self.lib.no_padding()
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.suffix = model["end_of_word_suffix"] or ""
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
+            vocab: dict[str, int] = json.load(f)["model"]["vocab"]
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.name = {i: t for t, i in self.vocab.items()} | {i: t.content for i, t in self.lib.get_added_tokens_decoder().items()}
+        self.name = {i: t for t, i in vocab.items()} | {i: t.content for i, t in self.lib.get_added_tokens_decoder().items()}
         self.table = dict(enumerate(byte_chars()))
         self.lexicon = lexicon
         self.pieces: dict[str, list[int]] = {}
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
+        self.spaced = {i: x.encode() + b" " for i, x in self.name.items()}
+        self.decimal = {i: b"%d " % i for i in self.name}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.mark = {c: self._bytes(self._piece(c)) for c in ".,"}
 
     def merge(self, piece: str) -> list[int]:
-        """The ids of one byte-mapped word: the pair of lowest rank is merged, the leftmost first, until none is left."""
-        sym = list(piece)
-        sym[-1] += self.suffix
-        rank = self.rank
-        if len(sym) <= 32:
-            while len(sym) > 1:
-                best, at = min((rank.get(p, 1 << 30), i) for i, p in enumerate(zip(sym, sym[1:])))
-                if best == 1 << 30:
-                    break
-                sym[at : at + 2] = [sym[at] + sym[at + 1]]
-        else:
-            n = len(sym)
-            after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-            heap = [(rank[p], i, p) for i, p in enumerate(zip(sym, sym[1:])) if p in rank]
-            heapq.heapify(heap)
-            while heap:
-                _, i, p = heapq.heappop(heap)
-                j = after[i]
-                if sym[i] is None or j < 0 or (sym[i], sym[j]) != p:
-                    continue
-                sym[i], sym[j] = p[0] + p[1], None
-                after[i] = after[j]
-                if after[j] >= 0:
-                    before[after[j]] = i
-                for a, b in ((before[i], i), (i, after[i])):
-                    if a >= 0 and b >= 0 and (q := (sym[a], sym[b])) in rank:
-                        heapq.heappush(heap, (rank[q], a, q))
-            sym = [s for s in sym if s is not None]
-        return [self.vocab[s] for s in sym if s in self.vocab]
+        """The ids of one byte-mapped word, merged by the rank of its pairs (the library's merge, without its cache)."""
+        return [t.id for t in self.lib.model.tokenize(piece)]
 
     def _piece(self, piece: str) -> list[int]:
         got = self.pieces.get(piece)
         if got is None:
             got = self.merge(piece)
             if len(piece) <= LONGEST:
-                if len(self.pieces) >= CACHE:
+                if len(self.pieces) >= PIECES:
                     self.pieces.clear()
                 self.pieces[piece] = got
         return got
@@ -222,18 +186,41 @@ class Codec:
         pieces = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(word))
         return [i for p, _ in pieces for i in self._piece(p)]
 
+    def _bytes(self, ids: list[int]) -> tuple[bytes, bytes]:
+        a, b = self.decimal, self.spaced
+        return b"".join([a[i] for i in ids]), b"".join([b[i] for i in ids])
+
+    def _plain(self, word: str) -> tuple[bytes, bytes]:
+        """Of letters alone: upper and lower case, with and without a mark behind, share one entry."""
+        low = word.lower()
+        got = self.words.get(low)
+        if got is None:
+            got = self.words[low] = self._bytes(self.merge(low if low.isascii() else low.encode().decode("latin-1").translate(self.table)))
+        return got
+
     def _learn(self, words: list[str]) -> None:
         found = self.lexicon.find([w.encode() for w in words]).tolist() if self.lexicon else [-1] * len(words)
+        known, plain, later = self.words, self.PLAIN.fullmatch, []
         for w, at in zip(words, found):
-            ids = self.lexicon.ids_of(at) if at >= 0 else self.word_ids(w)
-            self.ids[w] = b"".join(b"%d " % i for i in ids)
-            self.text[w] = "".join(self.name[i] + " " for i in ids)
+            if at >= 0:
+                known[w] = self._bytes(self.lexicon.ids_of(at))
+            else:
+                later.append(w)
+        for w in later:
+            if plain(w):
+                known[w] = self._plain(w)
+            elif w[-1] in ".," and plain(w, 0, len(w) - 1):
+                a, b = self._plain(w[:-1])
+                x, y = self.mark[w[-1]]
+                known[w] = (a + x, b + y)
+            else:
+                known[w] = self._bytes(self.word_ids(w))
 
     def whole(self, text: str) -> bool:
         return any(s in text for s in self.special) or self.ODD.search(text) is not None
 
-    def strings(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(decimal ids joined by spaces, decoded text) of each text."""
+    def strings(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(decimal ids joined by spaces, decoded text in UTF-8) of each text."""
         out: list = [None] * len(texts)
         at = size = 0
         for i, t in enumerate(texts):
@@ -248,18 +235,20 @@ class Codec:
         for i in range(start, end):
             if self.whole(texts[i]):
                 ids = self.lib.encode(texts[i], add_special_tokens=False).ids
-                out[i] = (b" ".join(b"%d" % x for x in ids), self.decode(ids))
+                out[i] = (b" ".join([b"%d" % x for x in ids]), self.decode(ids).encode())
             else:
                 words = texts[i].split()
                 split.append((i, words))
                 wanted.update(words)
-        if len(self.ids) + len(wanted) > CACHE:
-            self.ids.clear()
-            self.text.clear()
-        self._learn(list(wanted - self.ids.keys()))
-        a, b = self.ids.__getitem__, self.text.__getitem__
+        missing = wanted - self.words.keys()
+        if len(self.words) + len(missing) > CACHE:
+            self.words.clear()
+            missing = wanted
+        self._learn(list(missing))
+        get = self.words.__getitem__
         for i, words in split:
-            out[i] = (b"".join(map(a, words))[:-1], "".join(map(b, words))[:-1])
+            pairs = list(map(get, words))
+            out[i] = (b"".join([x for x, _ in pairs])[:-1], b"".join([y for _, y in pairs])[:-1])
 
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for x in self.strings([text or ""])[0][0].split()]
@@ -327,7 +316,7 @@ def _digests(tokenizer: str, lexicon: str):
             for ids, text in c.strings(["" if t is None else t for t in b.column("text").to_pylist()]):
                 rows[0].append(ids.count(b" ") + (ids != b""))
                 rows[1].append(hashlib.sha256(ids).hexdigest())
-                rows[2].append(hashlib.sha256(text.encode()).hexdigest())
+                rows[2].append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -338,7 +327,7 @@ def _encoded(tokenizer: str, lexicon: str):
         c = codec(tokenizer, lexicon)
         for b in batches:
             got = c.strings(["" if t is None else t for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([[int(x) for x in ids.split()] for ids, _ in got], pa.list_(pa.int32())), pa.array([t for _, t in got], pa.string())], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([[int(x) for x in ids.split()] for ids, _ in got], pa.list_(pa.int32())), pa.array([t.decode() for _, t in got], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 

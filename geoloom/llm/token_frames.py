@@ -11,6 +11,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -29,7 +30,14 @@ FRAME_BYTES = 1 << 20
 LEVEL = 3
 SKIPPABLE, MAGIC = 0x184D2A5D, b"GLZF0001"
 #: Entries of a worker's cache of encoded chunks; only speed depends on it.
-CACHE = 600_000
+CACHE = 1_200_000
+
+
+def byte_chars() -> list[str]:
+    """The printable stand-in of every byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class ChunkEncoder:
@@ -42,6 +50,7 @@ class ChunkEncoder:
 
     UNSAFE = re.compile(r"\s \s|  |^ \s")
     PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
+    LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -49,28 +58,35 @@ class ChunkEncoder:
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.bytes = dict(enumerate(byte_chars()))
         self.mark = {c: self._whole(c) for c in ".,"}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
-        known, ask, later = self.known, [], []
+        known, ask, later, model = self.known, [], [], self.lib.model.tokenize
         if len(known) + len(chunks) > CACHE:
             known.clear()
             chunks = list(self.wanted)
-        asked = set()
         for c in chunks:
-            if self.PLAIN.fullmatch(c):
+            if c.isascii() and c.isalpha():
+                if c not in known:
+                    known[c] = array("I", [t.id for t in model("Ġ" + c)]).tobytes()
+            elif self.PLAIN.fullmatch(c):
                 later.append(c)
                 c = c[:-1]
-                if c in known or c in asked:
-                    continue
-            if c not in asked:
-                asked.add(c)
+                if c not in known:
+                    # a space and letters are one word of the pattern, so the library's model has it at once
+                    c_ = c if c.isascii() else c.encode().decode("latin-1").translate(self.bytes)
+                    known[c] = array("I", [t.id for t in model("Ġ" + c_)]).tobytes()
+            elif self.LETTERS.fullmatch(c):
+                if c not in known:
+                    known[c] = array("I", [t.id for t in model("Ġ" + c.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+            else:
                 ask.append(c)
         for c, e in zip(ask, self.lib.encode_batch_fast([" " + c for c in ask], add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
+            known[c] = array("I", e.ids).tobytes()
         for c in later:
             known[c] = known[c[:-1]] + self.mark[c[-1]]
 
