@@ -24,6 +24,10 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
 MIN_WORDS = 25
 RUN, WINDOW = 25, 18
 BLOCK = 256
+#: Rows of a piece of the input that are put together before a shuffle.
+PIECE = 1 << 20
+#: Of the bitmaps of wanted lines: 8 MB.
+BITMAP_BITS = 26
 ROWS = 4
 
 
@@ -105,13 +109,32 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(view.argmin(1) + np.arange(len(view)))
 
 
-def content_id(h: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(h.tobytes())
+def content_id(h: np.ndarray) -> tuple[int, bytes]:
+    """(short id: an odd long, whole id: 16 bytes) of a line with the word hashes ``h``."""
+    whole = xxhash.xxh3_128_digest(h.tobytes())
+    return int.from_bytes(whole[:8], "little", signed=True) | 1, whole
+
+
+def local_stars(key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, c, m) of a piece of the input: m is the least c of the key, and null in the one row of that least c.
+
+    Whatever else a key holds is linked to m here, so a key reaches the shuffle by key once a piece, however many rows it has.
+    """
+    order = np.lexsort((c, key))
+    key, c = key[order], c[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    own = new.copy()
+    own[1:] |= c[1:] != c[:-1]
+    m = c[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(c[own]), pa.array(m[own], mask=new[own])], names=["key", "c", "m"])
 
 
 def _scan_lines(batches):
+    """Keys of all lines: bands (even) with the line's short id, and the short id (odd) with a hash of the document."""
+    held: list[tuple] = []
+    count = 0
     for b in batches:
-        cols: list[list] = [[] for _ in range(6)]
         for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
             begin, line = word_places(text)
             if len(begin) < MIN_WORDS or not (spans := lines_of(line)):
@@ -119,47 +142,143 @@ def _scan_lines(batches):
             h = word_hashes(text)
             s = runs(h, SHINGLE)
             sizes = np.array([e - a - SHINGLE + 1 for a, e in spans])
-            keys = band_keys(np.concatenate([s[a : e - SHINGLE + 1] for a, e in spans]), np.cumsum(sizes) - sizes).view(np.int64)
-            for (a, e), k in zip(spans, keys):
-                for c, v in zip(cols, (d, t, content_id(h[a:e]), a, e, k)):
-                    c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "th", "c", "start", "stop", "bands"])
+            keys = band_keys(np.concatenate([s[a : e - SHINGLE + 1] for a, e in spans]), np.cumsum(sizes) - sizes).view(np.int64) & -2
+            ids = np.array([content_id(h[a:e])[0] for a, e in spans], np.int64)
+            doc = xxhash.xxh3_64_intdigest(b"%d %d" % (t, d or 0) + b"?" * (d is None)) - (1 << 63)
+            held += [(keys.ravel(), np.repeat(ids, BANDS)), (ids, np.full(len(ids), doc, np.int64))]
+            count += keys.size + len(ids)
+            if count >= PIECE:
+                yield local_stars(*map(np.concatenate, zip(*held)))
+                held, count = [], 0
+    if held:
+        yield local_stars(*map(np.concatenate, zip(*held)))
+
+
+def _stars(batches):
+    """The rows that hold more than one thing for a key, each with what it is linked to: (key, c, m)."""
+    for t in whole_groups(batches, ["key"]):
+        linked = np.asarray(t.column("m").is_valid())
+        yield from t.filter(pa.array(linked)).to_batches()
+        rest = t.filter(pa.array(~linked))
+        if rest.num_rows:
+            found = local_stars(rest.column("key").to_numpy(), rest.column("c").to_numpy())
+            yield found.filter(found.column("m").is_valid())
+
+
+def bitmap_of(ids: DataFrame, bits: int = BITMAP_BITS) -> bytes:
+    """A bit for each value that the long column ``c`` of ``ids`` has, by its lowest bits but one; 2 ** (bits - 3) bytes at most."""
+    at = F.shiftright("c", 1).bitwiseAND(F.lit((1 << bits) - 1))
+    parts = ids.select(at.alias("x")).groupBy(F.shiftright("x", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("x").bitwiseAND(F.lit(32767))).alias("part")).collect()
+    size = 1 << (bits - 3)
+    out = bytearray(max(size, 4096))
+    for r in parts:
+        out[4096 * r["k"] : 4096 * r["k"] + 4096] = r["part"]
+    return bytes(out)
+
+
+def _scan_wanted(bitmap, sets: bool):
+    """Lines whose short id may be wanted: (c, node, set of shingles), once a piece, or (c, node, doc_id, th, start, stop)."""
+
+    def run(batches):
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        mask, seen = 8 * len(bits) - 1, set()
+        for b in batches:
+            rows = []
+            for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
+                begin, line = word_places(text)
+                if len(begin) < MIN_WORDS or not (spans := lines_of(line)):
+                    continue
+                h, s = word_hashes(text), None
+                for a, e in spans:
+                    c, node = content_id(h[a:e])
+                    x = c >> 1 & mask
+                    if not bits[x >> 3] >> (x & 7) & 1:
+                        continue
+                    if not sets:
+                        rows.append((c, node, d, t, a, e))
+                    elif node not in seen:
+                        seen.add(node)
+                        s = runs(h, SHINGLE) if s is None else s
+                        rows.append((c, node, np.unique(s[a : e - SHINGLE + 1]).tobytes()))
+            if len(seen) > 100_000:
+                seen.clear()
+            kinds = (pa.int64(), pa.binary(), pa.binary()) if sets else (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            names = ["c", "node", "set"] if sets else ["c", "node", "doc_id", "th", "start", "stop"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return run
+
+
+ALONE, MET, OTHER, OTHER_OF_NULL = range(4)
+
+
+def first_of_runs(h, h2, doc, valid, th):
+    """Sorted order of the rows by run, then document; for each row in it whether its run begins there, the first row's place, whether it is another document than that."""
+    order = np.lexsort((th, doc, valid, h2, h))
+    key = [x[order] for x in (h, h2)]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    a, b = order, order[first]
+    other = (doc[a] != doc[b]) | (th[a] != th[b]) | (valid[a] != valid[b])
+    return order, new, first, other
+
+
+def _pack_runs(h, h2, doc, valid, th, start) -> pa.RecordBatch:
+    """Each run of a piece of the input once, in its first document, and its other documents with that one's id in place of the run."""
+    order, new, first, other = first_of_runs(h, h2, doc, valid, th)
+    met = np.zeros(len(order), bool)
+    met[first[other]] = True
+    use = new | other
+    at, lead = order[use], order[first[use]]
+    kind = np.where(other[use], np.where(valid[lead], OTHER, OTHER_OF_NULL), np.where(met[use], MET, ALONE))
+    pos = h2[at] << 34 | start[at] << 2 | kind
+    return pa.RecordBatch.from_arrays([pa.array(np.where(other[use], doc[lead], h[at])), pa.array(doc[at], mask=~valid[at]), pa.array(th[at]), pa.array(pos)], names=["h", "doc_id", "th", "pos"])
 
 
 def _scan_runs(batches):
+    held: list[tuple] = []
+    count = 0
     for b in batches:
-        out: list[list] = [[] for _ in range(5)]
         for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
-            h = word_hashes(text)
-            if len(h) < RUN:
+            words = word_hashes(text)
+            if len(words) < RUN:
                 continue
-            r = runs(h, RUN)
+            r = runs(words, RUN)
             at = winnow(r)
             own, first = np.unique(r[at], return_index=True)  # once a document: the first place
-            at = at[first]
-            out[0].append(np.full(len(at), np.nan if d is None else 0.0))
-            out[1].append((d or 0, t, len(at)))
-            out[2].append(own.view(np.int64))
-            out[3].append((runs(h, RUN, BASE2)[at] >> np.uint64(33)).astype(np.int32))
-            out[4].append(at.astype(np.int32))
-        if not out[0]:
-            continue
-        n = [x[2] for x in out[1]]
-        ids = pa.array(np.repeat([x[0] for x in out[1]], n), pa.int64(), mask=np.isnan(np.concatenate(out[0])))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(np.repeat([x[1] for x in out[1]], n), pa.int64()), *(pa.array(np.concatenate(x)) for x in out[2:])], names=["doc_id", "th", "h", "h2", "start"])
-
-
-def _payload(batches):
-    """The shingle sets of wanted lines: rows (text, wanted: [(c, start, stop)])."""
-    for b in batches:
-        ids, sets = [], []
-        for text, wanted in zip(binary_list(b.column("text")), b.column("wanted").to_pylist()):
-            s = runs(word_hashes(text), SHINGLE)
-            for w in wanted:
-                ids.append(w["c"])
-                sets.append(np.unique(s[w["start"] : w["stop"] - SHINGLE + 1]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], names=["c", "set"])
+            at, n = at[first], len(own)
+            h2 = (runs(words, RUN, BASE2)[at] >> np.uint64(35)).astype(np.int64)
+            held.append((own.view(np.int64), h2, np.full(n, d or 0, np.int64), np.full(n, d is not None), np.full(n, t, np.int64), at.astype(np.int64)))
+            count += n
+            if count >= PIECE:
+                yield _pack_runs(*map(np.concatenate, zip(*held)))
+                held, count = [], 0
+    if held:
+        yield _pack_runs(*map(np.concatenate, zip(*held)))
+
+
+def _runs_met(batches):
+    """(doc_id, th, start, stop, holder, kept) of the runs that several documents have."""
+    for t in whole_groups(batches, ["h"]):
+        h, th, pos = (t.column(c).to_numpy() for c in ("h", "th", "pos"))
+        valid, doc = np.asarray(t.column("doc_id").is_valid()), t.column("doc_id").fill_null(0).to_numpy()
+        kind, start = pos & 3, pos >> 2 & 0xFFFFFFFF
+        done = np.flatnonzero(kind >= OTHER)
+        rows = [(done, h[done], kind[done] == OTHER, np.zeros(len(done), bool))]
+        at = np.flatnonzero(kind < OTHER)
+        if len(at):
+            order, new, first, other = first_of_runs(h[at], pos[at] >> 34, doc[at], valid[at], th[at])
+            met = kind[at][order] == MET
+            shared = np.zeros(len(order), bool)
+            np.logical_or.at(shared, first, other | met)
+            use = other | (new & shared)
+            here, lead = at[order[use]], at[order[first[use]]]
+            rows.append((here, doc[lead], valid[lead], ~other[use]))
+        x, holder, has, kept = (np.concatenate(c) for c in zip(*rows))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[x], mask=~valid[x]), pa.array(th[x]), pa.array(start[x].astype(np.int32)), pa.array((start[x] + RUN).astype(np.int32)), pa.array(holder, mask=~has), pa.array(kept)], names=["doc_id", "th", "start", "stop", "holder", "kept"]
+        )
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -216,55 +335,70 @@ def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
 
 
-def paragraph_classes(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(occurrences of lines, classes (c, holder, n)) of the lines that repeat, exactly or nearly."""
-    n = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = cut(map_arrow(slim, _scan_lines, "doc_id long, th long, c binary, start int, stop int, bands array<long>").groupBy("c", "doc_id", "th").agg(F.min("start").alias("start"), F.collect_list(F.struct("start", "stop")).alias("spans"), F.first("bands").alias("bands")))
-    contents = cut(lines.groupBy("c").agg(F.min(F.struct("doc_id", "th", "start")).alias("holder"), F.max(F.struct("doc_id", "th")).alias("last"), F.first("bands").alias("bands")))
-    bands = contents.select("c", F.explode("bands").alias("key"))
-    stars = bands.groupBy("key").agg(F.min("c").alias("m"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(bands.join(stars, "key"))  # only buckets of several contents
-    pairs = cut(shared.where("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v")).distinct())
-    needed = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
-    # one holder of each needed content gives its shingles
-    held = contents.join(needed, "c", "left_semi").select("c", F.col("holder.doc_id").alias("d"), F.col("holder.th").alias("t"), F.col("holder.start").alias("start"))
-    spans = lines.select(F.col("c").alias("lc"), F.col("doc_id").alias("ld"), F.col("th").alias("lt"), F.explode("spans").alias("s")).join(held, F.expr("lc = c and ld <=> d and lt = t and s.start = start")).select("c", "d", "t", "s.start", "s.stop")
-    wanted = spans.groupBy("d", "t").agg(F.collect_list(F.struct("c", "start", "stop")).alias("wanted"))
-    sets = cut(map_arrow(slim.join(wanted, F.expr("doc_id <=> d and th = t")).dropDuplicates(["doc_id", "th"]).select("text", "wanted"), _payload, "c binary, set binary"))
-    one, two = sets.select(F.col("c").alias("a"), F.col("set").alias("s1")), sets.select(F.col("c").alias("b"), F.col("set").alias("s2"))
-    links = cut(map_arrow(pairs.join(one, F.expr("u = a")).join(two, F.expr("v = b")).select("u", "v", "s1", "s2"), _verify, "u binary, v binary"))
+def paragraph_spans(slim: DataFrame) -> DataFrame:
+    """(doc_id, th, start, stop, holder, kept) of the lines that repeat in another document, exactly or nearly.
+
+    Texts are never shuffled: each step reads them where they are, and a bitmap of bounded size tells which lines the
+    step may need. A line that the bitmap lets through by chance finds no partner in the join that follows.
+    """
+    spark = slim.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = map_arrow(slim, _scan_lines, "key long, c long, m long")
+    dealt = keys.repartition(n, F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", "c"))).sortWithinPartitions("key")
+    met = cut(map_arrow(dealt, _stars, "key long, c long, m long"))
+    stars, exact = met.where("key & 1 = 0"), met.where("key & 1 = 1").select(F.col("key").alias("c"))
+    pairs = cut(stars.select(F.greatest("c", "m").alias("u"), F.least("c", "m").alias("v")).distinct())
+    needed = pairs.select(F.col("u").alias("c")).union(pairs.select("v"))
+    found = map_arrow(slim, _scan_wanted(spark.sparkContext.broadcast(bitmap_of(needed)), True), "c long, node binary, set binary")
+    sets = cut(found.groupBy("c", "node").agg(F.first("set").alias("set")).join(needed.distinct(), "c", "left_semi"))
+    one, two = (sets.select(F.col("c").alias(f"c{k}"), F.col("node").alias(f"n{k}"), F.col("set").alias(f"s{k}")) for k in "12")
+    # of contents with one short id every two meet, so a chance collision joins nothing by itself
+    links = cut(map_arrow(pairs.join(one, F.expr("u = c1")).join(two, F.expr("v = c2")).select(F.col("n1").alias("u"), F.col("n2").alias("v"), "s1", "s2"), _verify, "u binary, v binary"))
     comps = cut(connected_components(links))
     # buckets whose members are in several components: every pair across them meets too, in blocks
-    named = shared.select("key", "c").join(comps, F.expr("c = node"), "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
+    several = stars.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    stars = stars.join(several, "key", "left_semi")
+    members = stars.select("key", "c").union(stars.select("key", "m")).distinct().join(sets.select("c", "node"), "c")
+    named = cut(members.join(comps.withColumnRenamed("node", "k"), F.expr("node = k"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
     open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    dealt = named.join(open_, "key").select("key", "c", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "c", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(sets.withColumnRenamed("c", "sc"), F.expr("c = sc")).drop("sc").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = cut(map_arrow(dealt, _blocks, "u binary, v binary").distinct())
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = named.join(open_, "key").select("key", F.col("node").alias("c"), "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("key", "c", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spread = spread.join(sets.select("node", "set"), F.expr("c = node")).drop("node").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = cut(map_arrow(spread, _blocks, "u binary, v binary").distinct())
     if not more.isEmpty():
         comps = cut(connected_components(links.union(more)))
-    named = contents.join(comps, F.expr("c = node"), "left").select("c", F.coalesce("comp", "c").alias("comp"), "holder", "last")
-    classes = named.groupBy("comp").agg(F.min("holder").alias("first"), F.max("last").alias("last"))
-    classes = classes.where("not (first.doc_id <=> last.doc_id and first.th = last.th)").select(F.col("comp").alias("k"), "first")
-    return lines, named.join(classes, F.expr("comp = k")).select("c", "comp", "first")
+    near = sets.select("c", "node").join(comps.select("node"), "node", "left_semi").select("c")
+    wanted = spark.sparkContext.broadcast(bitmap_of(exact.union(near)))
+    lines = map_arrow(slim, _scan_wanted(wanted, False), "c long, node binary, doc_id long, th long, start int, stop int").drop("c")
+    lines = cut(lines.join(comps.withColumnRenamed("node", "k"), F.expr("node = k"), "left").select("doc_id", "th", "start", "stop", F.coalesce("comp", "node").alias("comp")))
+    classes = lines.groupBy(F.col("comp").alias("k")).agg(F.min(F.struct("doc_id", "th", "start")).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"))
+    classes = classes.where("not (first.doc_id <=> last.doc_id and first.th = last.th)").select("k", "first")
+    return lines.join(classes, F.expr("comp = k")).select(
+        "doc_id", "th", "start", "stop", F.col("first.doc_id").alias("holder"), F.expr("doc_id <=> first.doc_id and th = first.th and start = first.start").alias("kept")
+    )
+
+
+def run_spans(slim: DataFrame) -> DataFrame:
+    """(doc_id, th, start, stop, holder, kept) of the chosen runs that several documents have.
+
+    A run is put together over each piece of the input first, so a very common one reaches the shuffle by run once a
+    piece; the holder of the other occurrences of a piece is the piece's first document.
+    """
+    n = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = map_arrow(slim, _scan_runs, "h long, doc_id long, th long, pos long")
+    dealt = grams.repartition(n, F.when(F.expr(f"pos & 3 < {OTHER}"), F.col("h")).otherwise(F.xxhash64("th", "pos"))).sortWithinPartitions("h")
+    return map_arrow(dealt, _runs_met, "doc_id long, th long, start int, stop int, holder long, kept boolean")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, start, stop, holder, kept): word intervals of repeated paragraphs and runs; th is the text's hash.
 
-    ``holder`` is the doc_id of the occurrence that stays, ``kept`` marks that occurrence.
+    ``holder`` is the doc_id of an earlier occurrence, for paragraphs that of the one that stays; ``kept`` marks the
+    occurrence that stays.
     """
     slim = _slim(docs, doc_id, text)
-    lines, classes = paragraph_classes(slim)
-    lines = lines.select(F.col("c").alias("lc"), "doc_id", "th", F.explode("spans").alias("s"))
-    found = lines.join(classes, F.expr("lc = c")).select(
-        "doc_id", "th", "s.start", "s.stop", F.col("first.doc_id").alias("holder"), F.expr("doc_id <=> first.doc_id and th = first.th and s.start = first.start").alias("kept")
-    )
-    grams = map_arrow(slim, _scan_runs, "doc_id long, th long, h long, h2 int, start int")
-    firsts = grams.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "th")).alias("a"), F.max(F.struct("doc_id", "th")).alias("z")).where(~F.col("a").eqNullSafe(F.col("z"))).select(F.col("h").alias("fh"), F.col("h2").alias("fh2"), "a")
-    inner = grams.join(firsts, F.expr("h = fh and h2 = fh2")).select("doc_id", "th", "start", (F.col("start") + RUN).alias("stop"), F.col("a.doc_id").alias("holder"), F.expr("doc_id <=> a.doc_id and th = a.th").alias("kept"))
-    return found.unionByName(inner)
+    return paragraph_spans(slim).unionByName(run_spans(slim))
 
 
 def _merge(batches):
@@ -294,7 +428,7 @@ def merged_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each passage that documents share: doc_id, start_word, end_word (exclusive), holder_id, kept.
 
-    ``kept`` rows are the occurrence that stays, in document ``holder_id``; the others are to be removed. Null, empty
+    ``kept`` rows are the occurrence that stays; the others are to be removed, an earlier document ``holder_id`` has them. Null, empty
     and short texts have none, and so have passages that repeat only within one document. Rows of equal id and text
     are one document. No documents give no rows.
     """
