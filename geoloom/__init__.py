@@ -1 +1,30 @@
-"""A Spark-native engine for point-based spatial analytics."""
+"""Point-based spatial analytics on Spark."""
+
+from .errors import (
+    ColumnNotFoundError,
+    EmptyDatasetError,
+    GeoloomError,
+    InvalidBufferError,
+    InvalidCoordinateError,
+    InvalidRadiusError,
+    InvalidUnitError,
+    NoDataError,
+    SourceNotFoundError,
+    UnsupportedFormatError,
+)
+from .frame import VERSION, GeoFrame
+
+__version__ = VERSION
+__all__ = [
+    "ColumnNotFoundError",
+    "EmptyDatasetError",
+    "GeoFrame",
+    "GeoloomError",
+    "InvalidBufferError",
+    "InvalidCoordinateError",
+    "InvalidRadiusError",
+    "InvalidUnitError",
+    "NoDataError",
+    "SourceNotFoundError",
+    "UnsupportedFormatError",
+]

@@ -1,4 +1,394 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""The registered queries of the spatial operators, each beside the SQL that must give the same rows.
+
+The test tables have no coordinates, so they are derived from keys by integer arithmetic and one division, which gives
+the same doubles in both engines. No unrounded trigonometry is returned.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo, scalar
+from ..functions.units import checked_point
+from ..operators import filters, joins
+from ..sources import points, sinks
+from ..streaming.points import stream_cell_counts, stream_within_radius, write_parquet
+from .shared import shared_dir
+
+DELHI, PUNE = (28.6139, 77.2090), (18.52, 73.85)
+QUERIES, SQL = {}, {}
+PLACE = {"a": (6007, 3571), "b": (7919, 104729)}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def place(key: str, which: str = "a") -> tuple:
+    """(lat, lng) derived from an integer key."""
+    m, n = PLACE[which]
+    k = F.col(key).cast("long")
+    return (k * m % 17001 - 8500) / F.lit(100.0), (k * n % 35999 - 17999) / F.lit(100.0)
+
+
+def at(key: str, which: str = "a") -> str:
+    """The same in SQL."""
+    m, n = PLACE[which]
+    return f"(({key}::bigint * {m}) % 17001 - 8500) / 100.0::double AS lat, (({key}::bigint * {n}) % 35999 - 17999) / 100.0::double AS lng"
+
+
+def customers(spark, d) -> DataFrame:
+    return points.from_table(table(spark, d, "customer"), *place("c_custkey"), order="c_custkey")
+
+
+def suppliers(spark, d) -> DataFrame:
+    return points.from_table(table(spark, d, "supplier"), *place("s_suppkey", "b"), order="s_suppkey")
+
+
+CUSTOMER = f"(SELECT *, {at('c_custkey')} FROM customer)"
+SUPPLIER = f"(SELECT *, {at('s_suppkey', 'b')} FROM supplier)"
+
+
+def km(a_lat, a_lng, b_lat, b_lng) -> str:
+    """The haversine formula in SQL, in kilometres."""
+    return (
+        f"(2 * asin(least(1.0::double, sqrt(pow(sin((radians({b_lat}) - radians({a_lat})) / 2), 2)"
+        f" + cos(radians({a_lat})) * cos(radians({b_lat})) * pow(sin((radians({b_lng}) - radians({a_lng})) / 2), 2)))) * 6371.0088::double)"
+    )
+
+
+def away(center=DELHI, factor: float = 1.0) -> str:
+    return f"round({km(f'{center[0]}::double', f'{center[1]}::double', 'lat', 'lng')} * {factor}::double, 4)"
+
+
+PAIRS = f"""(SELECT o_orderkey, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2
+FROM orders, LATERAL (SELECT {at("o_custkey")}) a, LATERAL (SELECT {at("o_orderkey", "b")}) b)"""
+BEARING = "round(((degrees(atan2(sin(radians(lng2 - lng1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lng2 - lng1)))) + 360)::double % 360.0::double), 2)"
+
+
+def order_pairs(spark, d) -> DataFrame:
+    (lat1, lng1), (lat2, lng2) = place("o_custkey"), place("o_orderkey", "b")
+    return table(spark, d, "orders").select("o_orderkey", lat1.alias("lat1"), lng1.alias("lng1"), lat2.alias("lat2"), lng2.alias("lng2"))
+
+
+def _distance(unit: str):
+    def run(spark, sf_dir):
+        return order_pairs(spark, sf_dir).select("o_orderkey", geo.distance("lat1", "lng1", "lat2", "lng2", unit).alias("distance"))
+
+    run.__name__ = f"distance_{unit}"
+    return run
+
+
+for _unit, _factor in (("km", 1.0), ("miles", 0.621371), ("mi", 0.621371), ("m", 1000.0), ("ft", 3280.84)):
+    query(f"SELECT o_orderkey, round({km('lat1', 'lng1', 'lat2', 'lng2')} * {_factor}::double, 4) AS distance FROM {PAIRS}")(_distance(_unit))
+
+
+@query(f"SELECT o_orderkey, {BEARING} AS bearing FROM {PAIRS}")
+def bearing_degrees(spark, sf_dir):
+    return order_pairs(spark, sf_dir).select("o_orderkey", geo.bearing("lat1", "lng1", "lat2", "lng2").alias("bearing"))
+
+
+NAMES = ", ".join(f"'{c}'" for c in geo.COMPASS)
+
+
+@query(f"SELECT o_orderkey, list_extract([{NAMES}], (round_even({BEARING} / 22.5::double, 0)::bigint % 16)::int + 1) AS compass FROM {PAIRS}")
+def bearing_compass(spark, sf_dir):
+    return order_pairs(spark, sf_dir).select("o_orderkey", geo.compass(geo.bearing("lat1", "lng1", "lat2", "lng2")).alias("compass"))
+
+
+def ring_sql(source: str, key: str, radius_km: float, n: int) -> str:
+    ang, p, q = f"radians((i % {n}) * 360.0::double / {n})", "radians(lat)", f"({radius_km}::double / 6371.0088::double)"
+    there = f"asin(sin({p}) * cos({q}) + cos({p}) * sin({q}) * cos({ang}))"
+    return f"""SELECT {key}, i::int AS pos, degrees({there}) AS y, degrees(radians(lng) + atan2(sin({ang}) * sin({q}) * cos({p}), cos({q}) - sin({p}) * sin({there}))) AS x
+FROM {source}, range({n + 1}) t(i)"""
+
+
+@query(f"SELECT s_suppkey, pos, round(y, 6) AS lat, round(x, 6) AS lng FROM ({ring_sql(SUPPLIER, 's_suppkey', 500 * 1.60934, 64)})")
+def buffer_ring(spark, sf_dir):
+    rings = suppliers(spark, sf_dir).select("s_suppkey", F.posexplode(geo.buffer_ring("_lat", "_lng", 500.0, "miles")).alias("pos", "p"))
+    return rings.select("s_suppkey", "pos", F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))
+
+
+#: A square with corners on derived coordinates' grid, so that points on its sides occur.
+SQUARE = [[-60.0, -40.0], [70.0, -40.0], [70.0, 50.0], [-60.0, 50.0]]
+STAR = [[0.0, 60.0], [25.0, 20.0], [80.0, 10.0], [30.0, -10.0], [40.0, -60.0], [0.0, -20.0], [-40.0, -60.0], [-30.0, -10.0], [-80.0, 10.0], [-25.0, 20.0], [0.0, 60.0]]
+
+
+def inside_sql(ring: list) -> str:
+    """Even-odd rule over the ring's edges, the one from the last point to the first included."""
+    tests = []
+    for (bx, by), (ax, ay) in zip([ring[-1], *ring[:-1]], ring):
+        if ay != by:
+            tests.append(f"(CASE WHEN ({ay}::double > lat) <> ({by}::double > lat) AND lng < ({bx}::double - {ax}::double) * (lat - {ay}::double) / ({by}::double - {ay}::double) + {ax}::double THEN 1 ELSE 0 END)")
+    return f"({' + '.join(tests)}) % 2 = 1"
+
+
+@query(f"SELECT c_custkey, {inside_sql(STAR)} AS inside FROM {CUSTOMER}")
+def point_in_zone_literal(spark, sf_dir):
+    return customers(spark, sf_dir).select("c_custkey", geo.in_ring("_lat", "_lng", geo.literal_ring(STAR)).alias("inside"))
+
+
+@query(f"SELECT c_custkey FROM {CUSTOMER} WHERE {inside_sql([*SQUARE, SQUARE[0]])}")
+def point_in_polygon_feature(spark, sf_dir):
+    zone = {"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [[*SQUARE, SQUARE[0]], [[0, 0], [1, 0], [1, 1], [0, 0]]]}}
+    return filters.in_zone(customers(spark, sf_dir), zone).select("c_custkey")
+
+
+@query(f"SELECT c_custkey, {inside_sql(SQUARE)} AS inside FROM {CUSTOMER}")
+def point_in_unclosed_ring(spark, sf_dir):
+    return customers(spark, sf_dir).select("c_custkey", geo.in_ring("_lat", "_lng", geo.literal_ring(SQUARE)).alias("inside"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE lower(trim(c_mktsegment)) = 'building'")
+def filter_property(spark, sf_dir):
+    df = customers(spark, sf_dir)
+    return df.where(filters.equals(df, "c_mktsegment", "BUILDING")).select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE lower(trim(o_orderpriority)) = '1-urgent'")
+def filter_property_case(spark, sf_dir):
+    df = points.from_table(table(spark, sf_dir, "orders"), *place("o_orderkey", "b"), order="o_orderkey")
+    return df.where(filters.equals(df, "o_orderpriority", "  1-Urgent ")).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE coalesce(CASE WHEN o_orderstatus = 'O' THEN NULL ELSE lower(o_orderstatus) END, '') = ''")
+def filter_missing_as_blank(spark, sf_dir):
+    base = table(spark, sf_dir, "orders").withColumn("status", F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")))
+    df = points.from_table(base, *place("o_orderkey", "b"), order="o_orderkey")
+    return df.where(filters.equals(df, "status", "")).select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'machinery' AND c_nationkey = 7")
+def filter_chained(spark, sf_dir):
+    df = customers(spark, sf_dir)
+    df = df.where(filters.equals(df, "c_mktsegment", "machinery"))
+    return df.where(filters.equals(df, "c_nationkey", 7)).select("c_custkey")
+
+
+@query(f"SELECT c_custkey, d AS _distance FROM (SELECT c_custkey, {away()} AS d FROM {CUSTOMER}) WHERE d <= 3000")
+def radius_filter(spark, sf_dir):
+    return filters.within_radius(customers(spark, sf_dir), DELHI, 3000.0, ordered=False).select("c_custkey", "_distance")
+
+
+@query(f"SELECT c_custkey, d AS _distance FROM (SELECT c_custkey, {away(factor=3280.84)} AS d FROM {CUSTOMER}) WHERE d <= 9000000")
+def radius_filter_ft(spark, sf_dir):
+    return filters.within_radius(customers(spark, sf_dir), DELHI, 9_000_000.0, "ft", ordered=False).select("c_custkey", "_distance")
+
+
+FAR_EAST = (-17.5, 179.2)
+
+
+@query(f"SELECT c_custkey, d AS _distance FROM (SELECT c_custkey, {away(FAR_EAST)} AS d FROM {CUSTOMER}) WHERE d <= 2500")
+def radius_over_antimeridian(spark, sf_dir):
+    return filters.within_radius(customers(spark, sf_dir), FAR_EAST, 2500.0, ordered=False).select("c_custkey", "_distance")
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.orderBy("_distance", "_ord")))
+
+
+@query(f"SELECT c_custkey, c_name, lat, lng, d AS _distance, row_number() OVER (ORDER BY d, c_custkey)::int AS rank FROM (SELECT *, {away()} AS d FROM {CUSTOMER}) WHERE d <= 3000")
+def radius_ranked(spark, sf_dir):
+    df = filters.within_radius(customers(spark, sf_dir), DELHI, 3000.0)
+    return _ranked(df).select("c_custkey", "c_name", F.col("_lat").alias("lat"), F.col("_lng").alias("lng"), "_distance", "rank")
+
+
+@query(f"SELECT c_custkey, e AS _distance FROM (SELECT c_custkey, {away()} AS d, {away(PUNE)} AS e FROM {CUSTOMER}) WHERE d <= 4000 AND e <= 3500")
+def radius_chained_overwrite(spark, sf_dir):
+    df = filters.within_radius(customers(spark, sf_dir), DELHI, 4000.0, ordered=False)
+    return filters.within_radius(df, PUNE, 3500.0, ordered=False).select("c_custkey", "_distance")
+
+
+@query(f"SELECT c_custkey, {away()} AS _distance FROM {CUSTOMER} ORDER BY 2, 1 LIMIT 1")
+def nearest_point(spark, sf_dir):
+    return filters.nearest(customers(spark, sf_dir), DELHI).select("c_custkey", "_distance")
+
+
+@query(f"SELECT c_custkey, d AS _distance, i FROM (SELECT c_custkey, {away(factor=0.621371)} AS d, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM {CUSTOMER} WHERE lower(c_mktsegment) = 'building') ORDER BY d, c_custkey LIMIT 1")
+def nearest_index_after_filter(spark, sf_dir):
+    df = customers(spark, sf_dir)
+    df = df.where(filters.equals(df, "c_mktsegment", "building"))
+    best = filters.nearest(df, DELHI, "miles").select("c_custkey", "_distance", F.col("_ord").alias("_best"))
+    before = df.join(F.broadcast(best), F.col("_ord") < F.col("_best")).agg(F.count("*").alias("i"))
+    return best.drop("_best").join(before)
+
+
+@query(f"SELECT min(lat) AS min_lat, max(lat) AS max_lat, min(lng) AS min_lng, max(lng) AS max_lng FROM {CUSTOMER}")
+def bounds(spark, sf_dir):
+    return filters.bounds(customers(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n FROM customer")
+def feature_count(spark, sf_dir):
+    return customers(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM {SUPPLIER}")
+def centroid(spark, sf_dir):
+    return filters.centroid(suppliers(spark, sf_dir)).select(F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+@query(f"SELECT c_custkey, lat, lng, c_acctbal / greatest(1.0::double, max(c_acctbal) OVER ()) AS intensity FROM {CUSTOMER}")
+def heat_points(spark, sf_dir):
+    return filters.intensities(customers(spark, sf_dir), "c_acctbal").select(F.col("_ord").alias("c_custkey"), "lat", "lng", "intensity")
+
+
+@query(f"SELECT c_custkey, lat, lng, 1.0::double AS intensity FROM {CUSTOMER}")
+def heat_points_no_column(spark, sf_dir):
+    return filters.intensities(customers(spark, sf_dir)).select(F.col("_ord").alias("c_custkey"), "lat", "lng", "intensity")
+
+
+LINE = "l_extendedprice / 500.0::double - 40.0::double AS lat, l_quantity * 10.0::double - 200.0::double AS lng"
+
+
+@query(f"SELECT ok, count(*) AS n FROM (SELECT lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180 AS ok FROM (SELECT {LINE} FROM lineitem)) GROUP BY ok")
+def validate_coords(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 500.0 - 40.0).alias("lat"), (F.col("l_quantity") * 10.0 - 200.0).alias("lng"))
+    return df.groupBy(geo.is_valid("lat", "lng").alias("ok")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, value AS number FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
+def parse_float_skip(spark, sf_dir):
+    raw = F.col("value").cast("string")
+    k = F.col("event_id")
+    text = F.when(k % 5 == 0, "").when(k % 7 == 0, "abc").when(k % 11 == 0, F.concat(F.lit(" "), raw, F.lit("\t"))).otherwise(raw)
+    return table(spark, sf_dir, "events").select("event_id", points.parse_float(text).alias("number")).where("number is not null")
+
+
+@query("SELECT * FROM (VALUES ('LAT', 'Long'), ('y', 'x'), ('Latitude', 'lng')) t(lat_name, lng_name)")
+def detect_columns(spark, sf_dir):
+    headers = (["id", "Long", "LAT"], ["x", "y", "name"], ["lat", "Latitude", "lon", "lng"])
+    return spark.createDataFrame([points.detect_columns(h) for h in headers], "lat_name string, lng_name string")
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT c_custkey::varchar AS c_custkey, c_name, c_mktsegment, lat, lng FROM {CUSTOMER}")
+def csv_roundtrip(spark, sf_dir):
+    out = _scratch(spark, "csv") + ".csv"
+    df = customers(spark, sf_dir).select(F.col("_lat").alias("latitude"), F.col("_lng").alias("longitude"), "c_custkey", "c_name", "c_mktsegment")
+    df.write.option("header", True).option("escape", '"').csv(out)
+    return points.read_points(spark, out).select("c_custkey", "c_name", "c_mktsegment", F.col("_lat").alias("lat"), F.col("_lng").alias("lng"))
+
+
+@query(f"SELECT c_custkey::varchar AS c_custkey, c_name, lat, lng, 'Point' AS geometry_type FROM {CUSTOMER}")
+def geojson_roundtrip(spark, sf_dir):
+    out = _scratch(spark, "geojson") + ".geojson"
+    df = customers(spark, sf_dir)
+    place_ = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("_lng", "_lat").alias("coordinates")))
+    sinks.write_lines(df.select(place_.alias("geometry_json"), F.to_json(F.struct("c_custkey", "c_name")).alias("properties_json")), out)
+    # the lines of each of eight parts make one document
+    lines = spark.read.text(out).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(8)))
+    doc = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}"))
+    whole = _scratch(spark, "geojson-docs") + ".geojson"
+    lines.groupBy("part").agg(doc.alias("value")).write.partitionBy("part").text(whole)
+    found = points.read_points(spark, whole)
+    return found.select(F.col("properties")["c_custkey"].alias("c_custkey"), F.col("properties")["c_name"].alias("c_name"), F.col("_lat").alias("lat"), F.col("_lng").alias("lng"), "geometry_type")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0")
+def marker_rows(spark, sf_dir):
+    lat, lng = place("o_orderkey", "b")
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "LineString").otherwise("Point")
+    df = points.from_table(table(spark, sf_dir, "orders"), lat, lng, order="o_orderkey").withColumn("geometry_type", kind)
+    return df.where("geometry_type = 'Point'").select("o_orderkey", "o_orderstatus")
+
+
+def _named(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select("_ord", "_lat", "_lng", *cols)
+
+
+@query(f"SELECT c_custkey, s_suppkey, d AS _distance FROM (SELECT c_custkey, s_suppkey, round({km('c.lat', 'c.lng', 's.lat', 's.lng')}, 4) AS d FROM {CUSTOMER} c, {SUPPLIER} s) WHERE d <= 800")
+def radius_join(spark, sf_dir):
+    return joins.radius_join(_named(customers(spark, sf_dir), "c_custkey"), _named(suppliers(spark, sf_dir), "s_suppkey"), 800.0).select("c_custkey", "s_suppkey", "_distance")
+
+
+@query(f"SELECT c_custkey FROM {CUSTOMER} c WHERE NOT EXISTS (SELECT 1 FROM {SUPPLIER} s WHERE round({km('c.lat', 'c.lng', 's.lat', 's.lng')} * 0.621371::double, 4) <= 900)")
+def radius_anti_join(spark, sf_dir):
+    return joins.radius_join(_named(customers(spark, sf_dir), "c_custkey"), _named(suppliers(spark, sf_dir), "s_suppkey"), 900.0, "miles", "left_anti").select("c_custkey")
+
+
+ZONES = ring_sql(SUPPLIER, "s_suppkey", 1500.0, 24)
+IN_ZONE = f"""SELECT c_custkey, s_suppkey FROM {CUSTOMER} c, (SELECT s_suppkey, x AS ax, y AS ay, lag(x) OVER w AS bx, lag(y) OVER w AS "by" FROM ({ZONES}) WINDOW w AS (PARTITION BY s_suppkey ORDER BY pos)) e
+WHERE (ay > lat) <> ("by" > lat) AND lng < (bx - ax) * (lat - ay) / nullif("by" - ay, 0) + ax GROUP BY c_custkey, s_suppkey HAVING count(*) % 2 = 1"""
+
+
+def zones(spark, d) -> DataFrame:
+    return suppliers(spark, d).select("s_suppkey", geo.buffer_ring("_lat", "_lng", 1500.0, num_points=24).alias("ring"))
+
+
+@query(IN_ZONE)
+def zone_join(spark, sf_dir):
+    return joins.zone_join(_named(customers(spark, sf_dir), "c_custkey"), zones(spark, sf_dir)).select("c_custkey", "s_suppkey")
+
+
+@query(f"SELECT s_suppkey, count(*) AS n_points FROM ({IN_ZONE}) GROUP BY s_suppkey")
+def zone_counts(spark, sf_dir):
+    return joins.zone_counts(_named(customers(spark, sf_dir), "c_custkey"), zones(spark, sf_dir), "s_suppkey")
+
+
+@query(f"SELECT * FROM (SELECT c_custkey, s_suppkey, d AS _distance, row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey)::int AS rank FROM (SELECT c_custkey, s_suppkey, round({km('c.lat', 'c.lng', 's.lat', 's.lng')}, 4) AS d FROM {CUSTOMER} c, {SUPPLIER} s)) WHERE rank <= 3")
+def knn_join(spark, sf_dir):
+    return joins.knn_join(customers(spark, sf_dir), "c_custkey", suppliers(spark, sf_dir), "s_suppkey", 3)
+
+
+@query(f"SELECT o_orderkey, round({km('lat1', 'lng1', 'lat2', 'lng2')}, 4) AS km, {BEARING} AS deg FROM {PAIRS}")
+def sql_functions(spark, sf_dir):
+    geo.register(spark)
+    order_pairs(spark, sf_dir).createOrReplaceTempView("geo_order_pairs")
+    return spark.sql("SELECT o_orderkey, geo_distance_km(lat1, lng1, lat2, lng2) AS km, geo_bearing(lat1, lng1, lat2, lng2) AS deg FROM geo_order_pairs")
+
+
+def _event_stream(spark, d) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    return points.from_table(raw, *place("user_id", "b"))
+
+
+def _ran(spark, df: DataFrame, name: str) -> DataFrame:
+    out = _scratch(spark, name)
+    write_parquet(df, out, f"{out}-state").awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(f"SELECT event_id, d AS _distance FROM (SELECT event_id, {away()} AS d FROM (SELECT event_id, {at('user_id', 'b')} FROM events)) WHERE d <= 5000")
+def stream_radius(spark, sf_dir):
+    near = stream_within_radius(_event_stream(spark, sf_dir), DELHI, 5000.0)
+    return _ran(spark, near.select("event_id", "_distance"), "stream-radius")
+
+
+@query(None)
+def stream_cells(spark, sf_dir):
+    df = _event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    return _ran(spark, stream_cell_counts(df, "at", "1 day", "1 hour", 30.0), "stream-cells")
+
+
+@query(None)
+def scalar_geometry(spark, sf_dir):
+    """The single-point functions: no table, so the values stand in the tests."""
+    a, b = checked_point(DELHI), checked_point((19.0760, 72.8777))
+    zone = scalar.buffer(a, 10, "miles")
+    return spark.createDataFrame([(scalar.distance(a, b), scalar.bearing(a, b), scalar.bearing(a, b, True), len(zone["coordinates"][0]), scalar.point_in_polygon(a, zone))], "km double, compass string, degrees double, ring_points int, inside boolean")
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
