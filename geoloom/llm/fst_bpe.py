@@ -13,11 +13,13 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 from collections import Counter
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,11 @@ from .token_frames import byte_chars, open_fs
 #: Words of the lexicon, a bound on what the driver compiles; only speed depends on it.
 LEXICON = 65_536
 LONGEST = 48
-#: Entries of a worker's caches of words; only speed depends on it.
-CACHE = 700_000
-PIECES = 200_000
+#: Entries of a worker's caches of words; only speed and memory depend on them.
+CACHE = 600_000
+PIECES = 50_000
+#: Characters that are encoded together, and rows that are taken from a batch at once.
+GROUP, ROWS = 2_000_000, 512
 
 
 # --- the automaton -------------------------------------------------------------------------------------------------
@@ -158,10 +162,12 @@ class Codec:
         self.table = dict(enumerate(byte_chars()))
         self.lexicon = lexicon
         self.pieces: dict[str, list[int]] = {}
-        self.spaced = {i: x.encode() + b" " for i, x in self.name.items()}
-        self.decimal = {i: b"%d " % i for i in self.name}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.mark = {c: self._bytes(self._piece(c)) for c in ".,"}
+        ids = range(max(self.name) + 1)
+        self.names = pa.array([self.name.get(i, "") for i in ids], pa.large_string())
+        self.decimals = pa.array(map(str, ids), pa.large_string())
+        #: The ids of words, as unsigned 32-bit integers.
+        self.words: dict[str, bytes] = {}
+        self.mark = {c: array("I", self._piece(c)).tobytes() for c in ".,"}
 
     def merge(self, piece: str) -> list[int]:
         """The ids of one byte-mapped word, merged by the rank of its pairs (the library's merge, without its cache)."""
@@ -186,72 +192,81 @@ class Codec:
         pieces = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(word))
         return [i for p, _ in pieces for i in self._piece(p)]
 
-    def _bytes(self, ids: list[int]) -> tuple[bytes, bytes]:
-        a, b = self.decimal, self.spaced
-        return b"".join([a[i] for i in ids]), b"".join([b[i] for i in ids])
-
-    def _plain(self, word: str) -> tuple[bytes, bytes]:
-        """Of letters alone: upper and lower case, with and without a mark behind, share one entry."""
-        low = word.lower()
-        got = self.words.get(low)
-        if got is None:
-            got = self.words[low] = self._bytes(self.merge(low if low.isascii() else low.encode().decode("latin-1").translate(self.table)))
-        return got
+    def base(self, word: str) -> tuple[str, str]:
+        """(what the lexicon and the cache know a word by, the mark behind it): letters alone count in lower case."""
+        if self.PLAIN.fullmatch(word):
+            return word.lower(), ""
+        if word[-1] in ".," and self.PLAIN.fullmatch(word, 0, len(word) - 1):
+            return word[:-1].lower(), word[-1]
+        return word, ""
 
     def _learn(self, words: list[str]) -> None:
+        """Puts base words into the cache: from the lexicon, the others by merging."""
         found = self.lexicon.find([w.encode() for w in words]).tolist() if self.lexicon else [-1] * len(words)
-        known, plain, later = self.words, self.PLAIN.fullmatch, []
+        known, plain, merge = self.words, self.PLAIN.fullmatch, self.lib.model.tokenize
         for w, at in zip(words, found):
             if at >= 0:
-                known[w] = self._bytes(self.lexicon.ids_of(at))
-            else:
-                later.append(w)
-        for w in later:
-            if plain(w):
-                known[w] = self._plain(w)
-            elif w[-1] in ".," and plain(w, 0, len(w) - 1):
-                a, b = self._plain(w[:-1])
-                x, y = self.mark[w[-1]]
-                known[w] = (a + x, b + y)
+                ids = self.lexicon.ids_of(at)
+            elif w.isascii() and w.isalpha():
+                ids = [t.id for t in merge(w)]
+            elif plain(w):
+                ids = [t.id for t in merge(w.encode().decode("latin-1").translate(self.table))]
             else:
-                known[w] = self._bytes(self.word_ids(w))
+                ids = self.word_ids(w)
+            known[w] = array("I", ids).tobytes()
+
+    def _add(self, words: set[str]) -> None:
+        """Puts words and their base words into the cache."""
+        known, mark = self.words, self.mark
+        bases = dict(zip(words, map(self.base, words)))
+        self._learn(list({b for b, _ in bases.values()} - known.keys()))
+        for w, (b, m) in bases.items():
+            if m:
+                known[w] = known[b] + mark[m]
+            elif w != b:
+                known[w] = known[b]
 
     def whole(self, text: str) -> bool:
         return any(s in text for s in self.special) or self.ODD.search(text) is not None
 
-    def strings(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(decimal ids joined by spaces, decoded text in UTF-8) of each text."""
-        out: list = [None] * len(texts)
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as unsigned 32-bit integers."""
+        out: list = [b""] * len(texts)
         at = size = 0
         for i, t in enumerate(texts):
             size += len(t)
-            if size > 2_000_000 or i == len(texts) - 1:
-                self._strings(texts, out, at, i + 1)
+            if size > GROUP or i == len(texts) - 1:
+                self._encode(texts, out, at, i + 1)
                 at, size = i + 1, 0
         return out
 
-    def _strings(self, texts, out, start, end) -> None:
-        split, wanted = [], set()
+    def _encode(self, texts, out, start, end) -> None:
+        if len(self.words) > CACHE:
+            self.words.clear()
+        get, later, missing = self.words.get, [], set()
         for i in range(start, end):
             if self.whole(texts[i]):
-                ids = self.lib.encode(texts[i], add_special_tokens=False).ids
-                out[i] = (b" ".join([b"%d" % x for x in ids]), self.decode(ids).encode())
+                out[i] = array("I", self.lib.encode(texts[i], add_special_tokens=False).ids).tobytes()
+                continue
+            words = texts[i].split()
+            ids = list(map(get, words))
+            if None in ids:
+                missing.update([w for w, x in zip(words, ids) if x is None])
+                later.append((i, words))
             else:
-                words = texts[i].split()
-                split.append((i, words))
-                wanted.update(words)
-        missing = wanted - self.words.keys()
-        if len(self.words) + len(missing) > CACHE:
-            self.words.clear()
-            missing = wanted
-        self._learn(list(missing))
-        get = self.words.__getitem__
-        for i, words in split:
-            pairs = list(map(get, words))
-            out[i] = (b"".join([x for x, _ in pairs])[:-1], b"".join([y for _, y in pairs])[:-1])
+                out[i] = b"".join(ids)
+        self._add(missing)
+        for i, words in later:
+            out[i] = b"".join(map(get, words))
+
+    def joined(self, ids: list[bytes], tokens: bool) -> pa.Array:
+        """For each text's ids, in UTF-8 and joined by spaces: the tokens (that is the decoded text), else the decimal ids."""
+        ends = (np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4).astype(np.int32)  # a text has less than 2 GB
+        flat = pa.array(np.frombuffer(b"".join(ids), np.uint32))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), (self.names if tokens else self.decimals).take(flat)), pa.scalar(" ", pa.large_string()))
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for x in self.strings([text or ""])[0][0].split()]
+        return list(array("I", self.encoded([text or ""])[0]))
 
     def decode(self, ids: list[int]) -> str:
         """As decode(ids, skip_special_tokens=False): unknown ids are passed over."""
@@ -261,27 +276,36 @@ class Codec:
 # --- frames --------------------------------------------------------------------------------------------------------
 
 
-def _count(batches):
-    words: Counter = Counter()
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            if t:
-                words.update(t.split())
-        if len(words) > 300_000:
-            yield _counted(words)
-            words = Counter()
-    if words:
-        yield _counted(words)
+def _count(tokenizer: str):
+    def run(batches):
+        base = Codec(tokenizer).base
+        words: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            own: Counter = Counter()
+            for w, n in words.items():
+                b = base(w)[0]
+                if len(b) <= LONGEST:
+                    own[b] += n
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
 
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                for t in b.column(0).slice(at, ROWS).to_pylist():
+                    if t:
+                        words.update(t.split())
+                if len(words) > 300_000:
+                    yield counted()
+        if words:
+            yield counted()
 
-def _counted(words: Counter) -> pa.RecordBatch:
-    own = [(w, n) for w, n in words.items() if len(w) <= LONGEST]
-    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], names=["word", "n"])
+    return run
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: int = LEXICON) -> str:
     """Counts the words of all documents, compiles the ``size`` most frequent ones and writes the file; its place."""
-    counted = map_arrow(docs.select(F.col(text).cast("string").alias("text")), _count, "word string, n long")
+    counted = map_arrow(docs.select(F.col(text).cast("string").alias("text")), _count(tokenizer), "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     words = sorted(r["word"].encode() for r in top.select("word").toLocalIterator())
     codec = Codec(tokenizer)
@@ -313,21 +337,29 @@ def _digests(tokenizer: str, lexicon: str):
         c = codec(tokenizer, lexicon)
         for b in batches:
             rows = ([], [], [])
-            for ids, text in c.strings(["" if t is None else t for t in b.column("text").to_pylist()]):
-                rows[0].append(ids.count(b" ") + (ids != b""))
-                rows[1].append(hashlib.sha256(ids).hexdigest())
-                rows[2].append(hashlib.sha256(text).hexdigest())
+            for ids in _batch_ids(c, b):
+                rows[0].extend(len(x) // 4 for x in ids)
+                for to, tokens in ((rows[1], False), (rows[2], True)):
+                    to.extend(hashlib.sha256(x.as_buffer()).hexdigest() for x in c.joined(ids, tokens))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
+def _batch_ids(c: Codec, b: pa.RecordBatch):
+    for at in range(0, b.num_rows, ROWS):
+        yield c.encoded(["" if t is None else t for t in b.column("text").slice(at, ROWS).to_pylist()])
+
+
 def _encoded(tokenizer: str, lexicon: str):
     def run(batches):
         c = codec(tokenizer, lexicon)
         for b in batches:
-            got = c.strings(["" if t is None else t for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([[int(x) for x in ids.split()] for ids, _ in got], pa.list_(pa.int32())), pa.array([t.decode() for _, t in got], pa.string())], names=["doc_id", "ids", "decoded"])
+            at = 0
+            for ids in _batch_ids(c, b):
+                lists = [np.frombuffer(x, np.uint32).astype(np.int32) for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(ids)), pa.array(lists, pa.list_(pa.int32())), c.joined(ids, True).cast(pa.string())], names=["doc_id", "ids", "decoded"])
+                at += len(ids)
 
     return run
 
