@@ -27,18 +27,42 @@ LEAST_DOCS = 4
 THRESHOLD = 0.3
 #: A general lexicon of insults, one voter.
 SEEDS = frozenset(
-    b"idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass loser losers pathetic worthless scum trash garbage clown clowns disgusting imbecile retard retarded filth filthy vermin pig bastard bitch crap damn hate ugly fool fools foolish jerk creep freak psycho scumbag lowlife degenerate shut kill die".split()
+    b"idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass loser losers pathetic worthless scum trash garbage clown clowns disgusting imbecile retard retarded filth filthy vermin pig bastard bitch crap damn hate ugly fool fools foolish jerk creep freak psycho scumbag lowlife degenerate shut kill".split()
 )
 #: Lower case, and ASCII punctuation as spaces, byte by byte.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 PATTERNS = (re.compile(rb"[!?]{3,}"), re.compile(rb"\b[A-Z]{4,}\b[^a-z]{0,3}\b[A-Z]{4,}\b"), re.compile(rb"[A-Za-z][*@#$]+[A-Za-z]"), re.compile(rb"\b[Yy]ou(?: are|'re)\b"))
 
 
+#: Bytes of the stems of words.
+STEMS = (4, 5, 6)
+
+
+def stems(word: bytes) -> list[bytes]:
+    """Beginnings of a word that is longer, marked by a tilde."""
+    return [b"~" + word[:k] for k in STEMS if len(word) > max(k, 4)]
+
+
 def token_set(text: bytes) -> set[bytes]:
-    """Distinct words, and their stems: beginnings of four to six bytes, marked by a tilde."""
+    """Distinct words, their stems, and, marked by two tildes, the stems that several of the words share."""
     own = set(text.translate(PLAIN).split())
-    long = [w for w in own if len(w) > 4]
-    return own.union([b"~" + w[:4] for w in long], [b"~" + w[:5] for w in long], [b"~" + w[:6] for w in long if len(w) > 6])
+    out = set(own)
+    for k in STEMS:
+        cut_ = [w[:k] for w in own if len(w) > max(k, 4)]
+        once = set(cut_)
+        out.update([b"~" + w for w in once])
+        if len(once) < len(cut_):
+            out.update([b"~~" + w for w, n in Counter(cut_).items() if n > 1])
+    return out
+
+
+def word_hits(own: set[bytes], lexicon: frozenset) -> int:
+    """How many distinct words are in the lexicon, themselves, by a stem, or by one that several of them share."""
+    active = lexicon & own
+    if not active:
+        return 0
+    known = {t[1:] if t.startswith(b"~~") else t for t in active}
+    return sum(w in known or not known.isdisjoint(stems(w)) for w in own if not w.startswith(b"~"))
 
 
 def flags(text: bytes) -> int:
@@ -49,11 +73,17 @@ def log_odds(p):
     return np.log(p) - np.log1p(-p)
 
 
+def general_votes(own: set[bytes], lexicon: frozenset, f: int) -> list[bool]:
+    """Votes of: a seed, one lexicon word, two, three, each pattern."""
+    hits = word_hits(own, lexicon)
+    return [not SEEDS.isdisjoint(own), hits > 0, hits > 1, hits > 2, *(bool(f >> i & 1) for i in range(len(PATTERNS)))]
+
+
 @dataclass
 class Model:
     lexicon: frozenset
     weights: dict
-    voters: list  # weights of: a seed, a lexicon word, two lexicon words, each pattern
+    voters: list  # weights of the general votes
     bias: float
     accuracies: dict
     groups: list
@@ -61,8 +91,7 @@ class Model:
     def score(self, text: bytes) -> float:
         own = token_set(text)
         z = self.bias + sum(map(self.weights.__getitem__, self.weights.keys() & own))
-        hits, f = len(self.lexicon & own), flags(text)
-        on = [not SEEDS.isdisjoint(own), hits > 0, hits > 1, *(f >> i & 1 for i in range(len(PATTERNS)))]
+        on = general_votes(own, self.lexicon, flags(text))
         z += sum(w for w, x in zip(self.voters, on) if x)
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
@@ -134,44 +163,25 @@ def logistic(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, rounds: int =
     return w
 
 
-def fit(sample: list[tuple[int, bytes, int]]) -> Model:
-    """``sample``: (label, distinct tokens joined by spaces, pattern flags) of the training rows."""
-    if not sample:
-        return Model(frozenset(), {}, [4.0, 0.0, 0.0, *[0.0] * len(PATTERNS)], -3.0, {}, [])
-    y = np.array([s[0] for s in sample], float)
-    n, pos = len(y), float(y.sum())
-    df, df1 = Counter(), Counter()
-    for label, words, _ in sample:
-        own = words.split()
-        df.update(own)
-        if label:
-            df1.update(own)
-    lift = []
-    for w, k in df.items():
-        if k >= LEAST_DOCS:
-            a, b = df1[w], k - df1[w]
-            gap = np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (n - pos + 1))
-            lift.append((gap * np.sqrt(k), gap, w))
-    lift.sort(key=lambda x: (-abs(x[0]), x[2]))
-    lexicon = [w for s, g, w in lift if g > 2][:LEXICON]
-    features = [w for _, _, w in lift[:FEATURES]]
-    at, lex = {w: i for i, w in enumerate(features)}, {w: i for i, w in enumerate(lexicon)}
-    x = np.zeros((n, len(features) + 3 + len(PATTERNS)))
-    votes = np.zeros((n, len(lexicon) + 4 + len(PATTERNS)), np.int8)
-    for i, (label, words, f) in enumerate(sample):
-        own = set(words.split())
-        mine = [lex[w] for w in lex.keys() & own]
+def fit(lexicon: list[bytes], features: list[bytes], rows: list[tuple]) -> Model:
+    """``rows``: (label, places of the features it has, places of the lexicon's, general votes) of the training rows."""
+    general = 4 + len(PATTERNS)
+    if not rows:
+        return Model(frozenset(), {}, [4.0, *[0.0] * (general - 1)], -3.0, {}, [])
+    n, pos = len(rows), sum(r[0] for r in rows)
+    x = np.zeros((n, len(features) + general))
+    votes = np.zeros((n, len(lexicon) + general + 1), np.int8)
+    for i, (label, has, mine, on) in enumerate(rows):
+        x[i, has] = 1
+        x[i, len(features) :] = on
         votes[i, mine] = 1
-        on = [not SEEDS.isdisjoint(own), len(mine) > 0, len(mine) > 1, *(bool(f >> k & 1) for k in range(len(PATTERNS)))]
-        votes[i, len(lexicon) : len(lexicon) + len(on)] = on
-        if not mine and not on[0]:
+        votes[i, len(lexicon) : -1] = on
+        if not any(on[:2]):
             votes[i, len(lexicon)] = -1
         votes[i, -1] = 1 if label else -1  # the label itself is one more voter
-        x[i, [at[w] for w in at.keys() & own]] = 1
-        x[i, len(features) :] = on
     q, acc, groups = label_model(votes, np.clip(pos / n, 0.01, 0.99))
     w = logistic(x, q)
-    names = [*(x.decode("utf-8", "replace") for x in lexicon), "seed", "one", "two", *(f"pattern {k}" for k in range(len(PATTERNS))), "label"]
+    names = [*(t.decode("utf-8", "replace") for t in lexicon), "seed", "one", "two", "three", *(f"pattern {k}" for k in range(len(PATTERNS))), "label"]
     return Model(frozenset(lexicon), dict(zip(features, w[: len(features)].tolist())), w[len(features) : -1].tolist(), float(w[-1]), {k: a.tolist() for k, a in zip(names, acc)}, groups)
 
 
@@ -181,9 +191,39 @@ def held_out(doc_id):
 
 
 def _tokens(batches):
+    """Documents of a batch that have a token, and those of them that are labelled toxic."""
     for b in batches:
-        texts = binary_list(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([b" ".join(sorted(token_set(t))) for t in texts], pa.binary()), pa.array([flags(t) for t in texts], pa.int32())], names=["y", "words", "flags"])
+        every, toxic = Counter(), Counter()
+        for y, t in zip(b.column("y").to_pylist(), binary_list(b.column("text"))):
+            own = token_set(t)
+            every.update(own)
+            if y:
+                toxic.update(own)
+        yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[w] for w in every], pa.int64())], names=["token", "k", "k1"])
+
+
+def _votes(lexicon: list[bytes], features: list[bytes]):
+    def run(batches):
+        mined, at, lex = frozenset(lexicon), {w: i for i, w in enumerate(features)}, {w: i for i, w in enumerate(lexicon)}
+        for b in batches:
+            rows = []
+            for t in binary_list(b.column("text")):
+                own = token_set(t)
+                rows.append((sorted(at[w] for w in at.keys() & own), sorted(lex[w] for w in mined & own), general_votes(own, mined, flags(t))))
+            lists = [pa.array([r[i] for r in rows], pa.list_(k)) for i, k in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("h"), *lists], names=["y", "h", "has", "mine", "votes"])
+
+    return run
+
+
+def pick_tokens(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """(lexicon, features) of ``sample(y, text)``: the tokens whose share among toxic documents differs most from that among clean ones."""
+    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
+    counts = map_arrow(sample.select("y", "text"), _tokens, "token binary, k long, k1 long").groupBy("token").agg(F.sum("k").alias("k"), F.sum("k1").alias("k1")).where(F.col("k") >= LEAST_DOCS)
+    gap = F.log((F.col("k1") + 0.5) / (total["pos"] + 1.0)) - F.log((F.col("k") - F.col("k1") + 0.5) / (total["n"] - total["pos"] + 1.0))
+    ranked = cut(counts.select("token", F.round(gap, 9).alias("gap"), F.round(F.abs(gap) * F.sqrt("k"), 9).alias("lift")))
+    lexicon, features = (df.orderBy(F.desc("lift"), "token").limit(most).collect() for df, most in ((ranked.where("gap > 2"), LEXICON), (ranked, FEATURES)))
+    return [bytes(r["token"]) for r in lexicon], [bytes(r["token"]) for r in features]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
@@ -193,9 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     slim = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("text"))
     ids = slim.select("i").distinct().join(known, F.expr("i = _gl_id")).select("_gl_id", "y")
     chosen = cut(ids.orderBy(F.xxhash64("_gl_id"), "_gl_id").limit(rows))
-    mine = slim.join(F.broadcast(chosen), F.expr("i = _gl_id")).select("y", "text", F.xxhash64("i", "text").alias("h"))
-    got = map_arrow(mine.select("y", "text", "h"), _tokens, "y int, words binary, flags int").limit(2 * rows).toPandas()
-    return fit(sorted(zip(got["y"].tolist(), map(bytes, got["words"]), got["flags"].tolist())))
+    mine = cut(slim.join(F.broadcast(chosen), F.expr("i = _gl_id")).select("y", "text", F.xxhash64("i", "text").alias("h")))
+    lexicon, features = pick_tokens(mine)
+    got = map_arrow(mine, _votes(lexicon, features), "y int, h long, has array<int>, mine array<int>, votes array<boolean>").collect()
+    return fit(lexicon, features, [(r["y"], r["has"], r["mine"], r["votes"]) for r in sorted(got, key=lambda r: (r["h"], r["y"]))])
 
 
 def _score(model: Model):
