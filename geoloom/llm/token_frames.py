@@ -59,36 +59,55 @@ class ChunkEncoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.bytes = dict(enumerate(byte_chars()))
-        self.mark = {c: self._whole(c) for c in ".,"}
+        self.model = self.lib.model.tokenize
+        self.mark = {c: self._whole(c) for c in ".,\n"}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def unsafe(self, t: str) -> bool:
+        """Whether white space stands on both sides of a space, or next to one at the beginning; most texts only need counting."""
+        return len(t.split()) != t.count(" ") + t.count("\n") + 1 and self.UNSAFE.search(t) is not None
+
+    def _letters(self, word: str, before: str = "Ġ") -> bytes:
+        """Of letters alone, after a space or after nothing: one word of the pattern, so the library's model has it at once."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model(before + mapped)]).tobytes()
+
+    def _simple(self, c: str) -> bool:
+        """Letters, perhaps with a mark behind."""
+        return self.LETTERS.fullmatch(c) is not None or self.PLAIN.fullmatch(c) is not None
+
     def _learn(self, chunks: list[str]) -> None:
-        known, ask, later, model = self.known, [], [], self.lib.model.tokenize
-        if len(known) + len(chunks) > CACHE:
-            known.clear()
-            chunks = list(self.wanted)
+        known, ask, marked, broken = self.known, [], [], []
+        letters, plain = self.LETTERS.fullmatch, self.PLAIN.fullmatch
         for c in chunks:
-            if c.isascii() and c.isalpha():
-                if c not in known:
-                    known[c] = array("I", [t.id for t in model("Ġ" + c)]).tobytes()
-            elif self.PLAIN.fullmatch(c):
-                later.append(c)
-                c = c[:-1]
-                if c not in known:
-                    # a space and letters are one word of the pattern, so the library's model has it at once
-                    c_ = c if c.isascii() else c.encode().decode("latin-1").translate(self.bytes)
-                    known[c] = array("I", [t.id for t in model("Ġ" + c_)]).tobytes()
-            elif self.LETTERS.fullmatch(c):
+            if c.isascii() and c.isalpha() or letters(c):
                 if c not in known:
-                    known[c] = array("I", [t.id for t in model("Ġ" + c.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+                    known[c] = self._letters(c)
+            elif plain(c):
+                marked.append(c)
+                if c[:-1] not in known:
+                    known[c[:-1]] = self._letters(c[:-1])
+            elif "\n" in c:  # a single line break between two words is a word of its own
+                a, b = c.split("\n", 1)
+                if self._simple(a) and self._simple(b):
+                    broken.append((c, a, b))
+                    stem = a if letters(a) else a[:-1]
+                    if stem not in known:
+                        known[stem] = self._letters(stem)
+                else:
+                    ask.append(c)
             else:
                 ask.append(c)
         for c, e in zip(ask, self.lib.encode_batch_fast([" " + c for c in ask], add_special_tokens=False)):
             known[c] = array("I", e.ids).tobytes()
-        for c in later:
+        for c in marked:
             known[c] = known[c[:-1]] + self.mark[c[-1]]
+        for c, a, b in broken:
+            left = known[a] if letters(a) else known[a[:-1]] + self.mark[a[-1]]
+            right = self._letters(b, "") if letters(b) else self._letters(b[:-1], "") + self.mark[b[-1]]
+            known[c] = left + self.mark["\n"] + right
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -101,22 +120,29 @@ class ChunkEncoder:
         return out
 
     def _encode(self, texts, out, start, end) -> None:
-        split, self.wanted = [], set()
+        if len(self.known) > CACHE:
+            self.known.clear()
+        get, later, missing = self.known.get, [], set()
         for i in range(start, end):
             t = texts[i]
-            if any(s in t for s in self.special) or self.UNSAFE.search(t):
+            if any(s in t for s in self.special) or self.unsafe(t):
                 out[i] = self._whole(t)
             elif t:
                 first, *rest = t.split(" ")
-                split.append((i, first, rest))
-                self.wanted.update(rest)
+                ids = list(map(get, rest))
+                if None in ids:
+                    holes = [j for j, x in enumerate(ids) if x is None]
+                    missing.update([rest[j] for j in holes])
+                    later.append((i, first, rest, ids, holes))
+                else:
+                    out[i] = (self._whole(first) if first else b"") + b"".join(ids)
             else:
                 out[i] = b""
-        if missing := self.wanted - self.known.keys():
-            self._learn(list(missing))
-        get = self.known.__getitem__
-        for i, first, rest in split:
-            out[i] = self._whole(first) + b"".join(map(get, rest)) if first else b"".join(map(get, rest))
+        self._learn(list(missing))
+        for i, first, rest, ids, holes in later:
+            for j in holes:
+                ids[j] = get(rest[j])
+            out[i] = (self._whole(first) if first else b"") + b"".join(ids)
 
 
 @cache
