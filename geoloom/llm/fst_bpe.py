@@ -30,7 +30,7 @@ from .token_frames import byte_chars, open_fs
 LEXICON = 65_536
 LONGEST = 48
 #: Entries of a worker's caches of words; only speed and memory depend on them.
-CACHE = 600_000
+CACHE = 300_000
 PIECES = 50_000
 #: Characters that are encoded together, and rows that are taken from a batch at once.
 GROUP, ROWS = 2_000_000, 512
@@ -251,13 +251,16 @@ class Codec:
             words = texts[i].split()
             ids = list(map(get, words))
             if None in ids:
-                missing.update([w for w, x in zip(words, ids) if x is None])
-                later.append((i, words))
+                holes = [j for j, x in enumerate(ids) if x is None]
+                missing.update([words[j] for j in holes])
+                later.append((i, words, ids, holes))
             else:
                 out[i] = b"".join(ids)
         self._add(missing)
-        for i, words in later:
-            out[i] = b"".join(map(get, words))
+        for i, words, ids, holes in later:
+            for j in holes:
+                ids[j] = get(words[j])
+            out[i] = b"".join(ids)
 
     def joined(self, ids: list[bytes], tokens: bool) -> pa.Array:
         """For each text's ids, in UTF-8 and joined by spaces: the tokens (that is the decoded text), else the decimal ids."""
