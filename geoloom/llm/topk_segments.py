@@ -143,7 +143,7 @@ def block_top(queries, q_own, x, ids, own, top: int = TOP):
             score = np.where(np.take_along_axis(keep, pick, 1), np.take_along_axis(score, pick, 1), np.iinfo(np.int64).min)
             cand = np.take_along_axis(cand, pick, 1)
         s, c = np.concatenate([best[may], score], 1), np.concatenate([best_id[may], cand], 1)
-        first = np.lexsort((c, -s.astype(float) if exact else -s), axis=1)[:, :top]
+        first = np.lexsort((c, ~s), axis=1)[:, :top]  # ~s falls as s grows, and has no overflow
         best[may], best_id[may] = np.take_along_axis(s, first, 1), np.take_along_axis(c, first, 1)
     row, col = np.nonzero(best > np.iinfo(np.int64).min)
     return row, best_id[row, col], best[row, col]
