@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of anything but space and U+0009..U+000D. ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+ROOT = str(Path(__file__).resolve().parents[2])
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,5 +115,32 @@ def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Bytes of a batch that goes to or from Python, so that very long texts don't fill a worker.
+BATCH_BYTES = 8 << 20
+#: How to drop what each operator keeps in a worker from task to task.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+class Alone:
+    """A function on batches that first drops what other operators keep. A class, so that workers use their own ``KEPT``."""
+
+    def __init__(self, fn, keeps: str) -> None:
+        self.fn, self.keeps = fn, keeps
+
+    def __call__(self, batches):
+        for name, drop in KEPT.items():
+            if name != self.keeps:
+                drop()
+        return self.fn(batches)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded size.
+
+    Workers that don't know this package look where the driver found it. What operators other than ``keeps`` have
+    left in a worker goes when it starts.
+    """
+    spark = df.sparkSession
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(Alone(fn, keeps), schema)

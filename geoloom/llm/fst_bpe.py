@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, shared_dir
+from ._common import KEPT, map_arrow, shared_dir
 from .token_frames import byte_chars, open_fs
 
 #: Words of the lexicon, a bound on what the driver compiles; only speed depends on it.
@@ -335,6 +335,9 @@ def codec(tokenizer: str, lexicon: str) -> Codec:
         return Codec(tokenizer, Lexicon(f.name))
 
 
+KEPT["codec"] = codec.cache_clear
+
+
 def _digests(tokenizer: str, lexicon: str):
     def run(batches):
         c = codec(tokenizer, lexicon)
@@ -373,7 +376,7 @@ def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every whole text; a null text is an empty one and has no ids."""
-    return map_arrow(_slim(docs, doc_id, text), _encoded(tokenizer, compile_lexicon(docs, tokenizer, text)), "doc_id long, ids array<int>, decoded string")
+    return map_arrow(_slim(docs, doc_id, text), _encoded(tokenizer, compile_lexicon(docs, tokenizer, text)), "doc_id long, ids array<int>, decoded string", "codec")
 
 
 def encoded_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -381,4 +384,4 @@ def encoded_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", tex
 
     Null and empty texts have no tokens. Repeated rows are encoded one by one; no documents give no rows.
     """
-    return map_arrow(_slim(docs, doc_id, text), _digests(tokenizer, compile_lexicon(docs, tokenizer, text)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(_slim(docs, doc_id, text), _digests(tokenizer, compile_lexicon(docs, tokenizer, text)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "codec")

@@ -90,7 +90,7 @@ def lines_of(line: np.ndarray, least: int = MIN_WORDS) -> list[tuple[int, int]]:
 def band_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """[groups][BANDS] keys of consecutive groups of shingle hashes."""
     low = np.empty((len(MULTIPLY), len(starts)), np.uint64)
-    step = max(1, 4_000_000 // max(len(shingles), 1))
+    step = max(1, 1_000_000 // max(len(shingles), 1))
     for at in range(0, len(MULTIPLY), step):
         low[at : at + step] = np.minimum.reduceat((shingles[None, :] * MULTIPLY[at : at + step, None]) >> np.uint64(32), starts, axis=1)
     low = low.reshape(BANDS, ROWS, -1)
@@ -468,6 +468,6 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = keyed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_t")), "left")
     met = met.select(*docs.columns, F.col(text).cast("string").alias("_gl_text"), "_gl_spans")
     schema = docs.schema.add("_gl_text", "string").add("_gl_left", "boolean")
-    out = met.mapInArrow(_cut_text, schema).where("_gl_left")
+    out = map_arrow(met, _cut_text, schema).where("_gl_left")
     new = [F.col("_gl_text").alias(c) if c == text else F.when(F.col("_gl_text").eqNullSafe(F.col(text)), F.col(c)).otherwise(F.length("_gl_text")).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(c) for c in docs.columns]
     return out.select(*new)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, shared_dir
+from ._common import KEPT, map_arrow, shared_dir
 
 END_ID = 0
 FRAME_BYTES = 1 << 20
@@ -153,6 +153,9 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+KEPT["encoder"] = encoder.cache_clear
+
+
 def open_fs(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"file://{uri}")
 
@@ -263,7 +266,7 @@ def write_frames(docs: DataFrame, tokenizer: str, out: str, doc_id: str = "doc_i
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = slim.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    rows = sorted(map_arrow(dealt, _writer(tokenizer, out), "part int, docs long, tokens long").collect())
+    rows = sorted(map_arrow(dealt, _writer(tokenizer, out), "part int, docs long, tokens long", "encoder").collect())
     files, start = [], 0
     for part, k, tokens in rows:
         if k:

@@ -191,15 +191,26 @@ def held_out(doc_id):
 
 
 def _tokens(batches):
-    """Documents of a batch that have a token, and those of them that are labelled toxic."""
+    """Documents of a piece of the input that have a token, and those of them that are labelled toxic."""
+    every, toxic = Counter(), Counter()
+
+    def counted() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(every), pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[w] for w in every], pa.int64())], names=["token", "k", "k1"])
+        every.clear()
+        toxic.clear()
+        return out
+
     for b in batches:
-        every, toxic = Counter(), Counter()
-        for y, t in zip(b.column("y").to_pylist(), binary_list(b.column("text"))):
-            own = token_set(t)
-            every.update(own)
-            if y:
-                toxic.update(own)
-        yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[w] for w in every], pa.int64())], names=["token", "k", "k1"])
+        for at in range(0, b.num_rows, 256):
+            piece = b.slice(at, 256)
+            for y, t in zip(piece.column("y").to_pylist(), binary_list(piece.column("text"))):
+                own = token_set(t)
+                every.update(own)
+                if y:
+                    toxic.update(own)
+            if len(every) > 200_000:
+                yield counted()
+    yield counted()
 
 
 def _votes(lexicon: list[bytes], features: list[bytes]):
@@ -207,7 +218,7 @@ def _votes(lexicon: list[bytes], features: list[bytes]):
         mined, at, lex = frozenset(lexicon), {w: i for i, w in enumerate(features)}, {w: i for i, w in enumerate(lexicon)}
         for b in batches:
             rows = []
-            for t in binary_list(b.column("text")):
+            for t in (t for at_ in range(0, b.num_rows, 256) for t in binary_list(b.column("text").slice(at_, 256))):
                 own = token_set(t)
                 rows.append((sorted(at[w] for w in at.keys() & own), sorted(lex[w] for w in mined & own), general_votes(own, mined, flags(t))))
             lists = [pa.array([r[i] for r in rows], pa.list_(k)) for i, k in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
@@ -242,7 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def _score(model: Model):
     def run(batches):
         for b in batches:
-            s = np.fromiter(map(model.score, binary_list(b.column("_gl_text"))), float, b.num_rows)
+            texts = (t for at in range(0, b.num_rows, 256) for t in binary_list(b.column("_gl_text").slice(at, 256)))
+            s = np.fromiter(map(model.score, texts), float, b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(s)], names=[*b.schema.names[:-1], "_gl_score"])
 
     return run
@@ -252,7 +264,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with its columns and ``_gl_score``; null texts are scored as empty ones."""
     wide = docs.withColumn("_gl_text", F.col(text).cast("string"))
     schema = docs.schema.add("_gl_score", "double")
-    return wide.mapInArrow(_score(model), schema)
+    return map_arrow(wide, _score(model), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
