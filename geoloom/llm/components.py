@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 
+#: Edges of a task; with few edges there are few tasks, whatever the number of shuffle partitions.
+TASK_EDGES = 100_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(u, v)`` to ``(node, comp)``: comp is the smallest node reachable; nodes without edges are absent.
 
@@ -26,12 +30,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if new == mark or new[0] == 0:
             break
         mark = new
+        tasks = 1 + new[0] // TASK_EDGES
+        cur = cur.coalesce(tasks)
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")).coalesce(2 * tasks)
+        large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(tasks)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m").coalesce(tasks)
         small = large.join(low, large.u == low.k).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = cut(small.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        cur = cut(small.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct().coalesce(tasks))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
