@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ._common import binary_list, cut, group_starts, label_min, map_arrow, whole_groups
 from .components import connected_components
@@ -467,7 +468,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.withColumn("_gl_h", F.xxhash64(F.col(text).cast("string")))
     met = keyed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_t")), "left")
     met = met.select(*docs.columns, F.col(text).cast("string").alias("_gl_text"), "_gl_spans")
-    schema = docs.schema.add("_gl_text", "string").add("_gl_left", "boolean")
+    schema = StructType([*docs.schema, StructField("_gl_text", StringType()), StructField("_gl_left", BooleanType())])
     out = map_arrow(met, _cut_text, schema).where("_gl_left")
     new = [F.col("_gl_text").alias(c) if c == text else F.when(F.col("_gl_text").eqNullSafe(F.col(text)), F.col(c)).otherwise(F.length("_gl_text")).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(c) for c in docs.columns]
     return out.select(*new)

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import binary_list, cut, map_arrow
+from ._common import binary_list, cut, label_min, map_arrow
 
 #: Bound on the labelled rows that the model is fitted on (those with the smallest hash of their id).
 TRAIN_ROWS = 12_000
@@ -96,44 +97,38 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50, least: float = 0.5) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """Posterior of "toxic" from votes (+1, -1, 0) [documents][voters], each voter's P(vote | label), groups of correlated voters."""
+def label_model(votes: np.ndarray, prior: float, rounds: int = 50, least: float = 0.5, alone: tuple = (), start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Posterior of "toxic" from votes (+1, -1, 0) [documents][voters], each voter's P(vote | label), groups of correlated voters; those in ``alone`` are a group each.
+
+    The first guess is ``start``, else the majority of the votes.
+    """
     n, m = votes.shape
     one = np.stack([votes == v for v in (1, -1, 0)], 2).astype(float)
+    q = np.clip(prior + 0.3 * np.sign(votes.sum(1)), 0.02, 0.98) if start is None else start
+    # what voters still have in common when the label is known as well as it can be at first
+    active = votes.astype(float)
+    rest = active - np.outer(q, (q @ active) / max(q.sum(), 1e-9)) - np.outer(1 - q, ((1 - q) @ active) / max((1 - q).sum(), 1e-9))
+    sd = rest.std(0)
+    corr = (rest.T @ rest) / max(n, 1) / np.maximum(np.outer(sd, sd), 1e-12)
+    corr[list(alone)] = 0
+    corr[:, list(alone)] = 0
+    a, b = np.nonzero(np.triu(corr > least, 1))
+    root = label_min(m, a, b)
+    groups = [np.flatnonzero(root == r).tolist() for r in np.unique(root)]
     share = np.ones(m)
-    groups = [[j] for j in range(m)]
-    q = np.clip(prior + 0.3 * np.sign(votes.sum(1)), 0.02, 0.98)
-    for attempt in range(2):
-        for _ in range(rounds):
-            p1 = (np.einsum("n,nmv->mv", q, one) + 0.1) / (q.sum() + 0.3)
-            p0 = (np.einsum("n,nmv->mv", 1 - q, one) + 0.1) / ((1 - q).sum() + 0.3)
-            pi = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-            z = log_odds(pi) + np.einsum("nmv,mv,m->n", one, np.log(p1) - np.log(p0), share)
-            new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            done = np.abs(new - q).max() < 1e-5
-            q = new
-            if done:
-                break
-        if attempt == 0:  # what voters still have in common when the label is known
-            active = votes.astype(float)
-            rest = active - np.outer(q, (q @ active) / max(q.sum(), 1e-9)) - np.outer(1 - q, ((1 - q) @ active) / max((1 - q).sum(), 1e-9))
-            sd = rest.std(0)
-            corr = (rest.T @ rest) / n / np.maximum(np.outer(sd, sd), 1e-12)
-            owner = list(range(m))
-
-            def root(x):
-                while owner[x] != x:
-                    x = owner[x]
-                return x
-
-            for a, b in zip(*np.nonzero(np.triu(corr > least, 1))):
-                owner[max(root(a), root(b))] = min(root(a), root(b))
-            by: dict[int, list[int]] = {}
-            for j in range(m):
-                by.setdefault(root(j), []).append(j)
-            groups = list(by.values())
-            for g in groups:
-                share[g] = 1 / len(g)
+    for g in groups:
+        share[g] = 1 / len(g)
+    q = np.clip(prior + 0.3 * np.sign(active @ share), 0.02, 0.98) if start is None else start
+    for _ in range(rounds):
+        p1 = (np.einsum("n,nmv->mv", q, one) + 0.1) / (q.sum() + 0.3)
+        p0 = (np.einsum("n,nmv->mv", 1 - q, one) + 0.1) / ((1 - q).sum() + 0.3)
+        pi = np.clip(q.mean(), 1e-3, 1 - 1e-3)
+        z = log_odds(pi) + np.einsum("nmv,mv,m->n", one, np.log(p1) - np.log(p0), share)
+        new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        done = np.abs(new - q).max() < 1e-5
+        q = new
+        if done:
+            break
     return q, np.stack([p1, p0], 1), groups
 
 
@@ -179,7 +174,7 @@ def fit(lexicon: list[bytes], features: list[bytes], rows: list[tuple]) -> Model
         if not any(on[:2]):
             votes[i, len(lexicon)] = -1
         votes[i, -1] = 1 if label else -1  # the label itself is one more voter
-    q, acc, groups = label_model(votes, np.clip(pos / n, 0.01, 0.99))
+    q, acc, groups = label_model(votes, np.clip(pos / n, 0.01, 0.99), alone=(votes.shape[1] - 1,), start=np.where(votes[:, -1] > 0, 0.9, 0.05))
     w = logistic(x, q)
     names = [*(t.decode("utf-8", "replace") for t in lexicon), "seed", "one", "two", "three", *(f"pattern {k}" for k in range(len(PATTERNS))), "label"]
     return Model(frozenset(lexicon), dict(zip(features, w[: len(features)].tolist())), w[len(features) : -1].tolist(), float(w[-1]), {k: a.tolist() for k, a in zip(names, acc)}, groups)
@@ -263,7 +258,7 @@ def _score(model: Model):
 def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with its columns and ``_gl_score``; null texts are scored as empty ones."""
     wide = docs.withColumn("_gl_text", F.col(text).cast("string"))
-    schema = docs.schema.add("_gl_score", "double")
+    schema = StructType([*docs.schema, StructField("_gl_score", DoubleType())])
     return map_arrow(wide, _score(model), schema)
 
 
