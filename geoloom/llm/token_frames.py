@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -31,6 +32,8 @@ LEVEL = 3
 SKIPPABLE, MAGIC = 0x184D2A5D, b"GLZF0001"
 #: Entries of a worker's cache of encoded chunks; only speed depends on it.
 CACHE = 1_200_000
+#: Characters of texts that are encoded together.
+GROUP = 4_000_000
 
 
 def byte_chars() -> list[str]:
@@ -41,16 +44,18 @@ def byte_chars() -> list[str]:
 
 
 class ChunkEncoder:
-    """Ids of whole texts as the tokenizers library gives them, with a cache of the chunks between spaces.
+    """Ids of whole texts as the tokenizers library gives them, with a cache of the chunks between spaces and line breaks.
 
-    The byte-level pattern never looks back and no token runs across a space that follows a character that isn't
-    white space, so a text is the sum of its chunks, each with the space before it. Texts where that can't be said
-    (white space on both sides of a space, special tokens) go to the library whole.
+    The byte-level pattern never looks back, and where white space stands between two other characters it is one
+    space, which goes with what follows, or one line break, which is a token of its own. So such a text is the sum of
+    its chunks, each with the space or line break before it. Texts with other white space, or with special tokens, go
+    to the library whole.
     """
 
-    UNSAFE = re.compile(r"\s \s|  |^ \s")
     PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
     LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    #: White space that isn't between two other characters, or isn't one space or line break.
+    UNSAFE = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -60,89 +65,76 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
         self.bytes = dict(enumerate(byte_chars()))
         self.model = self.lib.model.tokenize
-        self.mark = {c: self._whole(c) for c in ".,\n"}
+        self.mark = {c: self._whole(c) for c in ".,"}
+        self.line = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def unsafe(self, t: str) -> bool:
-        """Whether white space stands on both sides of a space, or next to one at the beginning; most texts only need counting."""
-        return len(t.split()) != t.count(" ") + t.count("\n") + 1 and self.UNSAFE.search(t) is not None
-
     def _letters(self, word: str, before: str = "Ġ") -> bytes:
-        """Of letters alone, after a space or after nothing: one word of the pattern, so the library's model has it at once."""
+        """Of letters alone, after a space or a line break: one word of the pattern, so the library's model has it at once."""
         mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
         return array("I", [t.id for t in self.model(before + mapped)]).tobytes()
 
-    def _simple(self, c: str) -> bool:
-        """Letters, perhaps with a mark behind."""
-        return self.LETTERS.fullmatch(c) is not None or self.PLAIN.fullmatch(c) is not None
-
     def _learn(self, chunks: list[str]) -> None:
-        known, ask, marked, broken = self.known, [], [], []
+        """Chunks that begin with a line break stand after one, all others after a space."""
+        known, ask = self.known, []
         letters, plain = self.LETTERS.fullmatch, self.PLAIN.fullmatch
         for c in chunks:
             if c.isascii() and c.isalpha() or letters(c):
-                if c not in known:
-                    known[c] = self._letters(c)
+                known[c] = self._letters(c)
             elif plain(c):
-                marked.append(c)
-                if c[:-1] not in known:
-                    known[c[:-1]] = self._letters(c[:-1])
-            elif "\n" in c:  # a single line break between two words is a word of its own
-                a, b = c.split("\n", 1)
-                if self._simple(a) and self._simple(b):
-                    broken.append((c, a, b))
-                    stem = a if letters(a) else a[:-1]
-                    if stem not in known:
-                        known[stem] = self._letters(stem)
-                else:
-                    ask.append(c)
+                stem = c[:-1]
+                got = known.get(stem)
+                known[c] = (self._letters(stem) if got is None else got) + self.mark[c[-1]]
+            elif c[:1] == "\n" and letters(c, 1):
+                known[c] = self.line + self._letters(c[1:], "")
+            elif c[:1] == "\n" and plain(c, 1):
+                known[c] = self.line + self._letters(c[1:-1], "") + self.mark[c[-1]]
             else:
                 ask.append(c)
-        for c, e in zip(ask, self.lib.encode_batch_fast([" " + c for c in ask], add_special_tokens=False)):
+        for c, e in zip(ask, self.lib.encode_batch_fast([c if c[:1] == "\n" else " " + c for c in ask], add_special_tokens=False)):
             known[c] = array("I", e.ids).tobytes()
-        for c in marked:
-            known[c] = known[c[:-1]] + self.mark[c[-1]]
-        for c, a, b in broken:
-            left = known[a] if letters(a) else known[a[:-1]] + self.mark[a[-1]]
-            right = self._letters(b, "") if letters(b) else self._letters(b[:-1], "") + self.mark[b[-1]]
-            known[c] = left + self.mark["\n"] + right
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
+        out: list = [b""] * len(texts)
         at, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t)
-            if size > 2_000_000 or i == len(texts) - 1:
+            if size > GROUP or i == len(texts) - 1:
                 self._encode(texts, out, at, i + 1)
                 at, size = i + 1, 0
         return out
 
     def _encode(self, texts, out, start, end) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        get, later, missing = self.known.get, [], set()
+        """Each distinct chunk of these texts is looked up once; Arrow cuts the texts and puts the ids together."""
+        rows, cut_, odd = [], [], (*self.special, *self.UNSAFE)
         for i in range(start, end):
             t = texts[i]
-            if any(s in t for s in self.special) or self.unsafe(t):
+            if not t:
+                continue
+            if any([s in t for s in odd]) or t[0] == " " or t[-1] == " ":
                 out[i] = self._whole(t)
-            elif t:
-                first, *rest = t.split(" ")
-                ids = list(map(get, rest))
-                if None in ids:
-                    holes = [j for j, x in enumerate(ids) if x is None]
-                    missing.update([rest[j] for j in holes])
-                    later.append((i, first, rest, ids, holes))
-                else:
-                    out[i] = (self._whole(first) if first else b"") + b"".join(ids)
-            else:
-                out[i] = b""
-        self._learn(list(missing))
-        for i, first, rest, ids, holes in later:
-            for j in holes:
-                ids[j] = get(rest[j])
-            out[i] = (self._whole(first) if first else b"") + b"".join(ids)
+            else:  # the line break put before the text goes again below
+                rows.append(i)
+                cut_.append(f"\n{t}".replace("\n", " \n")[1:])
+        if not rows:
+            return
+        lists = pc.split_pattern(pa.array(cut_, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        if len(self.known) > CACHE:
+            self.known.clear()
+        get = self.known.get
+        ids = list(map(get, chunks))
+        holes = [j for j, x in enumerate(ids) if x is None]
+        self._learn([chunks[j] for j in holes])
+        for j in holes:
+            ids[j] = get(chunks[j])
+        values = pa.array(ids, pa.large_binary()).take(coded.indices)
+        joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, values), pa.scalar(b"", pa.large_binary()))
+        for i, x in zip(rows, joined.to_pylist()):
+            out[i] = x[len(self.line) :]
 
 
 @cache
