@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .units import BEARING_DECIMALS, COMPASS, DISTANCE_DECIMALS, EARTH_RADIUS_KM, checked_radius, km_of, per_km
+from .units import BEARING_DECIMALS, COMPASS, DISTANCE_DECIMALS, EARTH_RADIUS_KM, PER_KM, checked_radius, km_of, per_km
 
 
 def col(x) -> Column:
@@ -118,12 +118,22 @@ SQL_FUNCTIONS = {
     "geo_distance_km": ("lat1 DOUBLE, lng1 DOUBLE, lat2 DOUBLE, lng2 DOUBLE", "DOUBLE", "round(2 * asin(least(1D, sqrt(pow(sin((radians(lat2) - radians(lat1)) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin((radians(lng2) - radians(lng1)) / 2), 2)))) * 6371.0088D, 4)"),
     "geo_bearing": ("lat1 DOUBLE, lng1 DOUBLE, lat2 DOUBLE, lng2 DOUBLE", "DOUBLE", "round((degrees(atan2(sin(radians(lng2 - lng1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lng2 - lng1)))) + 360) % 360, 2)"),
     "geo_compass": ("deg DOUBLE", "STRING", f"element_at(array({', '.join(repr(c) for c in COMPASS)}), cast(pmod(rint(deg / 22.5D), 16D) as int) + 1)"),
+    "geo_distance": ("lat1 DOUBLE, lng1 DOUBLE, lat2 DOUBLE, lng2 DOUBLE, unit STRING", "DOUBLE", None),
+    "geo_in_ring": (
+        "lat DOUBLE, lng DOUBLE, ring ARRAY<STRUCT<lng: DOUBLE, lat: DOUBLE>>",
+        "BOOLEAN",
+        "size(ring) > 0 AND size(filter(sequence(0, size(ring) - 1), k -> (ring[k].lat > lat) <> (ring[(k + size(ring) - 1) % size(ring)].lat > lat)"
+        " AND coalesce(lng < (ring[(k + size(ring) - 1) % size(ring)].lng - ring[k].lng) * (lat - ring[k].lat) / nullif(ring[(k + size(ring) - 1) % size(ring)].lat - ring[k].lat, 0D) + ring[k].lng, false))) % 2 = 1",
+    ),
     "geo_is_valid": ("lat DOUBLE, lng DOUBLE", "BOOLEAN", "coalesce(lat between -90 and 90 and lng between -180 and 180, false)"),
 }
 
 
 def register(spark: SparkSession) -> list[str]:
     """Makes the functions known to SQL. Spark inlines them, so a query with them has no function call left."""
+    factor = "CASE lower(unit) " + " ".join(f"WHEN '{u}' THEN {f}D" for u, f in PER_KM.items()) + " END"
     for name, (args, kind, body) in SQL_FUNCTIONS.items():
+        if body is None:  # null for an unknown unit
+            body = SQL_FUNCTIONS["geo_distance_km"][2].replace("6371.0088D", f"6371.0088D * {factor}")
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
     return list(SQL_FUNCTIONS)

@@ -123,3 +123,14 @@ def test_sql_functions(spark):
     geo.register(spark)
     row = spark.sql("SELECT geo_distance_km(28.6139, 77.2090, 19.0760, 72.8777), geo_bearing(28.6139, 77.2090, 19.0760, 72.8777), geo_compass(203.47), geo_is_valid(95, 0)").first()
     assert tuple(row) == (1148.0965, 203.47, "South-Southwest", False)
+    row = spark.sql("SELECT geo_distance(28.6139, 77.2090, 19.0760, 72.8777, 'Miles'), geo_distance(28.6139, 77.2090, 19.0760, 72.8777, 'ft'), geo_distance(0, 0, 1, 1, 'cubits')").first()
+    assert tuple(row) == (713.3938, 3766720.7861, None)
+
+
+@pytest.mark.parametrize("ring", [[[-60, -40], [70, -40], [70, 50], [-60, 50]], [[0, 60], [25, 20], [80, 10], [30, -10], [0, 60]]])
+def test_sql_in_ring(spark, df, ring):
+    geo.register(spark)
+    df.select("id", F.col("_lat").alias("y"), F.col("_lng").alias("x"), geo.literal_ring(ring).alias("ring")).createOrReplaceTempView("ring_points")
+    got = {r[0] for r in spark.sql("SELECT id FROM ring_points WHERE geo_in_ring(y, x, ring)").collect()}
+    assert got == {i for i, lat, lng in POINTS if scalar.in_ring(lat, lng, ring)}
+    assert spark.sql("SELECT geo_in_ring(0, 0, cast(array() as array<struct<lng:double,lat:double>>))").first()[0] is False
