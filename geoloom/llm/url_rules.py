@@ -18,8 +18,6 @@ from ._common import ascii_lower, cut, map_arrow
 #: (host, path, verdict)
 FIXED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.5, 1.1
-#: Size of the model: the rules that are kept, by confidence, then support. A documented bound on what is sent to the executors.
-MAX_RULES = 5000
 BLOCK, ALLOW = "label block", "label allow"
 
 
@@ -55,11 +53,12 @@ def tokens(host_col, path_col, url):
     return F.array_distinct(F.concat(F.array(*tail), each, parts, names, scheme))
 
 
-def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, min_lift=MIN_LIFT, max_rules=MAX_RULES) -> list[tuple]:
+def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, min_lift=MIN_LIFT) -> list[tuple]:
     """Rules from ``labelled(url, bad)``: (tokens, verdict, confidence, support), best first.
 
     All labelled rows take part. Rules under the least support, confidence or lift go, and so does a rule whose
-    tokens hold those of a rule of the same verdict that is no less confident.
+    tokens hold those of a rule of the same verdict that is no less confident. That is decided on the executors, by
+    number of tokens: a rule that goes always holds one that stays. All others are kept.
     """
     u = F.col("url")
     items = labelled.select(F.array_append(tokens(host(u), path(u), u), F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
@@ -70,15 +69,25 @@ def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFID
     rules = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW)).where(F.col("lift") >= min_lift)
     rules = rules.where(~F.array_contains("antecedent", BLOCK) & ~F.array_contains("antecedent", ALLOW))
     rules = rules.select(F.array_sort("antecedent").alias("t"), F.split_part(F.col("consequent")[0], F.lit(" "), F.lit(2)).alias("v"), "confidence", "support")
-    rows = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("t"), F.array_join("t", "\x01"), "v").limit(max_rules).collect()
-    kept: list[tuple] = []
-    by: dict[str, list[frozenset]] = defaultdict(list)
-    for r in rows:
-        t = frozenset(r["t"])
-        if not any(x <= t for x in by[r["v"]]):
-            by[r["v"]].append(t)
-            kept.append((sorted(t), r["v"], r["confidence"], r["support"]))
-    return kept
+    rules = cut(rules.withColumn("n", F.size("t")))
+    rows: list[tuple] = []
+    for n in sorted(r["n"] for r in rules.select("n").distinct().collect()):
+        rows += map(tuple, map_arrow(rules.where(F.col("n") == n).drop("n"), _minimal(rows), "t array<string>, v string, confidence double, support double").collect())
+    return sorted(rows, key=lambda r: (-r[2], -r[3], len(r[0]), r[0], r[1]))
+
+
+def _minimal(kept: list[tuple]):
+    """Passes on the rules that hold no rule of ``kept`` with the same verdict and no less confidence."""
+
+    def run(batches):
+        least: dict[str, list[tuple]] = defaultdict(list)  # by the first token
+        for t, v, c, _ in kept:
+            least[t[0]].append((frozenset(t), v, c))
+        for b in batches:
+            rows = zip(b.column("t").to_pylist(), b.column("v").to_pylist(), b.column("confidence").to_pylist())
+            yield b.filter(pa.array([not any(w == v and d >= c and x.issubset(t) for y in t for x, w, d in least.get(y, ())) for t, v, c in rows], pa.bool_()))
+
+    return run
 
 
 def _matcher(rules: list[tuple]):

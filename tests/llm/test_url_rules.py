@@ -53,6 +53,17 @@ def test_mining_prunes(spark):
     assert (["suffix biz"], "block") in [r[:2] for r in rules] or any("suffix a.biz" in r[0] for r in rules)
 
 
+def test_no_rule_is_lost_behind_redundant_ones(spark):
+    # each of these hosts has many combinations of its tokens that say the same; the last rule is less confident than all of them
+    rows = [(f"http://a{'bcdefgh'[i % 7]}.x{i % 7}.y{i % 7}.biz/p{'qrstuvw'[i % 7]}/s{'qrstuvw'[i % 7]}/t{'qrstuvw'[i % 7]}?k{i % 7}=1&l{i % 7}=2&m{i % 7}=3", True) for i in range(140)]
+    rows += [("http://weak.net/deal", i % 10 != 0) for i in range(40)] + [("http://fine.net/news", False)] * 400
+    rules = op.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    weak = [r for r in rules if r[0] == ["path deal"]]
+    assert [r[1] for r in weak] == ["block"] and abs(weak[0][2] - 0.9) < 1e-9
+    for t, v, c, _ in rules:
+        assert not any(set(x) < set(t) and w == v and d >= c for x, w, d, _ in rules)
+
+
 def test_empty(spark):
     assert op.judge(*tables(spark, [], [])).collect() == []
     assert op.judge(*tables(spark, [], [(1, 1, 0)])).collect() == []
