@@ -3,7 +3,8 @@
 Paragraphs are lines of at least ``MIN_WORDS`` words. Equal ones meet by their hash; near ones by MinHash bands, tuned
 for recall, with the exact Jaccard similarity of their five-word shingles as the judge. A paragraph that merely
 contains a passage of another has a low similarity, so runs of ``RUN`` equal words, chosen by winnowing, are compared
-too: any passage of ``RUN + WINDOW - 1`` words or more that two documents share has a chosen run in both.
+too: any passage of ``RUN + WINDOW - 1`` words or more that two documents share has a chosen run in both. Around the
+chosen runs that met the runs at every offset are compared, which gives the whole passage.
 The first document (smallest id) of a class keeps its text, the other occurrences go.
 """
 
@@ -145,8 +146,7 @@ def _scan_lines(batches):
             sizes = np.array([e - a - SHINGLE + 1 for a, e in spans])
             keys = band_keys(np.concatenate([s[a : e - SHINGLE + 1] for a, e in spans]), np.cumsum(sizes) - sizes).view(np.int64) & -2
             ids = np.array([content_id(h[a:e])[0] for a, e in spans], np.int64)
-            doc = xxhash.xxh3_64_intdigest(b"%d %d" % (t, d or 0) + b"?" * (d is None)) - (1 << 63)
-            held += [(keys.ravel(), np.repeat(ids, BANDS)), (ids, np.full(len(ids), doc, np.int64))]
+            held += [(keys.ravel(), np.repeat(ids, BANDS)), (ids, np.full(len(ids), _doc_key(d, t), np.int64))]
             count += keys.size + len(ids)
             if count >= PIECE:
                 yield local_stars(*map(np.concatenate, zip(*held)))
@@ -237,7 +237,12 @@ def _pack_runs(h, h2, doc, valid, th, start) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.where(other[use], doc[lead], h[at])), pa.array(doc[at], mask=~valid[at]), pa.array(th[at]), pa.array(pos)], names=["h", "doc_id", "th", "pos"])
 
 
+def _doc_key(d, t: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d %d" % (t, d or 0) + b"?" * (d is None)) - (1 << 63)
+
+
 def _scan_runs(batches):
+    """The chosen runs of each document, once, with a hash of the document: (key, c, m) as in ``local_stars``."""
     held: list[tuple] = []
     count = 0
     for b in batches:
@@ -246,17 +251,69 @@ def _scan_runs(batches):
             if len(words) < RUN:
                 continue
             r = runs(words, RUN)
-            at = winnow(r)
-            own, first = np.unique(r[at], return_index=True)  # once a document: the first place
-            at, n = at[first], len(own)
-            h2 = (runs(words, RUN, BASE2)[at] >> np.uint64(35)).astype(np.int64)
-            held.append((own.view(np.int64), h2, np.full(n, d or 0, np.int64), np.full(n, d is not None), np.full(n, t, np.int64), at.astype(np.int64)))
-            count += n
+            own = np.unique(r[winnow(r)]).view(np.int64)
+            held.append((own, np.full(len(own), _doc_key(d, t), np.int64)))
+            count += len(own)
             if count >= PIECE:
-                yield _pack_runs(*map(np.concatenate, zip(*held)))
+                yield local_stars(*map(np.concatenate, zip(*held)))
                 held, count = [], 0
     if held:
-        yield _pack_runs(*map(np.concatenate, zip(*held)))
+        yield local_stars(*map(np.concatenate, zip(*held)))
+
+
+#: Shifts of a run's hash, one for each of the bits that it sets in the bitmap of the runs that met.
+PROBES = (0, 17, 34)
+
+
+def near_places(r: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of all runs that begin less than ``WINDOW`` words from a chosen one that may have met.
+
+    A passage begins and ends less than ``WINDOW`` words from a chosen run of it, so every run of it is among them.
+    """
+    at, mask = winnow(r), 8 * len(bits) - 1
+    hit = np.ones(len(at), bool)
+    for by in PROBES:
+        x = r[at].view(np.int64) >> (by + 1) & mask
+        hit &= (bits[x >> 3] >> (x & 7) & 1).astype(bool)
+    at = at[hit]
+    edge = np.zeros(len(r) + 1, np.int64)
+    np.add.at(edge, np.maximum(at - WINDOW + 1, 0), 1)
+    np.add.at(edge, np.minimum(at + WINDOW, len(r)), -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1])
+
+
+def _scan_near(run_bits, doc_bits):
+    """The runs at ``near_places`` of the documents that may have a run that met, packed by ``_pack_runs``."""
+
+    def run(batches):
+        bits, docs = (np.frombuffer(x.value, np.uint8) for x in (run_bits, doc_bits))
+        mask = 8 * len(docs) - 1
+        held: list[tuple] = []
+        count = 0
+        for b in batches:
+            for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
+                x = _doc_key(d, t) >> 1 & mask
+                if not docs[x >> 3] >> (x & 7) & 1:
+                    continue
+                words = word_hashes(text)
+                if len(words) < RUN:
+                    continue
+                r = runs(words, RUN)
+                at = near_places(r, bits)
+                if not len(at):
+                    continue
+                at = at[np.unique(r[at], return_index=True)[1]]  # once a document: the first place
+                n = len(at)
+                h2 = (runs(words, RUN, BASE2)[at] >> np.uint64(35)).astype(np.int64)
+                held.append((r[at].view(np.int64), h2, np.full(n, d or 0, np.int64), np.full(n, d is not None), np.full(n, t, np.int64), at.astype(np.int64)))
+                count += n
+                if count >= PIECE:
+                    yield _pack_runs(*map(np.concatenate, zip(*held)))
+                    held, count = [], 0
+        if held:
+            yield _pack_runs(*map(np.concatenate, zip(*held)))
+
+    return run
 
 
 def _runs_met(batches):
@@ -381,13 +438,23 @@ def paragraph_spans(slim: DataFrame) -> DataFrame:
 
 
 def run_spans(slim: DataFrame) -> DataFrame:
-    """(doc_id, th, start, stop, holder, kept) of the chosen runs that several documents have.
+    """(doc_id, th, start, stop, holder, kept) of the runs of the passages that several documents have.
 
-    A run is put together over each piece of the input first, so a very common one reaches the shuffle by run once a
-    piece; the holder of the other occurrences of a piece is the piece's first document.
+    The chosen runs tell which documents to look at and where; there the runs at every offset are compared, so that a
+    passage is covered from its first word to its last. A run is put together over each piece of the input first, so
+    a very common one reaches the shuffle by run once a piece; the holder of the other occurrences of a piece is the
+    piece's first document.
     """
-    n = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grams = map_arrow(slim, _scan_runs, "h long, doc_id long, th long, pos long")
+    spark = slim.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = map_arrow(slim, _scan_runs, "key long, c long, m long")
+    dealt = keys.repartition(n, F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", "c"))).sortWithinPartitions("key")
+    met = cut(map_arrow(dealt, _stars, "key long, c long, m long"))
+    count = met.select("key").distinct().count()
+    probes = met.select(F.explode(F.array(*(F.shiftright("key", by) for by in PROBES))).alias("c"))
+    run_bits = spark.sparkContext.broadcast(bitmap_of(probes, min(28, max(16, (32 * count).bit_length()))))
+    doc_bits = spark.sparkContext.broadcast(bitmap_of(met.select("c").union(met.select("m"))))
+    grams = map_arrow(slim, _scan_near(run_bits, doc_bits), "h long, doc_id long, th long, pos long")
     dealt = grams.repartition(n, F.when(F.expr(f"pos & 3 < {OTHER}"), F.col("h")).otherwise(F.xxhash64("th", "pos"))).sortWithinPartitions("h")
     return map_arrow(dealt, _runs_met, "doc_id long, th long, start int, stop int, holder long, kept boolean")
 

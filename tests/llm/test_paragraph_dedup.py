@@ -83,6 +83,19 @@ def test_passages(spark, texts):
     assert 26 not in {r[0] for r in rows}  # what repeats within one document only
 
 
+def test_whole_passages(spark):
+    rng = random.Random(11)
+    passages = [prose(rng, n) for n in (42, 51, 60, 120) for _ in range(6)]
+    sides = [(f"l{k}", f"r{k}") for k in range(3 * len(passages))]  # no passage goes on by chance
+    texts = [f"{prose(rng, 31)} {sides[3 * i + k][0]} {p} {sides[3 * i + k][1]} {prose(rng, 37)}" for k in range(3) for i, p in enumerate(passages)]
+    rows = rows_of(op.repeated_passages(docs_df(spark, texts)))
+    assert rows == sorted((k * len(passages) + i, 32, 32 + len(p.split()), k == 0) for k in range(3) for i, p in enumerate(passages))
+    for r in op.without_repeats(docs_df(spark, texts)).collect():
+        i = r["doc_id"] % len(passages)
+        left, right = texts[r["doc_id"]].split(passages[i])
+        assert r["text"] == (texts[i] if r["doc_id"] == i else left + right.lstrip())
+
+
 def test_cutting(spark, texts):
     all_, passage = texts
     df = docs_df(spark, all_).withColumnRenamed("lang", "spans").withColumnRenamed("source", "comp")
