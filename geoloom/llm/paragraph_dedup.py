@@ -213,24 +213,24 @@ def _scan_wanted(bitmap, sets: bool):
 ALONE, MET, OTHER, OTHER_OF_NULL = range(4)
 
 
-def first_of_runs(h, h2, doc, valid, th):
-    """Sorted order of the rows by run, then document; for each row in it whether its run begins there, the first row's place, whether it is another document than that."""
-    order = np.lexsort((th, doc, valid, h2, h))
+def first_of_runs(h, h2, doc, valid, th, start):
+    """Sorted order of the rows by run, then document and place; for each row in it whether its run begins there, the first row's place, whether it is another document than that, whether it is a later place in the same one."""
+    order = np.lexsort((start, th, doc, valid, h2, h))
     key = [x[order] for x in (h, h2)]
     new = np.ones(len(order), bool)
     new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     a, b = order, order[first]
     other = (doc[a] != doc[b]) | (th[a] != th[b]) | (valid[a] != valid[b])
-    return order, new, first, other
+    return order, new, first, other, ~other & (start[a] - start[b] >= RUN)  # what overlaps the first place is no place by itself
 
 
 def _pack_runs(h, h2, doc, valid, th, start) -> pa.RecordBatch:
-    """Each run of a piece of the input once, in its first document, and its other documents with that one's id in place of the run."""
-    order, new, first, other = first_of_runs(h, h2, doc, valid, th)
+    """Each run of a piece of the input in its first document, and its other documents with that one's id in place of the run."""
+    order, new, first, other, later = first_of_runs(h, h2, doc, valid, th, start)
     met = np.zeros(len(order), bool)
     met[first[other]] = True
-    use = new | other
+    use = new | other | later
     at, lead = order[use], order[first[use]]
     kind = np.where(other[use], np.where(valid[lead], OTHER, OTHER_OF_NULL), np.where(met[use], MET, ALONE))
     pos = h2[at] << 34 | start[at] << 2 | kind
@@ -275,7 +275,7 @@ def near_places(r: np.ndarray, bits: np.ndarray) -> np.ndarray:
     for by in PROBES:
         x = r[at].view(np.int64) >> (by + 1) & mask
         hit &= (bits[x >> 3] >> (x & 7) & 1).astype(bool)
-    at = at[hit]
+    at = np.flatnonzero(np.isin(r, r[at[hit]])) if hit.any() else at[:0]  # wherever else the document has it, too
     edge = np.zeros(len(r) + 1, np.int64)
     np.add.at(edge, np.maximum(at - WINDOW + 1, 0), 1)
     np.add.at(edge, np.minimum(at + WINDOW, len(r)), -1)
@@ -302,7 +302,6 @@ def _scan_near(run_bits, doc_bits):
                 at = near_places(r, bits)
                 if not len(at):
                     continue
-                at = at[np.unique(r[at], return_index=True)[1]]  # once a document: the first place
                 n = len(at)
                 h2 = (runs(words, RUN, BASE2)[at] >> np.uint64(35)).astype(np.int64)
                 held.append((r[at].view(np.int64), h2, np.full(n, d or 0, np.int64), np.full(n, d is not None), np.full(n, t, np.int64), at.astype(np.int64)))
@@ -326,13 +325,13 @@ def _runs_met(batches):
         rows = [(done, h[done], kind[done] == OTHER, np.zeros(len(done), bool))]
         at = np.flatnonzero(kind < OTHER)
         if len(at):
-            order, new, first, other = first_of_runs(h[at], pos[at] >> 34, doc[at], valid[at], th[at])
+            order, new, first, other, later = first_of_runs(h[at], pos[at] >> 34, doc[at], valid[at], th[at], start[at])
             met = kind[at][order] == MET
             shared = np.zeros(len(order), bool)
             np.logical_or.at(shared, first, other | met)
-            use = other | (new & shared)
+            use = other | ((new | later) & shared[first])
             here, lead = at[order[use]], at[order[first[use]]]
-            rows.append((here, doc[lead], valid[lead], ~other[use]))
+            rows.append((here, doc[lead], valid[lead], new[use]))
         x, holder, has, kept = (np.concatenate(c) for c in zip(*rows))
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[x], mask=~valid[x]), pa.array(th[x]), pa.array(start[x].astype(np.int32)), pa.array((start[x] + RUN).astype(np.int32)), pa.array(holder, mask=~has), pa.array(kept)], names=["doc_id", "th", "start", "stop", "holder", "kept"]

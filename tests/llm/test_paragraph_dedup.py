@@ -96,6 +96,19 @@ def test_whole_passages(spark):
         assert r["text"] == (texts[i] if r["doc_id"] == i else left + right.lstrip())
 
 
+def test_passages_twice_in_a_document(spark):
+    rng = random.Random(12)
+    p = prose(rng, 60)
+    texts = [f"{prose(rng, 30)} a{k} {p} b{k} {prose(rng, 50)} c{k} {p} d{k} {prose(rng, 20)}" for k in range(3)]
+    texts += [f"{prose(rng, 30)} e {p} f", "x y " * 60 + prose(rng, 30), "x y " * 60 + prose(rng, 30)]
+    for parts in (1, 4):
+        rows = rows_of(op.repeated_passages(docs_df(spark, texts).repartition(parts)))
+        assert [r for r in rows if r[0] < 4] == sorted([*((k, a, a + 60, (k, a) == (0, 31)) for k in range(3) for a in (31, 143)), (3, 31, 91, False)])
+        assert (4, 0, 120, True) not in rows or (5, 0, 120, False) in rows
+    left = {r["doc_id"]: r["text"] for r in op.without_repeats(docs_df(spark, texts)).collect()}
+    assert [left[k].count(p) for k in range(4)] == [1, 0, 0, 0] and "x y x y" in left[4] and "x y" not in left[5]
+
+
 def test_cutting(spark, texts):
     all_, passage = texts
     df = docs_df(spark, all_).withColumnRenamed("lang", "spans").withColumnRenamed("source", "comp")
