@@ -11,6 +11,7 @@ The first document (smallest id) of a class keeps its text, the other occurrence
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -132,14 +133,19 @@ def local_stars(key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(c[own]), pa.array(m[own], mask=new[own])], names=["key", "c", "m"])
 
 
-def _scan_lines(batches):
+def whole_text(line: np.ndarray) -> list[tuple[int, int]]:
+    """The interval of all words of a text, where they are enough for a shingle."""
+    return [(0, len(line))] if len(line) >= SHINGLE else []
+
+
+def _scan_lines(batches, spans_of=lines_of):
     """Keys of all lines: bands (even) with the line's short id, and the short id (odd) with a hash of the document."""
     held: list[tuple] = []
     count = 0
     for b in batches:
         for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
             begin, line = word_places(text)
-            if len(begin) < MIN_WORDS or not (spans := lines_of(line)):
+            if not len(begin) or not (spans := spans_of(line)):
                 continue
             h = word_hashes(text)
             s = runs(h, SHINGLE)
@@ -177,7 +183,7 @@ def bitmap_of(ids: DataFrame, bits: int = BITMAP_BITS) -> bytes:
     return bytes(out)
 
 
-def _scan_wanted(bitmap, sets: bool):
+def _scan_wanted(bitmap, sets: bool, spans_of=lines_of):
     """Lines whose short id may be wanted: (c, node, set of shingles), once a piece, or (c, node, doc_id, th, start, stop)."""
 
     def run(batches):
@@ -187,7 +193,7 @@ def _scan_wanted(bitmap, sets: bool):
             rows = []
             for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
                 begin, line = word_places(text)
-                if len(begin) < MIN_WORDS or not (spans := lines_of(line)):
+                if not len(begin) or not (spans := spans_of(line)):
                     continue
                 h, s = word_hashes(text), None
                 for a, e in spans:
@@ -392,21 +398,21 @@ def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
 
 
-def paragraph_spans(slim: DataFrame) -> DataFrame:
-    """(doc_id, th, start, stop, holder, kept) of the lines that repeat in another document, exactly or nearly.
+def near_contents(slim: DataFrame, spans_of=lines_of) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the contents that ``spans_of`` finds in the texts: sets(c, node, set), components (node, comp) of near ones, ids (c) of those in several documents.
 
     Texts are never shuffled: each step reads them where they are, and a bitmap of bounded size tells which lines the
     step may need. A line that the bitmap lets through by chance finds no partner in the join that follows.
     """
     spark = slim.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = map_arrow(slim, _scan_lines, "key long, c long, m long")
+    keys = map_arrow(slim, partial(_scan_lines, spans_of=spans_of), "key long, c long, m long")
     dealt = keys.repartition(n, F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", "c"))).sortWithinPartitions("key")
     met = cut(map_arrow(dealt, _stars, "key long, c long, m long"))
     stars, exact = met.where("key & 1 = 0"), met.where("key & 1 = 1").select(F.col("key").alias("c"))
     pairs = cut(stars.select(F.greatest("c", "m").alias("u"), F.least("c", "m").alias("v")).distinct())
     needed = pairs.select(F.col("u").alias("c")).union(pairs.select("v"))
-    found = map_arrow(slim, _scan_wanted(spark.sparkContext.broadcast(bitmap_of(needed)), True), "c long, node binary, set binary")
+    found = map_arrow(slim, _scan_wanted(spark.sparkContext.broadcast(bitmap_of(needed)), True, spans_of), "c long, node binary, set binary")
     sets = cut(found.groupBy("c", "node").agg(F.first("set").alias("set")).join(needed.distinct(), "c", "left_semi"))
     one, two = (sets.select(F.col("c").alias(f"c{k}"), F.col("node").alias(f"n{k}"), F.col("set").alias(f"s{k}")) for k in "12")
     # of contents with one short id every two meet, so a chance collision joins nothing by itself
@@ -425,6 +431,22 @@ def paragraph_spans(slim: DataFrame) -> DataFrame:
     more = cut(map_arrow(spread, _blocks, "u binary, v binary").distinct())
     if not more.isEmpty():
         comps = cut(connected_components(links.union(more)))
+    return sets, comps, exact
+
+
+def near_texts(slim: DataFrame) -> DataFrame:
+    """(th, comp) of the whole texts whose shingles have a Jaccard similarity of ``SIMILARITY`` or more to another's, or a chain of them."""
+    sets, comps, _ = near_contents(slim, whole_text)
+    near = sets.select("c", "node").join(comps.select("node"), "node", "left_semi").select("c")
+    wanted = slim.sparkSession.sparkContext.broadcast(bitmap_of(near))
+    texts = map_arrow(slim, _scan_wanted(wanted, False, whole_text), "c long, node binary, doc_id long, th long, start int, stop int").select("th", "node").distinct()
+    return texts.join(comps.withColumnRenamed("node", "k"), F.expr("node = k")).select("th", "comp")
+
+
+def paragraph_spans(slim: DataFrame) -> DataFrame:
+    """(doc_id, th, start, stop, holder, kept) of the lines that repeat in another document, exactly or nearly."""
+    spark = slim.sparkSession
+    sets, comps, exact = near_contents(slim)
     near = sets.select("c", "node").join(comps.select("node"), "node", "left_semi").select("c")
     wanted = spark.sparkContext.broadcast(bitmap_of(exact.union(near)))
     lines = map_arrow(slim, _scan_wanted(wanted, False), "c long, node binary, doc_id long, th long, start int, stop int").drop("c")

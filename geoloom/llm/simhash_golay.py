@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ._common import binary_list, cut, expand_pairs, group_starts, label_min, map_arrow, whole_groups
 from .components import connected_components
+from .paragraph_dedup import near_texts
 
 SEED = 42
 MAX_BITS = 3
@@ -186,6 +187,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with its columns: the one of the smallest doc_id.
 
+    Near are fingerprints within ``MAX_BITS``, and texts whose five-word shingles have a Jaccard similarity of 0.8 or
+    more: most of those differ in more bits. They are found by MinHash bands and verified.
     An id counts before a null one, and of equal ids the text with the smallest hash. Of rows alike in both any one
     stays.
     """
@@ -193,7 +196,9 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     fps = cut(map_arrow(slim, _fingerprints, "doc_id long, fp long, th long"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = cut(fps.groupBy("fp").agg(F.min(key).alias("first")))
-    comps = cut(connected_components(fingerprint_links(first.select("fp"))))
+    # each component of near texts is a node that the fingerprints of its texts link to
+    near = near_texts(slim).join(fps.select(F.col("th").alias("t"), "fp").distinct(), F.expr("th = t")).select(F.col("fp").alias("u"), F.xxhash64("comp").alias("v"))
+    comps = cut(connected_components(fingerprint_links(first.select("fp")).unionByName(near)))
     own = first.join(comps, first.fp == comps.node, "left").select("first", F.coalesce("comp", "fp").alias("comp"))
     keep = own.groupBy("comp").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_gl_d"), F.col("k.th").alias("_gl_t"))
     keyed = docs.withColumn("_gl_h", F.xxhash64(F.col(text).cast("string")))

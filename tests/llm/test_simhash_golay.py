@@ -83,3 +83,19 @@ def test_one_of_a_group_stays(spark):
 def test_empty_table(spark):
     df = docs_df(spark, [])
     assert op.near_duplicates(df).collect() == [] and op.without_near_duplicates(df).collect() == []
+
+
+def test_near_copies_go_whatever_their_bits(spark):
+    rng = random.Random(21)
+    texts, near = [], 0
+    for i in range(30):
+        words = prose(rng, 300).split()
+        edited = list(words)
+        for at in range(20, 20 + 25 * (1 + i % 6), 25):
+            edited[at] = "edited"
+        texts += [" ".join(words), " ".join(edited)]
+        a, b = ({tuple(w[k : k + 5]) for k in range(296)} for w in (words, edited))
+        assert len(a & b) >= 0.8 * len(a | b)
+        near += (simhash(texts[-1]) ^ simhash(texts[-2])).bit_count() <= op.MAX_BITS
+    assert near < 15  # few of them are within three bits
+    assert sorted(r["doc_id"] for r in op.without_near_duplicates(docs_df(spark, texts)).collect()) == list(range(0, 60, 2))
