@@ -24,7 +24,8 @@ from ._common import binary_list, cut, group_starts, label_min, map_arrow, whole
 from .components import connected_components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
-MIN_WORDS = 25
+#: Of a paragraph: the least that has a shingle.
+MIN_WORDS = SHINGLE
 RUN, WINDOW = 25, 18
 BLOCK = 256
 #: Rows of a piece of the input that are put together before a shuffle.

@@ -66,6 +66,14 @@ def test_lines_against_all_pairs(spark, texts):
     assert any(len(x) == 7 for x in classes(all_))
 
 
+def test_short_lines(spark):
+    rng = random.Random(13)
+    five, ten, line = prose(rng, 5), prose(rng, 10), prose(rng, 24)
+    near = " ".join([*line.split()[:-1], "changed"])
+    texts = [f"{five}\n{ten}\n{line}", f"{near}\n{ten}", f"{prose(rng, 9)}\n{five}", "four words are few\na", "four words are few\nb"]
+    assert rows_of(op.repeated_passages(docs_df(spark, texts))) == [(0, 0, 39, True), (1, 0, 34, False), (2, 9, 14, False)]
+
+
 def test_passages(spark, texts):
     all_, passage = texts
     rows = rows_of(op.repeated_passages(docs_df(spark, all_)))
