@@ -4,7 +4,8 @@ Paragraphs are lines of at least ``MIN_WORDS`` words. Equal ones meet by their h
 for recall, with the exact Jaccard similarity of their five-word shingles as the judge. A paragraph that merely
 contains a passage of another has a low similarity, so runs of ``RUN`` equal words, chosen by winnowing, are compared
 too: any passage of ``RUN + WINDOW - 1`` words or more that two documents share has a chosen run in both. Around the
-chosen runs that met the runs at every offset are compared, which gives the whole passage.
+chosen runs that met, where their documents do not go on alike, the runs at every offset are compared, which gives the
+whole passage.
 The first document (smallest id) of a class keeps its text, the other occurrences go.
 """
 
@@ -248,8 +249,31 @@ def _doc_key(d, t: int) -> int:
     return xxhash.xxh3_64_intdigest(b"%d %d" % (t, d or 0) + b"?" * (d is None)) - (1 << 63)
 
 
+#: What is told of a run beside its document: that it met, that it is open to the left, to the right.
+MET_HERE, OPEN_LEFT, OPEN_RIGHT = 1, 2, 4
+CONTEXT = (1 << 30) - 1
+
+
+def _runs_of(key, c, told, own: bool):
+    """(key, least c, told) of each key: flags and, above them, what stands on its left and right (30 bits each).
+
+    A run has met where its c differ (or it did before), and a side is open where what stands there differs.
+    """
+    order = np.lexsort((c, key))
+    key, c, told = key[order], c[order], told[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(start, len(key)))
+    flags = np.bitwise_or.reduceat(told & 7, start)
+    for bit, shift in ((OPEN_LEFT, 3), (OPEN_RIGHT, 33)):
+        side = told >> shift & CONTEXT
+        flags |= bit * np.logical_or.reduceat(side != np.repeat(side[start], size), start)
+    flags |= MET_HERE * (c[start + size - 1] != c[start])
+    use = slice(None) if own else (flags & MET_HERE).astype(bool)
+    return pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (key[start], c[start], told[start] & ~7 | flags)], names=["key", "c", "told"])
+
+
 def _scan_runs(batches):
-    """The chosen runs of each document, once, with a hash of the document: (key, c, m) as in ``local_stars``."""
+    """The chosen runs of each piece of the input, once, as ``_runs_of`` gives them."""
     held: list[tuple] = []
     count = 0
     for b in batches:
@@ -258,55 +282,69 @@ def _scan_runs(batches):
             if len(words) < RUN:
                 continue
             r = runs(words, RUN)
-            own = np.unique(r[winnow(r)]).view(np.int64)
-            held.append((own, np.full(len(own), _doc_key(d, t), np.int64)))
-            count += len(own)
+            at = np.flatnonzero(np.isin(r, r[winnow(r)]))
+            near = (runs(words, WINDOW) >> np.uint64(34)).astype(np.int64)
+            left, right = at >= WINDOW, at + RUN < len(near)  # what a text's end cuts short is open
+            told = OPEN_LEFT * ~left | OPEN_RIGHT * ~right
+            told[left] |= near[at[left] - WINDOW] << 3
+            told[right] |= near[at[right] + RUN] << 33
+            held.append((r[at].view(np.int64), np.full(len(at), _doc_key(d, t), np.int64), told))
+            count += len(at)
             if count >= PIECE:
-                yield local_stars(*map(np.concatenate, zip(*held)))
+                yield _runs_of(*map(np.concatenate, zip(*held)), True)
                 held, count = [], 0
     if held:
-        yield local_stars(*map(np.concatenate, zip(*held)))
+        yield _runs_of(*map(np.concatenate, zip(*held)), True)
+
+
+def _met_of(batches):
+    for t in whole_groups(batches, ["key"]):
+        yield _runs_of(*(t.column(k).to_numpy() for k in ("key", "c", "told")), False)
 
 
 #: Shifts of a run's hash, one for each of the bits that it sets in the bitmap of the runs that met.
 PROBES = (0, 17, 34)
 
 
-def near_places(r: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Places of all runs that begin less than ``WINDOW`` words from a chosen one that may have met.
-
-    A passage begins and ends less than ``WINDOW`` words from a chosen run of it, so every run of it is among them.
-    """
-    at, mask = winnow(r), 8 * len(bits) - 1
-    hit = np.ones(len(at), bool)
+def in_bitmap(r: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    mask, hit = 8 * len(bits) - 1, np.ones(len(r), bool)
     for by in PROBES:
-        x = r[at].view(np.int64) >> (by + 1) & mask
+        x = r.view(np.int64) >> (by + 1) & mask
         hit &= (bits[x >> 3] >> (x & 7) & 1).astype(bool)
-    at = np.flatnonzero(np.isin(r, r[at[hit]])) if hit.any() else at[:0]  # wherever else the document has it, too
+    return hit
+
+
+def near_places(r: np.ndarray, met: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of the chosen runs that may have met, and of all runs less than ``WINDOW`` words away on their open sides.
+
+    A passage begins and ends less than ``WINDOW`` words from a chosen run of it, on an open side. Where all documents
+    with a run have the same ``WINDOW`` words beside it, the next chosen run is common to them too and overlaps it.
+    """
+    at = winnow(r)
+    at = at[in_bitmap(r[at], met)]
+    if not len(at):
+        return at
+    at = np.flatnonzero(np.isin(r, r[at]))  # wherever else the document has it, too
     edge = np.zeros(len(r) + 1, np.int64)
-    np.add.at(edge, np.maximum(at - WINDOW + 1, 0), 1)
-    np.add.at(edge, np.minimum(at + WINDOW, len(r)), -1)
+    np.add.at(edge, np.maximum(at - (WINDOW - 1) * in_bitmap(r[at], left), 0), 1)
+    np.add.at(edge, np.minimum(at + 1 + (WINDOW - 1) * in_bitmap(r[at], right), len(r)), -1)
     return np.flatnonzero(np.cumsum(edge)[:-1])
 
 
-def _scan_near(run_bits, doc_bits):
-    """The runs at ``near_places`` of the documents that may have a run that met, packed by ``_pack_runs``."""
+def _scan_near(bitmaps):
+    """The runs at ``near_places``, packed by ``_pack_runs``."""
 
     def run(batches):
-        bits, docs = (np.frombuffer(x.value, np.uint8) for x in (run_bits, doc_bits))
-        mask = 8 * len(docs) - 1
+        bits = [np.frombuffer(x.value, np.uint8) for x in bitmaps]
         held: list[tuple] = []
         count = 0
         for b in batches:
             for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
-                x = _doc_key(d, t) >> 1 & mask
-                if not docs[x >> 3] >> (x & 7) & 1:
-                    continue
                 words = word_hashes(text)
                 if len(words) < RUN:
                     continue
                 r = runs(words, RUN)
-                at = near_places(r, bits)
+                at = near_places(r, *bits)
                 if not len(at):
                     continue
                 n = len(at)
@@ -462,21 +500,18 @@ def paragraph_spans(slim: DataFrame) -> DataFrame:
 def run_spans(slim: DataFrame) -> DataFrame:
     """(doc_id, th, start, stop, holder, kept) of the runs of the passages that several documents have.
 
-    The chosen runs tell which documents to look at and where; there the runs at every offset are compared, so that a
-    passage is covered from its first word to its last. A run is put together over each piece of the input first, so
+    The chosen runs tell where to look; there the runs at every offset are compared, so that a passage is covered from its first word to its last. A run is put together over each piece of the input first, so
     a very common one reaches the shuffle by run once a piece; the holder of the other occurrences of a piece is the
     piece's first document.
     """
     spark = slim.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = map_arrow(slim, _scan_runs, "key long, c long, m long")
-    dealt = keys.repartition(n, F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", "c"))).sortWithinPartitions("key")
-    met = cut(map_arrow(dealt, _stars, "key long, c long, m long"))
-    count = met.select("key").distinct().count()
-    probes = met.select(F.explode(F.array(*(F.shiftright("key", by) for by in PROBES))).alias("c"))
-    run_bits = spark.sparkContext.broadcast(bitmap_of(probes, min(28, max(16, (32 * count).bit_length()))))
-    doc_bits = spark.sparkContext.broadcast(bitmap_of(met.select("c").union(met.select("m"))))
-    grams = map_arrow(slim, _scan_near(run_bits, doc_bits), "h long, doc_id long, th long, pos long")
+    keys = map_arrow(slim, _scan_runs, "key long, c long, told long").repartition(n, "key").sortWithinPartitions("key")
+    met = cut(map_arrow(keys, _met_of, "key long, c long, told long").select("key", "told"))
+    size = min(28, max(16, (32 * met.count()).bit_length()))
+    probes = met.select("told", F.explode(F.array(*(F.shiftright("key", by) for by in PROBES))).alias("c"))
+    bitmaps = [spark.sparkContext.broadcast(bitmap_of(probes.where(f"told & {bit} > 0"), size)) for bit in (MET_HERE, OPEN_LEFT, OPEN_RIGHT)]
+    grams = map_arrow(slim, _scan_near(bitmaps), "h long, doc_id long, th long, pos long")
     dealt = grams.repartition(n, F.when(F.expr(f"pos & 3 < {OTHER}"), F.col("h")).otherwise(F.xxhash64("th", "pos"))).sortWithinPartitions("h")
     return map_arrow(dealt, _runs_met, "doc_id long, th long, start int, stop int, holder long, kept boolean")
 
