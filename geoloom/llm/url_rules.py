@@ -7,6 +7,7 @@ those fits either, the URL is allowed.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import product
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -41,14 +42,14 @@ def fixed_rule(host_col, path_col, rules=FIXED):
 
 
 def tokens(host_col, path_col, url):
-    """Distinct tokens of a URL: host suffixes up to three labels, host labels, three path segments, query names."""
+    """Distinct tokens of a URL: host suffixes up to three labels, and all host labels, path segments and query names."""
     labels = F.split(host_col, r"\.")
     n = F.size(labels)
     tail = [F.concat(F.lit("suffix "), F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")) for k in (1, 2, 3)]
-    each = F.transform(F.slice(labels, 1, 3), lambda x: F.concat(F.lit("host "), x))
+    each = F.transform(labels, lambda x: F.concat(F.lit("host "), x))
     segments = F.filter(F.split(path_col, "/"), lambda x: x != "")
-    parts = F.transform(F.slice(segments, 1, 3), lambda x: F.concat(F.lit("path "), F.regexp_replace(F.substring(x, 1, 64), r"\d+", "0")))
-    names = F.transform(F.slice(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]{1,64})"), F.lit(1)), 1, 4), lambda x: F.concat(F.lit("query "), x))
+    parts = F.transform(segments, lambda x: F.concat(F.lit("path "), F.regexp_replace(x, r"\d+", "0")))
+    names = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("query "), x))
     scheme = F.array(F.concat(F.lit("scheme "), F.substring(F.split_part(F.coalesce(url, F.lit("")), F.lit("://"), F.lit(1)), 1, 16)))
     return F.array_distinct(F.concat(F.array(*tail), each, parts, names, scheme))
 
@@ -62,9 +63,11 @@ def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFID
     """
     u = F.col("url")
     items = labelled.select(F.array_append(tokens(host(u), path(u), u), F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
-    items = cut(items)
-    if items.isEmpty():
+    items = cut(items.withColumn("row", F.monotonically_increasing_id()))
+    alike = _alike(items, min_support * items.count())
+    if not alike:
         return []
+    items = map_arrow(items, _firsts(alike), "items array<string>")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW)).where(F.col("lift") >= min_lift)
     rules = rules.where(~F.array_contains("antecedent", BLOCK) & ~F.array_contains("antecedent", ALLOW))
@@ -73,9 +76,28 @@ def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFID
     rows: list[tuple] = []
     for n in sorted(r["n"] for r in rules.select("n").distinct().collect()):
         rows += map(tuple, map_arrow(rules.where(F.col("n") == n).drop("n"), _minimal(rows), "t array<string>, v string, confidence double, support double").collect())
+    rows = [(sorted(x), *r[1:]) for r in rows for x in product(*(alike[t] for t in r[0]))]
     return sorted(rows, key=lambda r: (-r[2], -r[3], len(r[0]), r[0], r[1]))
 
 
+def _alike(items: DataFrame, least: float) -> dict[str, list[str]]:
+    """Frequent tokens that stand in the same rows, by the first of them: no rule needs two, and each may take the other's place."""
+    each = items.select(F.explode("items").alias("t"), F.xxhash64("row").cast("decimal(20,0)").alias("h")).where(~F.col("t").isin(BLOCK, ALLOW))
+    found: dict[tuple, list[str]] = defaultdict(list)
+    for r in each.groupBy("t").agg(F.count("*").alias("n"), F.sum("h").alias("h")).where(F.col("n") >= least).collect():
+        found[r["n"], r["h"]].append(r["t"])
+    return {min(x): sorted(x) for x in found.values()}
+
+
+def _firsts(alike: dict[str, list[str]]):
+    def run(batches):
+        for b in batches:
+            rows = [[t for t in x if t in alike or t in (BLOCK, ALLOW)] for x in b.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["items"])
+
+    return run
+
+
 def _minimal(kept: list[tuple]):
     """Passes on the rules that hold no rule of ``kept`` with the same verdict and no less confidence."""
 

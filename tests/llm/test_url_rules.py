@@ -64,6 +64,15 @@ def test_no_rule_is_lost_behind_redundant_ones(spark):
         assert not any(set(x) < set(t) and w == v and d >= c for x, w, d, _ in rules)
 
 
+def test_tokens_anywhere_in_a_url(spark):
+    urls = []
+    for i in range(300):
+        deep, query = "win" if i % 3 == 0 else "news", "&".join(f"q{k}=1" for k in range(5)) + f"&{'ref' if i % 3 == 1 else 'page'}=1"
+        urls.append(f"http://h.a.net/s/t/u/v/{deep}?{query}")
+    got = {r["page_id"]: r["verdict"] for r in op.judge(*tables(spark, urls, [(i, int(i % 3 == 2), 0) for i in range(200)])).collect()}
+    assert got == {i: "allow" if i % 3 == 2 else "block" for i in range(300)}
+
+
 def test_empty(spark):
     assert op.judge(*tables(spark, [], [])).collect() == []
     assert op.judge(*tables(spark, [], [(1, 1, 0)])).collect() == []
