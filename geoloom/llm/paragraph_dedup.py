@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from ._common import binary_list, cut, group_starts, label_min, map_arrow, whole_groups
+from ._common import binary_list, cut, forget, group_starts, label_min, map_arrow, whole_groups
 from .components import connected_components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -486,6 +486,7 @@ def paragraph_spans(slim: DataFrame) -> DataFrame:
     """(doc_id, th, start, stop, holder, kept) of the lines that repeat in another document, exactly or nearly."""
     spark = slim.sparkSession
     sets, comps, exact = near_contents(slim)
+    forget(spark)
     near = sets.select("c", "node").join(comps.select("node"), "node", "left_semi").select("c")
     wanted = spark.sparkContext.broadcast(bitmap_of(exact.union(near)))
     lines = map_arrow(slim, _scan_wanted(wanted, False), "c long, node binary, doc_id long, th long, start int, stop int").drop("c")
@@ -508,6 +509,8 @@ def run_spans(slim: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = map_arrow(slim, _scan_runs, "key long, c long, told long").repartition(n, "key").sortWithinPartitions("key")
     met = cut(map_arrow(keys, _met_of, "key long, c long, told long").select("key", "told"))
+    del keys
+    forget(spark)
     size = min(28, max(16, (32 * met.count()).bit_length()))
     probes = met.select("told", F.explode(F.array(*(F.shiftright("key", by) for by in PROBES))).alias("c"))
     bitmaps = [spark.sparkContext.broadcast(bitmap_of(probes.where(f"told & {bit} > 0"), size)) for bit in (MET_HERE, OPEN_LEFT, OPEN_RIGHT)]
