@@ -1,12 +1,16 @@
 """Substring de-duplication: paragraphs by MinHash banding, and passages inside them by winnowed word runs.
 
 Paragraphs are lines of at least ``MIN_WORDS`` words. Equal ones meet by their hash; near ones by MinHash bands, tuned
-for recall, with the exact Jaccard similarity of their five-word shingles as the judge. A paragraph that merely
-contains a passage of another has a low similarity, so runs of ``RUN`` equal words, chosen by winnowing, are compared
-too: any passage of ``RUN + WINDOW - 1`` words or more that two documents share has a chosen run in both. Around the
-chosen runs that met, where their documents do not go on alike, the runs at every offset are compared, which gives the
-whole passage.
-The first document (smallest id) of a class keeps its text, the other occurrences go.
+for recall (lines of few shingles by pairs of their least shingles, which loses none), with the exact Jaccard similarity
+of their five-word shingles as the judge; removals are clustered by connected components, and the first line of a class stays.
+
+A paragraph that merely contains a passage of another has a low similarity. So, as a second step, runs of ``RUN`` equal
+words, chosen by winnowing, are compared: any passage of ``RUN + WINDOW - 1`` words or more that two documents share has
+a chosen run in both. Around the chosen runs that met, where their documents do not go on alike, the runs at every offset
+are compared, which gives the whole passage.
+
+Nothing vanishes: what goes as part of a passage stands word for word in the passage's first document, and what others
+need there stays there, also where a removed paragraph holds it.
 """
 
 from __future__ import annotations
@@ -31,9 +35,11 @@ RUN, WINDOW = 25, 18
 BLOCK = 256
 #: Rows of a piece of the input that are put together before a shuffle.
 PIECE = 1 << 20
-#: Of the bitmaps of wanted lines: 8 MB.
-BITMAP_BITS = 26
-ROWS = 4
+ROWS = 3
+#: Lines of so many shingles and more get bands, those of up to so many distinct ones pairs of their least shingles; what is in both meets both.
+BANDED, FEW = 20, 23
+#: Bits of a filter of wanted lines or runs: so many for each of them, within these bounds (8 KB to 32 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 28
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -82,14 +88,48 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: bytes) -> np.ndarray:
     words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) & np.uint64(0xFFFFFFFF)
 
 
-def lines_of(line: np.ndarray, least: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Word intervals of the lines with enough words."""
+def lines_of(line: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First words, and ends, of the lines with enough words."""
     edges = np.concatenate(([0], np.flatnonzero(np.diff(line)) + 1, [len(line)]))
     long = np.flatnonzero(np.diff(edges) >= least)
-    return list(zip(edges[long].tolist(), edges[long + 1].tolist()))
+    return edges[long], edges[long + 1]
+
+
+def whole_text(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The interval of all words of a text, where they are enough for a shingle."""
+    k = len(line) >= SHINGLE
+    return np.zeros(int(k), np.int64), np.full(int(k), len(line))
+
+
+def content_id(h: np.ndarray) -> tuple[int, bytes]:
+    """(short id: an odd long, whole id: 16 bytes) of a line with the word hashes ``h``."""
+    whole = xxhash.xxh3_128_digest(h.tobytes())
+    return int.from_bytes(whole[:8], "little", signed=True) | 1, whole
+
+
+def _scan_words(batches, spans_of=lines_of):
+    """Each text with words: 32 bits of each word's hash, the intervals of its lines and their short ids."""
+    for b in batches:
+        keep, rows = [], []
+        for k, text in enumerate(binary_list(b.column("text"))):
+            h = word_hashes(text)
+            if not len(h):
+                continue
+            lo, hi = spans_of(word_places(text)[1])
+            ids = np.array([content_id(h[a:e])[0] for a, e in zip(lo.tolist(), hi.tolist())], np.int64)
+            keep.append(k)
+            rows.append((h.astype(np.uint32).tobytes(), lo.astype(np.int32).tobytes(), hi.astype(np.int32).tobytes(), ids.tobytes()))
+        own = [b.column(c).take(pa.array(keep, pa.int32())) for c in ("x", "d", "th")]
+        yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))], names=["x", "d", "th", "h", "lo", "hi", "c"])
+
+
+def _texts(b: pa.RecordBatch):
+    """(x, d, th, word hashes, line starts, line ends, line ids) of each row that ``_scan_words`` gave."""
+    for x, d, th, *raw in zip(*(b.column(c).to_pylist() for c in ("x", "d", "th", "h", "lo", "hi", "c"))):
+        yield x, d, th, *(np.frombuffer(r, k) for r, k in zip(raw, (np.uint32, np.int32, np.int32, np.int64)))
 
 
 def band_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -105,6 +145,63 @@ def band_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return key.T
 
 
+def least_keys(shingles: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, key) for consecutive groups of shingle hashes with up to ``FEW`` distinct ones, none for others.
+
+    Two sets of n and m shingles with a similarity of 0.8 or more have the two least of their common shingles among
+    the least n - ceil(0.8 n) + 2 of the one and, likewise, of the other, so pairs of these are keys. Up to three
+    shingles only equal sets are that similar.
+    """
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(shingles))))
+    order = np.lexsort((shingles, group))
+    s, g = shingles[order], group[order]
+    own = np.ones(len(s), bool)
+    own[1:] = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
+    s, g = s[own], g[own]
+    n = np.bincount(g, minlength=len(starts))
+    first = np.cumsum(n) - n
+    use = (n > 3) & (n <= FEW)
+    small = (n > 0) & (n <= 3)
+    groups, keys = [np.flatnonzero(small)], []
+    total = np.add.reduceat(mix(s), np.minimum(first, max(len(s) - 1, 0))) if len(s) else np.zeros(len(starts), np.uint64)
+    keys.append(mix(total[small] + n[small].astype(np.uint64)))
+    width = n - (4 * n + 4) // 5 + 2
+    for k in range(2, int(width[use].max(initial=1)) + 1):  # pairs (j, k - 1) of places
+        at = np.flatnonzero(use & (width >= k))
+        two = s[first[at] + k - 1]
+        for j in range(k - 1):
+            groups.append(at)
+            keys.append(mix(s[first[at] + j] * BASE + two))
+    return np.concatenate(groups), np.concatenate(keys)
+
+
+def line_keys(shingles: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, key) of consecutive groups of shingle hashes, by bands or least shingles."""
+    size = np.diff(np.append(starts, len(shingles)))
+    few = size <= FEW
+    long = np.flatnonzero(~few)
+    if len(long):  # up to FEW distinct shingles only where the first FEW + 1 hold equal ones
+        head = np.sort(shingles[starts[long][:, None] + np.arange(FEW + 1)], axis=1)
+        few[long[(head[:, 1:] == head[:, :-1]).any(1)]] = True
+    banded = np.flatnonzero(size >= BANDED)
+    groups, keys = [], []
+    for at, how in ((banded, "bands"), (np.flatnonzero(few), "least")):
+        if not len(at):
+            continue
+        own, off = shingles, starts
+        if len(at) < len(starts):
+            own = shingles[np.repeat(np.isin(np.arange(len(starts)), at), size)]
+            off = np.cumsum(size[at]) - size[at]
+        if how == "bands":
+            groups.append(np.repeat(at, BANDS))
+            keys.append(band_keys(own, off).ravel())
+        else:
+            g, k = least_keys(own, off)
+            groups.append(at[g])
+            keys.append(k)
+    return np.concatenate(groups), np.concatenate(keys)
+
+
 def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places of the least hash of each window (the first of equals)."""
     n = len(h)
@@ -114,14 +211,17 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(view.argmin(1) + np.arange(len(view)))
 
 
-def content_id(h: np.ndarray) -> tuple[int, bytes]:
-    """(short id: an odd long, whole id: 16 bytes) of a line with the word hashes ``h``."""
-    whole = xxhash.xxh3_128_digest(h.tobytes())
-    return int.from_bytes(whole[:8], "little", signed=True) | 1, whole
+def everywhere(r: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """All places of the runs that stand at ``at``, in order."""
+    if not len(at):
+        return at
+    found = np.sort(r[at])
+    k = np.minimum(np.searchsorted(found, r), len(found) - 1)
+    return np.flatnonzero(found[k] == r)
 
 
-def local_stars(key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    """Rows (key, c, m) of a piece of the input: m is the least c of the key, and null in the one row of that least c.
+def local_stars(key: np.ndarray, c: np.ndarray, kind: int = 0) -> pa.RecordBatch:
+    """Rows (kind, key, c, m) of a piece of the input: m is the least c of the key, and null in the one row of that least c.
 
     Whatever else a key holds is linked to m here, so a key reaches the shuffle by key once a piece, however many rows it has.
     """
@@ -132,49 +232,122 @@ def local_stars(key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     own = new.copy()
     own[1:] |= c[1:] != c[:-1]
     m = c[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-    return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(c[own]), pa.array(m[own], mask=new[own])], names=["key", "c", "m"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(int(own.sum()), kind, np.int8)), pa.array(key[own]), pa.array(c[own]), pa.array(m[own], mask=new[own])], names=["kind", "key", "c", "m"])
 
 
-def whole_text(line: np.ndarray) -> list[tuple[int, int]]:
-    """The interval of all words of a text, where they are enough for a shingle."""
-    return [(0, len(line))] if len(line) >= SHINGLE else []
+def _doc_key(x: int, d: int, t: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d %d %d" % (x, d, t)) - (1 << 63)
+
+
+#: What is told of a run beside its document: that it met, that it is open to the left, to the right.
+MET_HERE, OPEN_LEFT, OPEN_RIGHT = 1, 2, 4
+CONTEXT = (1 << 30) - 1
+#: Kinds of keys: bands and least shingles with a line's short id; short ids with a document; runs with what is told of them.
+BUCKET, LINE, CHOSEN = range(3)
 
 
-def _scan_lines(batches, spans_of=lines_of):
-    """Keys of all lines: bands (even) with the line's short id, and the short id (odd) with a hash of the document."""
-    held: list[tuple] = []
+def _runs_of(key, c, told, own: bool):
+    """(kind, key, least c, told) of each key: flags and, above them, what stands on its left and right (30 bits each).
+
+    A run has met where its c differ (or it did before), and a side is open where what stands there differs.
+    """
+    order = np.lexsort((c, key))
+    key, c, told = key[order], c[order], told[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(start, len(key)))
+    flags = np.bitwise_or.reduceat(told & 7, start)
+    for bit, shift in ((OPEN_LEFT, 3), (OPEN_RIGHT, 33)):
+        side = told >> shift & CONTEXT
+        flags |= bit * np.logical_or.reduceat(side != np.repeat(side[start], size), start)
+    flags |= MET_HERE * (c[start + size - 1] != c[start])
+    use = slice(None) if own else (flags & MET_HERE).astype(bool)
+    columns = [key[start][use], c[start][use], (told[start] & ~7 | flags)[use]]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), CHOSEN, np.int8)), *map(pa.array, columns)], names=["kind", "key", "c", "m"])
+
+
+def chosen_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, told) at all places of the chosen runs of a text."""
+    r = runs(words, RUN)
+    at = everywhere(r, winnow(r))
+    near = (runs(words, WINDOW) >> np.uint64(34)).astype(np.int64)
+    left, right = at >= WINDOW, at + RUN < len(near)  # what a text's end cuts short is open
+    told = OPEN_LEFT * ~left | OPEN_RIGHT * ~right
+    told[left] |= near[at[left] - WINDOW] << 3
+    told[right] |= near[at[right] + RUN] << 33
+    return r[at].view(np.int64), told
+
+
+def _scan_keys(batches, with_runs: bool = True):
+    """Keys of all lines and the chosen runs, once a piece of the input: (kind, key, c, m)."""
+    held: tuple[list, list, list] = ([], [], [])
     count = 0
+
+    def pieces():
+        for kind, rows in enumerate(held):
+            if rows:
+                columns = map(np.concatenate, zip(*rows))
+                yield _runs_of(*columns, True) if kind == CHOSEN else local_stars(*columns, kind)
+                rows.clear()
+
     for b in batches:
-        for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
-            begin, line = word_places(text)
-            if not len(begin) or not (spans := spans_of(line)):
+        shingles, sizes, names = [], [], []
+        for x, d, t, h, lo, hi, ids in _texts(b):
+            words = h.astype(np.uint64)
+            key = _doc_key(x, d, t)
+            if len(lo):
+                s = runs(words, SHINGLE)
+                n = hi - lo - SHINGLE + 1
+                whole = len(lo) == 1 and n[0] == len(s)
+                shingles.append(s if whole else s[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+                sizes.append(n)
+                names.append(ids)
+                held[LINE].append((ids, np.full(len(ids), key, np.int64)))
+                count += len(ids)
+            if with_runs and len(words) >= RUN:
+                r, told = chosen_runs(words)
+                held[CHOSEN].append((r, np.full(len(r), key, np.int64), told))
+                count += len(r)
+            if sum(map(len, shingles)) >= 1 << 18 or count >= PIECE:
+                count += _line_rows(shingles, sizes, names, held[BUCKET])
+                if count >= PIECE:
+                    yield from pieces()
+                    count = 0
+        count += _line_rows(shingles, sizes, names, held[BUCKET])
+        if count >= PIECE:
+            yield from pieces()
+            count = 0
+    yield from pieces()
+
+
+def _line_rows(shingles: list, sizes: list, names: list, out: list) -> int:
+    if not shingles:
+        return 0
+    n = np.concatenate(sizes).astype(np.int64)
+    group, key = line_keys(np.concatenate(shingles), np.cumsum(n) - n)
+    out.append((key.view(np.int64), np.concatenate(names)[group]))
+    for x in (shingles, sizes, names):
+        x.clear()
+    return len(key)
+
+
+def _meet(batches):
+    """Of lines: the rows that hold more than one thing for a key, each with what it is linked to; of runs: those that met."""
+    for t in whole_groups(batches, ["kind", "key"]):
+        kinds = t.column("kind").to_numpy()
+        for kind in np.unique(kinds).tolist():
+            own = t.filter(pa.array(kinds == kind))
+            if kind == CHOSEN:
+                yield _runs_of(*(own.column(k).to_numpy() for k in ("key", "c", "m")), False)
                 continue
-            h = word_hashes(text)
-            s = runs(h, SHINGLE)
-            sizes = np.array([e - a - SHINGLE + 1 for a, e in spans])
-            keys = band_keys(np.concatenate([s[a : e - SHINGLE + 1] for a, e in spans]), np.cumsum(sizes) - sizes).view(np.int64) & -2
-            ids = np.array([content_id(h[a:e])[0] for a, e in spans], np.int64)
-            held += [(keys.ravel(), np.repeat(ids, BANDS)), (ids, np.full(len(ids), _doc_key(d, t), np.int64))]
-            count += keys.size + len(ids)
-            if count >= PIECE:
-                yield local_stars(*map(np.concatenate, zip(*held)))
-                held, count = [], 0
-    if held:
-        yield local_stars(*map(np.concatenate, zip(*held)))
-
-
-def _stars(batches):
-    """The rows that hold more than one thing for a key, each with what it is linked to: (key, c, m)."""
-    for t in whole_groups(batches, ["key"]):
-        linked = np.asarray(t.column("m").is_valid())
-        yield from t.filter(pa.array(linked)).to_batches()
-        rest = t.filter(pa.array(~linked))
-        if rest.num_rows:
-            found = local_stars(rest.column("key").to_numpy(), rest.column("c").to_numpy())
-            yield found.filter(found.column("m").is_valid())
-
-
-def bitmap_of(ids: DataFrame, bits: int = BITMAP_BITS) -> bytes:
+            linked = np.asarray(own.column("m").is_valid())
+            yield from own.filter(pa.array(linked)).to_batches()
+            rest = own.filter(pa.array(~linked))
+            if rest.num_rows:
+                found = local_stars(rest.column("key").to_numpy(), rest.column("c").to_numpy(), kind)
+                yield found.filter(found.column("m").is_valid())
+
+
+def bitmap_of(ids: DataFrame, bits: int) -> bytes:
     """A bit for each value that the long column ``c`` of ``ids`` has, by its lowest bits but one; 2 ** (bits - 3) bytes at most."""
     at = F.shiftright("c", 1).bitwiseAND(F.lit((1 << bits) - 1))
     parts = ids.select(at.alias("x")).groupBy(F.shiftright("x", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("x").bitwiseAND(F.lit(32767))).alias("part")).collect()
@@ -185,121 +358,56 @@ def bitmap_of(ids: DataFrame, bits: int = BITMAP_BITS) -> bytes:
     return bytes(out)
 
 
-def _scan_wanted(bitmap, sets: bool, spans_of=lines_of):
-    """Lines whose short id may be wanted: (c, node, set of shingles), once a piece, or (c, node, doc_id, th, start, stop)."""
+def filter_bits(n: int) -> int:
+    """Bits of a filter of n values, as a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
+
+
+def filter_of(ids: DataFrame):
+    """The bitmap of a written frame's column ``c``, broadcast."""
+    return ids.sparkSession.sparkContext.broadcast(bitmap_of(ids, filter_bits(ids.count())))
+
+
+def wanted(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = ids >> 1 & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def _wanted_sets(bitmap):
+    """(c, node, set of shingles) of the lines whose short id may be wanted, once a piece."""
 
     def run(batches):
-        bits = np.frombuffer(bitmap.value, np.uint8)
-        mask, seen = 8 * len(bits) - 1, set()
+        bits, seen = np.frombuffer(bitmap.value, np.uint8), set()
         for b in batches:
             rows = []
-            for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
-                begin, line = word_places(text)
-                if not len(begin) or not (spans := spans_of(line)):
-                    continue
-                h, s = word_hashes(text), None
-                for a, e in spans:
-                    c, node = content_id(h[a:e])
-                    x = c >> 1 & mask
-                    if not bits[x >> 3] >> (x & 7) & 1:
-                        continue
-                    if not sets:
-                        rows.append((c, node, d, t, a, e))
-                    elif node not in seen:
+            for *_, h, lo, hi, ids in _texts(b):
+                for k in np.flatnonzero(wanted(ids, bits)).tolist():
+                    own = h[lo[k] : hi[k]].astype(np.uint64)
+                    c, node = content_id(own)
+                    if node not in seen:
                         seen.add(node)
-                        s = runs(h, SHINGLE) if s is None else s
-                        rows.append((c, node, np.unique(s[a : e - SHINGLE + 1]).tobytes()))
+                        rows.append((c, node, np.unique(runs(own, SHINGLE)).tobytes()))
             if len(seen) > 100_000:
                 seen.clear()
-            kinds = (pa.int64(), pa.binary(), pa.binary()) if sets else (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            names = ["c", "node", "set"] if sets else ["c", "node", "doc_id", "th", "start", "stop"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["c", "node", "set"])
 
     return run
 
 
-ALONE, MET, OTHER, OTHER_OF_NULL = range(4)
-
-
-def first_of_runs(h, h2, doc, valid, th, start):
-    """Sorted order of the rows by run, then document and place; for each row in it whether its run begins there, the first row's place, whether it is another document than that, whether it is a later place in the same one."""
-    order = np.lexsort((start, th, doc, valid, h2, h))
-    key = [x[order] for x in (h, h2)]
-    new = np.ones(len(order), bool)
-    new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    a, b = order, order[first]
-    other = (doc[a] != doc[b]) | (th[a] != th[b]) | (valid[a] != valid[b])
-    return order, new, first, other, ~other & (start[a] - start[b] >= RUN)  # what overlaps the first place is no place by itself
-
-
-def _pack_runs(h, h2, doc, valid, th, start) -> pa.RecordBatch:
-    """Each run of a piece of the input in its first document, and its other documents with that one's id in place of the run."""
-    order, new, first, other, later = first_of_runs(h, h2, doc, valid, th, start)
-    met = np.zeros(len(order), bool)
-    met[first[other]] = True
-    use = new | other | later
-    at, lead = order[use], order[first[use]]
-    kind = np.where(other[use], np.where(valid[lead], OTHER, OTHER_OF_NULL), np.where(met[use], MET, ALONE))
-    pos = h2[at] << 34 | start[at] << 2 | kind
-    return pa.RecordBatch.from_arrays([pa.array(np.where(other[use], doc[lead], h[at])), pa.array(doc[at], mask=~valid[at]), pa.array(th[at]), pa.array(pos)], names=["h", "doc_id", "th", "pos"])
-
-
-def _doc_key(d, t: int) -> int:
-    return xxhash.xxh3_64_intdigest(b"%d %d" % (t, d or 0) + b"?" * (d is None)) - (1 << 63)
-
-
-#: What is told of a run beside its document: that it met, that it is open to the left, to the right.
-MET_HERE, OPEN_LEFT, OPEN_RIGHT = 1, 2, 4
-CONTEXT = (1 << 30) - 1
-
-
-def _runs_of(key, c, told, own: bool):
-    """(key, least c, told) of each key: flags and, above them, what stands on its left and right (30 bits each).
-
-    A run has met where its c differ (or it did before), and a side is open where what stands there differs.
-    """
-    order = np.lexsort((c, key))
-    key, c, told = key[order], c[order], told[order]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(start, len(key)))
-    flags = np.bitwise_or.reduceat(told & 7, start)
-    for bit, shift in ((OPEN_LEFT, 3), (OPEN_RIGHT, 33)):
-        side = told >> shift & CONTEXT
-        flags |= bit * np.logical_or.reduceat(side != np.repeat(side[start], size), start)
-    flags |= MET_HERE * (c[start + size - 1] != c[start])
-    use = slice(None) if own else (flags & MET_HERE).astype(bool)
-    return pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (key[start], c[start], told[start] & ~7 | flags)], names=["key", "c", "told"])
+def _wanted_places(bitmap):
+    """(node, x, d, th, start, stop) of the lines whose short id may be wanted."""
 
+    def run(batches):
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for b in batches:
+            rows = []
+            for x, d, th, h, lo, hi, ids in _texts(b):
+                for k in np.flatnonzero(wanted(ids, bits)).tolist():
+                    rows.append((content_id(h[lo[k] : hi[k]].astype(np.uint64))[1], x, d, th, int(lo[k]), int(hi[k])))
+            kinds = (pa.binary(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["node", "x", "d", "th", "start", "stop"])
 
-def _scan_runs(batches):
-    """The chosen runs of each piece of the input, once, as ``_runs_of`` gives them."""
-    held: list[tuple] = []
-    count = 0
-    for b in batches:
-        for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
-            words = word_hashes(text)
-            if len(words) < RUN:
-                continue
-            r = runs(words, RUN)
-            at = np.flatnonzero(np.isin(r, r[winnow(r)]))
-            near = (runs(words, WINDOW) >> np.uint64(34)).astype(np.int64)
-            left, right = at >= WINDOW, at + RUN < len(near)  # what a text's end cuts short is open
-            told = OPEN_LEFT * ~left | OPEN_RIGHT * ~right
-            told[left] |= near[at[left] - WINDOW] << 3
-            told[right] |= near[at[right] + RUN] << 33
-            held.append((r[at].view(np.int64), np.full(len(at), _doc_key(d, t), np.int64), told))
-            count += len(at)
-            if count >= PIECE:
-                yield _runs_of(*map(np.concatenate, zip(*held)), True)
-                held, count = [], 0
-    if held:
-        yield _runs_of(*map(np.concatenate, zip(*held)), True)
-
-
-def _met_of(batches):
-    for t in whole_groups(batches, ["key"]):
-        yield _runs_of(*(t.column(k).to_numpy() for k in ("key", "c", "told")), False)
+    return run
 
 
 #: Shifts of a run's hash, one for each of the bits that it sets in the bitmap of the runs that met.
@@ -324,63 +432,73 @@ def near_places(r: np.ndarray, met: np.ndarray, left: np.ndarray, right: np.ndar
     at = at[in_bitmap(r[at], met)]
     if not len(at):
         return at
-    at = np.flatnonzero(np.isin(r, r[at]))  # wherever else the document has it, too
+    at = everywhere(r, at)  # wherever else the document has it, too
     edge = np.zeros(len(r) + 1, np.int64)
     np.add.at(edge, np.maximum(at - (WINDOW - 1) * in_bitmap(r[at], left), 0), 1)
     np.add.at(edge, np.minimum(at + 1 + (WINDOW - 1) * in_bitmap(r[at], right), len(r)), -1)
     return np.flatnonzero(np.cumsum(edge)[:-1])
 
 
-def _scan_near(bitmaps):
-    """The runs at ``near_places``, packed by ``_pack_runs``."""
+#: Of a run's place in a piece of the input: not its first one; the first; the first, and another document has it too.
+LATER, LEAD, LEAD_MET = range(3)
+
+
+def _leads(h, h2, x, d, th, start):
+    """(order by run, document and place; where a run begins in it; whether a run is in several documents, by row of the order)."""
+    order = np.lexsort((start, th, d, x, h2, h))
+    key = [c[order] for c in (h, h2)]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
+    first = np.flatnonzero(new)
+    own = [c[order] for c in (x, d, th)]
+    other = np.logical_or.reduce([c != np.repeat(c[first], np.diff(np.append(first, len(order)))) for c in own])
+    return order, new, np.repeat(np.logical_or.reduceat(other, first), np.diff(np.append(first, len(order))))
+
+
+def _scan_places(bitmaps):
+    """(h, h2, x, d, th, start, lead) of the runs at ``near_places``."""
 
     def run(batches):
         bits = [np.frombuffer(x.value, np.uint8) for x in bitmaps]
         held: list[tuple] = []
         count = 0
+
+        def piece():
+            columns = [np.concatenate(c) for c in zip(*held)]
+            order, new, met = _leads(*columns)
+            lead = np.where(new, np.where(met, LEAD_MET, LEAD), LATER).astype(np.int8)
+            return pa.RecordBatch.from_arrays([*(pa.array(c[order]) for c in columns), pa.array(lead)], names=["h", "h2", "x", "d", "th", "start", "lead"])
+
         for b in batches:
-            for d, t, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text"))):
-                words = word_hashes(text)
-                if len(words) < RUN:
+            for x, d, th, h, *_ in _texts(b):
+                if len(h) < RUN:
                     continue
+                words = h.astype(np.uint64)
                 r = runs(words, RUN)
                 at = near_places(r, *bits)
                 if not len(at):
                     continue
                 n = len(at)
-                h2 = (runs(words, RUN, BASE2)[at] >> np.uint64(35)).astype(np.int64)
-                held.append((r[at].view(np.int64), h2, np.full(n, d or 0, np.int64), np.full(n, d is not None), np.full(n, t, np.int64), at.astype(np.int64)))
+                held.append((r[at].view(np.int64), runs(words, RUN, BASE2)[at].view(np.int64), np.full(n, x, np.int8), np.full(n, d, np.int64), np.full(n, th, np.int64), at.astype(np.int32)))
                 count += n
                 if count >= PIECE:
-                    yield _pack_runs(*map(np.concatenate, zip(*held)))
+                    yield piece()
                     held, count = [], 0
         if held:
-            yield _pack_runs(*map(np.concatenate, zip(*held)))
+            yield piece()
 
     return run
 
 
-def _runs_met(batches):
-    """(doc_id, th, start, stop, holder, kept) of the runs that several documents have."""
+def _firsts(batches):
+    """(h, h2, fx, fd, fth, fstart): the first place of each run that several documents have."""
     for t in whole_groups(batches, ["h"]):
-        h, th, pos = (t.column(c).to_numpy() for c in ("h", "th", "pos"))
-        valid, doc = np.asarray(t.column("doc_id").is_valid()), t.column("doc_id").fill_null(0).to_numpy()
-        kind, start = pos & 3, pos >> 2 & 0xFFFFFFFF
-        done = np.flatnonzero(kind >= OTHER)
-        rows = [(done, h[done], kind[done] == OTHER, np.zeros(len(done), bool))]
-        at = np.flatnonzero(kind < OTHER)
-        if len(at):
-            order, new, first, other, later = first_of_runs(h[at], pos[at] >> 34, doc[at], valid[at], th[at], start[at])
-            met = kind[at][order] == MET
-            shared = np.zeros(len(order), bool)
-            np.logical_or.at(shared, first, other | met)
-            use = other | ((new | later) & shared[first])
-            here, lead = at[order[use]], at[order[first[use]]]
-            rows.append((here, doc[lead], valid[lead], new[use]))
-        x, holder, has, kept = (np.concatenate(c) for c in zip(*rows))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[x], mask=~valid[x]), pa.array(th[x]), pa.array(start[x].astype(np.int32)), pa.array((start[x] + RUN).astype(np.int32)), pa.array(holder, mask=~has), pa.array(kept)], names=["doc_id", "th", "start", "stop", "holder", "kept"]
-        )
+        columns = [t.column(c).to_numpy() for c in ("h", "h2", "x", "d", "th", "start")]
+        lead = t.column("lead").to_numpy()
+        order, new, met = _leads(*columns)
+        at = np.flatnonzero(new)
+        met = met[at] | np.logical_or.reduceat(lead[order] == LEAD_MET, at)
+        yield pa.RecordBatch.from_arrays([pa.array(c[order][at][met]) for c in columns], names=["h", "h2", "fx", "fd", "fth", "fstart"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -433,134 +551,266 @@ def _blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
 
+#: The order of documents: null ids first, then by id and hash of the text.
+DOC = ["x", "d", "th"]
+
+
 def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    """(x, d, th, text): x is 0 and d is 0 for a null id, th is the text's hash."""
+    d = F.col(doc_id).cast("long")
+    slim = docs.select(d.isNotNull().cast("byte").alias("x"), F.coalesce(d, F.lit(0)).cast("long").alias("d"), F.col(text).cast("string").alias("text"))
+    return slim.select("x", "d", F.xxhash64("text").alias("th"), "text")
+
+
+def words_of(slim: DataFrame, spans_of=lines_of) -> DataFrame:
+    """The texts as hashes of words with their lines, in the shared folder; no later step reads a text again."""
+    return cut(map_arrow(slim, partial(_scan_words, spans_of=spans_of), "x byte, d long, th long, h binary, lo binary, hi binary, c binary"))
+
 
+def keys_met(words: DataFrame, with_runs: bool = True) -> DataFrame:
+    """(kind, key, c, m) of the buckets and lines that hold several things, and of the chosen runs of several documents."""
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = map_arrow(words, partial(_scan_keys, with_runs=with_runs), "kind byte, key long, c long, m long")
+    dealt = keys.repartition(n, F.when(F.expr(f"m is null or kind = {CHOSEN}"), F.col("key")).otherwise(F.xxhash64("key", "c"))).sortWithinPartitions("kind", "key")
+    met = cut(map_arrow(dealt, _meet, "kind byte, key long, c long, m long"))
+    del keys, dealt
+    forget(words.sparkSession)
+    return met
 
-def near_contents(slim: DataFrame, spans_of=lines_of) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the contents that ``spans_of`` finds in the texts: sets(c, node, set), components (node, comp) of near ones, ids (c) of those in several documents.
 
-    Texts are never shuffled: each step reads them where they are, and a bitmap of bounded size tells which lines the
-    step may need. A line that the bitmap lets through by chance finds no partner in the join that follows.
+def near_contents(words: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets(c, node, set) of the lines that share a bucket, components (node, comp) of the near ones.
+
+    A filter of bounded size tells which lines a step may need. What it lets through by chance finds no partner in the
+    join that follows.
     """
-    spark = slim.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = map_arrow(slim, partial(_scan_lines, spans_of=spans_of), "key long, c long, m long")
-    dealt = keys.repartition(n, F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", "c"))).sortWithinPartitions("key")
-    met = cut(map_arrow(dealt, _stars, "key long, c long, m long"))
-    stars, exact = met.where("key & 1 = 0"), met.where("key & 1 = 1").select(F.col("key").alias("c"))
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stars = met.where(F.col("kind") == BUCKET).select("key", "c", "m")
     pairs = cut(stars.select(F.greatest("c", "m").alias("u"), F.least("c", "m").alias("v")).distinct())
-    needed = pairs.select(F.col("u").alias("c")).union(pairs.select("v"))
-    found = map_arrow(slim, _scan_wanted(spark.sparkContext.broadcast(bitmap_of(needed)), True, spans_of), "c long, node binary, set binary")
-    sets = cut(found.groupBy("c", "node").agg(F.first("set").alias("set")).join(needed.distinct(), "c", "left_semi"))
+    needed = cut(pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct())
+    found = map_arrow(words, _wanted_sets(filter_of(needed)), "c long, node binary, set binary")
+    sets = cut(found.join(needed, "c", "left_semi").groupBy("c", "node").agg(F.first("set").alias("set")))
     one, two = (sets.select(F.col("c").alias(f"c{k}"), F.col("node").alias(f"n{k}"), F.col("set").alias(f"s{k}")) for k in "12")
     # of contents with one short id every two meet, so a chance collision joins nothing by itself
     links = cut(map_arrow(pairs.join(one, F.expr("u = c1")).join(two, F.expr("v = c2")).select(F.col("n1").alias("u"), F.col("n2").alias("v"), "s1", "s2"), _verify, "u binary, v binary"))
     comps = cut(connected_components(links))
-    # buckets whose members are in several components: every pair across them meets too, in blocks
-    several = stars.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    stars = stars.join(several, "key", "left_semi")
-    members = stars.select("key", "c").union(stars.select("key", "m")).distinct().join(sets.select("c", "node"), "c")
-    named = cut(members.join(comps.withColumnRenamed("node", "k"), F.expr("node = k"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
-    open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = named.join(open_, "key").select("key", F.col("node").alias("c"), "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("key", "c", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    spread = spread.join(sets.select("node", "set"), F.expr("c = node")).drop("node").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = cut(map_arrow(spread, _blocks, "u binary, v binary").distinct())
-    if not more.isEmpty():
-        comps = cut(connected_components(links.union(more)))
-    return sets, comps, exact
-
-
-def near_texts(slim: DataFrame) -> DataFrame:
-    """(th, comp) of the whole texts whose shingles have a Jaccard similarity of ``SIMILARITY`` or more to another's, or a chain of them."""
-    sets, comps, _ = near_contents(slim, whole_text)
-    near = sets.select("c", "node").join(comps.select("node"), "node", "left_semi").select("c")
-    wanted = slim.sparkSession.sparkContext.broadcast(bitmap_of(near))
-    texts = map_arrow(slim, _scan_wanted(wanted, False, whole_text), "c long, node binary, doc_id long, th long, start int, stop int").select("th", "node").distinct()
+    # buckets with a row that its star did not join: every pair across components meets too, in blocks
+    named = cut(sets.select("c", "node").join(comps.withColumnRenamed("node", "k"), F.expr("node = k"), "left").select("c", "node", F.coalesce("comp", "node").alias("comp")))
+    of = {k: named.select(F.col("c").alias(f"c{k}"), F.col("comp").alias(f"p{k}")) for k in "12"}
+    apart = pairs.join(of["1"], F.expr("u = c1")).join(of["2"], F.expr("v = c2")).where("p1 <> p2").select("u", "v").distinct()
+    keyed = stars.select("key", F.greatest("c", "m").alias("a"), F.least("c", "m").alias("b"))
+    open_ = cut(keyed.join(apart, F.expr("a = u and b = v")).select("key").distinct())
+    if not open_.isEmpty():
+        members = stars.join(open_, "key", "left_semi")
+        members = cut(members.select("key", "c").union(members.select("key", F.col("m").alias("c"))))
+        members = cut(members.distinct().join(named, "c").select("key", "node", "comp"))
+        count = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        spread = members.join(count, "key").select("key", F.col("node").alias("c"), "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        spread = spread.select("key", "c", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        spread = spread.join(sets.select("node", "set"), F.expr("c = node")).drop("node").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = cut(map_arrow(spread, _blocks, "u binary, v binary").distinct())
+        if not more.isEmpty():
+            comps = cut(connected_components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more)))
+    return sets, comps
+
+
+def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(th, comp) of the whole texts whose shingles have a Jaccard similarity of ``SIMILARITY`` or more to another's, or a chain of them.
+
+    Null, empty and shorter texts than a shingle have none. ``th`` is the hash of the text, equal texts have one row.
+    """
+    words = words_of(_slim(docs, doc_id, text), whole_text)
+    sets, comps = near_contents(words, keys_met(words, False))
+    near = cut(sets.select("c", "node").join(comps.select("node"), "node", "left_semi").select("c"))
+    texts = map_arrow(words, _wanted_places(filter_of(near)), "node binary, x byte, d long, th long, start int, stop int").select("th", "node").distinct()
     return texts.join(comps.withColumnRenamed("node", "k"), F.expr("node = k")).select("th", "comp")
 
 
-def paragraph_spans(slim: DataFrame) -> DataFrame:
-    """(doc_id, th, start, stop, holder, kept) of the lines that repeat in another document, exactly or nearly."""
-    spark = slim.sparkSession
-    sets, comps, exact = near_contents(slim)
-    forget(spark)
+#: Of an interval of a document: it goes as a paragraph, it stays as one, it goes as a run; it goes, it stays, others need it.
+PARAGRAPH, FIRST, AGAIN, GOES, STAYS, NEEDED = range(6)
+SPAN = "x byte, d long, th long, kind byte, start int, stop int, hx byte, hd long, hth long, hstart int"
+
+
+def paragraph_spans(words: DataFrame, met: DataFrame) -> DataFrame:
+    """SPAN rows of the lines that repeat in another document, exactly or nearly."""
+    sets, comps = near_contents(words, met)
+    exact = met.where(F.col("kind") == LINE).select(F.col("key").alias("c"))
     near = sets.select("c", "node").join(comps.select("node"), "node", "left_semi").select("c")
-    wanted = spark.sparkContext.broadcast(bitmap_of(exact.union(near)))
-    lines = map_arrow(slim, _scan_wanted(wanted, False), "c long, node binary, doc_id long, th long, start int, stop int").drop("c")
-    lines = cut(lines.join(comps.withColumnRenamed("node", "k"), F.expr("node = k"), "left").select("doc_id", "th", "start", "stop", F.coalesce("comp", "node").alias("comp")))
-    classes = lines.groupBy(F.col("comp").alias("k")).agg(F.min(F.struct("doc_id", "th", "start")).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"))
-    classes = classes.where("not (first.doc_id <=> last.doc_id and first.th = last.th)").select("k", "first")
+    known = filter_of(cut(exact.union(near).distinct()))
+    lines = map_arrow(words, _wanted_places(known), "node binary, x byte, d long, th long, start int, stop int")
+    lines = cut(lines.join(comps.withColumnRenamed("node", "k"), F.expr("node = k"), "left").select(*DOC, "start", "stop", F.coalesce("comp", "node").alias("comp")))
+    classes = lines.groupBy(F.col("comp").alias("k")).agg(F.min(F.struct(*DOC, "start")).alias("first"), F.max(F.struct(*DOC)).alias("last"))
+    classes = cut(classes.where("not (first.x = last.x and first.d = last.d and first.th = last.th)").select("k", "first"))
+    stays = F.expr("x = first.x and d = first.d and th = first.th and start = first.start")
     return lines.join(classes, F.expr("comp = k")).select(
-        "doc_id", "th", "start", "stop", F.col("first.doc_id").alias("holder"), F.expr("doc_id <=> first.doc_id and th = first.th and start = first.start").alias("kept")
+        *DOC, F.when(stays, FIRST).otherwise(PARAGRAPH).cast("byte").alias("kind"), "start", "stop", F.expr("first.x").alias("hx"), F.expr("first.d").alias("hd"), F.expr("first.th").alias("hth"), F.expr("first.start").alias("hstart")
     )
 
 
-def run_spans(slim: DataFrame) -> DataFrame:
-    """(doc_id, th, start, stop, holder, kept) of the runs of the passages that several documents have.
+def run_spans(words: DataFrame, met: DataFrame) -> DataFrame:
+    """SPAN rows of the runs of the passages that several documents have, wherever they are not the first place.
 
-    The chosen runs tell where to look; there the runs at every offset are compared, so that a passage is covered from its first word to its last. A run is put together over each piece of the input first, so
-    a very common one reaches the shuffle by run once a piece; the holder of the other occurrences of a piece is the
-    piece's first document.
+    The chosen runs tell where to look; there the runs at every offset are compared, so that a passage is covered from
+    its first word to its last. The first place of a run is found over the first ones of each piece of the input, so
+    a very common run reaches that shuffle once a piece.
     """
-    spark = slim.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = map_arrow(slim, _scan_runs, "key long, c long, told long").repartition(n, "key").sortWithinPartitions("key")
-    met = cut(map_arrow(keys, _met_of, "key long, c long, told long").select("key", "told"))
-    del keys
-    forget(spark)
-    size = min(28, max(16, (32 * met.count()).bit_length()))
-    probes = met.select("told", F.explode(F.array(*(F.shiftright("key", by) for by in PROBES))).alias("c"))
-    bitmaps = [spark.sparkContext.broadcast(bitmap_of(probes.where(f"told & {bit} > 0"), size)) for bit in (MET_HERE, OPEN_LEFT, OPEN_RIGHT)]
-    grams = map_arrow(slim, _scan_near(bitmaps), "h long, doc_id long, th long, pos long")
-    dealt = grams.repartition(n, F.when(F.expr(f"pos & 3 < {OTHER}"), F.col("h")).otherwise(F.xxhash64("th", "pos"))).sortWithinPartitions("h")
-    return map_arrow(dealt, _runs_met, "doc_id long, th long, start int, stop int, holder long, kept boolean")
-
-
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, start, stop, holder, kept): word intervals of repeated paragraphs and runs; th is the text's hash.
-
-    ``holder`` is the doc_id of an earlier occurrence, for paragraphs that of the one that stays; ``kept`` marks the
-    occurrence that stays.
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = met.where(F.col("kind") == CHOSEN).select("key", F.col("m").alias("told"))
+    size = filter_bits(chosen.count())
+    probes = chosen.select("told", F.explode(F.array(*(F.shiftright("key", by) for by in PROBES))).alias("c"))
+    bitmaps = [words.sparkSession.sparkContext.broadcast(bitmap_of(probes.where(f"told & {bit} > 0"), size)) for bit in (MET_HERE, OPEN_LEFT, OPEN_RIGHT)]
+    places = cut(map_arrow(words, _scan_places(bitmaps), "h long, h2 long, x byte, d long, th long, start int, lead byte"))
+    leads = places.where(F.col("lead") > LATER).repartition(n, "h").sortWithinPartitions("h")
+    firsts = cut(map_arrow(leads, _firsts, "h long, h2 long, fx byte, fd long, fth long, fstart int"))
+    again = places.drop("lead").join(firsts, ["h", "h2"])
+    # what overlaps the first place is no place by itself
+    again = again.where(f"not (x = fx and d = fd and th = fth and start < fstart + {RUN})")
+    return again.select(*DOC, F.lit(AGAIN).cast("byte").alias("kind"), "start", (F.col("start") + RUN).alias("stop"), F.col("fx").alias("hx"), F.col("fd").alias("hd"), F.col("fth").alias("hth"), F.col("fstart").alias("hstart"))
+
+
+def joined(spans) -> list[list[int]]:
+    """Intervals put together where they overlap or touch."""
+    out: list[list[int]] = []
+    for a, e in sorted((s[0], s[1]) for s in spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        elif a < e:
+            out.append([a, e])
+    return out
+
+
+def less(spans, gone) -> list[tuple[int, int]]:
+    """The parts of disjoint sorted intervals outside of others, which are disjoint and sorted."""
+    out, k = [], 0
+    for a, e in spans:
+        while k and gone[k - 1][1] > a:
+            k -= 1
+        while k < len(gone) and gone[k][0] < e:
+            x, y = gone[k]
+            if x > a:
+                out.append((a, x))
+            a = max(a, y)
+            k += 1
+        if a < e:
+            out.append((a, e))
+    return out
+
+
+def chains(t: pa.Table) -> pa.Table:
+    """AGAIN rows put together where they follow one another here and in the holder alike."""
+    names = [*DOC, "hx", "hd", "hth"]
+    c = {k: t.column(k).to_numpy() for k in (*names, "start", "stop", "hstart")}
+    shift = c["hstart"].astype(np.int64) - c["start"]
+    order = np.lexsort((c["start"], shift, c["hth"], c["hd"], c["hx"], c["th"], c["d"], c["x"]))
+    new = np.ones(len(order), bool)
+    new[1:] = c["start"][order][1:] > c["stop"][order][:-1]
+    for k in (*names, None):
+        v = (shift if k is None else c[k])[order]
+        new[1:] |= v[1:] != v[:-1]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(order))[: len(at)] - 1
+    columns = [c[k][order][at] for k in DOC] + [np.full(len(at), AGAIN, np.int8), c["start"][order][at], c["stop"][order][last]] + [c[k][order][at] for k in ("hx", "hd", "hth", "hstart")]
+    return pa.table([pa.array(x) for x in columns], names=[*DOC, "kind", "start", "stop", "hx", "hd", "hth", "hstart"])
+
+
+def tiles(parts, spans) -> list[tuple[int, int, int]]:
+    """(start, stop, start in the holder) of as few pieces as cover ``parts``, each out of one of the spans (start, stop, start in the holder)."""
+    out = []
+    spans = sorted(spans)
+    k, best = 0, (0, 0, 0)
+    for at, end in parts:
+        while at < end:
+            while k < len(spans) and spans[k][0] <= at:
+                best = max(best, spans[k], key=lambda x: x[1])
+                k += 1
+            a, e, hs = best
+            out.append((at, min(e, end), hs + at - a))
+            at = min(e, end)
+    return out
+
+
+def _spans_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[*DOC, "kind", "start", "stop", "hx", "hd", "hth", "hstart"])
+
+
+def _propose(batches):
+    """What each document would lose, from whom, and what it needs the holder to keep.
+
+    Paragraphs go first. Of the runs, those of the earliest holder come first; what they cover beyond what goes already
+    goes too where that is ``RUN`` words or more, and is then needed in the holder, word for word.
     """
-    slim = _slim(docs, doc_id, text)
-    return paragraph_spans(slim).unionByName(run_spans(slim))
-
-
-def _merge(batches):
-    """Overlapping intervals of a document put together, kept and removed ones apart."""
-    for b in batches:
+    for t in whole_groups(batches, DOC):
+        kind = t.column("kind").to_numpy()
+        by: dict[tuple, list[tuple]] = {}
+        for part in (t.filter(pa.array(kind != AGAIN)), chains(t.filter(pa.array(kind == AGAIN)))):
+            for x, d, th, *row in zip(*(c.to_pylist() for c in part.columns)):
+                by.setdefault((x, d, th), []).append(row)
+        rows, needed = [], {}
+        for doc, spans in by.items():
+            for kind_, a, e, *holder in spans:
+                if kind_ != AGAIN:
+                    rows.append((*doc, GOES if kind_ == PARAGRAPH else STAYS, a, e, *holder))
+            gone = joined([s[1:3] for s in spans if s[0] == PARAGRAPH])
+            holders: dict[tuple, list[tuple]] = {}
+            for kind_, a, e, hx, hd, hth, hs in spans:
+                if kind_ == AGAIN:
+                    holders.setdefault((hx, hd, hth), []).append((a, e, hs))
+            for holder in sorted(holders):
+                parts = [p for p in less(joined(holders[holder]), gone) if p[1] - p[0] >= RUN]
+                if not parts:
+                    continue
+                gone = joined([*gone, *parts])
+                for a, e, hs in tiles(parts, holders[holder]):
+                    rows.append((*doc, GOES, a, e, *holder, hs))
+                    needed.setdefault(holder, []).append((hs, hs + e - a))
+        rows += [(*doc, NEEDED, a, e, *doc, 0) for doc, spans in needed.items() for a, e in joined(spans)]
+        yield _spans_batch(rows)
+
+
+def _resolve(batches):
+    """What goes and what stays: nothing goes that others need."""
+    for t in whole_groups(batches, DOC):
+        by: dict[tuple, dict[int, list]] = {}
+        for x, d, th, kind, a, e, hx, hd, *_ in zip(*(c.to_pylist() for c in t.columns)):
+            by.setdefault((x, d, th), {}).setdefault(kind, []).append((a, e, (hx, hd)))
         rows = []
-        for d, th, spans in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("spans").to_pylist()):
-            for kept in (False, True):
-                cur = None
-                for s in sorted((x for x in spans if x["kept"] == kept), key=lambda x: (x["start"], x["stop"])):
-                    if cur and s["start"] <= cur[3]:
-                        cur[3] = max(cur[3], s["stop"])
-                        if s["holder"] is not None:
-                            cur[4] = s["holder"] if cur[4] is None else min(cur[4], s["holder"])
-                    else:
-                        cur = [d, th, s["start"], s["stop"], s["holder"], kept]
-                        rows.append(cur)
+        for (x, d, th), spans in by.items():
+            needed = joined(spans.get(NEEDED, ()))
+            own = d if x else None
+            gone = [(a, e, h[1] if h[0] else None) for *span, h in sorted(spans.get(GOES, ())) for a, e in less([span], needed)]
+            rows += [(own, th, *span, False) for span in gone]
+            rows += [(own, th, a, e, own, True) for a, e in less(joined([*needed, *spans.get(STAYS, ())]), joined(gone))]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "th", "start_word", "end_word", "holder_id", "kept"])
 
 
-def merged_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    spans = repeated_spans(docs, doc_id, text).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop", "holder", "kept")).alias("spans"))
-    return map_arrow(spans, _merge, "doc_id long, th long, start_word int, end_word int, holder_id long, kept boolean")
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, th, start_word, end_word, holder_id, kept) of :func:`repeated_passages`; th is the hash of the text."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = words_of(_slim(docs, doc_id, text))
+    met = keys_met(words)
+    spans = paragraph_spans(words, met).unionByName(run_spans(words, met))
+    proposed = map_arrow(spans.repartition(n, *DOC).sortWithinPartitions(*DOC), _propose, SPAN)
+    # a span of a document may be needed by very many others: each is told once
+    told = cut(proposed.distinct())
+    del spans, proposed, words, met
+    forget(spark)
+    return map_arrow(told.repartition(n, *DOC).sortWithinPartitions(*DOC), _resolve, "doc_id long, th long, start_word int, end_word int, holder_id long, kept boolean")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each passage that documents share: doc_id, start_word, end_word (exclusive), holder_id, kept.
 
-    ``kept`` rows are the occurrence that stays; the others are to be removed, an earlier document ``holder_id`` has them. Null, empty
-    and short texts have none, and so have passages that repeat only within one document. Rows of equal id and text
-    are one document. No documents give no rows.
+    ``kept`` rows stay; the others are to be removed. ``holder_id`` of a removed paragraph is the document whose
+    paragraph of the class stays (less what stands in an earlier document still); that of a passage has it word for word in
+    a ``kept`` row. Null, empty and short texts have none, and so have passages that repeat only within one document.
+    Rows of equal id and text are one document, a null id is a document of its own by its text, before all others. No
+    documents give no rows.
     """
-    return merged_spans(docs, doc_id, text).drop("th")
+    return repeated_spans(docs, doc_id, text).drop("th")
 
 
 def _cut_text(batches):
@@ -578,6 +828,9 @@ def _cut_text(batches):
             for s in sorted(spans, key=lambda x: x["start"]):
                 a, e = int(at[s["start"]]), int(at[s["stop"]])
                 keep.append(raw[last : max(a, last)])
+                gone = raw[a:e]
+                if keep[-1].strip() and b"\n" not in keep[-1][len(keep[-1].rstrip()) :] and b"\n" in gone[len(gone.rstrip()) :]:
+                    keep.append(b"\n")  # what ended a line still does
                 last = max(last, e)
             new = (b"".join(keep) + raw[last:]).decode()
             texts.append(new)
@@ -591,7 +844,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Documents without a repeated passage are returned as they are, null and empty texts too.
     """
-    gone = merged_spans(docs, doc_id, text).where("not kept").groupBy(F.col("doc_id").alias("_gl_d"), F.col("th").alias("_gl_t")).agg(F.collect_list(F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("stop"))).alias("_gl_spans"))
+    gone = repeated_spans(docs, doc_id, text).where("not kept").groupBy(F.col("doc_id").alias("_gl_d"), F.col("th").alias("_gl_t")).agg(F.collect_list(F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("stop"))).alias("_gl_spans"))
     keyed = docs.withColumn("_gl_h", F.xxhash64(F.col(text).cast("string")))
     met = keyed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_t")), "left")
     met = met.select(*docs.columns, F.col(text).cast("string").alias("_gl_text"), "_gl_spans")

@@ -197,7 +197,7 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = cut(fps.groupBy("fp").agg(F.min(key).alias("first")))
     # each component of near texts is a node that the fingerprints of its texts link to
-    near = near_texts(slim).join(fps.select(F.col("th").alias("t"), "fp").distinct(), F.expr("th = t")).select(F.col("fp").alias("u"), F.xxhash64("comp").alias("v"))
+    near = near_texts(docs, doc_id, text).join(fps.select(F.col("th").alias("t"), "fp").distinct(), F.expr("th = t")).select(F.col("fp").alias("u"), F.xxhash64("comp").alias("v"))
     comps = cut(connected_components(fingerprint_links(first.select("fp")).unionByName(near)))
     own = first.join(comps, first.fp == comps.node, "left").select("first", F.coalesce("comp", "fp").alias("comp"))
     keep = own.groupBy("comp").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_gl_d"), F.col("k.th").alias("_gl_t"))

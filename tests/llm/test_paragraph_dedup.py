@@ -60,8 +60,9 @@ def rows_of(df):
 
 def test_lines_against_all_pairs(spark, texts):
     all_, _ = texts
-    slim = op._slim(docs_df(spark, all_), "doc_id", "text")
-    got = sorted((r["doc_id"], r["start"], r["stop"], r["holder"], r["kept"]) for r in op.paragraph_spans(slim).collect())
+    words = op.words_of(op._slim(docs_df(spark, all_), "doc_id", "text"))
+    spans = op.paragraph_spans(words, op.keys_met(words)).collect()
+    got = sorted((r["d"], r["start"], r["stop"], r["hd"], r["kind"] == op.FIRST) for r in spans)
     assert got == sorted((d, a, e, x[0][0], (d, a) == x[0][:2]) for x in classes(all_) for d, a, e in x)
     assert any(len(x) == 7 for x in classes(all_))
 
@@ -112,8 +113,7 @@ def test_passages_twice_in_a_document(spark):
     for parts in (1, 4):
         rows = rows_of(op.repeated_passages(docs_df(spark, texts).repartition(parts)))
         assert [r for r in rows if r[0] < 4] == sorted([*((k, a, a + 60, (k, a) == (0, 31)) for k in range(3) for a in (31, 143)), (3, 31, 91, False)])
-        assert (4, 0, 120, True) not in rows or (5, 0, 120, False) in rows
-    left = {r["doc_id"]: r["text"] for r in op.without_repeats(docs_df(spark, texts)).collect()}
+        left = {r["doc_id"]: r["text"] for r in op.without_repeats(docs_df(spark, texts)).collect()}
     assert [left[k].count(p) for k in range(4)] == [1, 0, 0, 0] and "x y x y" in left[4] and "x y" not in left[5]
 
 
@@ -154,7 +154,25 @@ def test_bands_meet():
             n += 1
             met += (op.band_keys(a, np.array([0])) == op.band_keys(b, np.array([0]))).any()
     assert n > 50 and met >= 0.98 * n
-    assert op.tune_bands(0.8, 0.999, 4) == op.BANDS == 14
+    assert op.tune_bands(0.8, 0.999, 4) == 14 and op.tune_bands() == op.BANDS == 10
+
+
+def test_few_shingles_always_meet():
+    rng = np.random.default_rng(7)
+    near = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 26))
+        pool = rng.integers(0, 2**63, n + 6, dtype=np.uint64)
+        a = pool[:n]
+        b = np.concatenate((rng.choice(a, max(1, n - int(rng.integers(0, 3))), replace=False), pool[n : n + int(rng.integers(0, 3))]))
+        a, b = (rng.permutation(np.concatenate((x, rng.choice(x, int(rng.integers(0, 30)))))) for x in (a, b))  # some of them more than once
+        x, y = set(a.tolist()), set(b.tolist())
+        if len(x & y) >= 0.8 * len(x | y):
+            near += 1
+            group, key = op.line_keys(np.concatenate((a, b)), np.array([0, len(a)]))
+            if min(len(x), len(y)) <= 19:  # else the bands decide, with their recall
+                assert set(key[group == 0].tolist()) & set(key[group == 1].tolist()), (len(x), len(y))
+    assert near > 800
 
 
 def test_any_long_enough_run_is_chosen_in_both():
@@ -173,3 +191,63 @@ def test_bitmap(spark):
     bits = np.frombuffer(op.bitmap_of(spark.createDataFrame([(x,) for x in ids], "c long"), 16), np.uint8)
     at = {x >> 1 & 0xFFFF for x in ids}
     assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == at
+
+
+def plain(text):
+    return (text or "").encode().lower().split()
+
+
+def holds(words, part):
+    return any(words[i : i + len(part)] == part for i in range(len(words) - len(part) + 1))
+
+
+def test_nothing_vanishes_with_its_holder(spark):
+    rng = random.Random(21)
+    paragraph, tail = prose(rng, 400), prose(rng, 42)
+    texts = [paragraph, f"{paragraph} {tail}", f"{prose(rng, 30)} a {tail} b {prose(rng, 30)}"]
+    left = {r["doc_id"]: r["text"] for r in op.without_repeats(docs_df(spark, texts)).collect()}
+    assert left[0] == texts[0] and left[1] == tail and tail not in left[2] and len(plain(left[2])) == 62
+
+
+def test_nothing_vanishes(spark):
+    """Each word that goes as a part of a passage stands in the output with the words around it; each line has its first still, or what that one gave up."""
+    for seed in range(3):
+        rng = random.Random(100 + seed)
+        pool = [prose(rng, rng.randrange(20, 160)) for _ in range(12)]
+        texts = []
+        for _ in range(60):
+            parts = []
+            for _ in range(rng.randrange(1, 6)):
+                p = rng.choice(pool).split()
+                kind = rng.randrange(5)
+                if kind == 1:
+                    p = p[rng.randrange(len(p) // 2) :]
+                elif kind == 2:
+                    p = p[: rng.randrange(len(p) // 2, len(p))]
+                elif kind == 3:
+                    p[rng.randrange(len(p))] = "changed"
+                elif kind == 4:
+                    p = prose(rng, rng.randrange(60)).split()
+                parts.append(" ".join(p) + rng.choice((" ", "\n", " the ")))
+            texts.append("".join(parts).strip())
+        df = docs_df(spark, texts).repartition(5)
+        rows = op.repeated_passages(df).collect()
+        out = {r["doc_id"]: plain(r["text"]) for r in op.without_repeats(df).collect()}
+        grams = {tuple(w[i : i + k]) for w in out.values() for k in (5,) for i in range(len(w) - k + 1)}
+        classes_ = classes(texts)
+        gone = {(r["doc_id"], i) for r in rows if not r["kept"] for i in range(r["start_word"], r["end_word"])}
+        runs = 0
+        in_lines = {(d, i) for x in classes_ for d, a, e in x for i in range(a, e)}
+        for r in rows:  # what goes, and is no part of a repeated line, stands whole where the row says
+            if not r["kept"] and not any((r["doc_id"], i) in in_lines for i in range(r["start_word"], r["end_word"])):
+                assert holds(out[r["holder_id"]], plain(texts[r["doc_id"]])[r["start_word"] : r["end_word"]])
+                runs += 1
+        for x in classes_:  # the first line of a class: what of it is gone stands elsewhere, but for the seams
+            d, a, e = x[0]
+            w = plain(texts[d])
+            lost = [i for i in range(a, e) if (d, i) in gone]
+            assert all(any(tuple(w[j : j + 5]) in grams for j in range(max(a, i - 4), min(i, e - 5) + 1)) for i in lost)
+        for r in rows:
+            if r["kept"]:
+                assert holds(out[r["doc_id"]], plain(texts[r["doc_id"]])[r["start_word"] : r["end_word"]])
+        assert runs > 5
