@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -41,6 +42,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame as a compressed table in the shared folder, and its place for :func:`discard`: for what is large, or read by columns."""
+    spark = df.sparkSession
+    place = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return spark.read.schema(df.schema).parquet(place), place
+
+
+def discard(spark: SparkSession, *places: str) -> None:
+    """Removes tables of :func:`stored` that nothing will read any more."""
+    for place in places:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nothing refers to any more, at once rather than at some later collection."""
     gc.collect()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from ._common import binary_list, cut, forget, group_starts, label_min, map_arrow, whole_groups
+from ._common import binary_list, cut, discard, forget, group_starts, label_min, map_arrow, stored, whole_groups
 from .components import connected_components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -439,24 +439,57 @@ def near_places(r: np.ndarray, met: np.ndarray, left: np.ndarray, right: np.ndar
     return np.flatnonzero(np.cumsum(edge)[:-1])
 
 
-#: Of a run's place in a piece of the input: not its first one; the first; the first, and another document has it too.
-LATER, LEAD, LEAD_MET = range(3)
-
-
 def _leads(h, h2, x, d, th, start):
-    """(order by run, document and place; where a run begins in it; whether a run is in several documents, by row of the order)."""
+    """(order by run, document and place; where a run begins in it; its first row and whether it is in several documents, by row of the order)."""
     order = np.lexsort((start, th, d, x, h2, h))
     key = [c[order] for c in (h, h2)]
     new = np.ones(len(order), bool)
     new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
     first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
     own = [c[order] for c in (x, d, th)]
-    other = np.logical_or.reduce([c != np.repeat(c[first], np.diff(np.append(first, len(order)))) for c in own])
-    return order, new, np.repeat(np.logical_or.reduceat(other, first), np.diff(np.append(first, len(order))))
+    other = np.logical_or.reduce([c != np.repeat(c[first], size) for c in own])
+    return order, new, np.repeat(first, size), np.repeat(np.logical_or.reduceat(other, first), size)
+
+
+#: The order of documents: null ids first, then by id and hash of the text.
+DOC = ["x", "d", "th"]
+HOLDER = ["hx", "hd", "hth", "hstart"]
+#: Of an interval of a document: it goes as a paragraph, it stays as one, the holder has it too; it goes, it stays, others need it.
+PARAGRAPH, FIRST, AGAIN, GOES, STAYS, NEEDED = range(6)
+#: Of a run: the first place of a piece of the input, and that where other documents of the piece have it.
+LEAD, LEAD_MET = range(6, 8)
+SPAN = "x byte, d long, th long, kind byte, start int, stop int, hx byte, hd long, hth long, hstart int"
+SPAN_TYPES = dict(zip([*DOC, "kind", "start", "stop", *HOLDER], (pa.int8(), pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int32())))
+
+
+def chains(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """AGAIN intervals put together where they follow one another here and in the holder alike."""
+    shift = c["hstart"].astype(np.int64) - c["start"]
+    order = np.lexsort((c["start"], shift, c["hth"], c["hd"], c["hx"], c["th"], c["d"], c["x"]))
+    if not len(order):
+        return c
+    start, stop = c["start"][order], c["stop"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for v in (*(c[k] for k in (*DOC, *HOLDER[:3])), shift):
+        new[1:] |= v[order][1:] != v[order][:-1]
+    apart = np.cumsum(new) * (int(stop.max()) + 2)  # groups of one document, holder and shift stand apart
+    new[1:] |= (start + apart)[1:] > np.maximum.accumulate(stop + apart)[:-1]
+    at = np.flatnonzero(new)
+    return {k: c[k][order][at] for k in c} | {"stop": np.maximum.reduceat(stop, at)}
+
+
+def span_batch(c: dict[str, np.ndarray], kind: int = AGAIN) -> dict[str, pa.Array]:
+    n = len(c["x"])
+    return {k: pa.array(np.full(n, kind, np.int8) if k == "kind" else c[k], t) for k, t in SPAN_TYPES.items()}
 
 
 def _scan_places(bitmaps):
-    """(h, h2, x, d, th, start, lead) of the runs at ``near_places``."""
+    """The runs at ``near_places``: the first of each piece of the input by (h, h2), the others as what the first's document has too.
+
+    Each of these is chained, so a document that holds much of another's text takes few rows.
+    """
 
     def run(batches):
         bits = [np.frombuffer(x.value, np.uint8) for x in bitmaps]
@@ -464,16 +497,27 @@ def _scan_places(bitmaps):
         count = 0
 
         def piece():
-            columns = [np.concatenate(c) for c in zip(*held)]
-            order, new, met = _leads(*columns)
-            lead = np.where(new, np.where(met, LEAD_MET, LEAD), LATER).astype(np.int8)
-            return pa.RecordBatch.from_arrays([*(pa.array(c[order]) for c in columns), pa.array(lead)], names=["h", "h2", "x", "d", "th", "start", "lead"])
+            h, h2, *own = (np.concatenate(c) for c in zip(*held))
+            order, new, first, met = _leads(h, h2, *own)
+            x, d, th, start = (c[order] for c in own)
+            n = int(new.sum())
+            blank = {k: pa.nulls(n, t) for k, t in SPAN_TYPES.items()}
+            lead = blank | {"x": pa.array(x[new]), "d": pa.array(d[new]), "th": pa.array(th[new]), "start": pa.array(start[new]), "kind": pa.array(np.where(met[new], LEAD_MET, LEAD).astype(np.int8))}
+            lead |= {"h": pa.array(h[order][new]), "h2": pa.array(h2[order][new])}
+            # what overlaps the first place in its own document is no place by itself
+            again = ~new & ((x != x[first]) | (d != d[first]) | (th != th[first]) | (start - start[first] >= RUN))
+            at, by = np.flatnonzero(again), first[again]
+            found = chains(dict(zip([*DOC, "start", "stop", *HOLDER], (x[at], d[at], th[at], start[at], start[at] + RUN, x[by], d[by], th[by], start[by]))))
+            more = span_batch(found)
+            more |= {k: pa.nulls(len(found["x"]), pa.int64()) for k in ("h", "h2")}
+            names = [*SPAN_TYPES, "h", "h2"]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([lead[k], more[k]]) for k in names], names=names)
 
         for b in batches:
-            for x, d, th, h, *_ in _texts(b):
-                if len(h) < RUN:
+            for x, d, th, words, *_ in _texts(b):
+                if len(words) < RUN:
                     continue
-                words = h.astype(np.uint64)
+                words = words.astype(np.uint64)
                 r = runs(words, RUN)
                 at = near_places(r, *bits)
                 if not len(at):
@@ -491,14 +535,41 @@ def _scan_places(bitmaps):
 
 
 def _firsts(batches):
-    """(h, h2, fx, fd, fth, fstart): the first place of each run that several documents have."""
+    """Each piece's first place of a run that several documents have, with the first of all as its holder (which may be itself)."""
     for t in whole_groups(batches, ["h"]):
-        columns = [t.column(c).to_numpy() for c in ("h", "h2", "x", "d", "th", "start")]
-        lead = t.column("lead").to_numpy()
-        order, new, met = _leads(*columns)
+        columns = [t.column(c).to_numpy() for c in ("h", "h2", *DOC, "start")]
+        order, new, first, met = _leads(*columns)
+        told = t.column("kind").to_numpy()[order] == LEAD_MET
         at = np.flatnonzero(new)
-        met = met[at] | np.logical_or.reduceat(lead[order] == LEAD_MET, at)
-        yield pa.RecordBatch.from_arrays([pa.array(c[order][at][met]) for c in columns], names=["h", "h2", "fx", "fd", "fth", "fstart"])
+        met |= np.repeat(np.logical_or.reduceat(told, at), np.diff(np.append(at, len(order))))
+        x, d, th, start = (c[order] for c in columns[2:])
+        by = first[met]
+        found = chains(dict(zip([*DOC, "start", "stop", *HOLDER], (x[met], d[met], th[met], start[met], start[met] + RUN, x[by], d[by], th[by], start[by]))))
+        yield pa.RecordBatch.from_arrays(list(span_batch(found, LEAD).values()), names=list(SPAN_TYPES))
+
+
+def _follow(batches):
+    """AGAIN spans in terms of the first documents of all.
+
+    Rows of one document: what its places have for holders (LEAD), and (AGAIN) what other documents, or other places
+    of its own, have in common with it: in these the document is the holder.
+    """
+    for t in whole_groups(batches, ["kx", "kd", "kth"]):
+        kind = t.column("kind").to_numpy()
+        c = {k: t.column(k).to_numpy() for k in ("kx", "kd", "kth", *DOC, "start", "stop", *HOLDER)}
+        own = chains({k: v[kind == LEAD] for k, v in c.items() if k[0] != "k"})
+        links: dict[tuple, list[tuple]] = {}
+        for x, d, th, a, e, *holder in zip(*(own[k].tolist() for k in (*DOC, "start", "stop", *HOLDER))):
+            links.setdefault((x, d, th), []).append((a, e, holder))
+        rows = [(*doc, a, e, *holder) for doc, spans in links.items() for a, e, holder in spans if tuple(holder[:3]) != doc]
+        other = kind != LEAD
+        for x, d, th, a, e, hx, hd, hth, hs in zip(*(c[k][other].tolist() for k in (*DOC, "start", "stop", *HOLDER))):
+            for p, q, (fx, fd, fth, fs) in links.get((hx, hd, hth), ()):
+                lo, hi = max(p, hs), min(q, hs + e - a)
+                if hi - lo >= RUN:
+                    rows.append((x, d, th, lo - hs + a, hi - hs + a, fx, fd, fth, fs + lo - p))
+        found = dict(zip([*DOC, "start", "stop", *HOLDER], (np.array([r[i] for r in rows], np.int64) for i in range(9))))
+        yield pa.RecordBatch.from_arrays(list(span_batch(found).values()), names=list(SPAN_TYPES))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -551,10 +622,6 @@ def _blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
 
-#: The order of documents: null ids first, then by id and hash of the text.
-DOC = ["x", "d", "th"]
-
-
 def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(x, d, th, text): x is 0 and d is 0 for a null id, th is the text's hash."""
     d = F.col(doc_id).cast("long")
@@ -562,9 +629,9 @@ def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return slim.select("x", "d", F.xxhash64("text").alias("th"), "text")
 
 
-def words_of(slim: DataFrame, spans_of=lines_of) -> DataFrame:
-    """The texts as hashes of words with their lines, in the shared folder; no later step reads a text again."""
-    return cut(map_arrow(slim, partial(_scan_words, spans_of=spans_of), "x byte, d long, th long, h binary, lo binary, hi binary, c binary"))
+def words_of(slim: DataFrame, spans_of=lines_of) -> tuple[DataFrame, str]:
+    """The texts as hashes of words with their lines, stored; no later step reads a text again."""
+    return stored(map_arrow(slim, partial(_scan_words, spans_of=spans_of), "x byte, d long, th long, h binary, lo binary, hi binary, c binary"))
 
 
 def keys_met(words: DataFrame, with_runs: bool = True) -> DataFrame:
@@ -620,16 +687,13 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Null, empty and shorter texts than a shingle have none. ``th`` is the hash of the text, equal texts have one row.
     """
-    words = words_of(_slim(docs, doc_id, text), whole_text)
+    words, place = words_of(_slim(docs, doc_id, text), whole_text)
     sets, comps = near_contents(words, keys_met(words, False))
     near = cut(sets.select("c", "node").join(comps.select("node"), "node", "left_semi").select("c"))
     texts = map_arrow(words, _wanted_places(filter_of(near)), "node binary, x byte, d long, th long, start int, stop int").select("th", "node").distinct()
-    return texts.join(comps.withColumnRenamed("node", "k"), F.expr("node = k")).select("th", "comp")
-
-
-#: Of an interval of a document: it goes as a paragraph, it stays as one, it goes as a run; it goes, it stays, others need it.
-PARAGRAPH, FIRST, AGAIN, GOES, STAYS, NEEDED = range(6)
-SPAN = "x byte, d long, th long, kind byte, start int, stop int, hx byte, hd long, hth long, hstart int"
+    found = cut(texts.join(comps.withColumnRenamed("node", "k"), F.expr("node = k")).select("th", "comp"))
+    discard(docs.sparkSession, place)
+    return found
 
 
 def paragraph_spans(words: DataFrame, met: DataFrame) -> DataFrame:
@@ -648,8 +712,8 @@ def paragraph_spans(words: DataFrame, met: DataFrame) -> DataFrame:
     )
 
 
-def run_spans(words: DataFrame, met: DataFrame) -> DataFrame:
-    """SPAN rows of the runs of the passages that several documents have, wherever they are not the first place.
+def run_spans(words: DataFrame, met: DataFrame) -> tuple[DataFrame, str]:
+    """SPAN rows of the runs of the passages that several documents have, wherever they are not the first place; a stored table that they are read from.
 
     The chosen runs tell where to look; there the runs at every offset are compared, so that a passage is covered from
     its first word to its last. The first place of a run is found over the first ones of each piece of the input, so
@@ -660,13 +724,12 @@ def run_spans(words: DataFrame, met: DataFrame) -> DataFrame:
     size = filter_bits(chosen.count())
     probes = chosen.select("told", F.explode(F.array(*(F.shiftright("key", by) for by in PROBES))).alias("c"))
     bitmaps = [words.sparkSession.sparkContext.broadcast(bitmap_of(probes.where(f"told & {bit} > 0"), size)) for bit in (MET_HERE, OPEN_LEFT, OPEN_RIGHT)]
-    places = cut(map_arrow(words, _scan_places(bitmaps), "h long, h2 long, x byte, d long, th long, start int, lead byte"))
-    leads = places.where(F.col("lead") > LATER).repartition(n, "h").sortWithinPartitions("h")
-    firsts = cut(map_arrow(leads, _firsts, "h long, h2 long, fx byte, fd long, fth long, fstart int"))
-    again = places.drop("lead").join(firsts, ["h", "h2"])
-    # what overlaps the first place is no place by itself
-    again = again.where(f"not (x = fx and d = fd and th = fth and start < fstart + {RUN})")
-    return again.select(*DOC, F.lit(AGAIN).cast("byte").alias("kind"), "start", (F.col("start") + RUN).alias("stop"), F.col("fx").alias("hx"), F.col("fd").alias("hd"), F.col("fth").alias("hth"), F.col("fstart").alias("hstart"))
+    places, at = stored(map_arrow(words, _scan_places(bitmaps), f"{SPAN}, h long, h2 long"))
+    leads = places.where(F.col("kind") >= LEAD).select("h", "h2", *DOC, "kind", "start").repartition(n, "h").sortWithinPartitions("h")
+    firsts = map_arrow(leads, _firsts, SPAN)
+    again = places.where(F.col("kind") == AGAIN).drop("h", "h2").select(F.col("hx").alias("kx"), F.col("hd").alias("kd"), F.col("hth").alias("kth"), "*")
+    both = firsts.select(F.col("x").alias("kx"), F.col("d").alias("kd"), F.col("th").alias("kth"), "*").unionByName(again)
+    return map_arrow(both.repartition(n, "kx", "kd", "kth").sortWithinPartitions("kx", "kd", "kth"), _follow, SPAN), at
 
 
 def joined(spans) -> list[list[int]]:
@@ -697,23 +760,6 @@ def less(spans, gone) -> list[tuple[int, int]]:
     return out
 
 
-def chains(t: pa.Table) -> pa.Table:
-    """AGAIN rows put together where they follow one another here and in the holder alike."""
-    names = [*DOC, "hx", "hd", "hth"]
-    c = {k: t.column(k).to_numpy() for k in (*names, "start", "stop", "hstart")}
-    shift = c["hstart"].astype(np.int64) - c["start"]
-    order = np.lexsort((c["start"], shift, c["hth"], c["hd"], c["hx"], c["th"], c["d"], c["x"]))
-    new = np.ones(len(order), bool)
-    new[1:] = c["start"][order][1:] > c["stop"][order][:-1]
-    for k in (*names, None):
-        v = (shift if k is None else c[k])[order]
-        new[1:] |= v[1:] != v[:-1]
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(order))[: len(at)] - 1
-    columns = [c[k][order][at] for k in DOC] + [np.full(len(at), AGAIN, np.int8), c["start"][order][at], c["stop"][order][last]] + [c[k][order][at] for k in ("hx", "hd", "hth", "hstart")]
-    return pa.table([pa.array(x) for x in columns], names=[*DOC, "kind", "start", "stop", "hx", "hd", "hth", "hstart"])
-
-
 def tiles(parts, spans) -> list[tuple[int, int, int]]:
     """(start, stop, start in the holder) of as few pieces as cover ``parts``, each out of one of the spans (start, stop, start in the holder)."""
     out = []
@@ -730,11 +776,6 @@ def tiles(parts, spans) -> list[tuple[int, int, int]]:
     return out
 
 
-def _spans_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[*DOC, "kind", "start", "stop", "hx", "hd", "hth", "hstart"])
-
-
 def _propose(batches):
     """What each document would lose, from whom, and what it needs the holder to keep.
 
@@ -743,9 +784,10 @@ def _propose(batches):
     """
     for t in whole_groups(batches, DOC):
         kind = t.column("kind").to_numpy()
+        c = {k: t.column(k).to_numpy() for k in SPAN_TYPES}
         by: dict[tuple, list[tuple]] = {}
-        for part in (t.filter(pa.array(kind != AGAIN)), chains(t.filter(pa.array(kind == AGAIN)))):
-            for x, d, th, *row in zip(*(c.to_pylist() for c in part.columns)):
+        for part in ({k: v[kind != AGAIN] for k, v in c.items()}, chains({k: v[kind == AGAIN] for k, v in c.items()})):
+            for x, d, th, *row in zip(*(v.tolist() for v in part.values())):
                 by.setdefault((x, d, th), []).append(row)
         rows, needed = [], {}
         for doc, spans in by.items():
@@ -766,7 +808,7 @@ def _propose(batches):
                     rows.append((*doc, GOES, a, e, *holder, hs))
                     needed.setdefault(holder, []).append((hs, hs + e - a))
         rows += [(*doc, NEEDED, a, e, *doc, 0) for doc, spans in needed.items() for a, e in joined(spans)]
-        yield _spans_batch(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(SPAN_TYPES.values())], names=list(SPAN_TYPES))
 
 
 def _resolve(batches):
@@ -790,13 +832,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, th, start_word, end_word, holder_id, kept) of :func:`repeated_passages`; th is the hash of the text."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = words_of(_slim(docs, doc_id, text))
+    words, stored_words = words_of(_slim(docs, doc_id, text))
     met = keys_met(words)
-    spans = paragraph_spans(words, met).unionByName(run_spans(words, met))
+    paragraphs = cut(paragraph_spans(words, met))
+    forget(spark)
+    passages, stored_places = run_spans(words, met)
+    spans = paragraphs.unionByName(passages)
     proposed = map_arrow(spans.repartition(n, *DOC).sortWithinPartitions(*DOC), _propose, SPAN)
     # a span of a document may be needed by very many others: each is told once
     told = cut(proposed.distinct())
-    del spans, proposed, words, met
+    del paragraphs, passages, spans, proposed, words, met
+    discard(spark, stored_words, stored_places)
     forget(spark)
     return map_arrow(told.repartition(n, *DOC).sortWithinPartitions(*DOC), _resolve, "doc_id long, th long, start_word int, end_word int, holder_id long, kept boolean")
 
