@@ -1,9 +1,10 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters look at a document and vote toxic, clean or abstain. The label model estimates by expectation maximisation how
-often each voter is right and which voters are correlated given the label (a group of correlated voters counts as
-one), and gives each training document a posterior. A logistic classifier over tokens and voters is fitted to the
-posteriors and scores every whole text.
+Voters look at a document and vote toxic, clean or abstain: mined lexicon words of both kinds, a general lexicon, counts
+of hits, patterns. Labels choose the voters and give the prior share of toxic documents, nothing else. The label model
+sees votes alone: it estimates by expectation maximisation how often each voter is right and which voters are
+correlated given the label (a group of correlated voters counts as one), and gives each training document a posterior.
+A logistic classifier over tokens and votes is fitted to the posteriors and scores every whole text.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from ._common import binary_list, cut, label_min, map_arrow
 
 #: Bound on the labelled rows that the model is fitted on (those with the smallest hash of their id).
 TRAIN_ROWS = 12_000
-#: Sizes of the model: mined lexicon words, each a voter, and token features.
-LEXICON, FEATURES = 64, 400
-LEAST_DOCS = 4
+#: Bounds on the model, all parameters of :func:`train`: mined words that vote toxic, that vote clean, token features.
+LEXICON, CLEAN, FEATURES = 160, 32, 400
+#: Of a token: the least training documents; the least share of toxic ones among them to vote toxic; the log ratio of its shares to vote clean.
+LEAST_DOCS, TOXIC_SHARE, CLEAN_GAP = 4, 0.9, -1.0
 THRESHOLD = 0.3
 #: A general lexicon of insults, one voter.
 SEEDS = frozenset(
@@ -74,8 +76,12 @@ def log_odds(p):
     return np.log(p) - np.log1p(-p)
 
 
+#: Voters that are no mined words: the general lexicon, one, two, three mined toxic words, each pattern.
+GENERAL = ["seed", "one", "two", "three", *(f"pattern {k}" for k in range(len(PATTERNS)))]
+
+
 def general_votes(own: set[bytes], lexicon: frozenset, f: int) -> list[bool]:
-    """Votes of: a seed, one lexicon word, two, three, each pattern."""
+    """Which of ``GENERAL`` speak for toxic; "one" speaks for clean where it doesn't."""
     hits = word_hits(own, lexicon)
     return [not SEEDS.isdisjoint(own), hits > 0, hits > 1, hits > 2, *(bool(f >> i & 1) for i in range(len(PATTERNS)))]
 
@@ -86,8 +92,10 @@ class Model:
     weights: dict
     voters: list  # weights of the general votes
     bias: float
-    accuracies: dict
+    accuracies: dict  # of each voter: P(toxic | it votes toxic), P(toxic | it votes clean)
     groups: list
+    posteriors: np.ndarray  # of the training rows, and their labels
+    labels: np.ndarray
 
     def score(self, text: bytes) -> float:
         own = token_set(text)
@@ -97,39 +105,58 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50, least: float = 0.5, alone: tuple = (), start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """Posterior of "toxic" from votes (+1, -1, 0) [documents][voters], each voter's P(vote | label), groups of correlated voters; those in ``alone`` are a group each.
+def at_share(z: np.ndarray, prior: float) -> np.ndarray:
+    """Probabilities of the log odds ``z``, moved alike so that their mean is the prior."""
+    low, high = -100.0, 100.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        q = 1 / (1 + np.exp(-np.clip(z + mid, -50, 50)))
+        low, high = (mid, high) if q.mean() < prior else (low, mid)
+    return q
+
+
+def label_model(votes: np.ndarray, prior: float, rounds: int = 50, least: float = 0.5) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Posterior of "toxic" from votes (+1, -1, 0) [documents][voters]; of each voter P(toxic | it votes +1 or -1); groups of correlated voters.
 
-    The first guess is ``start``, else the majority of the votes.
+    An abstention tells nothing; a vote multiplies the odds by the ratio of the voter's odds to the prior's, and a group
+    by the mean (of the logarithms) of those of its members that vote. The first guess is the prior's share of the
+    documents with the most votes for toxic over clean, and that share holds in every round.
     """
     n, m = votes.shape
-    one = np.stack([votes == v for v in (1, -1, 0)], 2).astype(float)
-    q = np.clip(prior + 0.3 * np.sign(votes.sum(1)), 0.02, 0.98) if start is None else start
-    # what voters still have in common when the label is known as well as it can be at first
+    prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
+    if not n:
+        return np.zeros(0), np.full((m, 2), prior), [[j] for j in range(m)]
+    on = [(votes == v).astype(float) for v in (1, -1)]
     active = votes.astype(float)
-    rest = active - np.outer(q, (q @ active) / max(q.sum(), 1e-9)) - np.outer(1 - q, ((1 - q) @ active) / max((1 - q).sum(), 1e-9))
+
+    def first(strength):
+        q = np.full(n, 0.05)
+        q[(strength > 0) & (strength >= np.sort(strength)[::-1][max(0, round(prior * n) - 1)])] = 0.9
+        return q
+
+    q = first(active.sum(1))
+    # what voters still have in common when the label is known as well as it can be at first
+    rest = active - np.outer(q, (q @ active) / q.sum()) - np.outer(1 - q, ((1 - q) @ active) / (1 - q).sum())
     sd = rest.std(0)
-    corr = (rest.T @ rest) / max(n, 1) / np.maximum(np.outer(sd, sd), 1e-12)
-    corr[list(alone)] = 0
-    corr[:, list(alone)] = 0
+    corr = (rest.T @ rest) / n / np.maximum(np.outer(sd, sd), 1e-12)
     a, b = np.nonzero(np.triu(corr > least, 1))
     root = label_min(m, a, b)
-    groups = [np.flatnonzero(root == r).tolist() for r in np.unique(root)]
-    share = np.ones(m)
-    for g in groups:
-        share[g] = 1 / len(g)
-    q = np.clip(prior + 0.3 * np.sign(active @ share), 0.02, 0.98) if start is None else start
+    of = np.unique(root, return_inverse=True)[1]
+    groups = [np.flatnonzero(of == g).tolist() for g in range(of.max() + 1)]
+    member = np.zeros((m, len(groups)))
+    member[np.arange(m), of] = 1
+    share = 1 / np.maximum(np.abs(active) @ member, 1)
+    q = first(((active @ member) * share).sum(1))
+    p = np.full((m, 2), prior)
     for _ in range(rounds):
-        p1 = (np.einsum("n,nmv->mv", q, one) + 0.1) / (q.sum() + 0.3)
-        p0 = (np.einsum("n,nmv->mv", 1 - q, one) + 0.1) / ((1 - q).sum() + 0.3)
-        pi = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        z = log_odds(pi) + np.einsum("nmv,mv,m->n", one, np.log(p1) - np.log(p0), share)
-        new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        p = np.clip(np.stack([(q @ x + prior) / (x.sum(0) + 1) for x in on], 1), 1e-3, 1 - 1e-3)
+        told = sum(x * (log_odds(p[:, k]) - log_odds(prior)) for k, x in enumerate(on))
+        new = at_share(((told @ member) * share).sum(1), prior)
         done = np.abs(new - q).max() < 1e-5
         q = new
         if done:
             break
-    return q, np.stack([p1, p0], 1), groups
+    return q, p, groups
 
 
 def logistic(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, rounds: int = 25, weight: np.ndarray | None = None) -> np.ndarray:
@@ -158,26 +185,29 @@ def logistic(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, rounds: int =
     return w
 
 
-def fit(lexicon: list[bytes], features: list[bytes], rows: list[tuple]) -> Model:
-    """``rows``: (label, places of the features it has, places of the lexicon's, general votes) of the training rows."""
-    general = 4 + len(PATTERNS)
+def fit(lexicon: list[bytes], clean: list[bytes], features: list[bytes], rows: list[tuple]) -> Model:
+    """``rows``: (label, places of the features, of the toxic and of the clean words that it has, general votes) of the training rows.
+
+    The label of a row is used for the prior alone; its vote is none of those that the label model sees.
+    """
+    general = len(GENERAL)
     if not rows:
-        return Model(frozenset(), {}, [4.0, *[0.0] * (general - 1)], -3.0, {}, [])
-    n, pos = len(rows), sum(r[0] for r in rows)
-    x = np.zeros((n, len(features) + general))
-    votes = np.zeros((n, len(lexicon) + general + 1), np.int8)
-    for i, (label, has, mine, on) in enumerate(rows):
+        return Model(frozenset(), {}, [4.0, *[0.0] * (general - 1)], -3.0, {}, [], np.zeros(0), np.zeros(0))
+    y = np.array([r[0] for r in rows])
+    x = np.zeros((len(rows), len(features) + general))
+    votes = np.zeros((len(rows), len(lexicon) + len(clean) + general), np.int8)
+    for i, (_, has, toxic_, clean_, on) in enumerate(rows):
         x[i, has] = 1
         x[i, len(features) :] = on
-        votes[i, mine] = 1
-        votes[i, len(lexicon) : -1] = on
+        votes[i, toxic_] = 1
+        votes[i, np.array(clean_, int) + len(lexicon)] = -1
+        votes[i, -general:] = on
         if not any(on[:2]):
-            votes[i, len(lexicon)] = -1
-        votes[i, -1] = 1 if label else -1  # the label itself is one more voter
-    q, acc, groups = label_model(votes, np.clip(pos / n, 0.01, 0.99), alone=(votes.shape[1] - 1,), start=np.where(votes[:, -1] > 0, 0.9, 0.05))
+            votes[i, GENERAL.index("one") - general] = -1
+    q, p, groups = label_model(votes, y.mean())
     w = logistic(x, q)
-    names = [*(t.decode("utf-8", "replace") for t in lexicon), "seed", "one", "two", "three", *(f"pattern {k}" for k in range(len(PATTERNS))), "label"]
-    return Model(frozenset(lexicon), dict(zip(features, w[: len(features)].tolist())), w[len(features) : -1].tolist(), float(w[-1]), {k: a.tolist() for k, a in zip(names, acc)}, groups)
+    names = [*(t.decode("utf-8", "replace") for t in (*lexicon, *clean)), *GENERAL]
+    return Model(frozenset(lexicon), dict(zip(features, w[: len(features)].tolist())), w[len(features) : -1].tolist(), float(w[-1]), {k: a.tolist() for k, a in zip(names, p)}, groups, q, y)
 
 
 def held_out(doc_id):
@@ -208,41 +238,48 @@ def _tokens(batches):
     yield counted()
 
 
-def _votes(lexicon: list[bytes], features: list[bytes]):
+def _votes(lexicon: list[bytes], clean: list[bytes], features: list[bytes]):
     def run(batches):
-        mined, at, lex = frozenset(lexicon), {w: i for i, w in enumerate(features)}, {w: i for i, w in enumerate(lexicon)}
+        mined = frozenset(lexicon)
+        places = [{w: i for i, w in enumerate(x)} for x in (features, lexicon, clean)]
         for b in batches:
             rows = []
             for t in (t for at_ in range(0, b.num_rows, 256) for t in binary_list(b.column("text").slice(at_, 256))):
                 own = token_set(t)
-                rows.append((sorted(at[w] for w in at.keys() & own), sorted(lex[w] for w in mined & own), general_votes(own, mined, flags(t))))
-            lists = [pa.array([r[i] for r in rows], pa.list_(k)) for i, k in enumerate((pa.int32(), pa.int32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("h"), *lists], names=["y", "h", "has", "mine", "votes"])
+                rows.append((*(sorted(at[w] for w in at.keys() & own) for at in places), general_votes(own, mined, flags(t))))
+            lists = [pa.array([r[i] for r in rows], pa.list_(k)) for i, k in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("i"), *lists], names=["y", "i", "has", "toxic", "clean", "votes"])
 
     return run
 
 
-def pick_tokens(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
-    """(lexicon, features) of ``sample(y, text)``: the tokens whose share among toxic documents differs most from that among clean ones."""
+def pick_tokens(sample: DataFrame, lexicon: int = LEXICON, clean: int = CLEAN, features: int = FEATURES) -> list[list[bytes]]:
+    """[toxic words, clean words, features] of ``sample(y, text)``: the tokens whose share among toxic documents differs most from that among clean ones."""
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     counts = map_arrow(sample.select("y", "text"), _tokens, "token binary, k long, k1 long").groupBy("token").agg(F.sum("k").alias("k"), F.sum("k1").alias("k1")).where(F.col("k") >= LEAST_DOCS)
     gap = F.log((F.col("k1") + 0.5) / (total["pos"] + 1.0)) - F.log((F.col("k") - F.col("k1") + 0.5) / (total["n"] - total["pos"] + 1.0))
-    ranked = cut(counts.select("token", F.round(gap, 9).alias("gap"), F.round(F.abs(gap) * F.sqrt("k"), 9).alias("lift")))
-    lexicon, features = (df.orderBy(F.desc("lift"), "token").limit(most).collect() for df, most in ((ranked.where("gap > 2"), LEXICON), (ranked, FEATURES)))
-    return [bytes(r["token"]) for r in lexicon], [bytes(r["token"]) for r in features]
+    share = (F.col("k1") + 0.5) / (F.col("k") + 1)
+    ranked = cut(counts.select("token", share.alias("share"), F.round(gap, 9).alias("gap"), F.round(F.abs(gap) * F.sqrt("k"), 9).alias("lift")))
+    picks = ((ranked.where(F.col("share") >= TOXIC_SHARE), lexicon), (ranked.where(F.col("gap") < CLEAN_GAP), clean), (ranked, features))
+    return [[bytes(r["token"]) for r in df.orderBy(F.desc("lift"), "token").limit(most).collect()] for df, most in picks]
+
 
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, lexicon: int = LEXICON, clean: int = CLEAN, features: int = FEATURES) -> Model:
+    """The model of at most ``rows`` labelled ids that are not held out, those of the smallest hash.
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """The model of at most ``rows`` labelled rows that are not held out. Contradicting labels of one id: the larger."""
+    Contradicting labels of one id: the larger. Of several texts of one id that of the smallest hash. Null ids and labels
+    take no part; without labels the general lexicon alone decides.
+    """
     known = labels.select(F.col(doc_id).cast("long").alias("_gl_id"), F.col(label).alias("y")).where("_gl_id is not null and y is not null").where(~held_out(F.col("_gl_id")))
     known = known.groupBy("_gl_id").agg(F.max("y").cast("int").alias("y"))
     slim = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("text"))
     ids = slim.select("i").distinct().join(known, F.expr("i = _gl_id")).select("_gl_id", "y")
     chosen = cut(ids.orderBy(F.xxhash64("_gl_id"), "_gl_id").limit(rows))
-    mine = cut(slim.join(F.broadcast(chosen), F.expr("i = _gl_id")).select("y", "text", F.xxhash64("i", "text").alias("h")))
-    lexicon, features = pick_tokens(mine)
-    got = map_arrow(mine, _votes(lexicon, features), "y int, h long, has array<int>, mine array<int>, votes array<boolean>").collect()
-    return fit(lexicon, features, [(r["y"], r["has"], r["mine"], r["votes"]) for r in sorted(got, key=lambda r: (r["h"], r["y"]))])
+    mine = slim.join(F.broadcast(chosen), F.expr("i = _gl_id"))
+    mine = cut(mine.groupBy("i", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+    picked = pick_tokens(mine, lexicon, clean, features)
+    got = map_arrow(mine, _votes(*picked), "y int, i long, has array<int>, toxic array<int>, clean array<int>, votes array<boolean>").collect()
+    return fit(*picked, [(r["y"], r["has"], r["toxic"], r["clean"], r["votes"]) for r in sorted(got, key=lambda r: r["i"])])
 
 
 def _score(model: Model):
@@ -275,5 +312,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with their columns, without those that score ``threshold`` or more."""
+    """``docs`` with their columns, without those that score ``threshold`` or more.
+
+    Null and empty texts score as no evidence does and stay; repeated rows are scored alike; no documents give no rows.
+    """
     return with_score(docs, train(docs, labels, doc_id, text), text).where(F.col("_gl_score") < threshold).drop("_gl_score")

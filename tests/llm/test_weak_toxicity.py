@@ -73,14 +73,68 @@ def test_without_labels(spark):
 def test_label_model_finds_accuracies_and_groups():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.3
-    votes = np.zeros((4000, 5), np.int8)
-    for j, acc in enumerate((0.9, 0.8, 0.7)):
+    votes = np.zeros((4000, 6), np.int8)
+    for j, acc in enumerate((0.9, 0.85, 0.8, 0.8)):
         votes[:, j] = np.where((rng.random(4000) < acc) == y, 1, -1)
-    votes[:, 3] = votes[:, 2]  # the same voter again
-    votes[:, 4] = np.where(rng.random(4000) < 0.5, 1, -1)
+    votes[:, 4] = votes[:, 3]  # the same voter again
+    votes[:, 5] = np.where(rng.random(4000) < 0.5, 1, -1)
     q, p, groups = op.label_model(votes, 0.3)
-    assert ((q > 0.5) == y).mean() > 0.9 and [2, 3] in groups
-    assert p[0, 0, 0] > 0.8 and p[0, 1, 1] > 0.8
+    assert ((q > 0.5) == y).mean() > 0.9 and [3, 4] in groups
+    true = np.array([[y[votes[:, j] == v].mean() for v in (1, -1)] for j in range(6)])
+    assert np.abs(p - true).max() < 0.12
+    assert abs(p[5, 0] - 0.3) < 0.1 and q.mean() == pytest.approx(0.3, abs=0.02)
+
+
+def test_posteriors_come_from_the_votes_not_from_the_labels(data):
+    docs, labels, truth = data
+    model = op.train(docs, labels)
+    wrong = [i for i in range(900) if not held(i) and i % 97 == 0]
+    order = [i for i in range(900) if not held(i)]
+    assert len(model.posteriors) == len(order) and len(wrong) > 3
+    at = {i: k for k, i in enumerate(order)}
+    for i in wrong:  # the label says one thing, the words of the document another
+        assert model.labels[at[i]] == (not truth[i]) and (model.posteriors[at[i]] > 0.5) == truth[i]
+
+
+def test_labels_give_the_label_model_nothing_but_their_share():
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(400):
+        t = rng.random() < 0.3
+        mine = [j for j in range(3) if t and rng.random() < 0.7]
+        rows.append((int(t), mine, mine, [], [False, bool(mine), len(mine) > 1, len(mine) > 2, *[False] * len(op.PATTERNS)]))
+    words = [b"aaa", b"bbb", b"ccc"]
+    shuffled = [(y, *r[1:]) for y, r in zip(rng.permutation([r[0] for r in rows]).tolist(), rows)]
+    one, two = op.fit(words, [], words, rows), op.fit(words, [], words, shuffled)
+    assert np.array_equal(one.posteriors, two.posteriors) and one.weights == two.weights
+    assert {"aaa", "seed", "one"} <= set(one.accuracies) and "label" not in one.accuracies
+
+
+def test_scoring_against_brute_force(data):
+    docs, labels, _ = data
+    model = op.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in op.toxicity(docs, labels).collect()}
+    for r in docs.collect():
+        own, words = set(), (r["text"] or "").lower().split()
+        own |= set(words)
+        for k in op.STEMS:
+            for w in set(words):
+                if len(w) > max(k, 4):
+                    own.add("~" + w[:k])
+                    if sum(x[:k] == w[:k] and len(x) > max(k, 4) for x in set(words)) > 1:
+                        own.add("~~" + w[:k])
+        z = model.bias + sum(w for t, w in model.weights.items() if t.decode() in own)
+        lexicon = {t.decode() for t in model.lexicon} & own
+        hits = sum(any(t == w or t.startswith("~") and len(w) > max(len(t.lstrip("~")), 4) and w.startswith(t.lstrip("~")) for t in lexicon) for w in set(words))
+        on = [bool({x.decode() for x in op.SEEDS} & set(words)), hits > 0, hits > 1, hits > 2, *[False] * len(op.PATTERNS)]
+        z += sum(w for w, x in zip(model.voters, on) if x)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9, abs=1e-12)
+
+
+def test_one_row_an_id_is_learned_from(spark):
+    docs = spark.createDataFrame([(i % 40, f"fine words {i}", "en", "a", 0) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert len(op.train(docs, labels).labels) == sum(not held(i) for i in range(40))
 
 
 def test_tokens():
