@@ -332,7 +332,7 @@ def _line_rows(shingles: list, sizes: list, names: list, out: list) -> int:
 
 def _meet(batches):
     """Of lines: the rows that hold more than one thing for a key, each with what it is linked to; of runs: those that met."""
-    for t in whole_groups(batches, ["kind", "key"]):
+    for t in whole_groups(batches, ["key"]):
         kinds = t.column("kind").to_numpy()
         for kind in np.unique(kinds).tolist():
             own = t.filter(pa.array(kinds == kind))
@@ -554,10 +554,10 @@ def _follow(batches):
     Rows of one document: what its places have for holders (LEAD), and (AGAIN) what other documents, or other places
     of its own, have in common with it: in these the document is the holder.
     """
-    for t in whole_groups(batches, ["kx", "kd", "kth"]):
+    for t in whole_groups(batches, ["k"]):
         kind = t.column("kind").to_numpy()
-        c = {k: t.column(k).to_numpy() for k in ("kx", "kd", "kth", *DOC, "start", "stop", *HOLDER)}
-        own = chains({k: v[kind == LEAD] for k, v in c.items() if k[0] != "k"})
+        c = {k: t.column(k).to_numpy() for k in (*DOC, "start", "stop", *HOLDER)}
+        own = chains({k: v[kind == LEAD] for k, v in c.items()})
         links: dict[tuple, list[tuple]] = {}
         for x, d, th, a, e, *holder in zip(*(own[k].tolist() for k in (*DOC, "start", "stop", *HOLDER))):
             links.setdefault((x, d, th), []).append((a, e, holder))
@@ -619,7 +619,7 @@ def _blocks(batches):
                         u.append(cs[a + k])
                         v.append(cs[a + o])
                         label = label_min(len(names), np.append(np.arange(len(names)), own[k]), np.append(label, own[o]))
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -638,15 +638,15 @@ def keys_met(words: DataFrame, with_runs: bool = True) -> DataFrame:
     """(kind, key, c, m) of the buckets and lines that hold several things, and of the chosen runs of several documents."""
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = map_arrow(words, partial(_scan_keys, with_runs=with_runs), "kind byte, key long, c long, m long")
-    dealt = keys.repartition(n, F.when(F.expr(f"m is null or kind = {CHOSEN}"), F.col("key")).otherwise(F.xxhash64("key", "c"))).sortWithinPartitions("kind", "key")
+    dealt = keys.repartition(n, F.when(F.expr(f"m is null or kind = {CHOSEN}"), F.col("key")).otherwise(F.xxhash64("key", "c"))).sortWithinPartitions("key")  # one long: a radix sort
     met = cut(map_arrow(dealt, _meet, "kind byte, key long, c long, m long"))
     del keys, dealt
     forget(words.sparkSession)
     return met
 
 
-def near_contents(words: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """sets(c, node, set) of the lines that share a bucket, components (node, comp) of the near ones.
+def near_contents(words: DataFrame, met: DataFrame) -> DataFrame:
+    """(c, node, comp) of the contents of near lines: short id, whole id, component.
 
     A filter of bounded size tells which lines a step may need. What it lets through by chance finds no partner in the
     join that follows.
@@ -656,13 +656,14 @@ def near_contents(words: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFram
     pairs = cut(stars.select(F.greatest("c", "m").alias("u"), F.least("c", "m").alias("v")).distinct())
     needed = cut(pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct())
     found = map_arrow(words, _wanted_sets(filter_of(needed)), "c long, node binary, set binary")
-    sets = cut(found.join(needed, "c", "left_semi").groupBy("c", "node").agg(F.first("set").alias("set")))
-    one, two = (sets.select(F.col("c").alias(f"c{k}"), F.col("node").alias(f"n{k}"), F.col("set").alias(f"s{k}")) for k in "12")
+    sets = found.join(needed, "c", "left_semi").groupBy("c", "node").agg(F.first("set").alias("set"))
+    sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))
+    one, two = (sets.select(F.col("c").alias(f"c{k}"), F.col("id").alias(f"i{k}"), F.col("set").alias(f"s{k}")) for k in "12")
     # of contents with one short id every two meet, so a chance collision joins nothing by itself
-    links = cut(map_arrow(pairs.join(one, F.expr("u = c1")).join(two, F.expr("v = c2")).select(F.col("n1").alias("u"), F.col("n2").alias("v"), "s1", "s2"), _verify, "u binary, v binary"))
+    links = cut(map_arrow(pairs.join(one, F.expr("u = c1")).join(two, F.expr("v = c2")).select(F.col("i1").alias("u"), F.col("i2").alias("v"), "s1", "s2"), _verify, "u long, v long"))
     comps = cut(connected_components(links))
     # buckets with a row that its star did not join: every pair across components meets too, in blocks
-    named = cut(sets.select("c", "node").join(comps.withColumnRenamed("node", "k"), F.expr("node = k"), "left").select("c", "node", F.coalesce("comp", "node").alias("comp")))
+    named = cut(sets.select("c", "id").join(comps.withColumnRenamed("node", "k"), F.expr("id = k"), "left").select("c", "id", F.coalesce("comp", "id").alias("comp")))
     of = {k: named.select(F.col("c").alias(f"c{k}"), F.col("comp").alias(f"p{k}")) for k in "12"}
     apart = pairs.join(of["1"], F.expr("u = c1")).join(of["2"], F.expr("v = c2")).where("p1 <> p2").select("u", "v").distinct()
     keyed = stars.select("key", F.greatest("c", "m").alias("a"), F.least("c", "m").alias("b"))
@@ -670,16 +671,16 @@ def near_contents(words: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFram
     if not open_.isEmpty():
         members = stars.join(open_, "key", "left_semi")
         members = cut(members.select("key", "c").union(members.select("key", F.col("m").alias("c"))))
-        members = cut(members.distinct().join(named, "c").select("key", "node", "comp"))
+        members = cut(members.distinct().join(named, "c").select("key", "id", "comp"))
         count = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        spread = members.join(count, "key").select("key", F.col("node").alias("c"), "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        spread = members.join(count, "key").select("key", F.col("id").alias("c"), "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         spread = spread.select("key", "c", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        spread = spread.join(sets.select("node", "set"), F.expr("c = node")).drop("node").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = cut(map_arrow(spread, _blocks, "u binary, v binary").distinct())
+        spread = spread.join(sets.select("id", "set"), F.expr("c = id")).drop("id").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = cut(map_arrow(spread, _blocks, "u long, v long").distinct())
         if not more.isEmpty():
             comps = cut(connected_components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more)))
-    return sets, comps
+    return cut(sets.select("c", "node", "id").join(comps.withColumnRenamed("node", "k"), F.expr("id = k")).select("c", "node", "comp"))
 
 
 def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -688,22 +689,22 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Null, empty and shorter texts than a shingle have none. ``th`` is the hash of the text, equal texts have one row.
     """
     words, place = words_of(_slim(docs, doc_id, text), whole_text)
-    sets, comps = near_contents(words, keys_met(words, False))
-    near = cut(sets.select("c", "node").join(comps.select("node"), "node", "left_semi").select("c"))
-    texts = map_arrow(words, _wanted_places(filter_of(near)), "node binary, x byte, d long, th long, start int, stop int").select("th", "node").distinct()
-    found = cut(texts.join(comps.withColumnRenamed("node", "k"), F.expr("node = k")).select("th", "comp"))
+    near = near_contents(words, keys_met(words, False))
+    texts = map_arrow(words, _wanted_places(filter_of(near.select("c"))), "node binary, x byte, d long, th long, start int, stop int").select("th", "node").distinct()
+    found = cut(texts.join(near.select(F.col("node").alias("k"), "comp"), F.expr("node = k")).select("th", "comp"))
     discard(docs.sparkSession, place)
     return found
 
 
 def paragraph_spans(words: DataFrame, met: DataFrame) -> DataFrame:
     """SPAN rows of the lines that repeat in another document, exactly or nearly."""
-    sets, comps = near_contents(words, met)
+    near = near_contents(words, met)
     exact = met.where(F.col("kind") == LINE).select(F.col("key").alias("c"))
-    near = sets.select("c", "node").join(comps.select("node"), "node", "left_semi").select("c")
-    known = filter_of(cut(exact.union(near).distinct()))
+    known = filter_of(cut(exact.union(near.select("c")).distinct()))
     lines = map_arrow(words, _wanted_places(known), "node binary, x byte, d long, th long, start int, stop int")
-    lines = cut(lines.join(comps.withColumnRenamed("node", "k"), F.expr("node = k"), "left").select(*DOC, "start", "stop", F.coalesce("comp", "node").alias("comp")))
+    lines = lines.join(near.select(F.col("node").alias("k"), "comp"), F.expr("node = k"), "left")
+    # of a line without near ones the class is its content
+    lines = cut(lines.select(*DOC, "start", "stop", F.coalesce(F.col("comp").cast("string").cast("binary"), "node").alias("comp")))
     classes = lines.groupBy(F.col("comp").alias("k")).agg(F.min(F.struct(*DOC, "start")).alias("first"), F.max(F.struct(*DOC)).alias("last"))
     classes = cut(classes.where("not (first.x = last.x and first.d = last.d and first.th = last.th)").select("k", "first"))
     stays = F.expr("x = first.x and d = first.d and th = first.th and start = first.start")
@@ -727,9 +728,15 @@ def run_spans(words: DataFrame, met: DataFrame) -> tuple[DataFrame, str]:
     places, at = stored(map_arrow(words, _scan_places(bitmaps), f"{SPAN}, h long, h2 long"))
     leads = places.where(F.col("kind") >= LEAD).select("h", "h2", *DOC, "kind", "start").repartition(n, "h").sortWithinPartitions("h")
     firsts = map_arrow(leads, _firsts, SPAN)
-    again = places.where(F.col("kind") == AGAIN).drop("h", "h2").select(F.col("hx").alias("kx"), F.col("hd").alias("kd"), F.col("hth").alias("kth"), "*")
-    both = firsts.select(F.col("x").alias("kx"), F.col("d").alias("kd"), F.col("th").alias("kth"), "*").unionByName(again)
-    return map_arrow(both.repartition(n, "kx", "kd", "kth").sortWithinPartitions("kx", "kd", "kth"), _follow, SPAN), at
+    again = places.where(F.col("kind") == AGAIN).drop("h", "h2").withColumn("k", F.xxhash64("hx", "hd", "hth"))
+    both = firsts.withColumn("k", F.xxhash64(*DOC)).unionByName(again)
+    return map_arrow(both.repartition(n, "k").sortWithinPartitions("k"), _follow, SPAN), at
+
+
+def by_document(spans: DataFrame) -> DataFrame:
+    """SPAN rows dealt by document, with its hash as ``k``: one long to sort by; what shares it by chance is told apart later."""
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spans.withColumn("k", F.xxhash64(*DOC)).repartition(n, "k").sortWithinPartitions("k")
 
 
 def joined(spans) -> list[list[int]]:
@@ -782,7 +789,7 @@ def _propose(batches):
     Paragraphs go first. Of the runs, those of the earliest holder come first; what they cover beyond what goes already
     goes too where that is ``RUN`` words or more, and is then needed in the holder, word for word.
     """
-    for t in whole_groups(batches, DOC):
+    for t in whole_groups(batches, ["k"]):
         kind = t.column("kind").to_numpy()
         c = {k: t.column(k).to_numpy() for k in SPAN_TYPES}
         by: dict[tuple, list[tuple]] = {}
@@ -813,9 +820,9 @@ def _propose(batches):
 
 def _resolve(batches):
     """What goes and what stays: nothing goes that others need."""
-    for t in whole_groups(batches, DOC):
+    for t in whole_groups(batches, ["k"]):
         by: dict[tuple, dict[int, list]] = {}
-        for x, d, th, kind, a, e, hx, hd, *_ in zip(*(c.to_pylist() for c in t.columns)):
+        for x, d, th, kind, a, e, hx, hd in zip(*(t.column(c).to_pylist() for c in (*DOC, "kind", "start", "stop", "hx", "hd"))):
             by.setdefault((x, d, th), {}).setdefault(kind, []).append((a, e, (hx, hd)))
         rows = []
         for (x, d, th), spans in by.items():
@@ -831,20 +838,19 @@ def _resolve(batches):
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, start_word, end_word, holder_id, kept) of :func:`repeated_passages`; th is the hash of the text."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words, stored_words = words_of(_slim(docs, doc_id, text))
     met = keys_met(words)
     paragraphs = cut(paragraph_spans(words, met))
     forget(spark)
     passages, stored_places = run_spans(words, met)
     spans = paragraphs.unionByName(passages)
-    proposed = map_arrow(spans.repartition(n, *DOC).sortWithinPartitions(*DOC), _propose, SPAN)
+    proposed = map_arrow(by_document(spans), _propose, SPAN)
     # a span of a document may be needed by very many others: each is told once
     told = cut(proposed.distinct())
     del paragraphs, passages, spans, proposed, words, met
     discard(spark, stored_words, stored_places)
     forget(spark)
-    return map_arrow(told.repartition(n, *DOC).sortWithinPartitions(*DOC), _resolve, "doc_id long, th long, start_word int, end_word int, holder_id long, kept boolean")
+    return map_arrow(by_document(told), _resolve, "doc_id long, th long, start_word int, end_word int, holder_id long, kept boolean")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
