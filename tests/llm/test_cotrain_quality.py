@@ -54,14 +54,65 @@ def test_clashing_columns_and_repeated_rows(spark, data):
     assert op.quality(strange.union(strange), labels, pages.withColumn("i", F.lit(1))).count() == 60
 
 
+def two_views(seed, n=3000, labelled=300):
+    rng = np.random.default_rng(seed)
+    truth = (rng.random(n) < 0.6).astype(int)
+    text, meta = (np.stack([truth + 0.6 * rng.normal(size=n), rng.normal(size=n)], 1) for _ in "ab")
+    return text, meta, truth, labelled
+
+
 def test_views_teach_each_other():
-    rng = np.random.default_rng(2)
-    truth = rng.random(3000) < 0.5
-    text = np.stack([truth + 0.7 * rng.normal(size=3000), rng.normal(size=3000)], 1)
-    meta = np.stack([truth + 0.7 * rng.normal(size=3000), rng.normal(size=3000)], 1)
-    y = np.full(3000, -1)
-    y[:60] = truth[:60]
-    model = op.co_train(text, meta, y)
-    t, m, both = model.score(text, meta)
-    right = [((p >= 0.5) == truth)[60:].mean() for p in (t, m, both)]
-    assert right[2] > max(right[:2]) - 0.01 and right[2] > 0.8
+    text, meta, truth, k = two_views(2)
+    state = op.CoTraining(text[:k], meta[:k], truth[:k])
+    views = (text, meta)
+    for _ in range(3):
+        given = [{}, {}]
+        for a in (0, 1):
+            low, high = state.bounds(a)
+            z = state.views[a].raw(views[a][k:])
+            for label, at in ((0, np.flatnonzero(z <= low)), (1, np.flatnonzero(z >= high))):
+                assert len(at) > 20 and np.mean(truth[k:][at] == label) > 0.6
+                given[1 - a][label] = views[1 - a][k:][at[:200]]
+        state.learn(given)
+    model = state.model()
+    assert all(n > 20 for told in model.taken for kind in told.values() for n in kind.values())
+    assert all(v.slope > 0.1 for v in model.views)
+    t, m, both = model.score(text[k:], meta[k:])
+    right = [((p >= 0.5) == truth[k:]).mean() for p in (t, m, both)]
+    assert right[2] > max(right[:2]) + 0.02 and right[2] > 0.85
+
+
+def test_pseudo_labels_are_exchanged_over_the_table_and_both_views_carry_weight(spark, data):
+    docs, labels, pages, good = data
+    known, _ = op.features(docs, pages)
+    model = op.train(known, labels)
+    assert len(model.taken) > 0 and all(sum(told[v][label] for told in model.taken) > 2 for v in ("text", "meta") for label in (0, 1))
+    assert all(v.slope > 0.1 and np.abs(v.weights[:-1]).max() > 0.05 for v in model.views)
+    rows = {r["doc_id"]: r for r in known.collect()}
+    got = {r["doc_id"]: r for r in op.quality(docs, labels, pages).collect()}
+    for i in (0, 5, 300, 450, 650, 700, 702):  # the scoring pass, number by number
+        z = []
+        for v, c in zip(model.views, ("text", "meta")):
+            x = np.frombuffer(bytes(rows[i][c]), np.float32).astype(float)
+            raw = sum((a - b) / d * w for a, b, d, w in zip(x, v.mean, v.deviation, v.weights) if a == a) + v.weights[-1]
+            z.append(min(max(raw, -30), 30) * v.slope + v.shift)
+        for c, x in zip(("text_score", "meta_score", "score"), (*z, sum(z) - model.prior)):
+            assert got[i][c] == pytest.approx(1 / (1 + np.exp(-x)), rel=1e-6, abs=1e-12)
+
+
+def test_features():
+    t = b"One one two, THREE a\n\nb b"
+    own, words = op.surface(t)
+    assert words == {b"one", b"two,", b"three", b"a", b"b"} and own[10] == pytest.approx(10 * 3 / 7)
+    x = op.text_features([t, b""])
+    assert x.shape == (2, op.WIDTHS[0]) and x[0, op.SURFACE :].sum() == pytest.approx(5 / 5**0.5) and not x[1, op.SURFACE :].any()
+    assert op.layout(t)[4:8] == pytest.approx([1 / 3, op.layout(t)[5], 1, 1])
+    assert "a-very-long-segment-of-a-path" in op.url_parts("http://a.b.com/x/a-very-long-segment-of-a-path?q=1")
+    assert len(op.meta_features(None, None, None, None, None)) + op.LAYOUT == op.WIDTHS[1]
+
+
+def test_repeated_ids_are_learned_from_once(spark, data):
+    docs, labels, pages, _ = data
+    known, _ = op.features(docs.union(docs).union(docs), pages)
+    one, three = op.train(op.features(docs, pages)[0], labels), op.train(known, labels)
+    assert np.allclose(one.views[0].mean, three.views[0].mean, atol=0.2)
