@@ -2,19 +2,19 @@
 
 The frequent words of the corpus are encoded once and compiled into a shared-suffix automaton whose arcs carry number
 outputs; their sum along a word's path is its place in a table of ids. The file is written to the shared folder and
-memory-mapped by the workers. Words that it lacks are merged exactly, by the ranks of the vocabulary's merges.
+memory-mapped by the workers, which look up every distinct word of a group of texts in it. Words that it lacks are merged
+exactly, by the ranks of the vocabulary's merges, many side by side.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
 import tempfile
 import uuid
-from array import array
-from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -23,17 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import KEPT, map_arrow, shared_dir
+from ._common import KEPT, discard, map_arrow, shared_dir, stored
 from .token_frames import byte_chars, open_fs
 
 #: Words of the lexicon, a bound on what the driver compiles; only speed depends on it.
 LEXICON = 65_536
 LONGEST = 48
-#: Entries of a worker's caches of words; only speed and memory depend on them.
-CACHE = 300_000
-PIECES = 50_000
-#: Characters that are encoded together, and rows that are taken from a batch at once.
-GROUP, ROWS = 2_000_000, 512
+#: Bytes of texts that are encoded together, and rows that are counted together.
+GROUP, ROWS = 2_000_000, 1024
 
 
 # --- the automaton -------------------------------------------------------------------------------------------------
@@ -98,25 +95,24 @@ class Lexicon:
             at += -(-n * np.dtype(kind).itemsize // 8) * 8
 
     @classmethod
-    def pack(cls, words: list[bytes], ids: list[list[int]]) -> bytes:
-        parts = build_automaton(words)
-        parts["offset"] = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
-        parts["ids"] = np.array([i for x in ids for i in x], np.int32)
+    def pack(cls, words: list[bytes], ids: np.ndarray, offset: np.ndarray) -> bytes:
+        parts = build_automaton(words) | {"offset": offset, "ids": ids}
         out = [np.array([len(parts[n]) for n, _ in cls.PARTS], np.int64).tobytes()]
         for name, kind in cls.PARTS:
             data = parts[name].astype(kind).tobytes()
             out.append(data + b"\0" * (-len(data) % 8))
         return b"".join(out)
 
-    def find(self, words: list[bytes]) -> np.ndarray:
-        """Index of each word in the lexicon, or -1; all words walk the automaton together, a byte at a time."""
+    def find_all(self, words: pa.Array) -> np.ndarray:
+        """Index of each word (of a large string array) in the lexicon, or -1; all words walk the automaton together, a byte at a time."""
         n = len(words)
         out = np.full(n, -1, np.int64)
         if not n or not len(self.key):
             return out
-        size = np.fromiter(map(len, words), np.int64, n)
-        begin = np.cumsum(size) - size
-        text = np.frombuffer(b"".join(words), np.uint8)
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + n + 1]
+        begin, size = offsets[:-1], np.diff(offsets)
+        text = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         live = np.flatnonzero(size > 0)
         state, total = np.full(n, int(self.root[0])), np.zeros(n, np.int64)
         k = 0
@@ -135,19 +131,146 @@ class Lexicon:
             live = live[~ended]
         return out
 
-    def ids_of(self, index: int) -> list[int]:
-        return self.ids[self.offset[index] : self.offset[index + 1]].tolist()
+    def find(self, words: list[bytes]) -> np.ndarray:
+        return self.find_all(pa.array(words, pa.large_binary()))
 
 
 # --- words ---------------------------------------------------------------------------------------------------------
 
 
-class Codec:
-    """Encodes and decodes like the tokenizers library does with the same file, word by word."""
+def ragged(offset: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the values, sizes) of the lists ``at`` of a list array with these offsets, one after another."""
+    size = offset[at + 1] - offset[at]
+    total = int(size.sum())
+    return np.repeat(offset[at] - np.cumsum(size) + size, size) + np.arange(total), size
+
+
+class Merges:
+    """Exact byte-pair merges by rank, of many words at once."""
+
+    NONE = 1 << 30
+    #: Bytes up to which words are merged side by side, and words in one table.
+    WIDE, ROWS = 64, 8192
+
+    def __init__(self, vocab: dict[str, int], merges: list, end: str) -> None:
+        chars = byte_chars()
+        self.inside = np.array([vocab[c] for c in chars], np.int64)
+        self.final = np.array([vocab[c + end] for c in chars], np.int64)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        key = np.array([vocab[a] << 17 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(key)
+        self.key, self.rank = key[order], order.astype(np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.of = {tuple(m): (r, int(self.made[r])) for r, m in enumerate(zip((key >> 17).tolist(), (key & 0x1FFFF).tolist()))}
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 17 | right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (left >= 0) & (right >= 0), self.rank[at], self.NONE)
+
+    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the words, each of one byte at least."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        found: list = [None] * len(words)
+        order = np.argsort(size, kind="stable")
+        wide = int(np.searchsorted(size[order], self.WIDE, side="right"))
+        for at in range(0, wide, self.ROWS):
+            rows = order[at : min(at + self.ROWS, wide)]
+            for i, ids in zip(rows.tolist(), self._table([words[i] for i in rows.tolist()], size[rows])):
+                found[i] = ids
+        for i in order[wide:].tolist():
+            found[i] = np.array(self.one(words[i]), np.int64)
+        offset = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
+        return (np.concatenate(found) if found else np.zeros(0, np.int64)), offset
+
+    def _table(self, words: list[bytes], size: np.ndarray) -> list[np.ndarray]:
+        """Of each row the pair of least rank, the first of equals, is merged, again and again."""
+        n, wide = len(words), int(size.max())
+        raw = np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).reshape(n, wide)
+        ids = np.where(np.arange(wide) < size[:, None], self.inside[raw], -1)
+        ids[np.arange(n), size - 1] = self.final[raw[np.arange(n), size - 1]]
+        out: list = [None] * n
+        live = np.arange(n)
+        rank = self.ranks(ids[:, :-1], ids[:, 1:])
+        while len(live):
+            if rank.shape[1] == 0:
+                done, at, least = np.ones(len(live), bool), None, None
+            else:
+                at = rank.argmin(1)
+                least = rank[np.arange(len(live)), at]
+                done = least == self.NONE
+            for k in np.flatnonzero(done).tolist():
+                row = ids[k]
+                out[live[k]] = row[row >= 0]
+            live, ids = live[~done], ids[~done]
+            if not len(live):
+                break
+            rank, at, least = rank[~done], at[~done], least[~done]
+            own, cols = np.arange(len(live)), np.arange(ids.shape[1] - 1)
+            after = cols > at[:, None]
+            ids[own, at] = self.made[least]
+            ids = np.where(after, ids[:, 1:], ids[:, :-1])
+            rank = np.where(after[:, :-1], rank[:, 1:], rank[:, :-1])
+            for shift in (-1, 0):  # the pairs that the new token is in
+                k = at + shift
+                ok = (k >= 0) & (k < rank.shape[1])
+                rank[own[ok], k[ok]] = self.ranks(ids[own[ok], k[ok]], ids[own[ok], k[ok] + 1])
+        return out
 
-    PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-    #: White space to Python but not to the library: such texts go to the library whole.
-    ODD = re.compile(r"[\x1c-\x1f]")
+    def one(self, word: bytes) -> list[int]:
+        """A very long word: pairs wait in a heap by rank and place."""
+        ids = [*self.inside[np.frombuffer(word[:-1], np.uint8)].tolist(), int(self.final[word[-1]])]
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        of = self.of
+        heap = [(of[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in of]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or ids[i] != pair[0] or ids[j] != pair[1]:
+                continue
+            ids[i], ids[j] = of[pair][1], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < n and (p := (ids[a], ids[after[a]])) in of:
+                    heapq.heappush(heap, (of[p][0], a, p))
+        return [x for x in ids if x >= 0]
+
+
+#: A word of Latin letters alone, with or without one mark behind it: all of it one piece, or two.
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+#: White space to Python and Arrow but not to the library: such texts go to the library whole.
+ODD = "[\x1c-\x1f]"
+
+
+def base_words(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(what the lexicon knows each word by, the mark behind it: 1 for a full stop and 2 for a comma, whether it is letters): letters alone count in lower case."""
+    letters = pc.match_substring_regex(words, LETTERS)
+    base = pc.if_else(letters, pc.utf8_lower(pc.utf8_rtrim(words, ".,")), words)
+    mark = pc.if_else(letters, pc.if_else(pc.ends_with(words, "."), 1, pc.if_else(pc.ends_with(words, ","), 2, 0)), 0)
+    return base, mark.to_numpy(zero_copy_only=False), letters.to_numpy(zero_copy_only=False)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(offsets of the texts, the distinct words, the place of each text's words among them)."""
+    lists = pc.utf8_split_whitespace(texts)
+    flat = lists.flatten()
+    coded = flat.dictionary_encode()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    at, names = coded.indices.to_numpy(), coded.dictionary
+    blank = pc.index(names, pa.scalar("", names.type)).as_py()
+    if blank >= 0:  # beside white space at either end of a text
+        row = np.repeat(np.arange(len(size)), size)
+        size = np.bincount(row[at != blank], minlength=len(size))
+        at = at[at != blank]
+    return np.concatenate(([0], np.cumsum(size))).astype(np.int64), names, at
+
+
+class Codec:
+    """Encodes and decodes like the tokenizers library does with the same file: the automaton first, merges for what it lacks."""
 
     def __init__(self, path: str, lexicon: Lexicon | None = None) -> None:
         from tokenizers import Tokenizer
@@ -156,120 +279,101 @@ class Codec:
         self.lib.no_truncation()
         self.lib.no_padding()
         with open(path, encoding="utf-8") as f:
-            vocab: dict[str, int] = json.load(f)["model"]["vocab"]
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.name = {i: t for t, i in vocab.items()} | {i: t.content for i, t in self.lib.get_added_tokens_decoder().items()}
-        self.table = dict(enumerate(byte_chars()))
+            model = json.load(f)["model"]
+        added = {i: t.content for i, t in self.lib.get_added_tokens_decoder().items()}
+        self.special = list(added.values())
+        self.name = {i: t for t, i in model["vocab"].items()} | added
+        self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
+        self.raw = {c: i for i, c in enumerate(byte_chars())}
         self.lexicon = lexicon
-        self.pieces: dict[str, list[int]] = {}
         ids = range(max(self.name) + 1)
         self.names = pa.array([self.name.get(i, "") for i in ids], pa.large_string())
         self.decimals = pa.array(map(str, ids), pa.large_string())
-        #: The ids of words, as unsigned 32-bit integers.
-        self.words: dict[str, bytes] = {}
-        self.mark = {c: array("I", self._piece(c)).tobytes() for c in ".,"}
-
-    def merge(self, piece: str) -> list[int]:
-        """The ids of one byte-mapped word, merged by the rank of its pairs (the library's merge, without its cache)."""
-        return [t.id for t in self.lib.model.tokenize(piece)]
-
-    def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self.merge(piece)
-            if len(piece) <= LONGEST:
-                if len(self.pieces) >= PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = got
-        return got
-
-    def word_ids(self, word: str) -> list[int]:
-        """The ids of what stands between white space."""
-        if self.PLAIN.fullmatch(word):
-            return self._piece(word.lower().encode().decode("latin-1").translate(self.table))
-        if word[-1] in ".," and self.PLAIN.fullmatch(word, 0, len(word) - 1):
-            return self._piece(word[:-1].lower().encode().decode("latin-1").translate(self.table)) + self._piece(word[-1])
-        pieces = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(word))
-        return [i for p, _ in pieces for i in self._piece(p)]
-
-    def base(self, word: str) -> tuple[str, str]:
-        """(what the lexicon and the cache know a word by, the mark behind it): letters alone count in lower case."""
-        if self.PLAIN.fullmatch(word):
-            return word.lower(), ""
-        if word[-1] in ".," and self.PLAIN.fullmatch(word, 0, len(word) - 1):
-            return word[:-1].lower(), word[-1]
-        return word, ""
-
-    def _learn(self, words: list[str]) -> None:
-        """Puts base words into the cache: from the lexicon, the others by merging."""
-        found = self.lexicon.find([w.encode() for w in words]).tolist() if self.lexicon else [-1] * len(words)
-        known, plain, merge = self.words, self.PLAIN.fullmatch, self.lib.model.tokenize
-        for w, at in zip(words, found):
-            if at >= 0:
-                ids = self.lexicon.ids_of(at)
-            elif w.isascii() and w.isalpha():
-                ids = [t.id for t in merge(w)]
-            elif plain(w):
-                ids = [t.id for t in merge(w.encode().decode("latin-1").translate(self.table))]
-            else:
-                ids = self.word_ids(w)
-            known[w] = array("I", ids).tobytes()
-
-    def _add(self, words: set[str]) -> None:
-        """Puts words and their base words into the cache."""
-        known, mark = self.words, self.mark
-        bases = dict(zip(words, map(self.base, words)))
-        self._learn(list({b for b, _ in bases.values()} - known.keys()))
-        for w, (b, m) in bases.items():
-            if m:
-                known[w] = known[b] + mark[m]
-            elif w != b:
-                known[w] = known[b]
-
-    def whole(self, text: str) -> bool:
-        return any(s in text for s in self.special) or self.ODD.search(text) is not None
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as unsigned 32-bit integers."""
-        out: list = [b""] * len(texts)
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size > GROUP or i == len(texts) - 1:
-                self._encode(texts, out, at, i + 1)
-                at, size = i + 1, 0
-        return out
-
-    def _encode(self, texts, out, start, end) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        get, later, missing = self.words.get, [], set()
-        for i in range(start, end):
-            if self.whole(texts[i]):
-                out[i] = array("I", self.lib.encode(texts[i], add_special_tokens=False).ids).tobytes()
-                continue
-            words = texts[i].split()
-            ids = list(map(get, words))
-            if None in ids:
-                holes = [j for j, x in enumerate(ids) if x is None]
-                missing.update([words[j] for j in holes])
-                later.append((i, words, ids, holes))
-            else:
-                out[i] = b"".join(ids)
-        self._add(missing)
-        for i, words, ids, holes in later:
-            for j in holes:
-                ids[j] = get(words[j])
-            out[i] = b"".join(ids)
-
-    def joined(self, ids: list[bytes], tokens: bool) -> pa.Array:
-        """For each text's ids, in UTF-8 and joined by spaces: the tokens (that is the decoded text), else the decimal ids."""
-        ends = (np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4).astype(np.int32)  # a text has less than 2 GB
-        flat = pa.array(np.frombuffer(b"".join(ids), np.uint32))
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), (self.names if tokens else self.decimals).take(flat)), pa.scalar(" ", pa.large_string()))
+        self.marks = np.array([0, *(self.merges.one(c.encode())[0] for c in ".,")])
+
+    def pieces(self, word: str) -> list[bytes]:
+        """The pieces that the library cuts a word into, as bytes."""
+        cut_ = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(word))
+        return [bytes(map(self.raw.__getitem__, p)) for p, _ in cut_]
+
+    def word_ids(self, words: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of base words, by merging; ``letters``: those that are one piece."""
+        pieces, owner = [], []
+        for i, (w, whole) in enumerate(zip(words, letters.tolist())):
+            own = [w.encode()] if whole else self.pieces(w)
+            pieces += own
+            owner += [i] * len(own)
+        ids, offset = self.merges.many(pieces)
+        size = np.bincount(np.array(owner, np.int64), np.diff(offset), len(words)).astype(np.int64) if pieces else np.zeros(len(words), np.int64)
+        return ids, np.concatenate(([0], np.cumsum(size)))
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of distinct words."""
+        base, mark, letters = base_words(words)
+        coded = base.dictionary_encode()
+        names, at = coded.dictionary, coded.indices.to_numpy()
+        one_piece = np.zeros(len(names), bool)
+        one_piece[at[letters]] = True
+        found = self.lexicon.find_all(names) if self.lexicon else np.full(len(names), -1)
+        new = np.flatnonzero(found < 0)
+        merged, off = self.word_ids(names.take(pa.array(new)).to_pylist(), one_piece[new])
+        if self.lexicon is not None and len(new) < len(names):  # both sources of ids, one behind the other
+            known = np.flatnonzero(found >= 0)
+            place, size = ragged(self.lexicon.offset, found[known])
+            values = np.concatenate([merged, self.lexicon.ids[place]])
+            start, count = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+            start[new], count[new] = off[:-1], np.diff(off)
+            start[known], count[known] = len(merged) + np.cumsum(size) - size, size
+        else:
+            values, start, count = merged, off[:-1], np.diff(off)
+        count, start = count[at], start[at]
+        total = count + (mark > 0)
+        offset = np.concatenate(([0], np.cumsum(total))).astype(np.int64)
+        out = np.empty(int(offset[-1]), np.int64)
+        out[offset[1:][mark > 0] - 1] = self.marks[mark[mark > 0]]
+        to = np.repeat(offset[:-1] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        out[to] = values[np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+        return out, offset
+
+    def encoded(self, texts: pa.Array):
+        """(first row, ids, offsets of the rows) of groups of texts; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = pc.binary_length(texts).to_numpy()
+        at = 0
+        while at < len(texts):
+            end = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), GROUP, side="right")))
+            yield at, *self._group(texts.slice(at, end - at))
+            at = end
+
+    def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            whole = [np.array(self.lib.encode(t, add_special_tokens=False).ids, np.int64) for t in texts.take(pa.array(odd)).to_pylist()]
+            texts = pc.if_else(pa.array(mask), pa.scalar("", texts.type), texts)
+        rows, words, at = split_words(texts)
+        ids, offset = self.ids_of(words)
+        place, size = ragged(offset, at)
+        ends = np.concatenate(([0], np.cumsum(size)))[rows]
+        flat = ids[place].astype(np.uint32)
+        if len(odd):
+            own = np.split(flat, ends[1:-1])
+            for i, x in zip(odd.tolist(), whole):
+                own[i] = x.astype(np.uint32)
+            flat, ends = np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own])))
+        return flat, ends
+
+    def joined(self, ids: np.ndarray, ends: np.ndarray, tokens: bool) -> pa.Array:
+        """For each row's ids, joined by spaces: the tokens (that is the decoded text), else the decimal ids."""
+        values = (self.names if tokens else self.decimals).take(pa.array(ids))
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values), pa.scalar(" ", pa.large_string()))
 
     def encode(self, text: str | None) -> list[int]:
-        return list(array("I", self.encoded([text or ""])[0]))
+        return [int(i) for _, ids, _ in self.encoded(pa.array([text], pa.large_string())) for i in ids]
 
     def decode(self, ids: list[int]) -> str:
         """As decode(ids, skip_special_tokens=False): unknown ids are passed over."""
@@ -279,42 +383,56 @@ class Codec:
 # --- frames --------------------------------------------------------------------------------------------------------
 
 
-def _count(tokenizer: str):
-    def run(batches):
-        base = Codec(tokenizer).base
-        words: Counter = Counter()
-
-        def counted() -> pa.RecordBatch:
-            own: Counter = Counter()
-            for w, n in words.items():
-                b = base(w)[0]
-                if len(b) <= LONGEST:
-                    own[b] += n
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
+def _count(batches):
+    """Base words with their counts, put together over some groups of texts."""
+    held, rows = [], 0
 
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                for t in b.column(0).slice(at, ROWS).to_pylist():
-                    if t:
-                        words.update(t.split())
-                if len(words) > 300_000:
-                    yield counted()
-        if words:
-            yield counted()
+    def summed():
+        t = pa.concat_tables(held).combine_chunks().group_by("word").aggregate([("n", "sum")])
+        held.clear()
+        yield from t.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches()
 
-    return run
+    for b in batches:
+        texts = pc.fill_null(b.column(0).cast(pa.large_string()), "")
+        for at in range(0, len(texts), ROWS):
+            _, words, places = split_words(texts.slice(at, ROWS))
+            if not len(words):
+                continue
+            base = base_words(words)[0]
+            short = pc.less_equal(pc.binary_length(base), LONGEST)
+            t = pa.table({"word": base.cast(pa.string()), "n": pa.array(np.bincount(places, minlength=len(words)), pa.int64())}).filter(short)
+            held.append(t)
+            rows += t.num_rows
+            if rows > 600_000:
+                yield from summed()
+                rows = 0
+    if held:
+        yield from summed()
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: int = LEXICON) -> str:
-    """Counts the words of all documents, compiles the ``size`` most frequent ones and writes the file; its place."""
-    counted = map_arrow(docs.select(F.col(text).cast("string").alias("text")), _count(tokenizer), "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    words = sorted(r["word"].encode() for r in top.select("word").toLocalIterator())
+    """Counts the words of all documents, compiles the most frequent ones, ``size`` at most, and writes the file; its place.
+
+    How often a word must stand is read from a histogram of the counts, so no task sorts words.
+    """
+    spark = docs.sparkSession
+    counts = map_arrow(docs.select(F.col(text).cast("string").alias("text")), _count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted, at = stored(counts)
+    band = F.when(F.col("n") < 256, F.col("n")).otherwise(F.floor(F.log2("n") * 64) - 256).cast("int")
+    left, least = size, None
+    for r in sorted(counted.groupBy(band.alias("band")).count().collect(), key=lambda r: -r["band"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["band"]
+    found = [] if least is None else [r["word"] for r in counted.where(band >= least).select("word").collect()]
+    discard(spark, at)
     codec = Codec(tokenizer)
-    words = [w for w in words if not codec.whole(w.decode())]
-    data = Lexicon.pack(words, [codec.word_ids(w.decode()) for w in words])
-    out = f"{shared_dir(docs.sparkSession)}/lexicon-{uuid.uuid4().hex}.fst"
+    words = sorted(w.encode() for w in found if not re.search(ODD, w) and not any(x in w for x in codec.special))
+    letters = re.compile("^[A-Za-zÀ-ÖØ-öø-ÿ]+$")
+    ids, offset = codec.word_ids([w.decode() for w in words], np.array([letters.search(w.decode()) is not None for w in words], bool))
+    data = Lexicon.pack(words, ids, offset)
+    out = f"{shared_dir(spark)}/lexicon-{uuid.uuid4().hex}.fst"
     fs, path = open_fs(out)
     fs.create_dir(os.path.dirname(path), recursive=True)
     with fs.open_output_stream(path) as f:
@@ -342,30 +460,20 @@ def _digests(tokenizer: str, lexicon: str):
     def run(batches):
         c = codec(tokenizer, lexicon)
         for b in batches:
-            rows = ([], [], [])
-            for ids in _batch_ids(c, b):
-                rows[0].extend(len(x) // 4 for x in ids)
-                for to, tokens in ((rows[1], False), (rows[2], True)):
-                    to.extend(hashlib.sha256(x.as_buffer()).hexdigest() for x in c.joined(ids, tokens))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at, ids, ends in c.encoded(b.column("text")):
+                sums = [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in c.joined(ids, ends, tokens)], pa.string()) for tokens in (False, True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(ends) - 1), pa.array(np.diff(ends), pa.int64()), *sums], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def _batch_ids(c: Codec, b: pa.RecordBatch):
-    for at in range(0, b.num_rows, ROWS):
-        yield c.encoded(["" if t is None else t for t in b.column("text").slice(at, ROWS).to_pylist()])
-
-
 def _encoded(tokenizer: str, lexicon: str):
     def run(batches):
         c = codec(tokenizer, lexicon)
         for b in batches:
-            at = 0
-            for ids in _batch_ids(c, b):
-                lists = [np.frombuffer(x, np.uint32).astype(np.int32) for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(ids)), pa.array(lists, pa.list_(pa.int32())), c.joined(ids, True).cast(pa.string())], names=["doc_id", "ids", "decoded"])
-                at += len(ids)
+            for at, ids, ends in c.encoded(b.column("text")):
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(ends) - 1), lists, c.joined(ids, ends, True).cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 
