@@ -30,7 +30,7 @@ from .token_frames import byte_chars, open_fs
 LEXICON = 65_536
 LONGEST = 48
 #: Bytes of texts that are encoded together, and rows that are counted together.
-GROUP, ROWS = 2_000_000, 1024
+GROUP, ROWS = 8_000_000, 2048
 
 
 # --- the automaton -------------------------------------------------------------------------------------------------
@@ -171,43 +171,48 @@ class Merges:
     def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the words, each of one byte at least."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        found: list = [None] * len(words)
         order = np.argsort(size, kind="stable")
         wide = int(np.searchsorted(size[order], self.WIDE, side="right"))
+        parts: list[tuple] = []  # owners, sizes, ids
         for at in range(0, wide, self.ROWS):
             rows = order[at : min(at + self.ROWS, wide)]
-            for i, ids in zip(rows.tolist(), self._table([words[i] for i in rows.tolist()], size[rows])):
-                found[i] = ids
+            parts += [(rows[own], n, ids) for own, n, ids in self._table([words[i] for i in rows.tolist()], size[rows])]
         for i in order[wide:].tolist():
-            found[i] = np.array(self.one(words[i]), np.int64)
-        offset = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
-        return (np.concatenate(found) if found else np.zeros(0, np.int64)), offset
-
-    def _table(self, words: list[bytes], size: np.ndarray) -> list[np.ndarray]:
-        """Of each row the pair of least rank, the first of equals, is merged, again and again."""
+            ids = np.array(self.one(words[i]), np.int64)
+            parts.append((np.array([i]), np.array([len(ids)]), ids))
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        owner, count, ids = (np.concatenate(x) for x in zip(*parts))
+        back = np.argsort(owner)
+        place, count = ragged(np.concatenate(([0], np.cumsum(count))), back)
+        return ids[place], np.concatenate(([0], np.cumsum(count)))
+
+    def _table(self, words: list[bytes], size: np.ndarray) -> list[tuple]:
+        """Of each row the pair of least rank, the first of equals, is merged, again and again; (rows, sizes, ids) of those that are done."""
         n, wide = len(words), int(size.max())
-        raw = np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).reshape(n, wide)
-        ids = np.where(np.arange(wide) < size[:, None], self.inside[raw], -1)
+        cols = np.arange(wide)
+        raw = np.zeros((n, wide), np.uint8)
+        raw[cols < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        ids = np.where(cols < size[:, None], self.inside[raw], -1)
         ids[np.arange(n), size - 1] = self.final[raw[np.arange(n), size - 1]]
-        out: list = [None] * n
-        live = np.arange(n)
+        out, live = [], np.arange(n)
         rank = self.ranks(ids[:, :-1], ids[:, 1:])
         while len(live):
-            if rank.shape[1] == 0:
-                done, at, least = np.ones(len(live), bool), None, None
-            else:
+            if rank.shape[1]:
                 at = rank.argmin(1)
                 least = rank[np.arange(len(live)), at]
                 done = least == self.NONE
-            for k in np.flatnonzero(done).tolist():
-                row = ids[k]
-                out[live[k]] = row[row >= 0]
-            live, ids = live[~done], ids[~done]
-            if not len(live):
-                break
-            rank, at, least = rank[~done], at[~done], least[~done]
-            own, cols = np.arange(len(live)), np.arange(ids.shape[1] - 1)
-            after = cols > at[:, None]
+            else:
+                done = np.ones(len(live), bool)
+            if done.any():
+                there = ids[done] >= 0
+                out.append((live[done], there.sum(1), ids[done][there]))
+                live, ids, rank = live[~done], ids[~done], rank[~done]
+                if not len(live):
+                    break
+                at, least = at[~done], least[~done]
+            own = np.arange(len(live))
+            after = np.arange(ids.shape[1] - 1) > at[:, None]
             ids[own, at] = self.made[least]
             ids = np.where(after, ids[:, 1:], ids[:, :-1])
             rank = np.where(after[:, :-1], rank[:, 1:], rank[:, :-1])
