@@ -4,106 +4,100 @@ Unit vectors are sorted by the grid cells (side epsilon) of their leading princi
 that a block is an interval of that order. A tree over the intervals is joined with itself from the root down, two
 intervals whose boxes are more than epsilon apart are skipped with all that is below them, and the intervals that
 remain at the bottom are joined in the same recursive way inside a task. cos >= c is distance <= sqrt(2 - 2c).
+
+Blocks lie in the shared folder. The pairs that remain are dealt in tiles of ``TILE`` by ``TILE`` blocks, and a task
+reads each block of a tile once, so no vector is shuffled after it has been put in order.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, label_min, map_arrow
+from ._common import cut, discard, label_min, map_arrow, shared_dir, stored
 from .components import connected_components
-from .vectors import usable
+from .vectors import SAMPLE, BlockReader, BlockWriter, axes_of, leading, numbered, units, usable
 
 COSINE = 0.9
-#: Distinct vectors of a block, of an interval joined at once inside a task, and children of an interval of the tree.
-BLOCK, STEP, FAN = 2048, 256, 8
+#: Distinct vectors of a block, of an interval joined at once inside a task, children of an interval of the tree, blocks of a side of a tile.
+BLOCK, STEP, FAN, TILE = 2048, 256, 8, 8
 #: Principal dimensions of the boxes, and those that make cells.
 BOX, CELLS = 8, 4
-#: Vectors that the axes are fitted on. They steer what can be skipped, never what is found.
-SAMPLE = 8192
-MAX_AXES = 2048
-
-
-def units(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _valid(batches):
-    """(vec_id, key): the bytes of a vector that can link, else null."""
+    """(vec_id, key, k1, k2): the bytes of a vector that can link, else null, and 128 bits of their hash."""
     for b in batches:
         keys = [None if v is None or not v.any() else v.tobytes() for v in usable(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary())], names=["vec_id", "key"])
-
-
-def axes_of(sample: list[bytes], box: int = BOX) -> dict[int, np.ndarray]:
-    """The leading principal axes [dim][<= box] of the sampled vectors of each length."""
-    by: dict[int, list] = {}
-    for k in sample:
-        by.setdefault(len(k) // 8, []).append(np.frombuffer(k))
-    out = {}
-    for dim, rows in by.items():
-        if dim <= MAX_AXES:
-            u = units(np.stack(rows))
-            _, vec = np.linalg.eigh(np.cov(u.T).reshape(dim, dim) if len(u) > 1 else np.eye(dim))
-            out[dim] = np.ascontiguousarray(vec[:, ::-1][:, :box])
-    return out
-
-
-def project(u: np.ndarray, axes: dict[int, np.ndarray], box: int = BOX) -> np.ndarray:
-    """Coordinates on the leading axes, [n][box]; zero where there are fewer dimensions. Distances only shrink."""
-    dim = u.shape[1]
-    y = u @ axes[dim] if dim in axes else u[:, :box]
-    return np.pad(y, ((0, 0), (0, box - y.shape[1])))
+        hashes = [None if k is None else xxhash.xxh3_128_digest(k) for k in keys]
+        halves = (pa.array([None if h is None else int.from_bytes(h[i : i + 8], "little", signed=True) for h in hashes], pa.int64()) for i in (0, 8))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), *halves], names=["vec_id", "key", "k1", "k2"])
 
 
 def _cells(axes, eps):
     def run(batches):
         for b in batches:
-            keys = b.column(0).to_pylist()
+            keys = b.column("key").to_pylist()
             cells = np.zeros((len(keys), CELLS), np.int64)
             dims = np.array([len(k) // 8 for k in keys], np.int32)
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                cells[at] = np.floor(project(units(np.frombuffer(b"".join(keys[i] for i in at)).reshape(-1, dim)), axes)[:, :CELLS] / eps)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dims), *(pa.array(cells[:, k]) for k in range(CELLS))], names=["key", "weight", "dim", *(f"c{k}" for k in range(CELLS))])
+                cells[at] = np.floor(leading(units(np.frombuffer(b"".join(keys[i] for i in at)).reshape(-1, dim)), axes, CELLS) / eps)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "k1", "k2", "weight")), pa.array(dims), *(pa.array(cells[:, k]) for k in range(CELLS))], names=["key", "k1", "k2", "weight", "dim", *(f"c{k}" for k in range(CELLS))])
 
     return run
 
 
 BOXES = [f"{x}{k}" for x in ("lo", "hi") for k in range(BOX)]
+PLACE = "uri string, off long, size long"
+
 
+def _blocks(axes, out, block):
+    """Writes the blocks of a partition; one row each: its place and box, and the hashes of its vectors."""
 
-def _blocks(axes):
     def run(batches):
         part, seq, held = TaskContext.get().partitionId(), 0, []
+        writer = BlockWriter(out, part)
 
         def pack():
             nonlocal seq, held
             x = np.frombuffer(b"".join(h[0] for h in held)).reshape(len(held), -1)
-            y = project(units(x), axes)
-            row = [part, seq, x.shape[1], x.tobytes(), np.array([h[1] for h in held], np.int64).tobytes(), *y.min(0).tolist(), *y.max(0).tolist()]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.float64()] * (2 * BOX)]
+            y = leading(units(x), axes, BOX)
+            weights = np.array([h[3] for h in held], np.int64)
+            place = writer.add(weights, x)
+            row = [part, seq, x.shape[1], *place, *(np.array([h[i] for h in held], np.int64).tobytes() for i in (1, 2)), weights.tobytes(), *y.min(0).tolist(), *y.max(0).tolist()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 3, *[pa.float64()] * (2 * BOX)]
             seq, held = seq + 1, []
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["part", "seq", "dim", "data", "weights", *BOXES])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["part", "seq", "dim", "uri", "off", "size", "k1", "k2", "weights", *BOXES])
 
         for b in batches:
-            for key, weight in zip(b.column("key").to_pylist(), b.column("weight").to_pylist()):
-                if held and (len(held) == BLOCK or len(held[0][0]) != len(key)):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "k1", "k2", "weight"))):
+                if held and (len(held) == block or len(held[0][0]) != len(row[0])):
                     yield pack()
-                held.append((key, weight))
+                held.append(row)
         if held:
             yield pack()
+        writer.close()
 
     return run
 
 
+def _decode(axes):
+    def decode(data: bytes, dim: int):
+        n = len(data) // (8 * dim + 8)
+        u = units(np.frombuffer(data, np.float64, offset=8 * n).reshape(n, dim))
+        return u, leading(u, axes, BOX), np.frombuffer(data, np.int64, n)
+
+    return decode
+
+
 def join_intervals(u1, y1, u2, y2, same: bool, cosine: float, step: int = STEP):
     """Index pairs (i, j) with cos >= ``cosine`` of two intervals (i < j where they are the same), in pieces."""
     eps2 = 2 - 2 * cosine + 1e-9
@@ -135,23 +129,25 @@ def join_intervals(u1, y1, u2, y2, same: bool, cosine: float, step: int = STEP):
             todo += [(a, b, m, d), (a, b, c, m)]
 
 
-def _join(axes, cosine):
+def _join(axes, cosine, block):
+    """Rows (lin1, place1, lin2, place2, dim) of a tile to links: (u, v) joins two nodes, n counts u's."""
+
     def run(batches):
+        reader = BlockReader(_decode(axes), TILE + 2)
         for batch in batches:
-            for p1, s1, p2, s2, dim, d1, w1, d2, w2 in zip(*(c.to_pylist() for c in batch.columns)):
-                same = (p1, s1) == (p2, s2)
-                u1 = units(np.frombuffer(d1).reshape(-1, dim))
-                u2 = u1 if same else units(np.frombuffer(d2).reshape(-1, dim))
-                w1, w2 = np.frombuffer(w1, np.int64), np.frombuffer(w2, np.int64)
+            for l1, uri1, off1, size1, l2, uri2, off2, size2, dim in zip(*(batch.column(c).to_pylist() for c in ("l1", "uri1", "off1", "size1", "l2", "uri2", "off2", "size2", "dim"))):
+                same = l1 == l2
+                u1, y1, w1 = reader.get(uri1, off1, size1, dim)
+                u2, y2, w2 = (u1, y1, w1) if same else reader.get(uri2, off2, size2, dim)
                 n1, n2 = np.zeros(len(u1), np.int64), np.zeros(len(u2), np.int64)
                 off = 0 if same else len(u1)
                 label = np.arange(off + len(u2))
-                for i, j in join_intervals(u1, project(u1, axes), u2, project(u2, axes), same, cosine):
+                for i, j in join_intervals(u1, y1, u2, y2, same, cosine):
                     np.add.at(n1, i, w2[j])
                     np.add.at(n1 if same else n2, j, w1[i])
                     child = np.flatnonzero(label != np.arange(len(label)))
                     label = label_min(len(label), np.concatenate((i, child)), np.concatenate((j + off, label[child])))
-                node = np.concatenate((node_id(p1, s1) + np.arange(len(u1)), [] if same else node_id(p2, s2) + np.arange(len(u2)))).astype(np.int64)
+                node = np.concatenate((l1 * block + np.arange(len(u1)), [] if same else l2 * block + np.arange(len(u2)))).astype(np.int64)
                 n = n1 if same else np.concatenate((n1, n2))
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]]), pa.array(n[at])], names=["u", "v", "n"])
@@ -159,44 +155,29 @@ def _join(axes, cosine):
     return run
 
 
-def node_id(part: int, seq: int) -> int:
-    return part << 42 | seq * BLOCK
-
-
 def _interval_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
-    """Pairs of blocks (part1, seq1, part2, seq2) that may hold a link, by a join of the tree of intervals with itself."""
-    top = blocks.agg(F.max("part").alias("p"), F.max("seq").alias("s")).first()
-    low = max(0, math.ceil(math.log((top["s"] or 0) + 1, FAN) - 1e-9))
-    high = max(0, math.ceil(math.log((top["p"] or 0) + 1, FAN) - 1e-9))
+    """Pairs of blocks (l1 <= l2) that may hold a link, by a join of the tree of intervals with itself."""
+    top = blocks.agg(F.max("lin").alias("l")).first()["l"] or 0
+    height = 0
+    while FAN**height <= top:
+        height += 1
     eps2 = 2 - 2 * cosine + 1e-9
+    boxes = [F.min(f"lo{k}").alias(f"lo{k}") for k in range(BOX)] + [F.max(f"hi{k}").alias(f"hi{k}") for k in range(BOX)]
 
     def level(h: int) -> DataFrame:
-        """Intervals of height h: h <= low joins blocks of a part, above that parts."""
-        p = F.expr(f"part div {FAN ** max(0, h - low)}")
-        s = F.expr(f"seq div {FAN ** min(h, low)}") if h < low else F.lit(0).cast("long")
-        parent_p = F.expr(f"p div {FAN}") if h >= low else F.col("p")
-        parent_s = F.expr(f"s div {FAN}") if h < low - 1 else F.lit(0).cast("long")
-        boxes = [F.min(f"lo{k}").alias(f"lo{k}") for k in range(BOX)] + [F.max(f"hi{k}").alias(f"hi{k}") for k in range(BOX)]
-        return blocks.groupBy(p.alias("p"), s.alias("s")).agg(F.min("dim").alias("d0"), F.max("dim").alias("d1"), *boxes).withColumns({"pp": parent_p, "ps": parent_s})
-
-    slim = blocks.drop("data", "weights")
-    blocks = slim
-    pairs = level(low + high).select(F.col("p").alias("p1"), F.col("s").alias("s1"), F.col("p").alias("p2"), F.col("s").alias("s2")).distinct()
-    for h in range(low + high - 1, -1, -1):
+        return blocks.groupBy(F.expr(f"lin div {FAN**h}").alias("l")).agg(F.min("dim").alias("d0"), F.max("dim").alias("d1"), *boxes).withColumn("up", F.expr(f"l div {FAN}"))
+
+    pairs = level(height).select(F.col("l").alias("l1"), F.col("l").alias("l2")).distinct()
+    for h in range(height - 1, -1, -1):
         child = level(h)
-        one = child.select(*(F.col(c).alias(f"x_{c}") for c in child.columns))
-        two = child.select(*(F.col(c).alias(f"y_{c}") for c in child.columns))
+        one, two = (child.select(*(F.col(c).alias(f"{x}_{c}") for c in child.columns)) for x in "xy")
         gap = [F.greatest(F.lit(0.0), F.col(f"x_lo{k}") - F.col(f"y_hi{k}"), F.col(f"y_lo{k}") - F.col(f"x_hi{k}")) for k in range(BOX)]
         far = sum((g * g for g in gap), F.lit(0.0))
-        pairs = (
-            pairs.join(one, F.expr("p1 = x_pp and s1 = x_ps"))
-            .join(two, F.expr("p2 = y_pp and s2 = y_ps and (x_p < y_p or x_p = y_p and x_s <= y_s) and x_d0 <= y_d1 and y_d0 <= x_d1") & (far <= eps2))
-            .select(F.col("x_p").alias("p1"), F.col("x_s").alias("s1"), F.col("y_p").alias("p2"), F.col("y_s").alias("s2"))
-        )
+        pairs = pairs.join(one, F.expr("l1 = x_up")).join(two, F.expr("l2 = y_up and x_l <= y_l and x_d0 <= y_d1 and y_d0 <= x_d1") & (far <= eps2)).select(F.col("x_l").alias("l1"), F.col("y_l").alias("l2"))
     return pairs
 
 
-def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
+def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id (smallest vec_id reachable), kept (vec_id = component_id).
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, nor do vectors of
@@ -206,34 +187,37 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     spark = vectors.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     eps = math.sqrt(2 - 2 * cosine)
-    rows = cut(map_arrow(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), embedding), _valid, "vec_id long, key binary"))
-    distinct = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"))
-    sample = distinct.select("key").orderBy(F.xxhash64("key")).limit(SAMPLE)
-    axes = axes_of([r[0] for r in sample.collect()])
-    celled = map_arrow(distinct, _cells(axes, eps), "key binary, weight long, dim int, " + ", ".join(f"c{k} long" for k in range(CELLS)))
-    order = ["dim", *(f"c{k}" for k in range(CELLS)), "tie"]
-    celled = celled.withColumn("tie", F.xxhash64("key"))
-    blocks = cut(map_arrow(celled.repartitionByRange(n, *order).sortWithinPartitions(*order), _blocks(axes), "part long, seq long, dim int, data binary, weights binary, " + ", ".join(f"{c} double" for c in BOXES)))
-    pairs = _interval_pairs(blocks, cosine)
-    one = blocks.select(F.col("part").alias("a"), F.col("seq").alias("b"), "dim", F.col("data").alias("d1"), F.col("weights").alias("w1"))
-    two = blocks.select(F.col("part").alias("c"), F.col("seq").alias("d"), F.col("dim").alias("dim2"), F.col("data").alias("d2"), F.col("weights").alias("w2"))
-    met = pairs.join(one, F.expr("p1 = a and s1 = b")).repartition(n, "p2", "s2", "p1", "s1").join(two, F.expr("p2 = c and s2 = d and dim = dim2")).select("p1", "s1", "p2", "s2", "dim", "d1", "w1", "d2", "w2")
-    met = met.repartition(n, "p1", "s1", "p2", "s2")
-    found = cut(map_arrow(met, _join(axes, cosine), "u long, v long, n long"))
+    out = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    rows, place = stored(map_arrow(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), embedding), _valid, "vec_id long, key binary, k1 long, k2 long"))
+    distinct = rows.where("key is not null").groupBy("k1", "k2").agg(F.first("key").alias("key"), F.count("*").alias("weight"))
+    some = rows.where("key is not null").select("k1", "k2", "key").orderBy("k1", "k2").limit(SAMPLE)
+    axes = axes_of([units(np.frombuffer(r["key"])[None, :])[0] for r in some.collect()], BOX)
+    celled = map_arrow(distinct, _cells(axes, eps), "key binary, k1 long, k2 long, weight long, dim int, " + ", ".join(f"c{k} long" for k in range(CELLS)))
+    order = ["dim", *(f"c{k}" for k in range(CELLS)), "k1", "k2"]
+    blocks = map_arrow(celled.repartitionByRange(n, *order).sortWithinPartitions(*order), _blocks(axes, out, block), f"part long, seq long, dim int, {PLACE}, k1 binary, k2 binary, weights binary, " + ", ".join(f"{c} double" for c in BOXES))
+    blocks = cut(numbered(cut(blocks)))
+    pairs = _interval_pairs(blocks.select("lin", "dim", *BOXES), cosine)
+    one, two = (blocks.select(F.col("lin").alias(f"b{k}"), F.col("dim").alias(f"dim{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("uri", "off", "size"))) for k in "12")
+    met = pairs.join(one, F.expr("l1 = b1")).join(two, F.expr("l2 = b2 and dim1 = dim2")).withColumn("dim", F.col("dim1"))
+    met = met.withColumn("tile", F.xxhash64(F.expr(f"l1 div {TILE}"), F.expr(f"l2 div {TILE}"))).repartition(n, "tile").sortWithinPartitions("tile", "l1", "l2")
+    found = cut(map_arrow(met, _join(axes, cosine, block), "u long, v long, n long"))
     comps = connected_components(found.select("u", "v"))
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    nodes = map_arrow(blocks.select("part", "seq", "dim", "data"), _nodes, "node long, key binary")
-    facts = nodes.join(links, "node", "left").join(comps, "node", "left").select(F.col("key").alias("k"), F.coalesce("comp", "node").alias("comp"), F.coalesce("n", F.lit(0)).alias("n"))
-    weight = distinct.select(F.col("key").alias("k2"), "weight")
-    facts = facts.join(weight, F.expr("k = k2")).select("k", "comp", (F.col("n") + F.col("weight") - 1).alias("n"))
-    all_ = cut(rows.join(facts, F.expr("key = k"), "left").select("vec_id", "comp", F.coalesce("n", F.lit(0)).cast("long").alias("n_links")))
+    nodes = map_arrow(blocks.select("lin", "k1", "k2", "weights"), _nodes(block), "node long, n1 long, n2 long, weight long")
+    facts = nodes.join(links, "node", "left").join(comps, "node", "left")
+    facts = facts.select("n1", "n2", F.coalesce("comp", "node").alias("comp"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
+    all_ = cut(rows.select("vec_id", "k1", "k2").join(facts, F.expr("k1 = n1 and k2 = n2"), "left").select("vec_id", "comp", F.coalesce("n", F.lit(0)).cast("long").alias("n_links")))
+    discard(spark, place, out)
     low = all_.where("comp is not null").groupBy(F.col("comp").alias("c")).agg(F.min("vec_id").alias("component_id"))
-    out = all_.join(low, F.expr("comp = c"), "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.expr("vec_id = component_id"), F.lit(False)).alias("kept"))
+    result = all_.join(low, F.expr("comp = c"), "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
+    return result.select("vec_id", "n_links", "component_id", F.coalesce(F.expr("vec_id = component_id"), F.lit(False)).alias("kept"))
 
 
-def _nodes(batches):
-    for b in batches:
-        for part, seq, dim, data in zip(*(c.to_pylist() for c in b.columns)):
-            keys = [data[i : i + 8 * dim] for i in range(0, len(data), 8 * dim)]
-            yield pa.RecordBatch.from_arrays([pa.array(node_id(part, seq) + np.arange(len(keys))), pa.array(keys, pa.binary())], names=["node", "key"])
+def _nodes(block):
+    def run(batches):
+        for b in batches:
+            for lin, *packed in zip(*(c.to_pylist() for c in b.columns)):
+                own = [np.frombuffer(x, np.int64) for x in packed]
+                yield pa.RecordBatch.from_arrays([pa.array(lin * block + np.arange(len(own[0]))), *map(pa.array, own)], names=["node", "n1", "n2", "weight"])
+
+    return run

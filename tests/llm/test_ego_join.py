@@ -44,10 +44,27 @@ def test_many_blocks(spark):
     check(spark, [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(1500, 3)))])
 
 
+def test_a_tree_of_blocks(spark, monkeypatch):
+    """Hundreds of blocks, so the tree has levels and tiles have several blocks; what is far apart is never joined."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(30, 16)) * 3
+    rows = [(i, (centers[i % 30] + 0.1 * rng.normal(size=16)).tolist(), 0) for i in range(3000)]
+    pairs = []
+    own = op._interval_pairs
+    monkeypatch.setattr(op, "_interval_pairs", lambda blocks, cosine: pairs.append((blocks.count(), own(blocks, cosine).count())) or own(blocks, cosine))
+    got = op.near_vectors(vectors_df(spark, rows), block=16)
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = ((u @ u.T) >= 0.9).sum(1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == dict(enumerate(n.tolist()))
+    (blocks, left), = pairs
+    assert blocks > 150 and left < 0.35 * blocks * (blocks + 1) / 2  # on clustered vectors most pairs of blocks are skipped
+
+
 def test_join_intervals_in_steps():
     rng = np.random.default_rng(3)
     u = op.units(rng.normal(size=(300, 4)))
-    y = op.project(u, op.axes_of([v.tobytes() for v in u]))
+    y = op.leading(u, op.axes_of(list(u), op.BOX), op.BOX)
     found = {(a, b) for i, j in op.join_intervals(u, y, u, y, True, 0.9, step=16) for a, b in zip(i.tolist(), j.tolist())}
     assert found == {(i, j) for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= 0.9}
     two = {(a, b) for i, j in op.join_intervals(u[:100], y[:100], u[100:], y[100:], False, 0.9, step=16) for a, b in zip(i.tolist(), j.tolist())}
