@@ -138,6 +138,58 @@ def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def bucket_count(partitions: int) -> int:
+    """Buckets of :func:`packed`: some to a partition where there are few, so that a task holds a part of its partition at a time."""
+    return partitions * max(1, 2048 // partitions)
+
+
+def packed(kind: int, key: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows dealt to buckets by key, the columns of each bucket as bytes: (kind, bucket, data). The JVM moves them without looking at rows."""
+    with np.errstate(over="ignore"):
+        mixed = key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = (mixed >> np.uint64(40)).astype(np.int64) % buckets
+    order = np.argsort(at, kind="stable")
+    edge = np.flatnonzero(np.diff(at[order], prepend=-1)).tolist()
+    columns = [c[order] for c in columns]
+    data = [b"".join(c[a:e].tobytes() for c in columns) for a, e in zip(edge, [*edge[1:], len(order)])]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), kind, np.int8)), pa.array(at[order][edge].astype(np.int32)), pa.array(data, pa.binary())], names=["kind", "bucket", "data"])
+
+
+def buckets_of(batches: Iterator[pa.RecordBatch], types: dict[int, list]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(kind, columns) of each bucket of batches sorted by bucket; ``types``: the columns' types by kind."""
+    held: dict[int, list[bytes]] = {}
+    now = None
+
+    def whole():
+        for kind, blobs in sorted(held.items()):
+            parts = []
+            for raw in blobs:
+                n, off, own = len(raw) // sum(np.dtype(t).itemsize for t in types[kind]), 0, []
+                for t in types[kind]:
+                    own.append(np.frombuffer(raw, t, n, off))
+                    off += n * np.dtype(t).itemsize
+                parts.append(own)
+            yield kind, [np.concatenate(c) for c in zip(*parts)]
+        held.clear()
+
+    for b in batches:
+        for kind, bucket, raw in zip(b.column("kind").to_pylist(), b.column("bucket").to_pylist(), b.column("data").to_pylist()):
+            if bucket != now:
+                yield from whole()
+                now = bucket
+            held.setdefault(kind, []).append(raw)
+    yield from whole()
+
+
+PACKED = "kind byte, bucket int, data binary"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Packed rows by bucket."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
 #: Bytes of a batch that goes to or from Python, so that very long texts don't fill a worker.
 BATCH_BYTES = 8 << 20
 #: How to drop what each operator keeps in a worker from task to task.

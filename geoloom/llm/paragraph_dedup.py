@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from ._common import binary_list, cut, discard, forget, group_starts, label_min, map_arrow, stored, whole_groups
+from ._common import PACKED, binary_list, bucket_count, buckets_of, cut, dealt, discard, forget, group_starts, label_min, map_arrow, packed, stored, whole_groups
 from .components import connected_components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -220,8 +220,8 @@ def everywhere(r: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found[k] == r)
 
 
-def local_stars(key: np.ndarray, c: np.ndarray, kind: int = 0) -> pa.RecordBatch:
-    """Rows (kind, key, c, m) of a piece of the input: m is the least c of the key, and null in the one row of that least c.
+def local_stars(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows (key, c, m, first) of a piece of the input: m is the least c of the key, and first marks the one row of that least c.
 
     Whatever else a key holds is linked to m here, so a key reaches the shuffle by key once a piece, however many rows it has.
     """
@@ -232,7 +232,7 @@ def local_stars(key: np.ndarray, c: np.ndarray, kind: int = 0) -> pa.RecordBatch
     own = new.copy()
     own[1:] |= c[1:] != c[:-1]
     m = c[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(int(own.sum()), kind, np.int8)), pa.array(key[own]), pa.array(c[own]), pa.array(m[own], mask=new[own])], names=["kind", "key", "c", "m"])
+    return key[own], c[own], m[own], new[own]
 
 
 def _doc_key(x: int, d: int, t: int) -> int:
@@ -244,10 +244,17 @@ MET_HERE, OPEN_LEFT, OPEN_RIGHT = 1, 2, 4
 CONTEXT = (1 << 30) - 1
 #: Kinds of keys: bands and least shingles with a line's short id; short ids with a document; runs with what is told of them.
 BUCKET, LINE, CHOSEN = range(3)
+#: The same two where a row is linked already.
+LINKED = 4
+KEY_TYPES = {BUCKET: [np.int64] * 2, LINE: [np.int64] * 2, CHOSEN: [np.int64] * 3, LINKED + BUCKET: [np.int64] * 3, LINKED + LINE: [np.int64] * 3}
+
+
+def _key_batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int8)), *map(pa.array, columns)], names=["kind", "key", "c", "m"])
 
 
 def _runs_of(key, c, told, own: bool):
-    """(kind, key, least c, told) of each key: flags and, above them, what stands on its left and right (30 bits each).
+    """(key, least c, told) of each key: flags and, above them, what stands on its left and right (30 bits each).
 
     A run has met where its c differ (or it did before), and a side is open where what stands there differs.
     """
@@ -261,8 +268,7 @@ def _runs_of(key, c, told, own: bool):
         flags |= bit * np.logical_or.reduceat(side != np.repeat(side[start], size), start)
     flags |= MET_HERE * (c[start + size - 1] != c[start])
     use = slice(None) if own else (flags & MET_HERE).astype(bool)
-    columns = [key[start][use], c[start][use], (told[start] & ~7 | flags)[use]]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), CHOSEN, np.int8)), *map(pa.array, columns)], names=["kind", "key", "c", "m"])
+    return key[start][use], c[start][use], (told[start] & ~7 | flags)[use]
 
 
 def chosen_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,17 +283,25 @@ def chosen_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r[at].view(np.int64), told
 
 
-def _scan_keys(batches, with_runs: bool = True):
-    """Keys of all lines and the chosen runs, once a piece of the input: (kind, key, c, m)."""
+def _scan_keys(batches, buckets: int, with_runs: bool = True):
+    """Keys of all lines and the chosen runs, once a piece of the input, packed by key."""
     held: tuple[list, list, list] = ([], [], [])
     count = 0
 
     def pieces():
         for kind, rows in enumerate(held):
-            if rows:
-                columns = map(np.concatenate, zip(*rows))
-                yield _runs_of(*columns, True) if kind == CHOSEN else local_stars(*columns, kind)
-                rows.clear()
+            if not rows:
+                continue
+            columns = list(map(np.concatenate, zip(*rows)))
+            rows.clear()
+            if kind == CHOSEN:
+                found = _runs_of(*columns, True)
+                yield packed(kind, found[0], list(found), buckets)
+                continue
+            key, c, m, first = local_stars(*columns)
+            yield packed(kind, key[first], [key[first], c[first]], buckets)
+            if not first.all():
+                yield packed(LINKED + kind, mix((key ^ c).view(np.uint64)).view(np.int64)[~first], [x[~first] for x in (key, c, m)], buckets)
 
     for b in batches:
         shingles, sizes, names = [], [], []
@@ -332,19 +346,14 @@ def _line_rows(shingles: list, sizes: list, names: list, out: list) -> int:
 
 def _meet(batches):
     """Of lines: the rows that hold more than one thing for a key, each with what it is linked to; of runs: those that met."""
-    for t in whole_groups(batches, ["key"]):
-        kinds = t.column("kind").to_numpy()
-        for kind in np.unique(kinds).tolist():
-            own = t.filter(pa.array(kinds == kind))
-            if kind == CHOSEN:
-                yield _runs_of(*(own.column(k).to_numpy() for k in ("key", "c", "m")), False)
-                continue
-            linked = np.asarray(own.column("m").is_valid())
-            yield from own.filter(pa.array(linked)).to_batches()
-            rest = own.filter(pa.array(~linked))
-            if rest.num_rows:
-                found = local_stars(rest.column("key").to_numpy(), rest.column("c").to_numpy(), kind)
-                yield found.filter(found.column("m").is_valid())
+    for kind, columns in buckets_of(batches, KEY_TYPES):
+        if kind == CHOSEN:
+            yield _key_batch(kind, *_runs_of(*columns, False))
+        elif kind >= LINKED:
+            yield _key_batch(kind - LINKED, *columns)
+        else:
+            *found, first = local_stars(*columns)
+            yield _key_batch(kind, *(x[~first] for x in found))
 
 
 def bitmap_of(ids: DataFrame, bits: int) -> bytes:
@@ -457,8 +466,10 @@ DOC = ["x", "d", "th"]
 HOLDER = ["hx", "hd", "hth", "hstart"]
 #: Of an interval of a document: it goes as a paragraph, it stays as one, the holder has it too; it goes, it stays, others need it.
 PARAGRAPH, FIRST, AGAIN, GOES, STAYS, NEEDED = range(6)
-#: Of a run: the first place of a piece of the input, and that where other documents of the piece have it.
-LEAD, LEAD_MET = range(6, 8)
+#: Of a run: the first place of a piece of the input; likewise packed, what the first of all has too, and places dealt by holder.
+LEAD = 6
+LEAD_TYPES = [np.int64, np.int64, np.int8, np.int64, np.int64, np.int32, np.int8]
+SPAN_NUMBERS = [np.int8, np.int64, np.int64, np.int32, np.int32, np.int8, np.int64, np.int64, np.int32]
 SPAN = "x byte, d long, th long, kind byte, start int, stop int, hx byte, hd long, hth long, hstart int"
 SPAN_TYPES = dict(zip([*DOC, "kind", "start", "stop", *HOLDER], (pa.int8(), pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int32())))
 
@@ -480,12 +491,25 @@ def chains(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {k: c[k][order][at] for k in c} | {"stop": np.maximum.reduceat(stop, at)}
 
 
-def span_batch(c: dict[str, np.ndarray], kind: int = AGAIN) -> dict[str, pa.Array]:
+SPAN_COLUMNS = [*DOC, "start", "stop", *HOLDER]
+
+
+def span_batch(c: dict[str, np.ndarray], kind: int = AGAIN) -> pa.RecordBatch:
     n = len(c["x"])
-    return {k: pa.array(np.full(n, kind, np.int8) if k == "kind" else c[k], t) for k, t in SPAN_TYPES.items()}
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8) if k == "kind" else c[k], t) for k, t in SPAN_TYPES.items()], names=list(SPAN_TYPES))
+
+
+def doc_keys(c: dict[str, np.ndarray], names: list[str]) -> np.ndarray:
+    x, d, th = (c[k].astype(np.int64).view(np.uint64) for k in names)
+    return mix((d * BASE ^ th) + x).view(np.int64)
 
 
-def _scan_places(bitmaps):
+def packed_spans(c: dict[str, np.ndarray], kind: int, by: list[str], buckets: int) -> pa.RecordBatch:
+    """Spans packed by the document that ``by`` names."""
+    return packed(kind, doc_keys(c, by), [c[k].astype(t) for k, t in zip(SPAN_COLUMNS, SPAN_NUMBERS)], buckets)
+
+
+def _scan_places(bitmaps, buckets: int):
     """The runs at ``near_places``: the first of each piece of the input by (h, h2), the others as what the first's document has too.
 
     Each of these is chained, so a document that holds much of another's text takes few rows.
@@ -499,19 +523,13 @@ def _scan_places(bitmaps):
         def piece():
             h, h2, *own = (np.concatenate(c) for c in zip(*held))
             order, new, first, met = _leads(h, h2, *own)
-            x, d, th, start = (c[order] for c in own)
-            n = int(new.sum())
-            blank = {k: pa.nulls(n, t) for k, t in SPAN_TYPES.items()}
-            lead = blank | {"x": pa.array(x[new]), "d": pa.array(d[new]), "th": pa.array(th[new]), "start": pa.array(start[new]), "kind": pa.array(np.where(met[new], LEAD_MET, LEAD).astype(np.int8))}
-            lead |= {"h": pa.array(h[order][new]), "h2": pa.array(h2[order][new])}
+            x, d, th, start = own = [c[order] for c in own]
+            yield packed(LEAD, h[order][new], [h[order][new], h2[order][new], *(c[new] for c in own), met[new].astype(np.int8)], buckets)
             # what overlaps the first place in its own document is no place by itself
             again = ~new & ((x != x[first]) | (d != d[first]) | (th != th[first]) | (start - start[first] >= RUN))
-            at, by = np.flatnonzero(again), first[again]
-            found = chains(dict(zip([*DOC, "start", "stop", *HOLDER], (x[at], d[at], th[at], start[at], start[at] + RUN, x[by], d[by], th[by], start[by]))))
-            more = span_batch(found)
-            more |= {k: pa.nulls(len(found["x"]), pa.int64()) for k in ("h", "h2")}
-            names = [*SPAN_TYPES, "h", "h2"]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([lead[k], more[k]]) for k in names], names=names)
+            if again.any():
+                at, by = np.flatnonzero(again), first[again]
+                yield packed_spans(chains(dict(zip(SPAN_COLUMNS, (x[at], d[at], th[at], start[at], start[at] + RUN, x[by], d[by], th[by], start[by])))), AGAIN, HOLDER[:3], buckets)
 
         for b in batches:
             for x, d, th, words, *_ in _texts(b):
@@ -526,50 +544,54 @@ def _scan_places(bitmaps):
                 held.append((r[at].view(np.int64), runs(words, RUN, BASE2)[at].view(np.int64), np.full(n, x, np.int8), np.full(n, d, np.int64), np.full(n, th, np.int64), at.astype(np.int32)))
                 count += n
                 if count >= PIECE:
-                    yield piece()
+                    yield from piece()
                     held, count = [], 0
         if held:
-            yield piece()
+            yield from piece()
 
     return run
 
 
-def _firsts(batches):
-    """Each piece's first place of a run that several documents have, with the first of all as its holder (which may be itself)."""
-    for t in whole_groups(batches, ["h"]):
-        columns = [t.column(c).to_numpy() for c in ("h", "h2", *DOC, "start")]
-        order, new, first, met = _leads(*columns)
-        told = t.column("kind").to_numpy()[order] == LEAD_MET
-        at = np.flatnonzero(new)
-        met |= np.repeat(np.logical_or.reduceat(told, at), np.diff(np.append(at, len(order))))
-        x, d, th, start = (c[order] for c in columns[2:])
-        by = first[met]
-        found = chains(dict(zip([*DOC, "start", "stop", *HOLDER], (x[met], d[met], th[met], start[met], start[met] + RUN, x[by], d[by], th[by], start[by]))))
-        yield pa.RecordBatch.from_arrays(list(span_batch(found, LEAD).values()), names=list(SPAN_TYPES))
+def _firsts(buckets: int):
+    """Each piece's first place of a run that several documents have, with the first of all as its holder (which may be itself), packed by document."""
+
+    def run(batches):
+        for _, (*columns, told) in buckets_of(batches, {LEAD: LEAD_TYPES}):
+            order, new, first, met = _leads(*columns)
+            at = np.flatnonzero(new)
+            met |= np.repeat(np.logical_or.reduceat(told[order] > 0, at), np.diff(np.append(at, len(order))))
+            if met.any():
+                x, d, th, start = (c[order] for c in columns[2:])
+                by = first[met]
+                yield packed_spans(chains(dict(zip(SPAN_COLUMNS, (x[met], d[met], th[met], start[met], start[met] + RUN, x[by], d[by], th[by], start[by])))), LEAD, DOC, buckets)
+
+    return run
 
 
 def _follow(batches):
     """AGAIN spans in terms of the first documents of all.
 
-    Rows of one document: what its places have for holders (LEAD), and (AGAIN) what other documents, or other places
-    of its own, have in common with it: in these the document is the holder.
+    A bucket holds documents with what their places have for holders (LEAD), and what other documents, or other places of
+    the same, have in common with them (AGAIN): in these the document is the holder.
     """
-    for t in whole_groups(batches, ["k"]):
-        kind = t.column("kind").to_numpy()
-        c = {k: t.column(k).to_numpy() for k in (*DOC, "start", "stop", *HOLDER)}
-        own = chains({k: v[kind == LEAD] for k, v in c.items()})
-        links: dict[tuple, list[tuple]] = {}
-        for x, d, th, a, e, *holder in zip(*(own[k].tolist() for k in (*DOC, "start", "stop", *HOLDER))):
-            links.setdefault((x, d, th), []).append((a, e, holder))
-        rows = [(*doc, a, e, *holder) for doc, spans in links.items() for a, e, holder in spans if tuple(holder[:3]) != doc]
-        other = kind != LEAD
-        for x, d, th, a, e, hx, hd, hth, hs in zip(*(c[k][other].tolist() for k in (*DOC, "start", "stop", *HOLDER))):
-            for p, q, (fx, fd, fth, fs) in links.get((hx, hd, hth), ()):
-                lo, hi = max(p, hs), min(q, hs + e - a)
-                if hi - lo >= RUN:
-                    rows.append((x, d, th, lo - hs + a, hi - hs + a, fx, fd, fth, fs + lo - p))
-        found = dict(zip([*DOC, "start", "stop", *HOLDER], (np.array([r[i] for r in rows], np.int64) for i in range(9))))
-        yield pa.RecordBatch.from_arrays(list(span_batch(found).values()), names=list(SPAN_TYPES))
+    links: dict[tuple, list[tuple]] = {}
+    types = {AGAIN: SPAN_NUMBERS, LEAD: SPAN_NUMBERS}
+    for kind, columns in buckets_of(((b.set_column(0, "kind", pa.array(np.where(b.column("kind").to_numpy() == LEAD, 0, AGAIN).astype(np.int8)))) for b in batches), types | {0: SPAN_NUMBERS}):
+        c = dict(zip(SPAN_COLUMNS, columns))
+        if kind == 0:  # comes before AGAIN in each bucket
+            links.clear()
+            own = chains(c)
+            for x, d, th, a, e, *holder in zip(*(own[k].tolist() for k in SPAN_COLUMNS)):
+                links.setdefault((x, d, th), []).append((a, e, holder))
+            rows = [(*doc, a, e, *holder) for doc, spans in links.items() for a, e, holder in spans if tuple(holder[:3]) != doc]
+        else:
+            rows = []
+            for x, d, th, a, e, hx, hd, hth, hs in zip(*(c[k].tolist() for k in SPAN_COLUMNS)):
+                for p, q, (fx, fd, fth, fs) in links.get((hx, hd, hth), ()):
+                    lo, hi = max(p, hs), min(q, hs + e - a)
+                    if hi - lo >= RUN:
+                        rows.append((x, d, th, lo - hs + a, hi - hs + a, fx, fd, fth, fs + lo - p))
+        yield span_batch(dict(zip(SPAN_COLUMNS, (np.array([r[i] for r in rows], np.int64) for i in range(9)))))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -636,11 +658,10 @@ def words_of(slim: DataFrame, spans_of=lines_of) -> tuple[DataFrame, str]:
 
 def keys_met(words: DataFrame, with_runs: bool = True) -> DataFrame:
     """(kind, key, c, m) of the buckets and lines that hold several things, and of the chosen runs of several documents."""
-    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = map_arrow(words, partial(_scan_keys, with_runs=with_runs), "kind byte, key long, c long, m long")
-    dealt = keys.repartition(n, F.when(F.expr(f"m is null or kind = {CHOSEN}"), F.col("key")).otherwise(F.xxhash64("key", "c"))).sortWithinPartitions("key")  # one long: a radix sort
-    met = cut(map_arrow(dealt, _meet, "kind byte, key long, c long, m long"))
-    del keys, dealt
+    buckets = bucket_count(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = map_arrow(words, partial(_scan_keys, buckets=buckets, with_runs=with_runs), PACKED)
+    met = cut(map_arrow(dealt(keys), _meet, "kind byte, key long, c long, m long"))
+    del keys
     forget(words.sparkSession)
     return met
 
@@ -720,17 +741,14 @@ def run_spans(words: DataFrame, met: DataFrame) -> tuple[DataFrame, str]:
     its first word to its last. The first place of a run is found over the first ones of each piece of the input, so
     a very common run reaches that shuffle once a piece.
     """
-    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = met.where(F.col("kind") == CHOSEN).select("key", F.col("m").alias("told"))
     size = filter_bits(chosen.count())
     probes = chosen.select("told", F.explode(F.array(*(F.shiftright("key", by) for by in PROBES))).alias("c"))
     bitmaps = [words.sparkSession.sparkContext.broadcast(bitmap_of(probes.where(f"told & {bit} > 0"), size)) for bit in (MET_HERE, OPEN_LEFT, OPEN_RIGHT)]
-    places, at = stored(map_arrow(words, _scan_places(bitmaps), f"{SPAN}, h long, h2 long"))
-    leads = places.where(F.col("kind") >= LEAD).select("h", "h2", *DOC, "kind", "start").repartition(n, "h").sortWithinPartitions("h")
-    firsts = map_arrow(leads, _firsts, SPAN)
-    again = places.where(F.col("kind") == AGAIN).drop("h", "h2").withColumn("k", F.xxhash64("hx", "hd", "hth"))
-    both = firsts.withColumn("k", F.xxhash64(*DOC)).unionByName(again)
-    return map_arrow(both.repartition(n, "k").sortWithinPartitions("k"), _follow, SPAN), at
+    buckets = bucket_count(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    places, at = stored(map_arrow(words, _scan_places(bitmaps, buckets), PACKED))
+    firsts = map_arrow(dealt(places.where(F.col("kind") == LEAD)), _firsts(buckets), PACKED)
+    return map_arrow(dealt(firsts.unionByName(places.where(F.col("kind") == AGAIN))), _follow, SPAN), at
 
 
 def by_document(spans: DataFrame) -> DataFrame:
