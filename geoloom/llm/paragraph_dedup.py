@@ -556,6 +556,13 @@ def _firsts(buckets: int):
     """Each piece's first place of a run that several documents have, with the first of all as its holder (which may be itself), packed by document."""
 
     def run(batches):
+        held, count = [], 0
+
+        def piece():
+            c = chains({k: np.concatenate([h[i] for h in held]) for i, k in enumerate(SPAN_COLUMNS)})
+            held.clear()
+            return packed_spans(c, LEAD, DOC, buckets)
+
         for _, (*columns, told) in buckets_of(batches, {LEAD: LEAD_TYPES}):
             order, new, first, met = _leads(*columns)
             at = np.flatnonzero(new)
@@ -563,7 +570,13 @@ def _firsts(buckets: int):
             if met.any():
                 x, d, th, start = (c[order] for c in columns[2:])
                 by = first[met]
-                yield packed_spans(chains(dict(zip(SPAN_COLUMNS, (x[met], d[met], th[met], start[met], start[met] + RUN, x[by], d[by], th[by], start[by])))), LEAD, DOC, buckets)
+                held.append((x[met], d[met], th[met], start[met], start[met] + RUN, x[by], d[by], th[by], start[by]))
+                count += len(by)
+                if count >= PIECE:
+                    yield piece()
+                    count = 0
+        if held:
+            yield piece()
 
     return run
 
