@@ -269,11 +269,6 @@ def _scores(model: Model):
     return run
 
 
-def _rows(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.select("text", "meta").collect()
-    return tuple(np.frombuffer(b"".join(bytes(r[c]) for r in got), np.float32).reshape(-1, w).astype(float) for c, w in zip(("text", "meta"), WIDTHS))
-
-
 def train(known: DataFrame, labels: DataFrame, doc_id: str = "doc_id", labelled: int = LABELLED, given: int = GIVEN, rounds: int = ROUNDS) -> Model:
     """The model over :func:`features` of all documents: fitted on at most ``labelled`` labelled ids, those of the smallest hash.
 
@@ -291,10 +286,10 @@ def train(known: DataFrame, labels: DataFrame, doc_id: str = "doc_id", labelled:
     state = CoTraining(text, meta, np.array([r["y"] for r in got], int))
     if state.one_sided:
         return state.model()
-    rest = free.join(marks.select("_gl_id"), F.expr("doc_id = _gl_id"), "left_anti")
     seen: list[set] = [set(), set()]
     for _ in range(rounds):
-        scores = cut(map_arrow(rest, _raw(state.views), "doc_id long, h long, z0 double, z1 double"))
+        scores = map_arrow(free, _raw(state.views), "doc_id long, h long, z0 double, z1 double")
+        scores = cut(scores.join(marks.select("_gl_id"), F.expr("doc_id = _gl_id"), "left_anti"))
         picks: list[dict[int, set]] = [{}, {}]
         edges = [state.bounds(k) for k in (0, 1)]
         for k in (0, 1):
@@ -309,8 +304,8 @@ def train(known: DataFrame, labels: DataFrame, doc_id: str = "doc_id", labelled:
         wanted = sorted(set().union(*(x for p in picks for x in p.values())))
         if not wanted:
             break
-        key = rest.sparkSession.createDataFrame([(h,) for h in wanted], "hi long")
-        rows = {r["h"]: r for r in rest.join(F.broadcast(key), F.expr("h = hi")).select("h", "text", "meta").collect()}
+        key = free.sparkSession.createDataFrame([(h,) for h in wanted], "hi long")
+        rows = {r["h"]: r for r in free.join(F.broadcast(key), F.expr("h = hi")).select("h", "text", "meta").collect()}
         told = []
         for k, (c, w) in enumerate(zip(("text", "meta"), WIDTHS)):
             told.append({label: np.frombuffer(b"".join(bytes(rows[h][c]) for h in sorted(x)), np.float32).reshape(-1, w).astype(float) for label, x in picks[k].items()})
