@@ -3,6 +3,7 @@
 from .errors import (
     ColumnNotFoundError,
     EmptyDatasetError,
+    FileNotFoundError,
     GeoloomError,
     InvalidBufferError,
     InvalidCoordinateError,
@@ -18,6 +19,7 @@ __version__ = VERSION
 __all__ = [
     "ColumnNotFoundError",
     "EmptyDatasetError",
+    "FileNotFoundError",
     "GeoFrame",
     "GeoloomError",
     "InvalidBufferError",

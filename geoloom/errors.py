@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import builtins
 from collections.abc import Iterable
 
 
@@ -42,8 +43,8 @@ class ColumnNotFoundError(GeoloomError):
         super().__init__("Column not found", f"{source} has no column {column!r}. Its columns: {shown or 'none'}.", [f"geo.filter({names[0] if names else 'name'!r}, value)", "geo.load(path, lat_col=..., lng_col=...) names the coordinates"])
 
 
-class SourceNotFoundError(GeoloomError):
-    """A path at which there is nothing."""
+class SourceNotFoundError(GeoloomError, builtins.FileNotFoundError):
+    """A path at which there is nothing; Python's own error of that kind, too."""
 
     def __init__(self, path: str) -> None:
         super().__init__("File not found", f"There is nothing at {path!r}.", ["check the spelling of the path", "use an absolute path or a full URI"])
@@ -75,3 +76,7 @@ class InvalidBufferError(GeoloomError):
 
     def __init__(self) -> None:
         super().__init__("Invalid polygon", "A GeoJSON Polygon, or a Feature with one, is expected.", ["zone = geo.buffer(center, radius=10)", "geo.point_in_polygon(point, zone)"])
+
+
+#: The same under the name that users of a point library look for.
+FileNotFoundError = SourceNotFoundError

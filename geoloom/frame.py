@@ -45,10 +45,10 @@ class GeoFrame:
 
     # --- loading and saving ---
 
-    def load(self, path: str, lat_col: str | None = None, lng_col: str | None = None, encoding: str = "utf-8-sig") -> GeoFrame:
-        """A CSV or GeoJSON file at any path or URI that Spark can read."""
+    def load(self, path: str, lat_col: str | None = None, lng_col: str | None = None, encoding: str = "utf-8-sig", splittable: bool = False) -> GeoFrame:
+        """A CSV or GeoJSON file at any path or URI that Spark can read; ``splittable`` as in :func:`geoloom.sources.points.read_csv`."""
         path = str(path)
-        df = points.read_points(self.spark, path, lat_col, lng_col, encoding)
+        df = points.read_points(self.spark, path, lat_col, lng_col, encoding, splittable)
         self._set(df, blank=path.rstrip("/").lower().endswith(".csv"))
         self.source = path
         return self

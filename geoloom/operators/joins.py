@@ -1,6 +1,6 @@
 """Spatial joins as equality joins on grid cells: no cross join, no side that has to be broadcast.
 
-Frames of points have ``_lat`` and ``_lng``; both sides keep their other columns, so these must not clash.
+Frames of points have ``_lat`` and ``_lng``; both sides keep their other columns, and an error is raised where these clash.
 """
 
 from __future__ import annotations
@@ -20,6 +20,12 @@ LEAST_BAND = 1e-4
 FARTHEST_KM = 20_016.0
 
 
+def _checked_names(left: DataFrame, names: list[str], how: str) -> None:
+    clash = sorted({c.lower() for c in left.columns} & {c.lower() for c in names}) if how == "inner" else []
+    if clash:
+        raise ValueError(f"both sides have columns {clash}; rename them on one side")
+
+
 def _cells_around(band: Column, width: float, angle: float) -> Column:
     """How many cells a band of latitude has: each as wide as a circle around a point of it or a neighbour reaches, or one."""
     edge = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * width - 90.0), F.abs((band + 2) * width - 90.0)))
@@ -47,6 +53,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, unit: str = "k
     here = left.where("_lat is not null and _lng is not null").withColumn("_gl_b", band)
     here = here.withColumn("_gl_n", _cells_around(F.col("_gl_b"), width, angle)).withColumn("_gl_c", F.pmod(cell(F.col("_lng"), F.col("_gl_n")), F.col("_gl_n"))).drop("_gl_n")
     names = [c for c in right.columns if c not in ("_ord", "_lat", "_lng")]
+    _checked_names(left, names, how)
     other = right.where("_lat is not null and _lng is not null").select(*names, F.col("_lat").alias("_gl_lat"), F.col("_lng").alias("_gl_lng"))
     own = F.least(F.floor((F.col("_gl_lat") + 90.0) / width), F.lit(top - 1)).cast("long")
     other = other.withColumn("_gl_band", F.explode(F.sequence(F.greatest(own - 1, F.lit(0).cast("long")), F.least(own + 1, F.lit(top - 1).cast("long")))))
@@ -56,6 +63,10 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, unit: str = "k
     all_ = F.sequence(F.lit(0).cast("long"), F.col("_gl_m") - 1)
     some = F.array_distinct(F.transform(F.sequence(first, F.least(last, first + F.col("_gl_m") - 1)), lambda x: F.pmod(x, F.col("_gl_m"))))
     other = other.withColumn("_gl_cell", F.explode(F.when(reach >= 180.0, all_).otherwise(some))).drop("_gl_m")
+    if width == 360.0:  # one cell: the left side is dealt out by its coordinates, and the right side meets each part
+        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        here = here.withColumn("_gl_c", F.pmod(F.xxhash64("_lat", "_lng"), F.lit(parts)))
+        other = other.withColumn("_gl_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     apart = distance("_lat", "_lng", "_gl_lat", "_gl_lng", unit)
     met = (F.col("_gl_b") == F.col("_gl_band")) & (F.col("_gl_c") == F.col("_gl_cell")) & (apart <= radius)
     out = here.join(other, met, how)
@@ -81,15 +92,16 @@ def zone_join(points: DataFrame, zones: DataFrame, ring: str = "ring", how: str
         return F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
 
     names = [c for c in zones.columns if c not in ("_ord", "_lat", "_lng")]
+    _checked_names(points, [c for c in names if c != ring], how)
     dealt = box.select(*names, "_gl_x0", "_gl_x1", "_gl_y0", "_gl_y1", F.col("_gl_level").alias("_gl_zl"), F.explode(cells("_gl_x0", "_gl_x1")).alias("_gl_zx"), cells("_gl_y0", "_gl_y1").alias("_gl_ys"))
     dealt = dealt.withColumn("_gl_zy", F.explode("_gl_ys")).drop("_gl_ys")
     here = points.where("_lat is not null and _lng is not null").withColumn("_gl_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     here = here.withColumns({"_gl_px": F.floor(F.col("_lng") / size), "_gl_py": F.floor(F.col("_lat") / size)})
     same = F.expr("_gl_level = _gl_zl and _gl_px = _gl_zx and _gl_py = _gl_zy")
     inside = F.expr("_lng between _gl_x0 and _gl_x1 and _lat between _gl_y0 and _gl_y1") & in_ring("_lat", "_lng", F.col(ring))
-    if how != "inner":  # a point stands in several levels here, so the choice is made by its order number
-        hit = here.join(dealt, same & inside, "left_semi").select(F.col("_ord").alias("_gl_o")).distinct()
-        return points.join(hit, F.expr("_ord = _gl_o"), how)
+    if how != "inner":  # a point stands in several levels here, so the choice is made by its place
+        hit = here.join(dealt, same & inside, "left_semi").select(F.col("_lat").alias("_gl_a"), F.col("_lng").alias("_gl_o")).distinct()
+        return points.join(hit, F.expr("_lat = _gl_a and _lng = _gl_o"), how)
     out = here.join(dealt, same & inside)
     return out.drop(ring, *(c for c in out.columns if c.startswith("_gl_")))
 
@@ -102,16 +114,18 @@ def zone_counts(points: DataFrame, zones: DataFrame, key: str, ring: str = "ring
 def knn_join(points: DataFrame, key: str, centers: DataFrame, center_key: str, k: int = 1, unit: str = "km") -> DataFrame:
     """(key, center_key, _distance, rank) of the ``k`` nearest centers of each point; ties by ``center_key``.
 
+    Every row of ``points`` is a point of its own, also where keys repeat or are null; those without coordinates have no center.
+
     Rings of growing radius: points that have ``k`` centers in a ring are done, the others go on with a larger one,
     until the ring is the whole globe. The first radius follows from the number of centers.
     """
     from pyspark.sql import Window
 
-    todo = points.where("_lat is not null and _lng is not null").select(key, "_ord", "_lat", "_lng")
+    todo = cut(points.where("_lat is not null and _lng is not null").select(key, "_lat", "_lng", F.monotonically_increasing_id().alias("_gl_row")))
     there = centers.select(center_key, "_lat", "_lng")
     n = there.count()
     radius = min(FARTHEST_KM, 2 * EARTH_RADIUS_KM * math.sqrt(2.0 * k / max(n, 1)))
-    w = Window.partitionBy(key).orderBy("_distance", center_key)
+    w = Window.partitionBy("_gl_row").orderBy("_distance", center_key)
     parts = []
     while True:
         last = radius >= FARTHEST_KM
@@ -120,10 +134,10 @@ def knn_join(points: DataFrame, key: str, centers: DataFrame, center_key: str, k
         if last:
             parts.append(met.select(key, center_key, "_distance", "rank"))
             break
-        met = cut(met.select(key, center_key, "_distance", "rank"))
-        full = met.where(F.col("rank") == k).select(F.col(key).alias("_gl_k"))
-        parts.append(met.join(full, F.col(key) == F.col("_gl_k"), "left_semi"))
-        todo = cut(todo.join(full, F.col(key) == F.col("_gl_k"), "left_anti"))
+        met = cut(met.select("_gl_row", key, center_key, "_distance", "rank"))
+        full = met.where(F.col("rank") == k).select(F.col("_gl_row").alias("_gl_k"))
+        parts.append(met.join(full, F.col("_gl_row") == F.col("_gl_k"), "left_semi").drop("_gl_row"))
+        todo = cut(todo.join(full, F.col("_gl_row") == F.col("_gl_k"), "left_anti"))
         if todo.isEmpty():
             break
         radius = min(FARTHEST_KM, 2 * radius)

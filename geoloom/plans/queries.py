@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..frame import GeoFrame
 from ..functions import geo, scalar
 from ..functions.units import checked_point
 from ..operators import filters, joins
@@ -301,12 +302,77 @@ def geojson_roundtrip(spark, sf_dir):
     return found.select(F.col("properties")["c_custkey"].alias("c_custkey"), F.col("properties")["c_name"].alias("c_name"), F.col("_lat").alias("lat"), F.col("_lng").alias("lng"), "geometry_type")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0")
-def marker_rows(spark, sf_dir):
-    lat, lng = place("o_orderkey", "b")
-    kind = F.when(F.col("o_orderkey") % 3 == 0, "LineString").otherwise("Point")
-    df = points.from_table(table(spark, sf_dir, "orders"), lat, lng, order="o_orderkey").withColumn("geometry_type", kind)
-    return df.where("geometry_type = 'Point'").select("o_orderkey", "o_orderstatus")
+def _uri(spark, name: str) -> str:
+    path = _scratch(spark, name)
+    return path if ":" in path else f"file:{path}"
+
+
+def _frame(spark, sf_dir, *cols: str) -> GeoFrame:
+    source = table(spark, sf_dir, "customer").select("c_custkey", *cols)
+    lat, lng = place("c_custkey")
+    return GeoFrame(spark).from_table(source, lat, lng, order="c_custkey")
+
+
+@query(f"SELECT c_custkey::varchar AS c_custkey, c_name, lat, lng FROM {CUSTOMER}")
+def frame_csv(spark, sf_dir):
+    """The public class: table, one CSV file at a URI, and back."""
+    out = _uri(spark, "frame") + ".csv"
+    _frame(spark, sf_dir, "c_name").save(out)
+    return GeoFrame(spark).load(out).df.select("c_custkey", "c_name", F.col("_lat").alias("lat"), F.col("_lng").alias("lng"))
+
+
+@query(f"SELECT c_custkey::varchar AS c_custkey, c_mktsegment, lat, lng FROM {CUSTOMER} WHERE lower(c_mktsegment) = 'building'")
+def frame_geojson(spark, sf_dir):
+    """Table, one GeoJSON file at a URI, and back, filtered by a property of the map."""
+    out = _uri(spark, "frame") + ".geojson"
+    _frame(spark, sf_dir, "c_mktsegment").save(out)
+    found = GeoFrame(spark).load(out).filter("c_mktsegment", " Building ").df
+    return found.select(F.col("properties")["c_custkey"].alias("c_custkey"), F.col("properties")["c_mktsegment"].alias("c_mktsegment"), F.col("_lat").alias("lat"), F.col("_lng").alias("lng"))
+
+
+@query(f"SELECT c_custkey::varchar AS c_custkey, lat, lng, 'Point' AS geometry_type FROM {CUSTOMER}")
+def frame_lines(spark, sf_dir):
+    """Table, GeoJSON lines by all executors, and back."""
+    out = _uri(spark, "frame") + ".geojson"
+    _frame(spark, sf_dir).save_lines(out)
+    return GeoFrame(spark).load(out).df.select(F.col("properties")["c_custkey"].alias("c_custkey"), F.col("_lat").alias("lat"), F.col("_lng").alias("lng"), "geometry_type")
+
+
+@query(f"SELECT c_custkey::varchar AS c_custkey, lat, lng FROM {CUSTOMER} WHERE c_custkey % 3 <> 0")
+def frame_map_markers(spark, sf_dir):
+    """The markers in the file that ``map`` writes: features of memory, those that aren't points left out."""
+    features = _frame(spark, sf_dir).get_geojson()["features"]
+    for f in features:
+        if f["properties"]["c_custkey"] % 3 == 0:
+            f["geometry"] = {"type": "LineString", "coordinates": [f["geometry"]["coordinates"]] * 2}
+    out = _uri(spark, "frame") + ".html"
+    GeoFrame(spark).load_data(features).map(out, "Customers")
+    line = spark.read.text(out).where(F.col("value").startswith('{"type":') | F.col("value").startswith('{"type": '))
+    f = F.from_json(F.regexp_replace("value", ",$", ""), "geometry struct<coordinates:array<double>>, properties map<string,string>")
+    return line.select(f.alias("f")).select(F.col("f.properties")["c_custkey"].alias("c_custkey"), F.col("f.geometry.coordinates")[1].alias("lat"), F.col("f.geometry.coordinates")[0].alias("lng"))
+
+
+@query(f"SELECT lat, lng, c_acctbal / greatest(1.0::double, max(c_acctbal) OVER ()) AS intensity FROM {CUSTOMER}")
+def frame_heat_points(spark, sf_dir):
+    """The points in the file that ``heatmap`` writes."""
+    out = _uri(spark, "frame") + ".html"
+    _frame(spark, sf_dir, "c_acctbal").heatmap(out, intensity_col="c_acctbal")
+    p = F.from_json(F.regexp_replace("value", ",$", ""), "array<double>")
+    return spark.read.text(out).where(F.col("value").rlike(r"^\[-?\d")).select(p.alias("p")).select(F.col("p")[0].alias("lat"), F.col("p")[1].alias("lng"), F.col("p")[2].alias("intensity"))
+
+
+@query(f"SELECT c_custkey, d AS _distance, i::int AS i FROM (SELECT c_custkey, {away(factor=0.621371)} AS d, row_number() OVER (ORDER BY e, c_custkey) - 1 AS i FROM (SELECT *, {away(PUNE)} AS e FROM {CUSTOMER}) WHERE lower(c_mktsegment) = 'building' AND e <= 6000) ORDER BY d, i LIMIT 1")
+def frame_nearest(spark, sf_dir):
+    """``nearest`` after a property and a radius filter: its feature, distance and index in the order of the filter."""
+    best = _frame(spark, sf_dir, "c_mktsegment").filter("c_mktsegment", "building").filter_by_radius(*PUNE, 6000).nearest(DELHI, "miles")
+    return spark.createDataFrame([(best["feature"]["properties"]["c_custkey"], best["distance"], best["index"])], "c_custkey long, _distance double, i int")
+
+
+@query(f"SELECT count(*)::int AS n, min(lat) AS min_lat, max(lat) AS max_lat, min(lng) AS min_lng, max(lng) AS max_lng FROM {CUSTOMER}")
+def frame_count_and_bounds(spark, sf_dir):
+    frame = _frame(spark, sf_dir)
+    b = frame.bounds()
+    return spark.createDataFrame([(len(frame), b["min_lat"], b["max_lat"], b["min_lng"], b["max_lng"])], "n int, min_lat double, max_lat double, min_lng double, max_lng double")
 
 
 def _named(df: DataFrame, *cols: str) -> DataFrame:
@@ -332,6 +398,18 @@ def zones(spark, d) -> DataFrame:
     return suppliers(spark, d).select("s_suppkey", geo.buffer_ring("_lat", "_lng", 1500.0, num_points=24).alias("ring"))
 
 
+@query(f"SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT c_custkey FROM ({IN_ZONE}))")
+def zone_semi_join(spark, sf_dir):
+    """Points of a frame without an order, as of a stream: only their places tell them apart."""
+    df = customers(spark, sf_dir).withColumn("_ord", F.lit(0).cast("long"))
+    return joins.zone_join(_named(df, "c_custkey"), zones(spark, sf_dir), how="left_semi").select("c_custkey")
+
+
+@query(f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM ({IN_ZONE}))")
+def zone_anti_join(spark, sf_dir):
+    return joins.zone_join(_named(customers(spark, sf_dir), "c_custkey"), zones(spark, sf_dir), how="left_anti").select("c_custkey")
+
+
 @query(IN_ZONE)
 def zone_join(spark, sf_dir):
     return joins.zone_join(_named(customers(spark, sf_dir), "c_custkey"), zones(spark, sf_dir)).select("c_custkey", "s_suppkey")
@@ -347,11 +425,17 @@ def knn_join(spark, sf_dir):
     return joins.knn_join(customers(spark, sf_dir), "c_custkey", suppliers(spark, sf_dir), "s_suppkey", 3)
 
 
-@query(f"SELECT o_orderkey, round({km('lat1', 'lng1', 'lat2', 'lng2')}, 4) AS km, {BEARING} AS deg FROM {PAIRS}")
+@query(
+    f"SELECT o_orderkey, km, ft, deg, list_extract([{NAMES}], (round_even(deg / 22.5::double, 0)::bigint % 16)::int + 1) AS compass, valid, inside FROM (SELECT o_orderkey, round({km('lat1', 'lng1', 'lat2', 'lng2')}, 4) AS km, round({km('lat1', 'lng1', 'lat2', 'lng2')} * 3280.84::double, 4) AS ft, {BEARING} AS deg, lat2 * 2 BETWEEN -90 AND 90 AS valid, {inside_sql(STAR).replace(' lat)', ' lat1)').replace('(lat -', '(lat1 -').replace('lng <', 'lng1 <')} AS inside FROM {PAIRS})"
+)
 def sql_functions(spark, sf_dir):
     geo.register(spark)
     order_pairs(spark, sf_dir).createOrReplaceTempView("geo_order_pairs")
-    return spark.sql("SELECT o_orderkey, geo_distance_km(lat1, lng1, lat2, lng2) AS km, geo_bearing(lat1, lng1, lat2, lng2) AS deg FROM geo_order_pairs")
+    ring = "array(" + ", ".join(f"named_struct('lng', {x}D, 'lat', {y}D)" for x, y in STAR) + ")"
+    return spark.sql(
+        f"""SELECT o_orderkey, geo_distance_km(lat1, lng1, lat2, lng2) AS km, geo_distance(lat1, lng1, lat2, lng2, 'ft') AS ft, geo_bearing(lat1, lng1, lat2, lng2) AS deg,
+        geo_compass(geo_bearing(lat1, lng1, lat2, lng2)) AS compass, geo_is_valid(lat2 * 2, lng2) AS valid, geo_in_ring(lat1, lng1, {ring}) AS inside FROM geo_order_pairs"""
+    )
 
 
 def _event_stream(spark, d) -> DataFrame:
@@ -372,18 +456,26 @@ def stream_radius(spark, sf_dir):
     return _ran(spark, near.select("event_id", "_distance"), "stream-radius")
 
 
-@query(None)
+@query(
+    f"""SELECT epoch(day)::bigint AS start_s, floor(lat / 30)::int AS cell_lat, floor(lng / 30)::int AS cell_lng, count(*) AS n_points
+FROM (SELECT date_trunc('day', ts) AS day, {at('user_id', 'b')}, max(ts) OVER () AS latest FROM events) WHERE day + INTERVAL 1 DAY <= latest - INTERVAL 1 HOUR GROUP BY ALL"""
+)
 def stream_cells(spark, sf_dir):
+    """Windows that the watermark, an hour behind the latest event, has passed: later ones may still change."""
     df = _event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
-    return _ran(spark, stream_cell_counts(df, "at", "1 day", "1 hour", 30.0), "stream-cells")
+    out = _ran(spark, stream_cell_counts(df, "at", "1 day", "1 hour", 30.0), "stream-cells")
+    return out.select(F.unix_timestamp("start").alias("start_s"), "cell_lat", "cell_lng", "n_points")
 
 
-@query(None)
+@query(f"SELECT c_custkey, {away()} AS km, round(((degrees(atan2(sin(radians(lng - 77.2090)) * cos(radians(lat)), cos(radians(28.6139)) * sin(radians(lat)) - sin(radians(28.6139)) * cos(radians(lat)) * cos(radians(lng - 77.2090)))) + 360)::double % 360.0::double), 2) AS degrees, {inside_sql(STAR)} AS inside, 33 AS ring_points FROM {CUSTOMER}")
 def scalar_geometry(spark, sf_dir):
-    """The single-point functions: no table, so the values stand in the tests."""
-    a, b = checked_point(DELHI), checked_point((19.0760, 72.8777))
-    zone = scalar.buffer(a, 10, "miles")
-    return spark.createDataFrame([(scalar.distance(a, b), scalar.bearing(a, b), scalar.bearing(a, b, True), len(zone["coordinates"][0]), scalar.point_in_polygon(a, zone))], "km double, compass string, degrees double, ring_points int, inside boolean")
+    """The single-point functions, called for each customer on the driver."""
+    star, rows = {"type": "Polygon", "coordinates": [STAR]}, []
+    for r in customers(spark, sf_dir).select("c_custkey", "_lat", "_lng").toLocalIterator():
+        b = checked_point((r["_lat"], r["_lng"]))
+        ring = scalar.buffer(b, 10, "miles", 32)["coordinates"][0]
+        rows.append((r["c_custkey"], scalar.distance(DELHI, b), scalar.bearing(DELHI, b, True), scalar.point_in_polygon(b, star), len(ring)))
+    return spark.createDataFrame(rows, "c_custkey long, km double, degrees double, inside boolean, ring_points int")
 
 
 def queries() -> dict:

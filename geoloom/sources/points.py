@@ -132,16 +132,28 @@ DOCUMENT = "type string, features array<struct<type:string,geometry:string,prope
 
 
 def read_geojson(spark: SparkSession, path: str, encoding: str = "utf-8-sig") -> DataFrame:
-    """The features of GeoJSON documents (a FeatureCollection or one Feature a file), in file order.
+    """The features of GeoJSON documents (a FeatureCollection or one Feature a file), or of files with one Feature a line, in file order.
 
-    Features that aren't points stay, without coordinates. Coordinates are not checked here.
+    Features that aren't points stay, without coordinates. Coordinates are not checked here. Files of lines are read in
+    many tasks; a document is one task. Text behind the Feature on a file's first line that is no Feature is an error.
     """
+    if _charset(encoding) == "UTF-8":
+        lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("value")).where("value <> ''")
+        whole = F.col("value").rlike(r"^\{.*\}$") & F.coalesce(F.from_json("value", "type string")["type"] == "Feature", F.lit(False))
+        facts = lines.agg(F.count("*").alias("n"), F.count_if(whole).alias("own")).first()
+        if facts["n"] and facts["n"] == facts["own"]:
+            own = F.from_json("value", "geometry string, properties string")
+            return _features(lines.select(own.alias("f")).select("f.geometry", "f.properties"))
     if _charset(encoding) == "UTF-8":
         text = spark.read.text(path, wholetext=True)
     else:
         text = spark.read.format("binaryFile").load(path).select(F.decode("content", _charset(encoding)).alias("value"))
     doc = F.from_json(F.regexp_replace("value", "^\ufeff", ""), DOCUMENT)
-    docs = text.select(doc.alias("d"))
+    start = F.trim(F.substring_index(F.trim(F.regexp_replace("value", "^\ufeff", "")), "\n", 1))
+    more = start.rlike(r"^\{.*\}$") & (F.length(start) < F.length(F.trim(F.regexp_replace("value", r"^\ufeff|\s+$", "")))) & F.coalesce(F.from_json(start, "type string")["type"].isin("Feature", "FeatureCollection"), F.lit(False))
+    docs = text.select(doc.alias("d"), more.alias("more"))
+    if not docs.where("more").isEmpty():
+        raise UnsupportedFormatError(f"{path}: there is text behind a GeoJSON document")
     kind = docs.agg(F.min(F.coalesce("d.type", F.lit(""))).alias("a"), F.max(F.coalesce("d.type", F.lit(""))).alias("b")).first()
     if not {kind["a"], kind["b"]} <= {"FeatureCollection", "Feature"}:
         raise UnsupportedFormatError(f"{path}: not a GeoJSON FeatureCollection or Feature")

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import csv
 import html
+import io
 import json
 import os
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedFormatError
@@ -20,7 +21,31 @@ from ..errors import UnsupportedFormatError
 LEAFLET, HEAT = "https://unpkg.com/leaflet@1.9.4/dist", "https://unpkg.com/leaflet.heat@0.2.0/dist/leaflet-heat.js"
 
 
+class HadoopFile(io.RawIOBase):
+    """A new file at any URI that Spark can write to, as a stream of bytes."""
+
+    def __init__(self, uri: str) -> None:
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        where = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        self.out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.out.write(bytearray(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.out.close()
+        super().close()
+
+
 def open_text(path: str, encoding: str = "utf-8", newline: str | None = None):
+    """A text file on the driver's disk or, with a scheme, wherever Spark can write."""
+    if "://" in path or path.startswith("file:"):
+        return io.TextIOWrapper(io.BufferedWriter(HadoopFile(path), 1 << 20), encoding=encoding, newline=newline)
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     return open(path, "w", encoding=encoding, newline=newline)
 
