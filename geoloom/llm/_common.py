@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and Spark runs in one process, as in tests."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if there:
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(there)
         return there.rstrip("/")
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -138,6 +141,39 @@ def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Bits of a filter: so many for each value, within these bounds (8 KB to 32 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 28
+
+
+def filter_bits(n: int) -> int:
+    """Bits of a filter of n values, as a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
+
+
+def bitmap_parts(ids: DataFrame, bits: int) -> DataFrame:
+    """(k, part): a bit for each value of the long column ``c``, by its lowest bits but one, in parts of 4 KB; 2 ** (bits - 3) bytes at most."""
+    at = F.shiftright("c", 1).bitwiseAND(F.lit((1 << bits) - 1))
+    # dealt by place first: a value takes less than the 4 KB of its part of the map
+    places = ids.select(at.alias("x"), F.shiftright(at, 15).alias("k")).repartition("k")
+    return places.groupBy("k").agg(F.bitmap_construct_agg(F.col("x").bitwiseAND(F.lit(32767))).alias("part"))
+
+
+def suspected(df: DataFrame, c: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose long column ``c`` may be among ``ids(c)`` (a written frame), and the others.
+
+    A bitmap of bounded size, broadcast, tells them apart, so only the first have to be shuffled to be sure.
+    """
+    bits = filter_bits(ids.count())
+    parts = F.broadcast(bitmap_parts(ids, bits).select(F.col("k").alias("_gl_k"), F.col("part").alias("_gl_part")))
+    x = F.shiftright(F.col(c), 1).bitwiseAND(F.lit((1 << bits) - 1))
+    told = df.join(parts, F.shiftright(x, 15) == F.col("_gl_k"), "left")
+    low = x.bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_gl_part"), F.shiftright(low, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, low.bitwiseAND(F.lit(7))) == 1, F.lit(False))
+    told = told.withColumn("_gl_maybe", maybe)
+    return tuple(told.where(F.col("_gl_maybe") if m else ~F.col("_gl_maybe")).drop("_gl_k", "_gl_part", "_gl_maybe") for m in (True, False))
+
+
 def bucket_count(partitions: int) -> int:
     """Buckets of :func:`packed`: some to a partition where there are few, so that a task holds a part of its partition at a time."""
     return partitions * max(1, 2048 // partitions)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from ._common import PACKED, binary_list, bucket_count, buckets_of, cut, dealt, discard, forget, group_starts, label_min, map_arrow, packed, stored, whole_groups
+from ._common import PACKED, binary_list, bitmap_parts, bucket_count, buckets_of, cut, dealt, discard, filter_bits, forget, group_starts, label_min, map_arrow, packed, stored, suspected, whole_groups
 from .components import connected_components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -38,8 +38,6 @@ PIECE = 1 << 20
 ROWS = 3
 #: Lines of so many shingles and more get bands, those of up to so many distinct ones pairs of their least shingles; what is in both meets both.
 BANDED, FEW = 20, 23
-#: Bits of a filter of wanted lines or runs: so many for each of them, within these bounds (8 KB to 32 MB).
-BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 28
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -357,21 +355,14 @@ def _meet(batches):
 
 
 def bitmap_of(ids: DataFrame, bits: int) -> bytes:
-    """A bit for each value that the long column ``c`` of ``ids`` has, by its lowest bits but one; 2 ** (bits - 3) bytes at most."""
-    at = F.shiftright("c", 1).bitwiseAND(F.lit((1 << bits) - 1))
-    parts = ids.select(at.alias("x")).groupBy(F.shiftright("x", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("x").bitwiseAND(F.lit(32767))).alias("part")).collect()
+    """The bitmap of :func:`bitmap_parts` as bytes."""
     size = 1 << (bits - 3)
     out = bytearray(max(size, 4096))
-    for r in parts:
+    for r in bitmap_parts(ids, bits).collect():
         out[4096 * r["k"] : 4096 * r["k"] + 4096] = r["part"]
     return bytes(out)
 
 
-def filter_bits(n: int) -> int:
-    """Bits of a filter of n values, as a power of two."""
-    return min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
-
-
 def filter_of(ids: DataFrame):
     """The bitmap of a written frame's column ``c``, broadcast."""
     return ids.sparkSession.sparkContext.broadcast(bitmap_of(ids, filter_bits(ids.count())))
@@ -927,11 +918,13 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Documents without a repeated passage are returned as they are, null and empty texts too.
     """
-    gone = repeated_spans(docs, doc_id, text).where("not kept").groupBy(F.col("doc_id").alias("_gl_d"), F.col("th").alias("_gl_t")).agg(F.collect_list(F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("stop"))).alias("_gl_spans"))
+    gone = cut(repeated_spans(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gl_d"), F.col("th").alias("_gl_t"), F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("stop")).alias("s")))
+    gone = cut(gone.groupBy("_gl_d", "_gl_t").agg(F.collect_list("s").alias("_gl_spans")))
     keyed = docs.withColumn("_gl_h", F.xxhash64(F.col(text).cast("string")))
-    met = keyed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_t")), "left")
+    some, whole = suspected(keyed.withColumn("_gl_c", F.xxhash64(F.col(doc_id).cast("long"), "_gl_h")), "_gl_c", gone.select(F.xxhash64("_gl_d", "_gl_t").alias("c")))
+    met = some.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_t")), "left")
     met = met.select(*docs.columns, F.col(text).cast("string").alias("_gl_text"), "_gl_spans")
     schema = StructType([*docs.schema, StructField("_gl_text", StringType()), StructField("_gl_left", BooleanType())])
     out = map_arrow(met, _cut_text, schema).where("_gl_left")
     new = [F.col("_gl_text").alias(c) if c == text else F.when(F.col("_gl_text").eqNullSafe(F.col(text)), F.col(c)).otherwise(F.length("_gl_text")).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(c) for c in docs.columns]
-    return out.select(*new)
+    return out.select(*new).unionByName(whole.select(*docs.columns))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_list, cut, expand_pairs, group_starts, label_min, map_arrow, whole_groups
+from ._common import PACKED, binary_list, bucket_count, buckets_of, cut, dealt, expand_pairs, group_starts, label_min, map_arrow, packed, suspected, whole_groups
 from .components import connected_components
 from .paragraph_dedup import near_texts
 
@@ -106,67 +106,94 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), _fingerprints, "doc_id long, fp long")
 
 
-def _keys(batches):
-    for b in batches:
-        fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for at in range(0, len(fps), 4096):
-            part = fps[at : at + 4096]
-            k = fuzzy_keys(part.view(np.uint64))
-            use = np.ones(k.shape, bool)
-            use[:, :, 1:] = k[:, :, 1:] != k[:, :, :1]
-            near = np.zeros(k.shape, bool)
-            near[:, :, 0] = True
-            yield pa.RecordBatch.from_arrays([pa.array(k[use]), pa.array(np.broadcast_to(part[:, None, None], k.shape)[use]), pa.array(near[use])], names=["key", "fp", "near"])
+KEY_TYPES = {0: [np.int64, np.int64, np.int8]}
+
+
+def _keys(buckets: int):
+    """Keys of distinct fingerprints, packed by key."""
+
+    def run(batches):
+        for b in batches:
+            fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at in range(0, len(fps), 16384):
+                part = fps[at : at + 16384]
+                k = fuzzy_keys(part.view(np.uint64))
+                use = np.ones(k.shape, bool)
+                use[:, :, 1:] = k[:, :, 1:] != k[:, :, :1]
+                near = np.zeros(k.shape, np.int8)
+                near[:, :, 0] = 1
+                yield packed(0, k[use], [k[use], np.broadcast_to(part[:, None, None], k.shape)[use], near[use]], buckets)
+
+    return run
+
+
+def group_links(fps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """[links][2]: a forest over groups of fingerprints that begin at ``starts``, whose components are those of "differ in three bits or fewer"."""
+    sizes = np.diff(np.append(starts, len(fps)))
+    small = sizes <= 64
+    a, b = expand_pairs(starts[small], sizes[small])
+    hit = np.bitwise_count(fps[a] ^ fps[b]) <= MAX_BITS
+    pairs = [(a[hit], b[hit])]
+    for s, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
+        own = fps[s : s + n]
+        for at in range(0, n, 256):
+            x, y = np.nonzero(np.bitwise_count(own[at : at + 256, None] ^ own[None, :]) <= MAX_BITS)
+            keep = x + at < y
+            forest = label_min(n, x[keep] + at, y[keep])
+            child = np.flatnonzero(forest != np.arange(n))
+            pairs.append((child + s, forest[child] + s))
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    label = label_min(len(fps), a, b)
+    at = np.flatnonzero(label != np.arange(len(fps)))
+    signed = fps.view(np.int64)
+    return np.unique(np.stack([signed[at], signed[label[at]]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+
+
+def _bucket_links(block: int):
+    """(u, v, key) of whole keys: links, with no key; of a key of more than ``block`` fingerprints these, as u, with the key."""
+
+    def run(batches):
+        for _, (key, fps, near) in buckets_of(batches, KEY_TYPES):
+            order = np.argsort(key, kind="stable")
+            key, fps, near = key[order], fps[order], near[order]
+            start = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            size = np.diff(np.append(start, len(key)))
+            use = (size > 1) & (np.add.reduceat(near, start, dtype=np.int64) > 0)
+            row = np.repeat(use & (size <= block), size)
+            n = size[use & (size <= block)]
+            uv = group_links(fps[row].view(np.uint64), np.cumsum(n) - n) if len(n) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1]), pa.nulls(len(uv), pa.int64())], names=["u", "v", "key"])
+            row = np.repeat(use & (size > block), size)
+            if row.any():
+                yield pa.RecordBatch.from_arrays([pa.array(fps[row]), pa.nulls(int(row.sum()), pa.int64()), pa.array(key[row])], names=["u", "v", "key"])
+
+    return run
 
 
 def _links(batches):
     for t in whole_groups(batches, ["key", "i", "j"]):
-        fps = t.column("fp").to_numpy().view(np.uint64)
-        starts = group_starts(t, ["key", "i", "j"])
-        sizes = np.diff(np.append(starts, len(fps)))
-        small = sizes <= 64
-        a, b = expand_pairs(starts[small], sizes[small])
-        hit = np.bitwise_count(fps[a] ^ fps[b]) <= MAX_BITS
-        pairs = [(a[hit], b[hit])]
-        for s, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
-            own = fps[s : s + n]
-            for at in range(0, n, 256):
-                x, y = np.nonzero(np.bitwise_count(own[at : at + 256, None] ^ own[None, :]) <= MAX_BITS)
-                keep = x + at < y
-                forest = label_min(n, x[keep] + at, y[keep])
-                child = np.flatnonzero(forest != np.arange(n))
-                pairs.append((child + s, forest[child] + s))
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        label = label_min(len(fps), a, b)
-        at = np.flatnonzero(label != np.arange(len(fps)))
-        signed = fps.view(np.int64)
-        uv = np.unique(np.stack([signed[at], signed[label[at]]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        uv = group_links(t.column("fp").to_numpy().view(np.uint64), group_starts(t, ["key", "i", "j"]))
         yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
 
 
 def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct ``fps(fp)`` to edges (u, v) whose components are those of "differ in three bits or fewer".
+    """Distinct ``fps(fp)`` (a written frame) to edges (u, v) whose components are those of "differ in three bits or fewer".
 
-    Each bucket gives at most one edge a row (a forest of its links), never all its pairs. A bucket of more than
-    ``block`` rows is dealt out as pairs of blocks to many tasks, and each pair of its rows still meets.
+    Each bucket gives at most one edge a row (a forest of its links), never all its pairs. A key of more than
+    ``block`` fingerprints is dealt out as pairs of blocks to many tasks, and each pair of its rows still meets.
     """
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = map_arrow(fps.select("fp").repartition(n, "fp"), _keys, "key long, fp long, near boolean")
-    count = (
-        keys.groupBy("key")
-        .agg(F.count("*").alias("n"), F.sum(F.col("near").cast("long")).alias("near"))
-        .where("n > 1 and near > 0")
-        .select("key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
-    )
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = (
-        keys.select("key", "fp")
-        .join(count, "key")
-        .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    )
-    dealt = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return map_arrow(dealt, _links, "u long, v long").distinct()
+    keys = map_arrow(fps.select("fp").repartition(n, "fp"), _keys(bucket_count(n)), PACKED)
+    found = cut(map_arrow(dealt(keys), _bucket_links(block), "u long, v long, key long"))
+    links = found.where("key is null").select("u", "v")
+    large = found.where("key is not null").select("key", F.col("u").alias("fp"))
+    if not large.isEmpty():
+        count = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        spread = large.join(count, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        links = links.unionByName(map_arrow(spread.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j"), _links, "u long, v long"))
+    return links.distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,7 +203,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     null doc_id is kept and never names a component that has another. No documents give no rows.
     """
     fps = cut(fingerprints(docs, doc_id, text))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     comps = cut(connected_components(fingerprint_links(first)))
     lowest = first.join(comps, first.fp == comps.node).groupBy("comp").agg(F.min("first").alias("low"))
     of = comps.join(lowest, "comp").select(F.col("node").alias("fp"), "low")
@@ -189,8 +216,9 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     Near are fingerprints within ``MAX_BITS``, and texts whose five-word shingles have a Jaccard similarity of 0.8 or
     more: most of those differ in more bits. They are found by MinHash bands and verified.
-    An id counts before a null one, and of equal ids the text with the smallest hash. Of rows alike in both any one
-    stays.
+    An id counts before a null one, and of equal ids the text with the smallest hash. Of rows alike in both that of the
+    smallest hash of all columns stays. Null and empty texts are near one another, as their fingerprints are; no
+    documents give no rows.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("th"))
     fps = cut(map_arrow(slim, _fingerprints, "doc_id long, fp long, th long"))
@@ -199,13 +227,21 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     # each component of near texts is a node that the fingerprints of its texts link to
     near = near_texts(docs, doc_id, text).join(fps.select(F.col("th").alias("t"), "fp").distinct(), F.expr("th = t")).select(F.col("fp").alias("u"), F.xxhash64("comp").alias("v"))
     comps = cut(connected_components(fingerprint_links(first.select("fp")).unionByName(near)))
-    own = first.join(comps, first.fp == comps.node, "left").select("first", F.coalesce("comp", "fp").alias("comp"))
-    keep = own.groupBy("comp").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_gl_d"), F.col("k.th").alias("_gl_t"))
+    own = first.join(comps, first.fp == comps.node, "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp"))
+    keep = own.groupBy("comp").agg(F.min("first").alias("k"))
+    kept = keep.select(F.col("k.doc_id").alias("kd"), F.col("k.th").alias("kt"))
+    rows = fps.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    # what goes, and rows alike in id and text, of which one stays: only these have to be looked at again
+    gone = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt")), "left").where("kt is null or n > 1")
+    gone = cut(gone.select(F.col("doc_id").alias("_gl_d"), F.col("th").alias("_gl_t"), (F.col("kt").isNotNull()).alias("_gl_stays")))
     keyed = docs.withColumn("_gl_h", F.xxhash64(F.col(text).cast("string")))
-    kept = keyed.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_t")), "left_semi")
-    twice = cut(fps.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_gl_d"), F.col("th").alias("_gl_t")))
-    if not twice.isEmpty():  # rows alike in id and text: any one of them
-        alike = F.col(doc_id).cast("long").eqNullSafe(F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_t"))
-        one = kept.join(twice, alike, "left_semi").dropDuplicates([doc_id, "_gl_h"])
-        kept = kept.join(twice, alike, "left_anti").unionByName(one)
-    return kept.drop("_gl_h")
+    keyed = keyed.withColumn("_gl_c", F.xxhash64(F.col(doc_id).cast("long"), "_gl_h"))
+    some, sure = suspected(keyed, "_gl_c", gone.select(F.xxhash64("_gl_d", "_gl_t").alias("c")))
+    some = some.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_t")), "left").where(F.coalesce("_gl_stays", F.lit(True)))
+    whole = F.xxhash64(*(F.col(c).cast("string") for c in docs.columns))
+    twice = some.where("_gl_stays").withColumn("_gl_o", whole)
+    if not gone.where("_gl_stays").isEmpty():  # rows alike in id and text: that of the least hash of all columns
+        least = twice.groupBy("_gl_d", "_gl_t").agg(F.min("_gl_o").alias("_gl_m")).withColumnsRenamed({"_gl_d": "_gl_d2", "_gl_t": "_gl_t2"})
+        one = twice.join(least, F.col("_gl_d").eqNullSafe(F.col("_gl_d2")) & (F.col("_gl_t") == F.col("_gl_t2")) & (F.col("_gl_o") == F.col("_gl_m"))).dropDuplicates(["_gl_d", "_gl_t"])
+        some = some.where("_gl_stays is null").select(*docs.columns).unionByName(one.select(*docs.columns))
+    return sure.select(*docs.columns).unionByName(some.select(*docs.columns))
