@@ -19,6 +19,10 @@ from ._common import ascii_lower, cut, map_arrow
 #: (host, path, verdict)
 FIXED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.5, 1.1
+#: Labelled pages that a rule must hold for at least, however few there are.
+LEAST_PAGES = 3
+#: Standard deviations that a rule's confidence must lie above the verdict's share of all labelled pages (Wilson's bound).
+SURE = 3.0
 BLOCK, ALLOW = "label block", "label allow"
 
 
@@ -54,23 +58,28 @@ def tokens(host_col, path_col, url):
     return F.array_distinct(F.concat(F.array(*tail), each, parts, names, scheme))
 
 
-def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, min_lift=MIN_LIFT) -> list[tuple]:
+def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, min_lift=MIN_LIFT, least_pages=LEAST_PAGES, sure=SURE) -> list[tuple]:
     """Rules from ``labelled(url, bad)``: (tokens, verdict, confidence, support), best first.
 
-    All labelled rows take part. Rules under the least support, confidence or lift go, and so does a rule whose
+    All labelled rows take part. Rules under the least support (a share of the rows and a number of them), confidence or lift go, and those whose confidence chance may explain, and so does a rule whose
     tokens hold those of a rule of the same verdict that is no less confident. That is decided on the executors, by
     number of tokens: a rule that goes always holds one that stays. All others are kept.
     """
     u = F.col("url")
     items = labelled.select(F.array_append(tokens(host(u), path(u), u), F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
     items = cut(items.withColumn("row", F.monotonically_increasing_id()))
-    alike = _alike(items, min_support * items.count())
+    n = items.count()
+    least = max(min_support * n, min(least_pages, n))
+    alike = _alike(items, least)
     if not alike:
         return []
     items = map_arrow(items, _firsts(alike), "items array<string>")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n * (1 - 1e-9)), minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW)).where(F.col("lift") >= min_lift)
     rules = rules.where(~F.array_contains("antecedent", BLOCK) & ~F.array_contains("antecedent", ALLOW))
+    c, z2, own = F.col("confidence"), sure * sure, F.col("support") / F.col("confidence") * n
+    low = (c + z2 / (2 * own) - sure * F.sqrt(c * (1 - c) / own + z2 / (4 * own * own))) / (1 + z2 / own)
+    rules = rules.where(low > c / F.col("lift") + 1e-9)
     rules = rules.select(F.array_sort("antecedent").alias("t"), F.split_part(F.col("consequent")[0], F.lit(" "), F.lit(2)).alias("v"), "confidence", "support")
     rules = cut(rules.withColumn("n", F.size("t")))
     rows: list[tuple] = []

@@ -53,6 +53,58 @@ def test_mining_prunes(spark):
     assert (["suffix biz"], "block") in [r[:2] for r in rules] or any("suffix a.biz" in r[0] for r in rules)
 
 
+def brute_rules(rows, least_share=op.MIN_SUPPORT):
+    """All combinations of the tokens of each URL, counted one by one."""
+    from itertools import combinations
+
+    sets = []
+    for url, bad in rows:
+        host, path = parts(url)
+        labels = host.split(".")
+        toks = {f"suffix {'.'.join(labels[-k:])}" for k in (1, 2, 3)} | {f"host {x}" for x in labels} | {"path " + re.sub(r"\d+", "0", x) for x in path.split("/") if x} | {f"query {x}" for x in re.findall(r"[?&]([^=&#]+)", url)} | {"scheme " + url.split("://")[0][:16]}
+        sets.append((frozenset(toks), bad))
+    n = len(sets)
+    count = {}
+    for toks, bad in sets:
+        for k in range(1, len(toks) + 1):
+            for x in combinations(sorted(toks), k):
+                own = count.setdefault(x, [0, 0])
+                own[bad] += 1
+    found = []
+    for x, own in count.items():
+        for bad, v in ((1, "block"), (0, "allow")):
+            share = sum(b for _, b in sets) / n if bad else 1 - sum(b for _, b in sets) / n
+            m = sum(own)
+            c, z2 = own[bad] / m, op.SURE**2
+            low = (c + z2 / (2 * m) - op.SURE * (c * (1 - c) / m + z2 / (4 * m * m)) ** 0.5) / (1 + z2 / m)
+            if own[bad] >= max(least_share * n, min(op.LEAST_PAGES, n)) and c >= op.MIN_CONFIDENCE and c / share >= op.MIN_LIFT and low > share + 1e-9:
+                found.append((x, v, c))
+    return found
+
+
+def test_mining_against_all_combinations(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(160):
+        host = rng.choice(["a.biz", "b.a.biz", "c.net", "d.net"])
+        path = rng.choice(["win", "news", "p12", "p7"])
+        rows.append((f"http://{host}/{path}?{rng.choice('xyz')}=1", rng.random() < (0.9 if host.endswith("biz") and path == "win" else 0.7 if path == "p12" else 0.1)))
+    got = op.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    want = brute_rules(rows)
+    assert len(want) > 20 and {v for _, v, _ in want} == {"block", "allow"}
+    known = {(x, v): c for x, v, c in want}
+    assert all(abs(known[tuple(t), v] - c) < 1e-9 for t, v, c, _ in got)  # no rule that is none
+    for url, _ in rows:  # and the verdict on each URL is that of the best of all rules
+        host, path = parts(url)
+        labels = host.split(".")
+        toks = {f"suffix {'.'.join(labels[-k:])}" for k in (1, 2, 3)} | {f"host {x}" for x in labels} | {"path " + re.sub(r"\d+", "0", x) for x in path.split("/") if x} | {f"query {x}" for x in re.findall(r"[?&]([^=&#]+)", url)} | {"scheme http"}
+        every = [(c, v) for x, v, c in want if set(x) <= toks]
+        mine = [(c, v) for t, v, c, _ in got if set(t) <= toks]
+        assert (max(c for c, _ in every) if every else None) == (max(c for c, _ in mine) if mine else None)
+
+
 def test_no_rule_is_lost_behind_redundant_ones(spark):
     # each of these hosts has many combinations of its tokens that say the same; the last rule is less confident than all of them
     rows = [(f"http://a{'bcdefgh'[i % 7]}.x{i % 7}.y{i % 7}.biz/p{'qrstuvw'[i % 7]}/s{'qrstuvw'[i % 7]}/t{'qrstuvw'[i % 7]}?k{i % 7}=1&l{i % 7}=2&m{i % 7}=3", True) for i in range(140)]
