@@ -83,3 +83,26 @@ def test_empty_table(spark, tmp_path):
     docs_df(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark, tmp_path):
+    """Columns named like those that the operators use inside, repeated ids and rows, nulls everywhere."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    texts = [prose(rng, 60) for _ in range(40)] + ["", None, " \n", "one"]
+    base = docs_df(spark, texts, sources=("a", None, "b"))
+    docs = base.unionByName(base.limit(10)).unionByName(base.limit(5).withColumn("text", F.lit(prose(rng, 50))))
+    docs = docs.unionByName(base.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    for i, c in enumerate(("th", "key", "comp", "k", "g", "h", "c", "x", "d", "fp", "first", "s", "n", "start", "kind", "size", "hash", "spread", "y", "i", "word", "bucket", "data", "score", "held_out", "pattern", "total")):
+        docs = docs.withColumn(c, F.lit(i) if i % 3 else F.lit(None).cast("string"))
+    docs = docs.cache()
+    spark.createDataFrame([(i, None, int(i == 7)) for i in range(20)] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sizes = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path)).cache()
+        sizes.append(out.count())
+        if k < 4:
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        docs = out
+    assert sizes[1] < sizes[0] and sizes[4] == sizes[3] > 0
