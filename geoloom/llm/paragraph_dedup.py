@@ -29,8 +29,8 @@ from ._common import PACKED, binary_list, bitmap_parts, bucket_count, buckets_of
 from .components import connected_components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
-#: Of a paragraph: the least that has a shingle.
-MIN_WORDS = SHINGLE
+#: Of a paragraph. Shorter lines (licences, menus, phrases) repeat in clean documents; they go only as part of a longer passage.
+MIN_WORDS = 3 * SHINGLE
 RUN, WINDOW = 25, 18
 BLOCK = 256
 #: Rows of a piece of the input that are put together before a shuffle.
@@ -857,10 +857,10 @@ def _resolve(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "th", "start_word", "end_word", "holder_id", "kept"])
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, start_word, end_word, holder_id, kept) of :func:`repeated_passages`; th is the hash of the text."""
     spark = docs.sparkSession
-    words, stored_words = words_of(_slim(docs, doc_id, text))
+    words, stored_words = words_of(_slim(docs, doc_id, text), partial(lines_of, least=max(min_words, SHINGLE)))
     met = keys_met(words)
     paragraphs = cut(paragraph_spans(words, met))
     forget(spark)
@@ -875,16 +875,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return map_arrow(by_document(told), _resolve, "doc_id long, th long, start_word int, end_word int, holder_id long, kept boolean")
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each passage that documents share: doc_id, start_word, end_word (exclusive), holder_id, kept.
 
+    Lines of ``min_words`` words or more (five at least) are paragraphs; passages inside them have 25 words or more.
     ``kept`` rows stay; the others are to be removed. ``holder_id`` of a removed paragraph is the document whose
     paragraph of the class stays (less what stands in an earlier document still); that of a passage has it word for word in
     a ``kept`` row. Null, empty and short texts have none, and so have passages that repeat only within one document.
     Rows of equal id and text are one document, a null id is a document of its own by its text, before all others. No
     documents give no rows.
     """
-    return repeated_spans(docs, doc_id, text).drop("th")
+    return repeated_spans(docs, doc_id, text, min_words).drop("th")
 
 
 def _cut_text(batches):
@@ -913,12 +914,12 @@ def _cut_text(batches):
         yield out
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut from their texts and ``n_chars`` counted anew; documents cut to nothing go.
 
     Documents without a repeated passage are returned as they are, null and empty texts too.
     """
-    gone = cut(repeated_spans(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gl_d"), F.col("th").alias("_gl_t"), F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("stop")).alias("s")))
+    gone = cut(repeated_spans(docs, doc_id, text, min_words).where("not kept").select(F.col("doc_id").alias("_gl_d"), F.col("th").alias("_gl_t"), F.struct(F.col("start_word").alias("start"), F.col("end_word").alias("stop")).alias("s")))
     gone = cut(gone.groupBy("_gl_d", "_gl_t").agg(F.collect_list("s").alias("_gl_spans")))
     keyed = docs.withColumn("_gl_h", F.xxhash64(F.col(text).cast("string")))
     some, whole = suspected(keyed.withColumn("_gl_c", F.xxhash64(F.col(doc_id).cast("long"), "_gl_h")), "_gl_c", gone.select(F.xxhash64("_gl_d", "_gl_t").alias("c")))

@@ -72,7 +72,8 @@ def test_short_lines(spark):
     five, ten, line = prose(rng, 5), prose(rng, 10), prose(rng, 24)
     near = " ".join([*line.split()[:-1], "changed"])
     texts = [f"{five}\n{ten}\n{line}", f"{near}\n{ten}", f"{prose(rng, 9)}\n{five}", "four words are few\na", "four words are few\nb"]
-    assert rows_of(op.repeated_passages(docs_df(spark, texts))) == [(0, 0, 39, True), (1, 0, 24, False), (1, 24, 34, False), (2, 9, 14, False)]
+    assert rows_of(op.repeated_passages(docs_df(spark, texts))) == [(0, 15, 39, True), (1, 0, 24, False)]  # clean documents repeat short lines
+    assert rows_of(op.repeated_passages(docs_df(spark, texts), min_words=5)) == [(0, 0, 39, True), (1, 0, 24, False), (1, 24, 34, False), (2, 9, 14, False)]
 
 
 def test_passages(spark, texts):
