@@ -697,7 +697,8 @@ def near_contents(words: DataFrame, met: DataFrame) -> DataFrame:
         members = stars.join(open_, "key", "left_semi")
         members = cut(members.select("key", "c").union(members.select("key", F.col("m").alias("c"))))
         members = cut(members.distinct().join(named, "c").select("key", "id", "comp"))
-        count = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        # written first, so that the join is plain and a bucket of very many lines can be split over tasks
+        count = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         spread = members.join(count, "key").select("key", F.col("id").alias("c"), "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         spread = spread.select("key", "c", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))

@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     comps = cut(connected_components(fingerprint_links(first)))
     lowest = first.join(comps, first.fp == comps.node).groupBy("comp").agg(F.min("first").alias("low"))
     of = comps.join(lowest, "comp").select(F.col("node").alias("fp"), "low")
-    of = first.join(of, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
+    # written first, so that the join is plain and a fingerprint of very many copies can be split over tasks
+    of = cut(first.join(of, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
