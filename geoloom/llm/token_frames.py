@@ -255,9 +255,10 @@ def write_frames(docs: DataFrame, tokenizer: str, out: str, doc_id: str = "doc_i
 
     One file a range of ids; gives (file, ids before it, documents) in order. Only these rows reach the driver.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("tie"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slim.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    # rows alike may be very many: the tie lets them lie in several ranges
+    dealt = slim.repartitionByRange(n, "doc_id", "h", "tie").sortWithinPartitions("doc_id", "h", "text")
     rows = sorted(map_arrow(dealt, _writer(tokenizer, out), "part int, docs long, tokens long", "encoder").collect())
     files, start = [], 0
     for part, k, tokens in rows:
