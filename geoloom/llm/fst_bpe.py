@@ -13,7 +13,6 @@ import heapq
 import json
 import os
 import re
-import tempfile
 import uuid
 from functools import cache
 
@@ -86,8 +85,9 @@ class Lexicon:
 
     PARTS = (("key", np.int64), ("target", np.int32), ("output", np.int32), ("final", np.uint8), ("root", np.int64), ("offset", np.int64), ("ids", np.int32))
 
-    def __init__(self, path: str) -> None:
-        raw = np.memmap(path, np.uint8, "r")
+    def __init__(self, source: str | bytes) -> None:
+        """``source``: the file's path, or its bytes where it cannot be mapped."""
+        raw = np.memmap(source, np.uint8, "r") if isinstance(source, str) else np.frombuffer(source, np.uint8)
         sizes = raw[: 8 * len(self.PARTS)].view(np.int64).tolist()
         at = 8 * len(self.PARTS)
         for (name, kind), n in zip(self.PARTS, sizes):
@@ -447,15 +447,13 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: i
 
 @cache
 def codec(tokenizer: str, lexicon: str) -> Codec:
-    """A worker's codec; the lexicon is mapped where it lies, or from a copy that is unlinked at once."""
+    """A worker's codec; the lexicon is mapped where the worker sees it as a file, and read (a few MB) from any other store."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     fs, path = open_fs(lexicon)
     if fs.type_name == "local":
         return Codec(tokenizer, Lexicon(path))
-    with tempfile.NamedTemporaryFile() as f, fs.open_input_stream(path) as src:
-        f.write(src.read())
-        f.flush()
-        return Codec(tokenizer, Lexicon(f.name))
+    with fs.open_input_stream(path) as src:
+        return Codec(tokenizer, Lexicon(src.read()))
 
 
 KEPT["codec"] = codec.cache_clear

@@ -59,6 +59,7 @@ def test_automaton(tmp_path):
     path = tmp_path / "x.fst"
     path.write_bytes(op.Lexicon.pack(words, np.array([i + k for i in range(len(words)) for k in (0, 1)]), 2 * np.arange(len(words) + 1)))
     lex = op.Lexicon(str(path))
+    assert op.Lexicon(path.read_bytes()).find(words).tolist() == list(range(len(words)))
     assert lex.find(words).tolist() == list(range(len(words))) and lex.ids[lex.offset[7] : lex.offset[8]].tolist() == [7, 8]
     absent = [w + b"x" for w in words] + [b"", b"zzz", b"abcabcabc" * 9]
     assert set(lex.find(absent).tolist()) == {-1}
