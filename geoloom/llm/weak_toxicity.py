@@ -115,6 +115,11 @@ def at_share(z: np.ndarray, prior: float) -> np.ndarray:
     return q
 
 
+def pieces(n: int, rows: int = 1024) -> list[slice]:
+    """Ranges of rows. Matrices of 0, 1 and -1 stay bytes; only a piece at a time becomes floats, so the driver never holds them whole."""
+    return [slice(at, min(n, at + rows)) for at in range(0, n, rows)]
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50, least: float = 0.5) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
     """Posterior of "toxic" from votes (+1, -1, 0) [documents][voters]; of each voter P(toxic | it votes +1 or -1); groups of correlated voters.
 
@@ -126,32 +131,41 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50, least: float
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
     if not n:
         return np.zeros(0), np.full((m, 2), prior), [[j] for j in range(m)]
-    on = [(votes == v).astype(float) for v in (1, -1)]
-    active = votes.astype(float)
+    counts = [(votes == v).sum(0) for v in (1, -1)]
 
     def first(strength):
         q = np.full(n, 0.05)
         q[(strength > 0) & (strength >= np.sort(strength)[::-1][max(0, round(prior * n) - 1)])] = 0.9
         return q
 
-    q = first(active.sum(1))
+    q = first(votes.sum(1, dtype=float))
     # what voters still have in common when the label is known as well as it can be at first
-    rest = active - np.outer(q, (q @ active) / q.sum()) - np.outer(1 - q, ((1 - q) @ active) / (1 - q).sum())
-    sd = rest.std(0)
-    corr = (rest.T @ rest) / n / np.maximum(np.outer(sd, sd), 1e-12)
+    toxic, clean = (sum(c[at] @ votes[at].astype(float) for at in pieces(n)) / c.sum() for c in (q, 1 - q))
+
+    def rest(at):
+        return votes[at].astype(float) - np.outer(q[at], toxic) - np.outer(1 - q[at], clean)
+
+    mean = sum(rest(at).sum(0) for at in pieces(n)) / n
+    sd = np.sqrt(sum(((rest(at) - mean) ** 2).sum(0) for at in pieces(n)) / n)
+    corr = sum((r := rest(at)).T @ r for at in pieces(n)) / n / np.maximum(np.outer(sd, sd), 1e-12)
     a, b = np.nonzero(np.triu(corr > least, 1))
     root = label_min(m, a, b)
     of = np.unique(root, return_inverse=True)[1]
     groups = [np.flatnonzero(of == g).tolist() for g in range(of.max() + 1)]
     member = np.zeros((m, len(groups)))
     member[np.arange(m), of] = 1
-    share = 1 / np.maximum(np.abs(active) @ member, 1)
-    q = first(((active @ member) * share).sum(1))
+
+    def by_group(told):
+        """Of each row: the sum over groups of the mean of what their voting members told; ``told``: from votes to floats."""
+        return np.concatenate([((told(v := votes[at]) @ member) / np.maximum(np.abs(v) @ member, 1)).sum(1) for at in pieces(n)])
+
+    q = first(by_group(lambda v: v.astype(float)))
     p = np.full((m, 2), prior)
     for _ in range(rounds):
-        p = np.clip(np.stack([(q @ x + prior) / (x.sum(0) + 1) for x in on], 1), 1e-3, 1 - 1e-3)
-        told = sum(x * (log_odds(p[:, k]) - log_odds(prior)) for k, x in enumerate(on))
-        new = at_share(((told @ member) * share).sum(1), prior)
+        hits = [sum(q[at] @ (votes[at] == v) for at in pieces(n)) for v in (1, -1)]
+        p = np.clip(np.stack([(h + prior) / (c + 1) for h, c in zip(hits, counts)], 1), 1e-3, 1 - 1e-3)
+        weight = log_odds(p) - log_odds(prior)
+        new = at_share(by_group(lambda v: (v == 1) * weight[:, 0] + (v == -1) * weight[:, 1]), prior)
         done = np.abs(new - q).max() < 1e-5
         q = new
         if done:
@@ -162,20 +176,25 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50, least: float
 def logistic(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, rounds: int = 25, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights (the last is the bias, not penalised) of a logistic model with soft targets, by damped Newton steps."""
     n, d = x.shape
-    a = np.hstack([x, np.ones((n, 1))])
     c = np.ones(n) if weight is None else weight
     ridge = np.append(np.full(d, l2), 1e-9)
     w = np.zeros(d + 1)
 
+    def margins(w):
+        return np.concatenate([np.zeros(0), *(x[at].astype(float) @ w[:-1] + w[-1] for at in pieces(n))])
+
     def loss(w):
-        z = a @ w
+        z = margins(w)
         return (c * (np.logaddexp(0, z) - target * z)).sum() / c.sum() + 0.5 * (ridge * w * w).sum()
 
     at = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
-        g = a.T @ (c * (p - target)) / c.sum() + ridge * w
-        h = (a * (c * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a / c.sum() + np.diag(ridge + 1e-9)
+        p = 1 / (1 + np.exp(-np.clip(margins(w), -500, 500)))
+        g, h = ridge * w, np.diag(ridge + 1e-9)
+        for own in pieces(n):
+            a = np.hstack([x[own], np.ones((own.stop - own.start, 1))])
+            g += a.T @ (c[own] * (p[own] - target[own])) / c.sum()
+            h += (a * (c[own] * np.maximum(p[own] * (1 - p[own]), 1e-6))[:, None]).T @ a / c.sum()
         step, size = np.linalg.solve(h, g), 1.0
         while size > 1e-4 and (new := loss(w - size * step)) > at:
             size /= 2
@@ -194,7 +213,7 @@ def fit(lexicon: list[bytes], clean: list[bytes], features: list[bytes], rows: l
     if not rows:
         return Model(frozenset(), {}, [4.0, *[0.0] * (general - 1)], -3.0, {}, [], np.zeros(0), np.zeros(0))
     y = np.array([r[0] for r in rows])
-    x = np.zeros((len(rows), len(features) + general))
+    x = np.zeros((len(rows), len(features) + general), np.int8)
     votes = np.zeros((len(rows), len(lexicon) + len(clean) + general), np.int8)
     for i, (_, has, toxic_, clean_, on) in enumerate(rows):
         x[i, has] = 1

@@ -141,3 +141,21 @@ def test_tokens():
     assert op.token_set(b"Abcdefg abcdexx, no!") == {b"abcdefg", b"abcdexx", b"no", b"~abcd", b"~abcde", b"~abcdef", b"~abcdex", b"~~abcd", b"~~abcde"}
     assert op.word_hits(op.token_set(b"abcdefg abcdexx"), frozenset({b"~~abcd"})) == 2
     assert op.word_hits(op.token_set(b"abcdefg zzz"), frozenset({b"~~abcd"})) == 0
+
+
+def test_the_fit_holds_no_matrix_of_floats():
+    """The most labelled rows that are fitted, with all voters and features: as floats each matrix alone would take 20 to 40 MB of the driver."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    lexicon, clean, features = ([b"%s%d" % (k, i) for i in range(n)] for k, n in ((b"t", op.LEXICON), (b"c", op.CLEAN), (b"f", op.FEATURES)))
+    rows = []
+    for i in range(op.TRAIN_ROWS):
+        toxic = sorted(set(rng.integers(0, op.LEXICON, 4).tolist())) if i % 10 == 0 else []
+        some = sorted(set(rng.integers(0, op.FEATURES, 10).tolist()))
+        rows.append((int(bool(toxic)), some, toxic, [] if toxic else [i % op.CLEAN], [bool(toxic)] * 4 + [False] * (len(op.GENERAL) - 4)))
+    tracemalloc.start()
+    model = op.fit(lexicon, clean, features, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and ((model.posteriors > 0.5) == (model.labels > 0)).mean() > 0.99
