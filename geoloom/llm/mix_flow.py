@@ -8,6 +8,7 @@ decides how many words each source takes of each pattern; whole documents are th
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict, deque
 from dataclasses import dataclass
 
@@ -26,8 +27,6 @@ LEVELS = 3
 BROADCAST_GROUPS = 50_000
 #: Up to so many texts that several sources hold, their patterns are broadcast (16 bytes each), so documents stay where they are.
 BROADCAST_TEXTS = 1_000_000
-#: Patterns of several sources that the driver plans, those with the most words; texts of others count with their own source's.
-PATTERNS = 20_000
 
 
 def fill(sizes: dict, weights: dict, total: float, cap: float = MAX_REPEAT) -> dict:
@@ -62,7 +61,8 @@ def min_cost_flow(patterns: dict, quotas: dict, repeat: int = MAX_REPEAT) -> dic
     names = sorted({s for _, own in patterns.values() for s in own}, key=repr)
     keys = list(patterns)
     place = {s: 2 + len(keys) + i for i, s in enumerate(names)}
-    to, cap, out = [], [], [[] for _ in range(2 + len(keys) + len(names))]
+    # arrays, since there may be very many patterns: 8 or 4 bytes a number
+    to, cap, out = array("i"), array("q"), [array("q") for _ in range(2 + len(keys) + len(names))]
 
     def arc(a, b, c):
         for x, y, z in ((a, b, c), (b, a, 0)):
@@ -77,6 +77,7 @@ def min_cost_flow(patterns: dict, quotas: dict, repeat: int = MAX_REPEAT) -> dic
         for s in sorted(patterns[p][1], key=repr):
             via[p, s] = len(to)
             arc(2 + i, place[s], repeat * patterns[p][1][s])
+    ends = range(len(to), len(to) + 2 * len(names), 2)
     for s in names:
         arc(place[s], 1, int(quotas.get(s, 0)))
     most = {p: repeat * sum(own.values()) for p, (_, own) in patterns.items()}
@@ -88,7 +89,7 @@ def min_cost_flow(patterns: dict, quotas: dict, repeat: int = MAX_REPEAT) -> dic
             opened[p] = max(opened[p], upto)
         _augment(out, to, cap)
         uses = uses + 1 if uses < 4 else 2 * uses
-        if not any(patterns[p][0] for p in keys):
+        if not any(cap[e] for e in ends) or not any(patterns[p][0] for p in keys):
             break
     return {x: cap[e + 1] for x, e in via.items()}
 
@@ -221,24 +222,27 @@ def sized(docs: DataFrame, doc_id: str, text: str, source: str, seed: int = SEED
     return cut(slim.withColumn("spread", F.pmod("hash", F.lit(FAN**LEVELS))))
 
 
-def memberships(slim: DataFrame, most: int = PATTERNS) -> tuple[DataFrame, dict]:
+def memberships(slim: DataFrame, most: int | None = None) -> tuple[DataFrame, dict]:
     """(_gl_st, _gl_pattern) of the texts that several sources hold; patterns as :func:`min_cost_flow` takes them.
 
     Rows are first put together by text and source, so a text that very many rows hold is one row a source after that.
-    Texts of one source make up that source's own pattern.
+    Texts of one source make up that source's own pattern. All patterns are returned, however many there are; only a
+    caller who gives ``most`` gets those with the most words alone, and texts of the others then count with their own source's.
     """
     filled = slim.where("size > 0")
     held = cut(filled.groupBy("th", "source").agg(F.max("size").alias("size")))
     many = held.groupBy("th").agg(F.array_sort(F.collect_list(F.struct("source"))).alias("sources"), F.max("size").alias("size")).where("size(sources) > 1")
     many = cut(many.select("th", F.xxhash64("sources").alias("pattern"), "size"))
-    top = many.groupBy("pattern").agg(F.sum("size").alias("words")).orderBy(F.desc("words"), "pattern").limit(most + 1).collect()
-    if len(top) > most:
-        many = cut(many.join(F.broadcast(slim.sparkSession.createDataFrame([(r["pattern"],) for r in top[:most]], "pattern long")), "pattern", "left_semi"))
+    found = many.groupBy("pattern").agg(F.sum("size").alias("words"))
+    top = (found if most is None else found.orderBy(F.desc("words"), "pattern").limit(most + 1)).collect()
+    if most is not None and len(top) > most:
+        top = top[:most]
+        many = cut(many.join(F.broadcast(slim.sparkSession.createDataFrame([(r["pattern"],) for r in top], "pattern long")), "pattern", "left_semi"))
     shared = many.select(F.col("th").alias("_gl_st"), F.col("pattern").alias("_gl_pattern"))
     shared = broadcast_if(shared.count() <= BROADCAST_TEXTS)(shared)
     alone = held.join(many.select("th"), "th", "left_anti").groupBy("source").agg(F.sum("size").alias("words")).collect()
     grouped = cut(filled.join(shared, F.col("th") == F.col("_gl_st"), "left").select(F.col("_gl_pattern").alias("pattern"), "source", "size"))
-    words = {r["pattern"]: r["words"] for r in top[:most]}
+    words = {r["pattern"]: r["words"] for r in top}
     patterns: dict = {(None, r["source"]): (r["words"], {}) for r in sorted(alone, key=repr)} | {(p, None): (words[p], {}) for p in sorted(words)}
     for r in sorted(grouped.groupBy("pattern", "source").agg(F.sum("size").alias("n")).collect(), key=repr):
         patterns[(None, r["source"]) if r["pattern"] is None else (r["pattern"], None)][1][r["source"]] = r["n"]
@@ -249,7 +253,7 @@ def plan_mix(slim: DataFrame, weights=WEIGHTS) -> Mix:
     """Targets, flow and stops for the rows of :func:`sized`.
 
     Sources in order of code points, null last, weigh 5, 2, 1 and so on. The driver holds one row a source and one a
-    pair of a planned pattern and a source of it. Of each source the largest group is planned last and makes up for
+    pair of a pattern and a source of it, of all patterns. Of each source the largest group is planned last and makes up for
     what whole documents left open in the others.
     """
     spark, kind = slim.sparkSession, slim.schema["source"].dataType.simpleString()

@@ -136,6 +136,29 @@ def test_patterns_beyond_the_bound_count_with_their_sources(spark):
         assert sum(n for _, own in patterns.values() for n in own.values()) == 7 * len(rows)
 
 
+def test_all_patterns_are_planned_however_many(spark):
+    """More than 20,000 sets of sources: each is a pattern of the flow with its own words, and the flow fills the quotas from them."""
+    from itertools import combinations, islice
+
+    names = [f"s{k:03}" for k in range(210)]
+    pairs = list(islice(combinations(names, 2), 20_050))
+    rows = [(2 * i + k, " ".join([f"w{i}"] * (1 + i % 3)), "en", s, 0) for i, pair in enumerate(pairs) for k, s in enumerate(pair)]
+    slim = op.sized(spark.createDataFrame(rows, DOCS), "doc_id", "text", "source")
+    held, patterns = op.memberships(slim)
+    assert held.count() == len(pairs)
+    assert {tuple(sorted(own)): (m, *own.values()) for m, own in patterns.values()} == {p: (1 + i % 3,) * 3 for i, p in enumerate(pairs)}
+    sizes = dict.fromkeys(names, 0)
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    quotas = {s: round(t) for s, t in op.fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, sum(sizes.values())).items()}
+    given = op.min_cost_flow(patterns, quotas)
+    taken = dict.fromkeys(names, 0)
+    for (p, s), n in given.items():
+        assert 0 <= n <= 3 * patterns[p][1][s]
+        taken[s] += n
+    assert taken == quotas
+
+
 def test_ties_and_none(spark):
     same = docs_df(spark, ["a b c"] * 12, sources=("s", "t"))
     rows = op.mixed_sizes(same).collect()
