@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -232,8 +234,36 @@ BATCH_BYTES = 8 << 20
 KEPT: dict[str, Callable[[], None]] = {}
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # not glibc
+        return None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker's allocators hold it from task to task otherwise, beside the JVM and the other workers."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def pieces_of(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``most`` bytes (a row at least)."""
+    rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+    if rows >= batch.num_rows:
+        yield batch
+        return
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 class Alone:
-    """A function on batches that first drops what other operators keep. A class, so that workers use their own ``KEPT``."""
+    """A function on batches that first drops what other operators keep, gives its results in batches of bounded size, and gives back what it freed.
+
+    A class, so that workers use their own ``KEPT``.
+    """
 
     def __init__(self, fn, keeps: str) -> None:
         self.fn, self.keeps = fn, keeps
@@ -242,7 +272,12 @@ class Alone:
         for name, drop in KEPT.items():
             if name != self.keeps:
                 drop()
-        return self.fn(batches)
+        give_back()
+        batch = None
+        for batch in self.fn(batches):
+            yield from pieces_of(batch)
+        del batch
+        give_back()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
