@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import distance, in_ring, lng_reach
+from ..functions.geo import distance, lng_reach
 from ..functions.units import DISTANCE_DECIMALS, EARTH_RADIUS_KM, checked_radius, per_km
 from ..plans.shared import cut
 
@@ -18,6 +18,12 @@ from ..plans.shared import cut
 LEAST_BAND = 1e-4
 #: Half the circumference in kilometres, rounded up: no two points are farther apart.
 FARTHEST_KM = 20_016.0
+#: Cells of zones are this many degrees, halved by their level. Level of rings that fit no grid, the plane as one cell.
+PLANE, WHOLE = 1024.0, 99
+#: Up to so many edges in a band are tested by compiled code.
+UNROLLED = 6
+#: So many cells are sent to all executors at most.
+FEW_CELLS = 100_000
 
 
 def _checked_names(left: DataFrame, names: list[str], how: str) -> None:
@@ -75,40 +81,217 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, unit: str = "k
     return out.drop("_gl_b", "_gl_c", "_gl_band", "_gl_cell", "_gl_lat", "_gl_lng")
 
 
+def _edges(ring: str) -> Column:
+    """The ring's edges without nulls, each from a point to the one before it; ``lo`` to ``hi`` are its latitudes. A level one crosses nothing, but bounds."""
+    n = F.size(ring)
+
+    def edge(a: Column, i: Column) -> Column:
+        b = F.get(ring, (i + n - 1) % n)
+        return F.struct(F.least(a["lat"], b["lat"]).alias("lo"), F.greatest(a["lat"], b["lat"]).alias("hi"), a["lng"].alias("ax"), a["lat"].alias("ay"), (b["lng"] - a["lng"]).alias("dx"), F.nullif(b["lat"] - a["lat"], F.lit(0.0)).alias("dy"), (a["lat"] + b["lat"]).isNotNull().alias("known"))
+
+    return F.filter(F.transform(ring, edge), lambda e: e["known"] & e["dx"].isNotNull())
+
+
+def _crossed(e: Column) -> Column:
+    """Whether the edge lies east of the point: the terms of :func:`geoloom.functions.geo.in_ring`, in their order."""
+    y, x = F.col("_lat"), F.col("_lng")
+    return F.coalesce((y >= e["lo"]) & (y < e["hi"]) & (x < e["dx"] * (y - e["ay"]) / e["dy"] + e["ax"]), F.lit(False))
+
+
+def _odd(edges: str, unrolled: bool) -> Column:
+    """Whether the point crosses an odd number of edges; unrolled for a few, so that the join is compiled."""
+    if not unrolled:
+        return F.size(F.filter(edges, _crossed)) % 2 == 1
+    out = _crossed(F.get(edges, F.lit(0)))
+    for i in range(1, UNROLLED):
+        out = out != _crossed(F.get(edges, F.lit(i)))
+    return out
+
+
+def _fineness(points: DataFrame) -> int:
+    """k, where a zone's box is cut into at most 2^k cells a side: twice as many for four times the points, so that as many points stay near a zone's edge."""
+    if points.isStreaming:
+        return 5
+    return max(4, min(10, round(math.log2(max(points.count(), 1)) / 2) - 4))
+
+
+def _size(level: str) -> Column:
+    return F.lit(PLANE) * F.pow(F.lit(2.0), -F.col(level))
+
+
+def _bands(zones: DataFrame, names: list[str], ring: str, k: int) -> DataFrame:
+    """A row for each band of latitude of each zone: ``names``, the grid (_gl_zx, _gl_zy), _gl_zb, and the edges in the band.
+
+    A zone has its own grid level in each direction, at which its box spans at most 2^k cells. Sizes are powers of
+    two, so a division by them is exact. Rings with coordinates that are null, not finite or beyond 1e6 are on level
+    ``WHOLE``, the plane as one cell.
+    """
+    box = zones.select(*names, F.col(ring).alias("_gl_ring")).repartition(F.xxhash64("_gl_ring")).withColumn("_gl_edges", _edges("_gl_ring"))
+    wild = F.exists("_gl_ring", lambda p: ~F.coalesce((F.abs(p["lng"]) <= 1e6) & (F.abs(p["lat"]) <= 1e6), F.lit(False)))
+    box = box.withColumn("_gl_wild", wild).drop("_gl_ring")
+    west, east = F.transform("_gl_edges", lambda e: F.least(e["ax"], e["ax"] + e["dx"])), F.transform("_gl_edges", lambda e: F.greatest(e["ax"], e["ax"] + e["dx"]))
+    low, high = F.array_min(F.transform("_gl_edges", lambda e: e["lo"])), F.array_max(F.transform("_gl_edges", lambda e: e["hi"]))
+
+    def level(span: Column) -> Column:
+        fit = F.floor(F.log2(F.lit(PLANE) / F.greatest(span, F.lit(1e-9)))) + k
+        return F.when(F.col("_gl_wild"), WHOLE).otherwise(F.greatest(F.lit(-12), F.least(F.lit(30), fit))).cast("int")
+
+    box = box.withColumns({"_gl_zx": level(F.array_max(east) - F.array_min(west)), "_gl_zy": level(high - low), "_gl_y0": low, "_gl_y1": high})
+    box = cut(box.withColumns({"_gl_w": _size("_gl_zx"), "_gl_h": _size("_gl_zy")}))  # else filters behind are carried out on the rings' formula
+    every = F.when(F.col("_gl_wild"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor(F.col("_gl_y0") / F.col("_gl_h")), F.floor(F.col("_gl_y1") / F.col("_gl_h"))))
+    out = box.select(*names, "_gl_wild", "_gl_zx", "_gl_zy", "_gl_w", "_gl_h", "_gl_edges", F.explode(every).alias("_gl_zb"))
+    out = out.withColumns({"_gl_y0": F.col("_gl_zb") * F.col("_gl_h"), "_gl_y1": (F.col("_gl_zb") + 1) * F.col("_gl_h")})
+    return out.withColumn("_gl_edges", F.filter("_gl_edges", lambda e: F.col("_gl_wild") | ((e["hi"] > F.col("_gl_y0")) & (e["lo"] < F.col("_gl_y1")))))
+
+
+def _cover(bands: DataFrame) -> DataFrame:
+    """``bands`` with the cells that an edge touches (_gl_cells) and the runs (a to b) of cells that lie inside whole (_gl_runs).
+
+    All points of a cell that no edge touches, padded by far more than the test's rounding, cross as many edges east of
+    it or differ by an even number, so one test in the middle of the band decides for all.
+    """
+    size, south, north = F.col("_gl_w"), F.col("_gl_y0"), F.col("_gl_y1")
+
+    def reach(e: Column) -> Column:
+        def at(y: Column) -> Column:
+            return e["dx"] * (y - e["ay"]) / e["dy"] + e["ax"]
+
+        middle = (south + north) / 2
+        pad = (F.abs(e["ax"]) + F.abs(e["dx"]) + 1.0) * 1e-12
+        return F.struct(F.coalesce(at(F.greatest(e["lo"], south)), e["ax"]).alias("p"), F.coalesce(at(F.least(e["hi"], north)), e["ax"] + e["dx"]).alias("q"), pad.alias("pad"), ((e["lo"] <= middle) & (middle < e["hi"])).alias("mid"))
+
+    def span(r: Column) -> Column:
+        return F.struct(F.floor((F.least(r["p"], r["q"]) - r["pad"]) / size).alias("a"), F.floor((F.greatest(r["p"], r["q"]) + r["pad"]) / size).alias("b"), r["mid"].alias("mid"))
+
+    out = bands.withColumn("_gl_spans", F.when(~F.col("_gl_wild"), F.transform(F.transform("_gl_edges", reach), span)))
+    touched = F.sort_array(F.array_distinct(F.flatten(F.transform("_gl_spans", lambda r: F.sequence(r["a"], r["b"])))))
+    out = out.withColumn("_gl_cells", F.coalesce(touched, F.array(F.lit(0).cast("long"))))
+
+    def gap(c: Column, i: Column) -> Column:
+        return F.struct((c + 1).alias("a"), (F.get("_gl_cells", i + 1) - 1).alias("b"))
+
+    def inside(g: Column) -> Column:
+        return F.when(g["b"] >= g["a"], F.size(F.filter("_gl_spans", lambda r: r["mid"] & (r["a"] >= g["a"]))) % 2 == 1).otherwise(False)
+
+    return out.withColumn("_gl_runs", F.coalesce(F.filter(F.transform("_gl_cells", gap), inside), F.array().cast("array<struct<a:bigint,b:bigint>>"))).drop("_gl_spans", "_gl_wild", "_gl_w", "_gl_h", "_gl_y0", "_gl_y1")
+
+
+def _levels(bands: DataFrame) -> tuple[list, int]:
+    """The grids that zones use, and the most edges of one in a band: all that the driver learns."""
+    found = bands.groupBy("_gl_zx", "_gl_zy").agg(F.max(F.size("_gl_edges")).alias("n")).collect()
+    return sorted((r["_gl_zx"], r["_gl_zy"]) for r in found), max((r["n"] for r in found), default=0)
+
+
+def _placed(points: DataFrame, levels: list) -> DataFrame:
+    """Every point with its band and cell on each grid; those without coordinates are left out."""
+    grids = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in levels)).cast("array<struct<x:int,y:int>>")
+    here = points.where("_lat is not null and _lng is not null and not isnan(_lat) and not isnan(_lng)").withColumn("_gl_g", F.explode(grids))
+    here = here.withColumns({"_gl_x": F.col("_gl_g.x"), "_gl_y": F.col("_gl_g.y")}).drop("_gl_g")
+    whole = F.col("_gl_x") == WHOLE
+    return here.withColumns({"_gl_b": F.when(whole, 0).otherwise(F.floor(F.col("_lat") / _size("_gl_y"))).cast("long"), "_gl_c": F.when(whole, 0).otherwise(F.floor(F.col("_lng") / _size("_gl_x"))).cast("long")})
+
+
+SAME = "_gl_x = _gl_zx and _gl_y = _gl_zy and _gl_b = _gl_zb and _gl_c = _gl_cell"
+
+
+def _tested(here: DataFrame, cells: DataFrame, most: int, how: str = "inner") -> list[DataFrame]:
+    """Points joined to rows of zones and cells, and tested where these have edges: one join for few edges, one for many if there are such.
+
+    The cells of a zone are many more rows than Spark takes them for, hence no broadcast.
+    """
+    few = F.col("_gl_edges").isNull() | (F.size("_gl_edges") <= UNROLLED)
+    parts = [here.join(cells.where(few).hint("merge"), F.expr(SAME) & (F.col("_gl_edges").isNull() | _odd("_gl_edges", True)), how)]
+    if most > UNROLLED:
+        parts.append(here.join(cells.where(F.size("_gl_edges") > UNROLLED).hint("merge"), F.expr(SAME) & _odd("_gl_edges", False), how))
+    return parts
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def zone_join(points: DataFrame, zones: DataFrame, ring: str = "ring", how: str = "inner") -> DataFrame:
     """Points and the zones whose ring (array of (lng, lat)) holds them; the ring is left out of the result.
 
-    A zone is put on the level of a grid of halving cells at which its box spans at most two cells a side, so it is in
-    four cells at most; a point looks into its cell of every level that some zone uses. The levels, 40 at most, are
-    all that the driver learns.
+    A zone is cut into cells on the grid of its size. Cells that lie inside whole give their points without a test, in
+    those at its edge only the edges of the band are tested; a point looks into its cell of every grid that some zone uses.
     """
-    box = zones.withColumns({"_gl_x0": F.array_min(F.transform(ring, lambda p: p["lng"])), "_gl_x1": F.array_max(F.transform(ring, lambda p: p["lng"])), "_gl_y0": F.array_min(F.transform(ring, lambda p: p["lat"])), "_gl_y1": F.array_max(F.transform(ring, lambda p: p["lat"]))})
-    span = F.greatest(F.expr("_gl_x1 - _gl_x0"), F.expr("_gl_y1 - _gl_y0"), F.lit(1e-9))
-    box = box.where("_gl_x0 is not null").withColumn("_gl_level", F.greatest(F.lit(0), F.least(F.lit(39), F.floor(F.log2(F.lit(720.0) / span)))).cast("int"))
-    levels = sorted(r[0] for r in box.select("_gl_level").distinct().collect())
-    size = F.lit(720.0) / F.pow(F.lit(2.0), F.col("_gl_level"))
-
-    def cells(low: str, high: str) -> Column:
-        return F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
-
-    names = [c for c in zones.columns if c not in ("_ord", "_lat", "_lng")]
-    _checked_names(points, [c for c in names if c != ring], how)
-    dealt = box.select(*names, "_gl_x0", "_gl_x1", "_gl_y0", "_gl_y1", F.col("_gl_level").alias("_gl_zl"), F.explode(cells("_gl_x0", "_gl_x1")).alias("_gl_zx"), cells("_gl_y0", "_gl_y1").alias("_gl_ys"))
-    dealt = dealt.withColumn("_gl_zy", F.explode("_gl_ys")).drop("_gl_ys")
-    here = points.where("_lat is not null and _lng is not null").withColumn("_gl_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    here = here.withColumns({"_gl_px": F.floor(F.col("_lng") / size), "_gl_py": F.floor(F.col("_lat") / size)})
-    same = F.expr("_gl_level = _gl_zl and _gl_px = _gl_zx and _gl_py = _gl_zy")
-    inside = F.expr("_lng between _gl_x0 and _gl_x1 and _lat between _gl_y0 and _gl_y1") & in_ring("_lat", "_lng", F.col(ring))
-    if how != "inner":  # a point stands in several levels here, so the choice is made by its place
-        hit = here.join(dealt, same & inside, "left_semi").select(F.col("_lat").alias("_gl_a"), F.col("_lng").alias("_gl_o")).distinct()
-        return points.join(hit, F.expr("_lat = _gl_a and _lng = _gl_o"), how)
-    out = here.join(dealt, same & inside)
-    return out.drop(ring, *(c for c in out.columns if c.startswith("_gl_")))
+    names = [c for c in zones.columns if c not in ("_ord", "_lat", "_lng", ring)]
+    _checked_names(points, names, how)
+    if how != "inner":
+        return _held(points, zones, ring, how)
+    bands = _bands(zones, names, ring, max(3, _fineness(points) - 1))
+    levels, most = _levels(bands)
+    edge = F.transform("_gl_cells", lambda c: F.struct(c.alias("cell"), F.col("_gl_edges").alias("edges")))
+    whole = F.transform(F.flatten(F.transform("_gl_runs", lambda r: F.sequence(r["a"], r["b"]))), lambda c: F.struct(c.alias("cell"), F.lit(None).alias("edges")))
+    cells = _cover(bands).select(*names, "_gl_zx", "_gl_zy", "_gl_zb", F.explode(F.concat(edge, whole)).alias("_gl_one"))
+    cells = cells.select(*names, "_gl_zx", "_gl_zy", "_gl_zb", F.col("_gl_one.cell").alias("_gl_cell"), F.col("_gl_one.edges").alias("_gl_edges"))
+    spread = points if points.isStreaming else points.repartition(F.xxhash64("_lat", "_lng"))
+    out = _union(_tested(_placed(spread, levels), cells, most))
+    return out.drop(*(c for c in out.columns if c.startswith("_gl_")))
+
+
+def _touched(cover: DataFrame, names: list[str]) -> DataFrame:
+    cell = F.explode(F.transform("_gl_cells", lambda c: F.struct(c.alias("c"))))
+    return cover.select(*names, "_gl_zx", "_gl_zy", "_gl_zb", cell.alias("_gl_one"), "_gl_edges").withColumn("_gl_cell", F.col("_gl_one.c")).drop("_gl_one")
+
+
+def _ends(cover: DataFrame, names: list[str], first: int, last: int, signs: tuple[int, int]) -> DataFrame:
+    """Two rows a run of inner cells: its first cell plus ``first`` and its last plus ``last``, with their signs."""
+    ends = F.flatten(F.transform("_gl_runs", lambda r: F.array(F.struct((r["a"] + first).alias("at"), F.lit(signs[0]).cast("long").alias("sign")), F.struct((r["b"] + last).alias("at"), F.lit(signs[1]).cast("long").alias("sign")))))
+    one = cover.select(*names, F.col("_gl_zx").alias("_gl_x"), F.col("_gl_zy").alias("_gl_y"), F.col("_gl_zb").alias("_gl_b"), F.explode(ends).alias("_gl_e"))
+    return one.select(*names, "_gl_x", "_gl_y", "_gl_b", F.col("_gl_e.at").alias("_gl_c"), F.col("_gl_e.sign").alias("_gl_sign"))
+
+
+def _held(points: DataFrame, zones: DataFrame, ring: str, how: str) -> DataFrame:
+    """Points in some zone (left_semi) or none (left_anti), chosen by their places.
+
+    Runs of inner cells are counted along each band, so the places they cover are found without a pair of place and zone;
+    only the others are tested.
+    """
+    from pyspark.sql import Window
+
+    places = points.where("_lat is not null and _lng is not null").select("_lat", "_lng").distinct()
+    bands = _bands(zones, [], ring, _fineness(points))
+    levels, most = _levels(bands)
+    cover = _cover(bands)
+    ends = _ends(cover, [], 0, 1, (1, -1)).groupBy("_gl_x", "_gl_y", "_gl_b", "_gl_c").agg(F.sum("_gl_sign").alias("_gl_sign"))
+    along = Window.partitionBy("_gl_x", "_gl_y", "_gl_b").orderBy("_gl_c").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = _placed(places, levels).unionByName(ends, allowMissingColumns=True).withColumn("_gl_n", F.sum("_gl_sign").over(along))
+    sure = cut(met.where("_gl_sign is null and _gl_n > 0").select(F.col("_lat").alias("_gl_a"), F.col("_lng").alias("_gl_o")).distinct())
+    rest = cut(places.join(sure, F.expr("_lat = _gl_a and _lng = _gl_o"), "left_anti"))
+    left = _placed(rest, levels)
+    cells = left.select("_gl_x", "_gl_y", "_gl_b", F.col("_gl_c")).distinct()
+    near = _touched(cover, [])
+    if cells.count() <= FEW_CELLS:
+        near = near.join(F.broadcast(cells), F.expr("_gl_x = _gl_zx and _gl_y = _gl_zy and _gl_b = _gl_zb and _gl_c = _gl_cell"), "left_semi")
+    more = [p.select(F.col("_lat").alias("_gl_a"), F.col("_lng").alias("_gl_o")) for p in _tested(left, near, most, "left_semi")]
+    hit = _union([sure, _union(more).distinct()])
+    return points.join(hit, F.expr("_lat = _gl_a and _lng = _gl_o"), how)
 
 
 def zone_counts(points: DataFrame, zones: DataFrame, key: str, ring: str = "ring") -> DataFrame:
-    """How many points each zone holds; zones without any are left out."""
-    return zone_join(points, zones, ring).groupBy(key).agg(F.count("*").alias("n_points"))
+    """How many points each zone holds; zones without any are left out.
+
+    Points are counted by cell and added up along each band, so a run of inner cells is the difference of two sums;
+    only points in cells at a zone's edge meet that zone.
+    """
+    from pyspark.sql import Window
+
+    _checked_names(points, [c for c in zones.columns if c not in ("_ord", "_lat", "_lng", ring)], "inner")
+    places = points.where("_lat is not null and _lng is not null").groupBy("_lat", "_lng").agg(F.count("*").alias("_gl_n"))
+    bands = _bands(zones, [key], ring, _fineness(points))
+    levels, most = _levels(bands)
+    cover, here = _cover(bands), _placed(places, levels)
+    parts = [p.groupBy(key).agg(F.sum("_gl_n").alias("n_points")) for p in _tested(here, _touched(cover, [key]), most)]
+    by_cell = here.groupBy("_gl_x", "_gl_y", "_gl_b", "_gl_c").agg(F.sum("_gl_n").alias("_gl_n"))
+    along = Window.partitionBy("_gl_x", "_gl_y", "_gl_b").orderBy("_gl_c").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = _ends(cover, [key], -1, 0, (-1, 1)).unionByName(by_cell, allowMissingColumns=True).withColumn("_gl_sum", F.sum("_gl_n").over(along))
+    parts.append(met.where("_gl_sign is not null").groupBy(key).agg(F.sum(F.col("_gl_sign") * F.coalesce("_gl_sum", F.lit(0))).alias("n_points")))
+    return _union(parts).groupBy(key).agg(F.sum("n_points").alias("n_points")).where("n_points > 0")
 
 
 def knn_join(points: DataFrame, key: str, centers: DataFrame, center_key: str, k: int = 1, unit: str = "km") -> DataFrame:
