@@ -22,12 +22,16 @@ def is_valid(lat, lng) -> Column:
     return F.coalesce(col(lat).between(-90, 90) & col(lng).between(-180, 180), F.lit(False))
 
 
-def haversine_km(lat1, lng1, lat2, lng2) -> Column:
-    """Great-circle distance in kilometres, not rounded."""
+def haversine_share(lat1, lng1, lat2, lng2) -> Column:
+    """The squared sine of half the angle between two points, which grows with their distance."""
     p, q = F.radians(col(lat1)), F.radians(col(lat2))
     s, t = F.sin((q - p) / 2), F.sin((F.radians(col(lng2)) - F.radians(col(lng1))) / 2)
-    share = s * s + F.cos(p) * F.cos(q) * t * t
-    return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(share))) * EARTH_RADIUS_KM
+    return s * s + F.cos(p) * F.cos(q) * t * t
+
+
+def haversine_km(lat1, lng1, lat2, lng2) -> Column:
+    """Great-circle distance in kilometres, not rounded."""
+    return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(haversine_share(lat1, lng1, lat2, lng2)))) * EARTH_RADIUS_KM
 
 
 def distance(lat1, lng1, lat2, lng2, unit: str = "km") -> Column:

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import distance, lng_reach
+from ..functions.geo import distance, haversine_share, lng_reach
 from ..functions.units import DISTANCE_DECIMALS, EARTH_RADIUS_KM, checked_radius, per_km
 from ..plans.shared import cut
 
@@ -32,24 +32,48 @@ def _checked_names(left: DataFrame, names: list[str], how: str) -> None:
         raise ValueError(f"both sides have columns {clash}; rename them on one side")
 
 
-def _cells_around(band: Column, width: float, angle: float) -> Column:
-    """How many cells a band of latitude has: each as wide as a circle around a point of it or a neighbour reaches, or one."""
-    edge = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * width - 90.0), F.abs((band + 2) * width - 90.0)))
-    return F.greatest(F.lit(1.0), F.floor(180.0 / F.greatest(lng_reach(edge, F.lit(angle)), F.lit(1e-4)))).cast("long")
+#: Bands of latitude a radius, and cells a reach in longitude, of the radius join.
+FINE_BANDS, FINE_CELLS = 4, 2
+
+
+def _cells_around(band: Column, width: float, angle: float, bands: int) -> Column:
+    """How many cells a band of latitude has: as wide as half of what a circle around a point of it or a neighbour spans."""
+    if width == 360.0:
+        return F.lit(1).cast("long")
+    edge = F.least(F.lit(90.0), F.greatest(F.abs((band - bands) * width - 90.0), F.abs((band + bands + 1) * width - 90.0)))
+    return F.greatest(F.lit(1.0), F.floor(180.0 * FINE_CELLS / F.greatest(lng_reach(edge, F.lit(angle)), F.lit(1e-4)))).cast("long")
+
+
+def _within(radius: float, unit: str) -> Column:
+    """``distance(...) <= radius``, where the haversine's square decides alone for all pairs but those about the radius."""
+    pad = 0.5 * 10.0**-DISTANCE_DECIMALS  # distances are compared after rounding
+    share = haversine_share("_lat", "_lng", "_gl_lat", "_gl_lng")
+
+    def at(r: float, more: float) -> float:
+        angle = r / per_km(unit) / EARTH_RADIUS_KM * (1 + more)
+        return math.inf if angle >= math.pi else math.sin(angle / 2) ** 2 * (1 + more)
+
+    exact = distance("_lat", "_lng", "_gl_lat", "_gl_lng", unit) <= radius
+    if at(radius + pad, 1e-9) == math.inf:
+        return exact
+    sure = share <= (at(radius - pad, -1e-9) if pad < radius else -1.0)
+    return (share <= at(radius + pad, 1e-9) + 1e-30) & (sure | exact)
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, unit: str = "km", how: str = "inner") -> DataFrame:
     """Pairs within ``radius`` (rounded distance), with ``_distance``; ``how`` may be inner, left_semi or left_anti.
 
-    The sphere is cut into bands of latitude at least a radius high, each into cells at least a radius wide. The left
-    side lies in one cell, the right side in those its circle can touch (nine at most, or the bands around a pole),
+    The sphere is cut into bands of latitude a quarter of a radius high, each into cells about a radius wide. The left
+    side lies in one cell, the right side in those its circle can touch (some thirty, or the bands around a pole),
     and both meet by equality. Rows without coordinates meet nothing.
     """
     radius, factor = checked_radius(radius), per_km(unit)
     angle = (radius + 0.5 * 10.0**-DISTANCE_DECIMALS) / factor / EARTH_RADIUS_KM * (1 + 1e-9) + 1e-12
     width = max(math.degrees(angle) * (1 + 1e-9), LEAST_BAND)
+    bands = FINE_BANDS if width > LEAST_BAND * FINE_BANDS else 1
     if width > 60:  # a circle of more than a sixth of the globe: one cell
-        width = 360.0
+        width, bands = 360.0, 1
+    width /= bands
     top = math.ceil(180.0 / width)
 
     def cell(lng: Column, n: Column) -> Column:
@@ -57,13 +81,13 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, unit: str = "k
 
     band = F.least(F.floor((F.col("_lat") + 90.0) / width), F.lit(top - 1)).cast("long")
     here = left.where("_lat is not null and _lng is not null").withColumn("_gl_b", band)
-    here = here.withColumn("_gl_n", _cells_around(F.col("_gl_b"), width, angle)).withColumn("_gl_c", F.pmod(cell(F.col("_lng"), F.col("_gl_n")), F.col("_gl_n"))).drop("_gl_n")
+    here = here.withColumn("_gl_n", _cells_around(F.col("_gl_b"), width, angle, bands)).withColumn("_gl_c", F.pmod(cell(F.col("_lng"), F.col("_gl_n")), F.col("_gl_n"))).drop("_gl_n")
     names = [c for c in right.columns if c not in ("_ord", "_lat", "_lng")]
     _checked_names(left, names, how)
     other = right.where("_lat is not null and _lng is not null").select(*names, F.col("_lat").alias("_gl_lat"), F.col("_lng").alias("_gl_lng"))
     own = F.least(F.floor((F.col("_gl_lat") + 90.0) / width), F.lit(top - 1)).cast("long")
-    other = other.withColumn("_gl_band", F.explode(F.sequence(F.greatest(own - 1, F.lit(0).cast("long")), F.least(own + 1, F.lit(top - 1).cast("long")))))
-    other = other.withColumn("_gl_m", _cells_around(F.col("_gl_band"), width, angle))
+    other = other.withColumn("_gl_band", F.explode(F.sequence(F.greatest(own - bands, F.lit(0).cast("long")), F.least(own + bands, F.lit(top - 1).cast("long")))))
+    other = other.withColumn("_gl_m", _cells_around(F.col("_gl_band"), width, angle, bands))
     reach = lng_reach("_gl_lat", F.lit(angle)) + 1e-9
     first, last = cell(F.col("_gl_lng") - reach, F.col("_gl_m")), cell(F.col("_gl_lng") + reach, F.col("_gl_m"))
     all_ = F.sequence(F.lit(0).cast("long"), F.col("_gl_m") - 1)
@@ -73,11 +97,12 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, unit: str = "k
         parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         here = here.withColumn("_gl_c", F.pmod(F.xxhash64("_lat", "_lng"), F.lit(parts)))
         other = other.withColumn("_gl_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    apart = distance("_lat", "_lng", "_gl_lat", "_gl_lng", unit)
-    met = (F.col("_gl_b") == F.col("_gl_band")) & (F.col("_gl_c") == F.col("_gl_cell")) & (apart <= radius)
+    if not left.isStreaming:  # a broadcast would leave all pairs to the tasks that read the left side, perhaps one
+        other = other.hint("merge")
+    met = (F.col("_gl_b") == F.col("_gl_band")) & (F.col("_gl_c") == F.col("_gl_cell")) & _within(radius, unit)
     out = here.join(other, met, how)
     if how == "inner":
-        out = out.withColumn("_distance", apart)
+        out = out.withColumn("_distance", distance("_lat", "_lng", "_gl_lat", "_gl_lng", unit))
     return out.drop("_gl_b", "_gl_c", "_gl_band", "_gl_cell", "_gl_lat", "_gl_lng")
 
 

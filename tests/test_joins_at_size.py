@@ -80,3 +80,24 @@ def test_zone_cells_are_not_broadcast(crowd):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize(("radius", "unit"), [(800, "km"), (0.5, "m"), (0.00007, "km"), (3000, "miles"), (12000, "km"), (20016, "km"), (1234.5678, "km"), (40_000_000, "ft")])
+def test_radius_join_is_the_rounded_distance(spark, radius, unit):
+    rng = random.Random(radius)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)] + [(90.0, 0.0), (-90.0, 17.0), (0.0, 180.0), (0.0, -180.0), (89.9, -179.9), (float("nan"), 0.0)]
+    spots += [(a + rng.uniform(-1, 1) * 10.0**-e, b + rng.uniform(-1, 1) * 10.0**-e) for a, b in spots[:60] for e in (5, 8) if abs(a) < 89]
+    a = points_at(spark, spots)
+    b = a.select("_lat", "_lng", F.col("p").alias("q"))
+    apart = distance("a._lat", "a._lng", "b._lat", "b._lng", unit)
+    want = a.alias("a").crossJoin(b.alias("b")).where(apart <= radius).select("p", "q", apart.alias("d"))
+    got = joins.radius_join(a, b, radius, unit).select("p", "q", F.col("_distance").alias("d"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_radius_join_is_not_left_to_the_tasks_that_read(crowd):
+    pts, _ = crowd
+    out = joins.radius_join(pts.limit(500), pts.limit(500).select("_lat", "_lng", F.col("p").alias("q")), 100)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
