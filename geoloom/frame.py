@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +57,16 @@ class GeoFrame:
         self._set(points.from_features(self.spark, features))
         return self
 
+    def load_table(self, df: DataFrame, geometry: str = "geometry_json", properties: str = "properties_json", order: str = "_ord") -> GeoFrame:
+        """A DataFrame of features: GeoJSON texts of their geometry and properties, and a column of distinct longs. No feature comes to the driver."""
+        self._set(points.from_feature_table(df, geometry, properties, order))
+        return self
+
+    def feature_table(self) -> DataFrame:
+        """What :meth:`load_table` takes: the features of :meth:`get_features` as a DataFrame, for more than the driver can hold."""
+        self._require("feature_table")
+        return self._as_json()
+
     def from_table(self, df: DataFrame, lat="lat", lng="lng", order: str | None = None) -> GeoFrame:
         """Any DataFrame with coordinates; see :func:`geoloom.sources.points.from_table`."""
         self._set(points.from_table(df, lat, lng, order))
@@ -71,7 +80,10 @@ class GeoFrame:
         path = str(path)
         self._require("save")
         if sinks.extension(path) == ".csv":
-            sinks.write_csv(self.iterate(), self.property_names(), path, encoding)
+            names = self.property_names()
+            sinks.write_csv_rows(self._sorted(), names, path) if sinks.is_utf8(encoding) else sinks.write_csv(self.iterate(), names, path, encoding)
+        elif sinks.is_utf8(encoding):
+            sinks.write_geojson_rows(self._sorted(), path)
         else:
             sinks.write_geojson(self.iterate(), path, encoding)
         return self
@@ -158,7 +170,7 @@ class GeoFrame:
 
     def iterate(self) -> Iterator[dict]:
         """The features in order, a partition at a time."""
-        for row in self._as_json().orderBy(*self._order).toLocalIterator():
+        for row in self._sorted().toLocalIterator():
             yield self._feature(row)
 
     def get_features(self) -> list[dict]:
@@ -182,13 +194,12 @@ class GeoFrame:
 
     def map(self, output_path: str = "map.html", title: str = "Map", zoom: int = 5, center=None) -> GeoFrame:
         self._require("map")
-        n = sinks.write_map(self.iterate(), str(output_path), title, zoom, center)
+        n = sinks.write_map(self._sorted(), str(output_path), title, zoom, center)
         print(f"{output_path}: map of {n} points")
         return self
 
     def heatmap(self, output_path: str = "heatmap.html", title: str = "Heatmap", intensity_col: str | None = None, zoom: int = 5, center=None) -> GeoFrame:
-        rows = self.heat_points(intensity_col).orderBy("_ord").toLocalIterator()
-        n = sinks.write_heatmap(((r["lat"], r["lng"], r["intensity"]) for r in rows), str(output_path), title, zoom, center)
+        n = sinks.write_heatmap(self.heat_points(intensity_col).orderBy("_ord"), str(output_path), title, zoom, center)
         print(f"{output_path}: heat map of {n} points")
         return self
 
@@ -246,8 +257,11 @@ class GeoFrame:
         place = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("_lng", "_lat").alias("coordinates")))
         return df.select("_ord", *more, "_lat", "_lng", place.alias("geometry_json"), own.alias("properties_json"))
 
+    def _sorted(self) -> DataFrame:
+        return self._as_json().orderBy(*self._order)
+
     def _feature(self, row, with_distance: bool = True) -> dict:
-        own = json.loads(row["properties_json"]) if row["properties_json"] is not None else {}
-        if with_distance and "_distance" in row.__fields__:
-            own["_distance"] = row["_distance"]
-        return {"type": "Feature", "geometry": json.loads(row["geometry_json"] or "null"), "properties": own}
+        known = row.asDict()
+        if not with_distance:
+            known.pop("_distance", None)
+        return sinks.feature(known)

@@ -162,11 +162,11 @@ def read_geojson(spark: SparkSession, path: str, encoding: str = "utf-8-sig") ->
     return _features(docs.select(F.explode(every).alias("f")).select("f.geometry", "f.properties"))
 
 
-def _features(raw: DataFrame) -> DataFrame:
+def _features(raw: DataFrame, order: Column | None = None) -> DataFrame:
     geometry = F.from_json("geometry", "type string, coordinates string")
     spot = F.when(geometry["type"] == "Point", F.from_json(geometry["coordinates"], "array<double>"))
     return raw.select(
-        F.monotonically_increasing_id().alias("_ord"),
+        (F.monotonically_increasing_id() if order is None else order).alias("_ord"),
         F.get(spot, F.lit(1)).alias("_lat"),
         F.get(spot, F.lit(0)).alias("_lng"),
         geometry["type"].alias("geometry_type"),
@@ -186,6 +186,12 @@ def from_features(spark: SparkSession, features: list[dict]) -> DataFrame:
     return _features(raw).withColumn("_ord", F.col("_ord")) if len(rows) < 2 else _features(raw.repartitionByRange(1, "i").sortWithinPartitions("i").select("geometry", "properties"))
 
 
+def from_feature_table(df: DataFrame, geometry: str, properties: str, order: str) -> DataFrame:
+    """Features whose geometry and properties are GeoJSON texts in a DataFrame; ``order`` is a column of distinct longs."""
+    raw = df.select(F.col(order).cast("long").alias("_ord"), F.col(geometry).alias("geometry"), F.col(properties).alias("properties"))
+    return _features(raw, F.col("_ord"))
+
+
 def from_table(df: DataFrame, lat="lat", lng="lng", order: str | None = None) -> DataFrame:
     """Any DataFrame, batch or streaming; ``lat`` and ``lng`` are names or expressions, ``order`` a column of distinct longs.
 
